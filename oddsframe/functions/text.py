@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from oddsframe import dims
@@ -119,25 +121,41 @@ def edit_sim(left: Column, right: Column) -> Column:
     return F.when(empty, F.lit(0.0)).otherwise(F.lit(1.0) - F.levenshtein(left, right) / longest)
 
 
-def _group_of(name: Column, groups: list[list[str]], norm, loose: bool) -> Column:
-    """Index of the alias group that holds the name.  The literals fold at planning time."""
-    out = None
-    for index, group in enumerate(groups):
-        aliases = [norm(F.lit(alias)) for alias in group]
-        hit = name.isin(*aliases)
-        if loose:
-            for alias in aliases:
-                hit = hit | F.contains(name, alias) | F.contains(alias, name)
-        out = F.when(hit, F.lit(index)) if out is None else out.when(hit, F.lit(index))
-    return F.when(name != "", out)
+@lru_cache(maxsize=None)
+def normed(norm, names: tuple[str, ...]) -> tuple[str, ...]:
+    """A fixed name list put through a normaliser (a local relation: no job runs)."""
+    rows = SparkSession.active().createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
+    return tuple(r.n for r in sorted(rows.select("i", norm(F.col("name")).alias("n")).collect()))
+
+
+def _normed_groups(norm, groups: list[list[str]]) -> dict[str, int]:
+    """Normalised alias -> index of its (first) group, in group order."""
+    flat = normed(norm, tuple(a for g in groups for a in g))
+    index = [i for i, g in enumerate(groups) for _ in g]
+    out: dict[str, int] = {}
+    for name, i in zip(flat, index):
+        if name:
+            out.setdefault(name, i)
+    return out
+
+
+def _texts(values) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
 def team_group(name: Column) -> Column:
-    return _group_of(name, dims.TEAM_ALIASES, norm_team, loose=False)
+    """Index of the alias group that holds the name."""
+    groups = _normed_groups(norm_team, dims.TEAM_ALIASES)
+    at = F.array_position(_texts(groups), name)
+    return F.when(at > 0, F.element_at(_texts(groups.values()), at.cast("int")))
 
 
 def comp_group(name: Column) -> Column:
-    return _group_of(name, dims.COMPETITION_ALIASES, norm_comp, loose=True)
+    """Index of the first competition group with a name that holds, or is held by, this one."""
+    groups = _normed_groups(norm_comp, dims.COMPETITION_ALIASES)
+    close = F.transform(_texts(groups), lambda a: F.contains(name, a) | F.contains(a, name))
+    at = F.array_position(close, F.lit(True))
+    return F.when((name != "") & (at > 0), F.element_at(_texts(groups.values()), at.cast("int")))
 
 
 def _keys(norms: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from oddsframe import dims
-from oddsframe.functions.text import norm_name, text
+from oddsframe.functions.text import norm_name, normed, text
 
 
 def _opt(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -28,12 +28,12 @@ def bookmaker_from_names(*names: Column) -> Column:
     out = None
     for key, _, aliases in dims.BOOKMAKERS:
         hit = F.lit(False)
-        for raw in aliases:
-            alias = norm_name(F.lit(raw))
-            short = (F.length(alias) <= 1) | alias.rlike(r"^\d+$")
+        for alias in dict.fromkeys(normed(norm_name, tuple(aliases))):
+            if not alias:
+                continue
+            fits = F.startswith if len(alias) <= 1 or alias.isdigit() else F.contains
             for name in names:
-                fits = F.when(short, F.startswith(name, alias)).otherwise(F.contains(name, alias))
-                hit = hit | ((name != "") & (alias != "") & fits)
+                hit = hit | ((name != "") & fits(name, F.lit(alias)))
         out = F.when(hit, F.lit(key)) if out is None else out.when(hit, F.lit(key))
     return out
 
