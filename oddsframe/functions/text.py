@@ -221,19 +221,38 @@ def fixture_name_score(a: Column, b: Column) -> Column:
     )
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value worked out once; long text chains would else repeat it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def strip_tags(col: Column) -> Column:
-    out = F.regexp_replace(col, r"(?is)<script\b.*?</script>", "")
-    out = F.regexp_replace(out, r"(?is)<style\b.*?</style>", "")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>", " ")
-    return F.regexp_replace(out, r"<[^>]+>", "")
+    def strip(t):
+        out = F.regexp_replace(t, r"(?is)<script\b.*?</script>|<style\b.*?</style>", "")
+        out = F.regexp_replace(out, r"(?i)<br\s*/?>", " ")
+        return F.regexp_replace(out, r"<[^>]+>", "")
+
+    return let(col, lambda t: F.when(F.contains(t, F.lit("<")), strip(t)).otherwise(t))
+
+
+# Named entities in the order they are decoded.
+_ENTITIES = [("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'")]
+
+
+def _named_entities(col: Column) -> Column:
+    for name, char in _ENTITIES:
+        col = F.regexp_replace(col, f"(?i)&{name};", char)
+    return col
 
 
 def decode_entities(col: Column) -> Column:
     """Named entities, then hex and decimal numeric ones."""
-    named = [("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'")]
-    for name, char in named:
-        col = F.regexp_replace(col, f"(?i)&{name};", char)
-    return _numeric_entities(_numeric_entities(col, "(?i)&#x([0-9a-f]+);", 16), "&#([0-9]+);", 10)
+    def numeric(t):
+        hexed = let(t, lambda x: _numeric_entities(x, "(?i)&#x([0-9a-f]+);", 16))
+        decoded = let(hexed, lambda x: _numeric_entities(x, "&#([0-9]+);", 10))
+        return F.when(F.contains(t, F.lit("&#")), decoded).otherwise(t)
+
+    return let(col, lambda t: F.when(F.contains(t, F.lit("&")), let(_named_entities(t), numeric)).otherwise(t))
 
 
 def _numeric_entities(col: Column, pattern: str, base: int) -> Column:
@@ -247,7 +266,7 @@ def _numeric_entities(col: Column, pattern: str, base: int) -> Column:
         out = F.replace(acc, F.concat(F.lit(lead), digits, F.lit(";")), char)
         return F.replace(out, F.concat(F.lit("&#X"), digits, F.lit(";")), char) if base == 16 else out
 
-    return F.when(F.size(found) == 0, col).otherwise(F.aggregate(found, col, swap))
+    return F.aggregate(found, col, swap)
 
 
 def squeeze(col: Column) -> Column:
@@ -261,17 +280,17 @@ def cell_text(col: Column) -> Column:
 
 def match_text(col: Column) -> Column:
     """Cell text with the neutral-ground mark in one form."""
-    return squeeze(F.regexp_replace(cell_text(col), r"(?i)\s*\((?:中|neutral)\)\s*", "(中)"))
+    mark = lambda t: squeeze(F.regexp_replace(t, r"(?i)\s*\((?:中|neutral)\)\s*", "(中)"))
+    return let(cell_text(col), lambda t: F.when(F.contains(t, F.lit("(")), mark(t)).otherwise(t))
 
 
 def block_text(col: Column) -> Column:
     """Text of a crowd page fragment: every tag becomes a space."""
-    out = F.regexp_replace(text(col), r"(?is)<script.*?</script>|<style.*?</style>", "")
-    out = F.regexp_replace(out, r"<[^>]+>", " ")
-    named = [("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("#39", "'"), ("quot", '"')]
-    for name, char in named:
-        out = F.regexp_replace(out, f"(?i)&{name};", char)
-    return squeeze(out)
+    def plain(t):
+        out = F.regexp_replace(t, r"(?is)<script.*?</script>|<style.*?</style>", "")
+        return squeeze(_named_entities(F.regexp_replace(out, r"<[^>]+>", " ")))
+
+    return let(text(col), lambda t: F.when(t.rlike("[<&]"), plain(t)).otherwise(squeeze(t)))
 
 
 def absolute_url(url: Column, base: str) -> Column:
