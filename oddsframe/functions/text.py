@@ -7,6 +7,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from oddsframe import dims
 
@@ -76,10 +77,12 @@ def norm_comp(col: Column) -> Column:
     return _drop_rest(_drop_brackets(fold_text(col)))
 
 
-@F.pandas_udf("string")
-def nfkc(names: pd.Series) -> pd.Series:
+def nfkc(col: Column) -> Column:
     """Unicode NFKC, which Spark has no built-in for; use at landing when names need it."""
-    return names.str.normalize("NFKC")
+    def batch(names: pd.Series) -> pd.Series:
+        return names.str.normalize("NFKC")
+
+    return F.pandas_udf(batch, StringType())(col)
 
 
 def _plain_letters(col: Column) -> Column:

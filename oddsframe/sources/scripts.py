@@ -120,11 +120,12 @@ def stream_events(df: DataFrame, keys: list[str], order: str, column: str = "tex
     data = F.trim(F.substr("_t", F.lit(6)))
     events = lines.where(F.col("_t").startswith("data:")).withColumn("_d", data).where("_d not in ('', '[DONE]')")
     event = F.from_json("_d", _EVENT)
+    choice = F.get("_e.choices", F.lit(0))
     return events.withColumns({"_e": event, "at": F.struct("_chunk", "_line")}).select(
         *keys,
         "at",
         F.col("_e.error.message").alias("error"),
-        F.concat(text(F.col("_e.choices")[0]["delta"]["content"]), text(F.col("_e.choices")[0]["message"]["content"])).alias("content"),
+        F.concat(text(choice["delta"]["content"]), text(choice["message"]["content"])).alias("content"),
         F.col("_e.usage").alias("usage"),
     )
 
