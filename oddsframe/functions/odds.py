@@ -113,30 +113,42 @@ def state_label(code: Column) -> Column:
     return out.otherwise(code)
 
 
-def parse_score(texts: Column) -> Column:
+def _score_number(raw: Column) -> Column:
+    """A score text as home * 100 + away: four digits (each up to 20), two digits, or h:a."""
+    t = F.trim(F.translate(raw, "０１２３４５６７８９：－", "0123456789:-"))
+    digits = t.try_cast("int")
+    four = F.when((digits >= 0) & (F.floor(digits / 100) <= 20) & (digits % 100 <= 20), digits)
+    two = F.when(digits >= 0, F.floor(digits / 10).cast("int") * 100 + digits % 10)
+    pattern = r"(\d{1,2})\s*[:：\-]\s*(\d{1,2})"
+    split = F.regexp_extract(t, pattern, 1).try_cast("int") * 100 + F.regexp_extract(t, pattern, 2).try_cast("int")
+    plain = F.when(F.length(t) == 4, four).when(F.length(t) == 2, two)
+    return F.when(digits.isNotNull() & t.rlike(r"^\d+$"), plain).otherwise(split)
+
+
+def parse_score(*texts: Column) -> Column:
     """struct(home, away, label) of the first text that reads as a score."""
-    def read(raw):
-        t = F.trim(F.translate(raw, "０１２３４５６７８９：－", "0123456789:-"))
-        split = F.regexp_extract(t, r"(\d{1,2})\s*[:：\-]\s*(\d{1,2})", 0)
-        pair = F.when(
-            split != "",
-            F.array(
-                F.regexp_extract(t, r"(\d{1,2})\s*[:：\-]\s*(\d{1,2})", 1),
-                F.regexp_extract(t, r"(\d{1,2})\s*[:：\-]\s*(\d{1,2})", 2),
-            ),
-        )
-        pair = pair.when(t.rlike(r"^\d{2}$"), F.array(F.substring(t, 1, 1), F.substring(t, 2, 1)))
-        four = F.array(F.substring(t, 1, 2), F.substring(t, 3, 2))
-        legal = t.rlike(r"^\d{4}$") & (four[0].try_cast("int") <= 20) & (four[1].try_cast("int") <= 20)
-        return pair.when(legal, four)
-
-    pairs = F.filter(F.transform(texts, read), lambda p: p.isNotNull())
-    first = F.transform(F.try_element_at(pairs, F.lit(1)), lambda p: p.cast("int"))
-    home, away = first[0], first[1]
-    return F.when(
-        first.isNotNull(),
-        F.struct(home.alias("home"), away.alias("away"), F.concat_ws(":", home, away).alias("label")),
-    )
+    return _as_score(F.coalesce(*[_score_number(t) for t in texts]))
+
+
+def parse_score_list(texts: Column) -> Column:
+    """The same over an array of texts."""
+    found = F.filter(F.transform(texts, lambda t: _score_number(t)), lambda n: n.isNotNull())
+    return _as_score(F.try_element_at(found, F.lit(1)))
+
+
+def _as_score(number: Column) -> Column:
+    home, away = F.floor(number / 100).cast("int"), (number % 100).cast("int")
+    label = F.concat(home.cast("string"), F.lit(":"), away.cast("string"))
+    return F.when(number.isNotNull(), F.struct(home.alias("home"), away.alias("away"), label.alias("label")))
+
+
+def price(df, name: str = "odds") -> Column:
+    """Price column as decimal(18,2), NULL where it is no number; text is parsed, numbers are not."""
+    kind = df.schema[name].dataType.typeName()
+    col = F.col(name)
+    if kind in ("string", "varchar", "char"):
+        col = F.trim(col).try_cast("decimal(18,6)")
+    return col.cast("decimal(18,2)")
 
 
 def source_page(pool: Column) -> Column:

@@ -47,10 +47,11 @@ def _last(value: Column, where: Column, order) -> Column:
 
 def scan_three_way(sel: DataFrame, order=_ORDER) -> DataFrame:
     """Home or away at a wanted price, and the two full price triples, per HAD line."""
-    rows = sel.where(F.col("pool") == "HAD").withColumn("_o", X.norm_odds(F.col("odds")))
+    rows = sel.where(F.col("pool") == "HAD").withColumn("_o", X.price(sel))
     line = rows.groupBy("match_id", "pool", "line_id").agg(
         *_carry(rows), *[_last(F.col("_o"), F.col("sel") == s, order).alias(s) for s in "HDA"]
     )
+    line = line.withColumns({s: F.col(s).cast("string") for s in "HDA"})
     prices = {s: F.coalesce(F.col(s), F.lit("")) for s in "HDA"}
     hit = lambda cond, rule, label, side: F.when(
         cond, F.struct(F.lit(rule).alias("rule"), F.lit(label).alias("rule_label"), F.lit(side).alias("selection"), prices[side].alias("odds"))
@@ -68,13 +69,14 @@ def scan_three_way(sel: DataFrame, order=_ORDER) -> DataFrame:
 
 def price_rule_dim(spark, rules=None) -> DataFrame:
     rows = [(p, s, price, f"{p}_{infix}_{price}", label) for p, sides, price, infix, label in (rules or dims.PRICE_RULES) for s in (sides or [None])]
-    return spark.createDataFrame(rows, "pool string, side string, price string, rule string, rule_label string")
+    dim = spark.createDataFrame(rows, "pool string, side string, price string, rule string, rule_label string")
+    return dim.withColumn("price", F.col("price").cast("decimal(18,2)"))
 
 
 def scan_price_rules(sel: DataFrame, rules=None) -> DataFrame:
     """Selections at a rule's price.  The rule table is a fixed handful of rows, joined by broadcast."""
     dim = F.broadcast(price_rule_dim(sel.sparkSession, rules)).alias("d")
-    rows = sel.withColumns({"_o": X.norm_odds(F.col("odds")), "selection": F.col("sel")}).alias("s")
+    rows = sel.withColumns({"_o": X.price(sel), "selection": F.col("sel")}).alias("s")
     cond = (
         (F.col("s.pool") == F.col("d.pool"))
         & (F.col("s._o") == F.col("d.price"))
@@ -102,16 +104,12 @@ def scan_summary(sel: DataFrame, hits: DataFrame, now: Column, hours: int = 24)
 
 def correct_scores(sel: DataFrame) -> DataFrame:
     """Correct-score selections with a readable score and a price below the display limit."""
-    texts = [F.col("sel")]
-    if "sel_name" in sel.columns:
-        texts.insert(0, F.col("sel_name"))
-    candidates = F.array(*texts)
+    score = X.parse_score(*[F.col(c) for c in ("sel_name", "sel") if c in sel.columns])
     if "names" in sel.columns:
-        candidates = F.concat(candidates, F.coalesce("names", F.array().cast("array<string>")))
-    rows = sel.where(F.col("pool").isin("CRS", "FCS")).withColumns(
-        {"_s": X.parse_score(F.filter(candidates, lambda t: t.isNotNull() & (t != ""))), "_o": X.norm_odds(F.col("odds"))}
-    )
-    rows = rows.where(F.col("_s").isNotNull() & (F.col("_o").try_cast("double") < dims.MAX_SCORE_ODDS))
+        score = F.coalesce(score, X.parse_score_list(F.col("names")))
+    rows = sel.where(F.col("pool").isin("CRS", "FCS")).withColumn("_o", X.price(sel))
+    rows = rows.where(F.col("_o") < dims.MAX_SCORE_ODDS).withColumn("_s", score).where(F.col("_s").isNotNull())
+    rows = rows.withColumn("_o", F.col("_o").cast("string"))
     return rows.withColumns({"score": F.col("_s.label"), "total": F.col("_s.home") + F.col("_s.away")})
 
 

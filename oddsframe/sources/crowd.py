@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe.functions import odds
+from oddsframe.functions.rows import spread
 from oddsframe.functions.text import absolute_url, block_text, text
 from oddsframe.operators.features import crowd_hot
 
@@ -98,7 +99,7 @@ def parse_crowd_index(df: DataFrame, threshold: int = 70) -> DataFrame:
         return F.struct(F.coalesce(*[F.nullif(i, F.lit("")) for i in ids], guess).alias("match_id"), guess.alias("guess_id"), block.alias("b"))
 
     blocks = _unique(F.transform(_all(F.col("body"), pattern), read))
-    rows = df.select(*_kept(df), F.posexplode(blocks).alias("pos", "_x"))
+    rows = spread(df, _kept(df), blocks, "_x")
     b = F.col("_x.b")
     status = _first(b, rf"(?is)<div\s+class={_Q}game_guess{_Q}[^>]*>(.*?)</div>")
     league = F.regexp_replace(status, r"(?is)<i\b.*?</i>", "")
@@ -167,7 +168,7 @@ def parse_crowd_home(df: DataFrame, threshold: int = 70, base: str = "https://gu
     page = df.select(
         *_kept(df), F.transform(_all(F.col("body"), info), _info).alias("_infos"), _unique(F.transform(_all(F.col("body"), bar), read)).alias("_bars")
     )
-    rows = page.select(*_kept(df), "_infos", F.posexplode("_bars").alias("pos", "_x"))
+    rows = spread(page, [*_kept(df), "_infos"], "_bars", "_x")
     b = F.col("_x.b")
     pair = rf"(?i)<span\s+class={_Q}hCount{_Q}>\s*([\d.]+)%\s*</span>\s*<span>\s*([^<]+?)\s*</span>\s*<span\s+class={_Q}gCount{_Q}>\s*([\d.]+)%"
     pairs = F.transform(

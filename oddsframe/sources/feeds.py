@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe import dims
-from oddsframe.functions.text import decode_entities, squeeze, strip_tags, text
+from oddsframe.functions.rows import spread, spread_fields
+from oddsframe.functions.text import decode_entities, let, squeeze, strip_tags, text
 from oddsframe.operators.history import probability_events, sample_count_in_text
 from oddsframe.operators.select import pool_window, probability_market_allowed
 
@@ -67,7 +68,7 @@ def parse_mobile_snapshot(df: DataFrame) -> DataFrame:
                     )
                 )
     rows = F.filter(F.array(*found), lambda q: q.isNotNull())
-    out = snap.select(*_kept(df), F.col("_s.scheduleId").alias("schedule_id"), F.inline(rows))
+    out = spread_fields(snap, [*_kept(df), F.col("_s.scheduleId").alias("schedule_id")], rows)
     return out.withColumns({"is_closed": F.lit(False), "is_multi_line": F.lit(False), "multi_label": F.lit("")})
 
 
@@ -81,8 +82,8 @@ _COMPARISON = f"scheduleId string, companies array<struct<companyId: string, nam
 def parse_mobile_comparison(df: DataFrame) -> DataFrame:
     """Quotes of the comparison feed; a company's further lines are multi lines."""
     parsed = df.withColumn("_j", F.from_json("body", _COMPARISON))
-    companies = parsed.select(*_kept(df), F.posexplode("_j.companies").alias("company_pos", "_c"))
-    rows = companies.select(*_kept(df), "company_pos", "_c", F.posexplode("_c.details").alias("line_pos", "_o"))
+    companies = spread(parsed, _kept(df), "_j.companies", "_c", "company_pos")
+    rows = spread(companies, [*_kept(df), "company_pos", "_c"], "_c.details", "_o", "line_pos")
     o = F.col("_o")
     number = lambda c: F.nullif(F.trim(c), F.lit("")).try_cast("double").isNotNull()
     rows = rows.where(number(o["homeOdds"]) & number(o["awayOdds"]))
@@ -107,9 +108,9 @@ _PROBABILITY = (
 def parse_probability_json(df: DataFrame) -> DataFrame:
     """Probability statistics: one row per company, odds type and sample."""
     parsed = df.withColumn("_p", F.from_json(script_json(F.col("body")), _PROBABILITY))
-    companies = parsed.select(*_kept(df), F.explode("_p.probabilityDatas.dataList").alias("_c"))
-    types = companies.select(*_kept(df), "_c", F.explode("_c.typeDatas").alias("_t"))
-    rows = types.select(*_kept(df), "_c", "_t", F.posexplode("_t.probStatistics").alias("pos", "_s"))
+    companies = spread(parsed, _kept(df), "_p.probabilityDatas.dataList", "_c", "_ci")
+    types = spread(companies, [*_kept(df), "_c"], "_c.typeDatas", "_t", "_ti")
+    rows = spread(types, [*_kept(df), "_c", "_t"], "_t.probStatistics", "_s")
     return rows.select(
         *_kept(df), F.col("_c.companyId").alias("company_id"), F.col("_c.companyName").alias("company_name"),
         F.col("_t.oddsType").alias("odds_type"), F.col("_t.kind").alias("kind"), F.col("_s.countType").alias("count_type"),
@@ -130,10 +131,10 @@ def parse_probability_text(df: DataFrame, threshold: float = 80, min_n: int = 10
     section = F.regexp_extract("body", r"(?is)(?:概率事件|概率|Probability\s*Events?).{0,50000}", 0)
     broken = F.regexp_replace(section, r"(?i)</(?:div|li|p|tr|td|dd|dt|section|article|h[1-6])>|<br\s*/?>", "\n")
     lines = F.filter(F.transform(F.split(decode_entities(strip_tags(broken)), r"\n+"), squeeze), lambda t: t != "")
-    with_next = F.transform(lines, lambda t: t)
-    base = df.where(~F.coalesce(has_probability_json(F.col("body")), F.lit(False))).select(*_kept(df), with_next.alias("_l"))
-    rows = base.select(*_kept(df), F.posexplode("_l").alias("pos", "line"), F.col("_l"))
-    rows = rows.withColumn("_next", text(F.get("_l", F.col("pos") + 1))).drop("_l")
+    base = df.where(~F.coalesce(has_probability_json(F.col("body")), F.lit(False))).select(*_kept(df), lines.alias("_l"))
+    # each line next to the one below it, so the list itself is not copied per line
+    paired = let(F.col("_l"), lambda ls: F.transform(ls, lambda t, i: F.struct(t.alias("line"), text(F.get(ls, i + 1)).alias("_next"))))
+    rows = spread_fields(base, _kept(df), paired)
     pair = r"([^\s:：,，;；|/]+)\s*[:：]\s*(\d+(?:\.\d+)?)\s*%"
     rows = rows.where(F.col("line").rlike(pair))
     after = F.regexp_replace("line", r"^.*[:：]\s*\d+(?:\.\d+)?\s*%", "")
@@ -147,7 +148,7 @@ def parse_probability_text(df: DataFrame, threshold: float = 80, min_n: int = 10
     pairs = F.arrays_zip(
         F.regexp_extract_all("line", F.lit(pair), F.lit(1)).alias("type"), F.regexp_extract_all("line", F.lit(pair), F.lit(2)).alias("pct")
     )
-    found = rows.select(*_kept(df), "line", "description", F.inline(pairs).alias("type", "pct"))
+    found = spread_fields(rows, [*_kept(df), "line", "description"], pairs)
     found = found.withColumns(
         {"percent": F.col("pct").cast("double"), "type": F.trim(F.regexp_replace("type", r"^[·•\-\s]+", ""))}
     ).where(F.col("percent") >= threshold)
@@ -227,7 +228,7 @@ _FIXTURE = (
 
 
 def parse_fixtures(df: DataFrame) -> DataFrame:
-    rows = df.select(*_kept(df), F.explode(F.from_json("body", f"response array<struct<{_struct(_FIXTURE)}>>")["response"]).alias("_f"))
+    rows = spread(df, _kept(df), F.from_json("body", f"response array<struct<{_struct(_FIXTURE)}>>")["response"], "_f", "_at")
     f = F.col("_f")
     return rows.select(
         *_kept(df), f["fixture"]["id"].alias("fixture_id"), f["fixture"]["date"].alias("date"),
@@ -256,7 +257,7 @@ def parse_injuries(df: DataFrame) -> DataFrame:
     """Injuries of a fixture document, the first 30."""
     schema = f"response array<struct<player: {_PERSON}, team: {_TEAM}, fixture: struct<id: string>>>"
     items = F.slice(F.from_json("body", schema)["response"], 1, MAX_INJURIES)
-    rows = df.select(*_kept(df), F.posexplode(items).alias("pos", "_i"))
+    rows = spread(df, _kept(df), items, "_i")
     i = F.col("_i")
     return rows.select(
         *_kept(df), "pos", i["player"]["name"].alias("player"), i["player"]["id"].alias("player_id"), i["team"]["name"].alias("team"),
@@ -270,14 +271,14 @@ def parse_lineups(df: DataFrame) -> DataFrame:
     entry = f"array<struct<player: {_PERSON}>>"
     schema = f"response array<struct<team: {_TEAM}, formation: string, coach: struct<name: string>, startXI: {entry}, substitutes: {entry}>>"
     teams = F.slice(F.from_json("body", schema)["response"], 1, MAX_LINEUPS)
-    rows = df.select(*_kept(df), F.posexplode(teams).alias("team_pos", "_t"))
+    rows = spread(df, _kept(df), teams, "_t", "team_pos")
     t = F.col("_t")
     empty = F.array().cast(entry)
     tagged = lambda arr, role, n: F.transform(
         F.slice(F.coalesce(arr, empty), 1, n), lambda e, i: F.struct(F.lit(role).alias("role"), i.alias("pos"), e["player"].alias("p"))
     )
     players = F.concat(tagged(t["startXI"], "start", MAX_STARTERS), tagged(t["substitutes"], "substitute", MAX_SUBSTITUTES))
-    rows = rows.select(*_kept(df), "team_pos", "_t", F.inline(players))
+    rows = spread_fields(rows, [*_kept(df), "team_pos", "_t"], players)
     p = F.col("p")
     return rows.select(
         *_kept(df), "team_pos", t["team"]["name"].alias("team"), t["team"]["id"].alias("team_id"), t["formation"].alias("formation"),
@@ -294,7 +295,7 @@ def parse_weather(df: DataFrame) -> DataFrame:
         h["time"].alias("time"), h["temperature_2m"].alias("temperature_c"), h["precipitation"].alias("precipitation_mm"),
         h["wind_speed_10m"].alias("wind_speed_kmh"),
     )
-    rows = df.select(*_kept(df), F.inline(zipped))
+    rows = spread_fields(df, _kept(df), zipped)
     return rows.withColumn("hour_ts", F.coalesce(*[F.try_to_timestamp("time", F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm")]).cast("timestamp_ntz"))
 
 

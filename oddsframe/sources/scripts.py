@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddsframe.functions.rows import spread
 from oddsframe.functions.odds import score_text, state_label
 from oddsframe.functions.text import match_text, text
 from oddsframe.functions.times import script_time
@@ -28,7 +29,7 @@ def _either(a: Column, b: Column) -> Column:
 def parse_live_list(df: DataFrame) -> DataFrame:
     """One match per `A[n]="...".split('^');` block; traditional names first."""
     pattern = r"(?s)A\[\d+]\s*=\s*\".*?\"\.split\('\^'\);"
-    blocks = df.select(*_kept(df), F.posexplode(F.regexp_extract_all("body", F.lit(pattern), F.lit(0))).alias("pos", "_b"))
+    blocks = spread(df, _kept(df), F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), "_b")
     inner = r"(?s)A\[(\d+)]\s*=\s*\"(.*)\"\.split"
     rows = blocks.withColumns(
         {
@@ -58,7 +59,7 @@ def parse_europe_js(df: DataFrame) -> DataFrame:
     """Three-way odds from `var game=Array("...|...")`; a cut-off tail loses only its last entry."""
     source = F.regexp_extract("body", r"(?s)var\s+game\s*=\s*Array\((.*?)(?:\);|\z)", 1)
     strings = F.regexp_extract_all(source, F.lit(r'"((?:\\.|[^"\\])*)"'), F.lit(1))
-    rows = df.select(*_kept(df), F.posexplode(strings).alias("pos", "_s"))
+    rows = spread(df, _kept(df), strings, "_s")
     clean = F.replace(F.replace(F.col("_s"), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
     rows = rows.withColumn("_f", F.split(clean, r"\|")).where(F.size("_f") >= 22)
     f = lambda i: _field("_f", i)
@@ -78,7 +79,7 @@ def parse_europe_js(df: DataFrame) -> DataFrame:
 def parse_past_results(df: DataFrame) -> DataFrame:
     """Past results from `p[n]=[...]` records with ten or more fields and numeric goals."""
     records = F.regexp_extract_all("body", F.lit(r"(?s)p\[\d+]\s*=\s*\[.*?];"), F.lit(0))
-    rows = df.select(*_kept(df), F.posexplode(records).alias("pos", "_r"))
+    rows = spread(df, _kept(df), records, "_r")
     inner = r"(?s)p\[(\d+)]\s*=\s*\[(.*)];"
     # every field ends in a comma once one is added; quotes may hold commas
     item = r"""\s*('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,'"]*)\s*,"""
@@ -116,7 +117,7 @@ _EVENT = (
 
 def stream_events(df: DataFrame, keys: list[str], order: str, column: str = "text") -> DataFrame:
     """The `data:` events of captured reply chunks, in order."""
-    lines = df.select(*keys, F.col(order).alias("_chunk"), F.posexplode(F.split(column, r"\r?\n")).alias("_line", "_t"))
+    lines = spread(df, [*keys, F.col(order).alias("_chunk")], F.split(column, r"\r?\n"), "_t", "_line")
     data = F.trim(F.substr("_t", F.lit(6)))
     events = lines.where(F.col("_t").startswith("data:")).withColumn("_d", data).where("_d not in ('', '[DONE]')")
     event = F.from_json("_d", _EVENT)

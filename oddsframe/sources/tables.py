@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddsframe.functions.rows import spread
 from oddsframe.functions.text import cell_text, decode_entities, let, match_text, text
 
 
@@ -138,8 +139,8 @@ def parse_odds_table(df: DataFrame, include_multi: bool = False) -> DataFrame:
         shown = full if include_multi else F.filter(full, lambda r: ~r["hidden"])
         return let(F.transform(shown, _quote), _with_company)
 
-    parsed = df.withColumn("_q", let(table_html(F.col("body"), "odds"), quotes))
-    return parsed.select(*_kept(df), F.posexplode("_q").alias("pos", "_r")).select(*_kept(df), "pos", "_r.*")
+    rows = spread(df, _kept(df), let(table_html(F.col("body"), "odds"), quotes), "_r")
+    return rows.select(*_kept(df), "pos", "_r.*")
 
 
 def parse_flat_odds_table(df: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def parse_europe_html(df: DataFrame) -> DataFrame:
     )
     header = "公司|所有|主胜|主勝|凱利|凯利|返还|返還"
     rows = F.filter(texts, lambda t: (F.size(t) >= 10) & ~t[0].rlike(header))
-    out = df.select(*_kept(df), F.posexplode(rows).alias("pos", "_t"))
+    out = spread(df, _kept(df), rows, "_t")
     cells = [text(F.get(F.col("_t"), F.lit(i))).alias(n) for i, n in enumerate(_EUROPE_CELLS)]
     return out.select(*_kept(df), "pos", F.lit("europe").alias("market"), F.lit("full").alias("period"), *cells)
 
