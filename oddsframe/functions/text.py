@@ -152,14 +152,15 @@ def _normed_groups(norm, groups: list[list[str]]) -> dict[str, int]:
 
 
 def _texts(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant text array, sent as one literal and folded by the optimizer."""
+    return F.split(F.lit("\x1f".join(str(v) for v in values)), "\x1f")
 
 
 def team_group(name: Column) -> Column:
     """Index of the alias group that holds the name."""
     groups = _normed_groups(norm_team, dims.TEAM_ALIASES)
     at = F.array_position(_texts(groups), name)
-    return F.when(at > 0, F.element_at(_texts(groups.values()), at.cast("int")))
+    return F.when(at > 0, F.element_at(_texts(groups.values()), at.cast("int")).cast("int"))
 
 
 def comp_group(name: Column) -> Column:
@@ -167,7 +168,7 @@ def comp_group(name: Column) -> Column:
     groups = _normed_groups(norm_comp, dims.COMPETITION_ALIASES)
     close = F.transform(_texts(groups), lambda a: F.contains(name, a) | F.contains(a, name))
     at = F.array_position(close, F.lit(True))
-    return F.when((name != "") & (at > 0), F.element_at(_texts(groups.values()), at.cast("int")))
+    return F.when((name != "") & (at > 0), F.element_at(_texts(groups.values()), at.cast("int")).cast("int"))
 
 
 def _keys(norms: Column) -> Column:

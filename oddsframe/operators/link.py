@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from oddsframe.functions import text as T
+from oddsframe.functions.rows import spread_fields
 from oddsframe.functions.times import time_score
 
 CATALOG_ROWS = 200  # page size of the pool catalog
@@ -64,52 +65,84 @@ def link_key(df: DataFrame) -> Column:
     )
 
 
-def pair_scores(match: Column, catalog: Column) -> Column:
-    """Scored entries of a catalog array, as structs that order by (score, earliest entry)."""
-    timed = F.transform(
-        catalog,
-        lambda c: F.struct(
-            c.alias("c"),
-            time_score(F.abs(match["k"] - c["key"]["k"]), match["clock"]).alias("t"),
-            league_score(match["l"], c["key"]["l"]).alias("l"),
-            T.best_side_similarity(match["h"], c["key"]["h"]).alias("hh"),
-            T.best_side_similarity(match["a"], c["key"]["a"]).alias("aa"),
-            T.best_side_similarity(match["h"], c["key"]["a"]).alias("ha"),
-            T.best_side_similarity(match["a"], c["key"]["h"]).alias("ah"),
-        ),
+def _closeness(match: Column, c: Column) -> Column:
+    return F.struct(
+        time_score(F.abs(match["k"] - c["key"]["k"]), match["clock"]).alias("t"),
+        league_score(match["l"], c["key"]["l"]).alias("l"),
     )
-    sided = F.transform(
-        timed,
-        lambda p: F.struct(
-            p["c"]["id"].alias("id"),
-            p["c"]["ix"].alias("ix"),
-            p["t"].alias("t"),
-            p["l"].alias("l"),
-            ((p["hh"] + p["aa"]) / F.lit(2.0)).alias("direct"),
-            ((p["ha"] + p["ah"]) / F.lit(2.0)).alias("crossed"),
-            F.when(p["ha"] + p["ah"] > p["hh"] + p["aa"], p["ha"]).otherwise(p["hh"]).alias("home"),
-            F.when(p["ha"] + p["ah"] > p["hh"] + p["aa"], p["ah"]).otherwise(p["aa"]).alias("away"),
-        ),
+
+
+def _sides(match: Column, c: Column) -> Column:
+    """Similarity of both sides, straight and crossed; the first entries win."""
+    sims = F.struct(
+        T.best_side_similarity(match["h"], c["key"]["h"]).alias("hh"),
+        T.best_side_similarity(match["a"], c["key"]["a"]).alias("aa"),
+        T.best_side_similarity(match["h"], c["key"]["a"]).alias("ha"),
+        T.best_side_similarity(match["a"], c["key"]["h"]).alias("ah"),
     )
 
+    def choose(s):
+        crossed = s["ha"] + s["ah"] > s["hh"] + s["aa"]
+        return F.struct(
+            F.when(crossed, s["ha"]).otherwise(s["hh"]).alias("home"),
+            F.when(crossed, s["ah"]).otherwise(s["aa"]).alias("away"),
+            (F.greatest(s["hh"] + s["aa"], s["ha"] + s["ah"]) / F.lit(2.0)).alias("team"),
+            ((s["ha"] + s["ah"]) / F.lit(2.0) > (s["hh"] + s["aa"]) / F.lit(2.0)).alias("swapped"),
+        )
+
+    return T.let(sims, choose)
+
+
+def _total(team, near: Column) -> Column:
+    return _percent(team * F.lit(0.74) + near["t"] * F.lit(0.18) + near["l"] * F.lit(0.08))
+
+
+def _pair(match: Column, c: Column, near: Column) -> Column:
+    """Scores of one pair, as a struct that orders by (score, earliest entry)."""
     def final(p):
-        team = F.greatest(p["direct"], p["crossed"])
-        base = _percent(team * F.lit(0.74) + p["t"] * F.lit(0.18) + p["l"] * F.lit(0.08))
+        base = _total(p["team"], near)
         strong, weak = F.greatest(p["home"], p["away"]), F.least(p["home"], p["away"])
-        lifted = (p["t"] >= 0.98) & (p["l"] >= 0.92) & (strong >= 0.92) & (weak >= 0.28)
+        lifted = (near["t"] >= 0.98) & (near["l"] >= 0.92) & (strong >= 0.92) & (weak >= 0.28)
         return F.struct(
             F.when(lifted, F.greatest(base, F.lit(82))).otherwise(base).alias("score"),
-            (-p["ix"]).alias("neg_ix"),
-            p["id"].alias("matched_id"),
-            _percent(team).alias("team_score"),
-            _percent(p["t"]).alias("time_score"),
-            _percent(p["l"]).alias("league_score"),
+            (-c["ix"]).alias("neg_ix"),
+            c["id"].alias("matched_id"),
+            _percent(p["team"]).alias("team_score"),
+            _percent(near["t"]).alias("time_score"),
+            _percent(near["l"]).alias("league_score"),
             _percent(p["home"]).alias("home_score"),
             _percent(p["away"]).alias("away_score"),
-            (p["crossed"] > p["direct"]).alias("swapped"),
+            p["swapped"].alias("swapped"),
         )
 
-    return F.transform(sided, final)
+    return T.let(_sides(match, c), final)
+
+
+def pair_scores(match: Column, catalog: Column) -> Column:
+    """Scored entries of a catalog array."""
+    return F.transform(catalog, lambda c: T.let(_closeness(match, c), lambda near: _pair(match, c, near)))
+
+
+_PAIR = (
+    "struct<score: int, neg_ix: bigint, matched_id: {id}, team_score: int, time_score: int, league_score: int, "
+    "home_score: int, away_score: int, swapped: boolean>"
+)
+
+
+def best_pair(match: Column, catalog: Column, id_type: str) -> Column:
+    """The best entry of a catalog array; NULL if it is empty.
+
+    Kickoff and league bound the score from above, so the names of an entry that cannot reach
+    the best score so far are not compared.
+    """
+    def step(best, c):
+        def weigh(near):
+            out_of_reach = F.coalesce(best["score"], F.lit(-1)) > F.greatest(_total(F.lit(1.0), near), F.lit(82))
+            return F.when(out_of_reach, best).otherwise(F.greatest(best, _pair(match, c, near)))
+
+        return T.let(_closeness(match, c), weigh)
+
+    return F.aggregate(catalog, F.lit(None).cast(_PAIR.format(id=id_type)), step)
 
 
 def pack_catalog(rows: DataFrame, keys: list[str], entry: Column, rows_per_pack: int = CATALOG_ROWS) -> DataFrame:
@@ -139,13 +172,11 @@ def against_catalog(matches: DataFrame, packs: DataFrame, keys: list[str]) -> Da
     return salted.repartition(parts, *by).join(copies.drop("_salts").repartition(parts, *by), by).drop("_salt")
 
 
-def _scored(matches: DataFrame, pool_matches: DataFrame, keys: list[str], keep=None) -> DataFrame:
+def _met(matches: DataFrame, pool_matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Matches (key struct `_m`) next to the catalog packs of their snapshot."""
     entry = F.struct(F.col("id"), F.col("source_index").cast("long").alias("ix"), link_key(pool_matches).alias("key"))
     packs = pack_catalog(pool_matches, keys, entry)
-    left = matches.select(*keys, "match_id", link_key(matches).alias("_m"))
-    met = against_catalog(left, packs, keys)
-    catalog = F.filter("catalog", lambda c: keep(F.col("_m"), c)) if keep else F.col("catalog")
-    return met.select(*keys, "match_id", pair_scores(F.col("_m"), catalog).alias("pairs"))
+    return against_catalog(matches.select(*keys, "match_id", link_key(matches).alias("_m")), packs, keys)
 
 
 _DETAIL = ["team_score", "time_score", "league_score", "home_score", "away_score", "swapped"]
@@ -163,7 +194,8 @@ def link_matches(
     matches: match_id, names, league, kickoff_min; pool_matches: id, source_index and the same.
     """
     keys = list(keys)
-    best = _scored(matches, pool_matches, keys).select(*keys, "match_id", F.array_max("pairs").alias("b"))
+    kind = pool_matches.schema["id"].dataType.simpleString()
+    best = _met(matches, pool_matches, keys).select(*keys, "match_id", best_pair(F.col("_m"), F.col("catalog"), kind).alias("b"))
     best = best.groupBy(*keys, "match_id").agg(F.max("b").alias("b"))
     out = matches.select(*keys, "match_id").join(best, [*keys, "match_id"], "left")
     score = F.coalesce("b.score", F.lit(0))
@@ -183,9 +215,13 @@ def gated_pool_match(matches: DataFrame, catalog: DataFrame, keys: tuple[str, ..
     Only qualifying entries leave the scoring row, and two of them per match go on.
     """
     keys = list(keys)
-    near = lambda m, c: time_score(F.abs(m["k"] - c["key"]["k"]), m["clock"]) >= 0.8
-    rows = _scored(matches, catalog, keys, near).select(*keys, "match_id", F.inline("pairs"))
-    good = rows.where("not swapped and home_score >= 75 and away_score >= 75 and time_score >= 80 and score >= 85")
+    m = F.col("_m")
+    in_time = F.filter("catalog", lambda c: time_score(F.abs(m["k"] - c["key"]["k"]), m["clock"]) >= 0.8)
+    passed = F.filter(
+        pair_scores(m, in_time),
+        lambda p: ~p["swapped"] & (p["home_score"] >= 75) & (p["away_score"] >= 75) & (p["time_score"] >= 80) & (p["score"] >= 85),
+    )
+    good = spread_fields(_met(matches, catalog, keys), [*keys, "match_id"], passed)
     order = W.partitionBy(*keys, "match_id").orderBy(F.desc("score"), F.desc("neg_ix"))
     top = good.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
     per = top.groupBy(*keys, "match_id").agg(
