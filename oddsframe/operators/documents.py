@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from oddsframe import dims
 from oddsframe.functions.odds import section_key
 from oddsframe.functions.text import text, token_estimate
+from oddsframe.operators.quotes import pick_first
 
 MAX_ROWS = 800  # row budget of one payload
 MISSING = "未指定"  # marker for a missing value in rendered documents
@@ -116,9 +117,12 @@ def pool_chunks(hits: DataFrame, payload: list[str], order: list[str], max_rows:
 def squad(players: DataFrame) -> DataFrame:
     """Line-up players of each match once per name, the last line-up entry winning, and the probable elevens.
 
-    players: match_id, team_pos, team, role, pos, name, number, position, formation, coach.  A
-    match has at most four line-ups of 23 players, which the line-up parser guarantees.
+    players: match_id, team_pos, team, role, pos, name, number, position, formation, coach.  The
+    report holds four line-ups of eleven starters and twelve substitutes; repeated captures of a
+    slot merge first, so a match collects at most that many rows.
     """
+    slots = (F.col("team_pos") < 4) & (F.col("pos") < F.when(F.col("role") == "start", 11).otherwise(12))
+    players = pick_first(players.where(slots), ["match_id", "team_pos", "role", "pos"], [F.col("name")])
     at = F.struct("team_pos", F.col("role") == "substitute", "pos")
     named = players.where(F.coalesce("name", F.lit("")) != "")
     unique = named.groupBy("match_id", "name").agg(F.min(at).alias("_at"), F.max_by(F.struct("team", "position"), at).alias("_p"))

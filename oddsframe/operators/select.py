@@ -229,7 +229,7 @@ def retry_issues(sections: DataFrame) -> DataFrame:
     Input: one row per (match, section) with ok, match_error, error and missing_labels (array).
     The pool operator never counts as missing.
     """
-    ignored = "hkjc|hk jockey|香港賽馬會|香港赛马会|香港馬|香港马"
+    ignored = "hk jockey|香港賽馬會|香港赛马会|香港馬|香港马"
     missing = F.filter(
         F.coalesce("missing_labels", F.array().cast("array<string>")), lambda m: ~F.lower(m).rlike(ignored)
     )

@@ -80,14 +80,14 @@ def chunks(spark, sf):
 
 @query(
     "a18_pool_chunks",
-    f"{POOL}, {_VARIED}, {_PRICE.format('varied')}, p as (select *, cast(match_id as bigint) // 100 payload_id, case when cast(match_id as bigint) % 2 = 0 then front_end_id else match_id end chunk_id from price),"
+    f"{POOL}, {_VARIED}, {_PRICE.format('varied')}, p as (select *, cast(match_id as bigint) // 50 payload_id, case when cast(match_id as bigint) % 2 = 0 then front_end_id else match_id end chunk_id from price qualify row_number() over (partition by cast(match_id as bigint) // 50 order by cast(match_id as bigint), pool, line_id, \"rule\", selection) <= 100),"
     " g as (select payload_id, chunk_id, count(*) n_rows, min(cast(match_id as bigint)) m from p group by all) select payload_id, chunk_id, n_rows, row_number() over (partition by payload_id order by m) chunk_index, count(*) over (partition by payload_id) chunk_total from g",
 )
 def pool_chunks(spark, sf):
     number = F.col("match_id").cast("long")
-    hits = P.scan_price_rules(varied(spark, sf)).withColumns({"number": number, "payload_id": F.floor(number / 100)})
+    hits = P.scan_price_rules(varied(spark, sf)).withColumns({"number": number, "payload_id": F.floor(number / 50)})
     hits = hits.withColumn("front_end_id", F.when(number % 2 == 0, F.col("front_end_id")))
-    out = D.pool_chunks(hits, ["payload_id"], ["number", "pool", "line_id", "rule", "selection"], 5000)
+    out = D.pool_chunks(hits, ["payload_id"], ["number", "pool", "line_id", "rule", "selection"], 100)
     return out.select("payload_id", "chunk_id", F.size("rows").alias("n_rows"), "chunk_index", "chunk_total")
 
 

@@ -20,6 +20,8 @@ def build_session(app: str = "oddsframe", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "Asia/Hong_Kong")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # large column expressions: do not record a Python call site for every node
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = (
