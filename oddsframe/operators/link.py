@@ -148,16 +148,24 @@ def best_pair(match: Column, catalog: Column, id_type: str) -> Column:
 def pack_catalog(rows: DataFrame, keys: list[str], entry: Column, rows_per_pack: int = CATALOG_ROWS) -> DataFrame:
     """Catalog entries of each key in arrays of about `rows_per_pack`; a large key gets many arrays.
 
-    The spread is a hash of the entry id, so no window or single task sees a whole key.
+    The spread is a hash of the entry id, so no window or single task sees a whole key.  Raw rows
+    are shuffled and the comparison keys are worked out behind the shuffle, in the partition
+    that packs them.
     """
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_pack).alias("_packs"))
-    entries = rows.select(*keys, entry.alias("_e")).join(sizes, keys)
-    pack = F.pmod(F.xxhash64(F.col("_e.id")), F.col("_packs"))
-    return entries.groupBy(*keys, pack.alias("_pack")).agg(F.collect_list("_e").alias("catalog"))
+    spread = rows.join(sizes, keys).withColumn("_pack", F.pmod(F.xxhash64("id"), F.col("_packs"))).drop("_packs")
+    entries = spread.repartition(_parts(rows), *keys, "_pack").select(*keys, "_pack", entry.alias("_e"))
+    return entries.groupBy(*keys, "_pack").agg(F.collect_list("_e").alias("catalog"))
 
 
-def against_catalog(matches: DataFrame, packs: DataFrame, keys: list[str]) -> DataFrame:
-    """Matches next to each pack of their key.
+def _parts(df: DataFrame) -> int:
+    """Partitions of the scoring steps.  Scoring costs far more than its input bytes suggest, and a
+    set count keeps AQE from merging these partitions by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def against_catalog(matches: DataFrame, packs: DataFrame, keys: list[str], derived: dict[str, Column]) -> DataFrame:
+    """Matches, with the `derived` columns, next to each pack of their key.
 
     A key with many matches is cut into salts of about `MATCHES_PER_SALT`, and only that key's
     packs are copied per salt.
@@ -166,17 +174,16 @@ def against_catalog(matches: DataFrame, packs: DataFrame, keys: list[str]) -> Da
     sizes = matches.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / MATCHES_PER_SALT).alias("_salts"))
     salted = matches.join(sizes, keys).withColumn("_salt", F.pmod(F.xxhash64("match_id"), F.col("_salts"))).drop("_salts")
     copies = packs.join(sizes, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
-    # Scoring costs far more than its input bytes suggest: a set partition count keeps AQE from
-    # merging these partitions by size.
-    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return salted.repartition(parts, *by).join(copies.drop("_salts").repartition(parts, *by), by).drop("_salt")
+    parts = _parts(matches)
+    left = salted.repartition(parts, *by).select(*by, "match_id", *[c.alias(n) for n, c in derived.items()])
+    return left.join(copies.drop("_salts").repartition(parts, *by), by).drop("_salt")
 
 
 def _met(matches: DataFrame, pool_matches: DataFrame, keys: list[str]) -> DataFrame:
     """Matches (key struct `_m`) next to the catalog packs of their snapshot."""
     entry = F.struct(F.col("id"), F.col("source_index").cast("long").alias("ix"), link_key(pool_matches).alias("key"))
     packs = pack_catalog(pool_matches, keys, entry)
-    return against_catalog(matches.select(*keys, "match_id", link_key(matches).alias("_m")), packs, keys)
+    return against_catalog(matches, packs, keys, {"_m": link_key(matches)})
 
 
 _DETAIL = ["team_score", "time_score", "league_score", "home_score", "away_score", "swapped"]
@@ -249,11 +256,11 @@ def link_fixtures(matches: DataFrame, fixtures: DataFrame, threshold: float = 0.
         T.fixture_name_key(F.col("home")).alias("h"),
         T.fixture_name_key(F.col("away")).alias("a"),
     )
-    packs = pack_catalog(fixtures, keys, entry, 500)
-    left = matches.select(
-        *keys, "match_id", _fixture_names(matches, ["home", "home_s", "home_t"]).alias("_h"),
-        _fixture_names(matches, ["away", "away_s", "away_t"]).alias("_a"),
-    )
+    packs = pack_catalog(fixtures.withColumn("id", F.col("fixture_id")), keys, entry, 500)
+    names = {
+        "_h": _fixture_names(matches, ["home", "home_s", "home_t"]),
+        "_a": _fixture_names(matches, ["away", "away_s", "away_t"]),
+    }
     sided = F.transform(
         "catalog",
         lambda c: F.struct(
@@ -272,6 +279,6 @@ def link_fixtures(matches: DataFrame, fixtures: DataFrame, threshold: float = 0.
             (p["crossed"] > p["direct"]).alias("reversed"),
         ),
     )
-    best = against_catalog(left, packs, keys).select(*keys, "match_id", F.array_max(scored).alias("b"))
+    best = against_catalog(matches, packs, keys, names).select(*keys, "match_id", F.array_max(scored).alias("b"))
     best = best.groupBy(*keys, "match_id").agg(F.max("b").alias("b"))
     return best.where(F.col("b.score") >= threshold).select(*keys, "match_id", "b.score", "b.fixture_id", "b.reversed")
