@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from oddsframe import dims
 from oddsframe.functions import odds as X
+from oddsframe.functions.rows import spread_fields
 from oddsframe.operators.quotes import pick_first
 from oddsframe.operators.select import pool_window, pool_window_or_inplay
 
@@ -29,10 +30,10 @@ def _opt(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(_TYPES.get(name, "string"))
 
 
-def _hits(df: DataFrame) -> DataFrame:
+def _hits(df: DataFrame, *extra: str) -> DataFrame:
     """Common hit layout."""
     out = df.withColumn("source_page", X.source_page(F.col("pool")))
-    return out.select(*[_opt(out, c).cast(_TYPES.get(c, "string")).alias(c) for c in HIT_COLUMNS])
+    return out.select(*[_opt(out, c).cast(_TYPES.get(c, "string")).alias(c) for c in HIT_COLUMNS], *extra)
 
 
 def _carry(df: DataFrame) -> list[Column]:
@@ -240,22 +241,99 @@ def first_pool_candidates(catalog: DataFrame) -> DataFrame:
     return rows.where(F.array_contains(on_sale, F.col("target_pool"))).dropDuplicates(["match_id", "source", "target_pool"])
 
 
+_HIT = ["rule", "rule_label", "line", "selection", "odds", "total_goals", "score_count", "source"]
+
+
+def _line_hits(entries: Column) -> Column:
+    """Hits inside one pool line, from its distinct (total, score, price) entries."""
+    pool = F.col("pool")
+
+    def hit(rule, label, line, selection, odds, total, count):
+        source = F.when(pool == "FCS", F.lit("fcs")).otherwise(F.lit("crs"))
+        values = [rule, label, line, selection, odds, total.cast("int"), count.cast("int"), source]
+        return F.struct(*[v.alias(n) for v, n in zip(values, _HIT)])
+
+    def same_total(group):
+        fits = F.filter(entries, lambda e: (e["total"] == group["total"]) & (e["o"] == group["o"]))
+        ordered = F.array_sort(F.transform(fits, lambda e: F.struct(e["first"], e["score"])))
+        total = group["total"].cast("string")
+        return hit(
+            F.concat(F.lit("CRS_SAME_TOTAL_"), total, F.lit("_ODDS_"), group["o"]),
+            F.concat(F.lit("全場波膽：同總入球 "), total, F.lit(" 同賠率")),
+            F.concat(F.lit("總入球 "), total),
+            F.array_join(F.transform(ordered, lambda x: x["score"]), " / "),
+            group["o"], group["total"], F.size(ordered),
+        )
+
+    groups = F.array_distinct(F.transform(entries, lambda e: F.struct(e["total"].alias("total"), e["o"].alias("o"))))
+    totals = F.when(pool == "CRS", F.filter(F.transform(groups, same_total), lambda h: h["score_count"] >= 2))
+
+    def last_price(label):
+        prices = F.transform(F.filter(entries, lambda e: e["score"] == label), lambda e: F.struct(e["last"], e["o"].alias("o")))
+        return F.array_max(prices)["o"]
+
+    found = []
+    for other, side in (("1:0", "home"), ("0:1", "away")):
+        zero = last_price("0:0")
+        cond = (pool == "FCS") & (zero == last_price(other))
+        rule = F.concat(F.lit(f"FCS_{side}_SAME_ODDS_00_{other.replace(':', '')}_"), zero)
+        found.append(F.when(cond, hit(rule, F.lit(f"半場波膽：{other} 與 0:0 同賠率"), F.lit("半場波膽"), F.lit(f"0:0 / {other}"), zero, F.lit(1), F.lit(2))))
+    prefix = F.when(pool == "FCS", F.lit("半場波膽同賠率")).otherwise(F.lit("全場波膽同賠率"))
+    for a, b in dims.SCORE_PAIRS:
+        price = last_price(a)
+        rule = F.concat(pool, F.lit(f"_PAIR_{a.replace(':', '')}_{b.replace(':', '')}_ODDS_"), price)
+        found.append(F.when(price == last_price(b), hit(rule, F.concat(prefix, F.lit(f"：{a} / {b}")), prefix, F.lit(f"{a} / {b}"), price, F.lit(None), F.lit(2))))
+    pairs = F.filter(F.array(*found), lambda h: h.isNotNull())
+    return F.concat(F.coalesce(totals, F.slice(pairs, 1, 0)), pairs)
+
+
+def _cross_entries(entries: Column) -> Column:
+    """Each (score, price) of a line as half of a possible full-time / half-time hit."""
+    def entry(e):
+        digits = F.replace(e["score"], F.lit(":"), F.lit(""))
+        values = [
+            F.concat(F.lit("CRS_FCS_SAME_SCORE_"), digits, F.lit("_ODDS_"), e["o"]), F.lit("全場/半場波膽同比分同賠率"),
+            F.concat(F.lit("比分 "), e["score"], F.lit("：全場 vs 半場")),
+            F.concat(F.lit("全場 "), e["score"], F.lit(" | 半場 "), e["score"]), e["o"], e["total"].cast("int"), F.lit(2), F.lit("crs_fcs"),
+        ]
+        return F.struct(*[v.alias(n) for v, n in zip(values, _HIT)])
+
+    return F.transform(entries, entry)
+
+
 def scan_equal_scores(sel: DataFrame, now: Column, hours: int = 24, order=_ORDER) -> DataFrame:
     """All equal-price score scans inside the window (or in play), deduped, with their source.
 
-    The windowed selections feed four scans; each is one grouping over the same columns, so the
-    scan of the source is the only repeated work and a file source is read with pruned columns.
+    The selections are read once.  They merge to distinct (line, score, price) entries, a line's
+    entries meet in one row for the scans inside a line, and the last grouping both joins the
+    full-time and half-time entries and removes repeated hits.
     """
     rows = pool_window_or_inplay(sel, now, hours)
     if "source" in rows.columns:
         rows = prefer_pool_source(rows)
-    source = lambda df, s: df.withColumn("source", s)
-    own = F.when(F.col("pool") == "FCS", F.lit("fcs")).otherwise(F.lit("crs"))
-    parts = [equal_odds_by_total(rows, order), half_score_pairs(rows, order), score_pairs(rows, order=order)]
-    out = source(full_half_equal_scores(rows), F.lit("crs_fcs"))
-    for part in parts:
-        out = out.unionByName(source(part, own))
-    return dedupe_hits(out)
+    rows = correct_scores(rows)
+    at = F.struct(*order)
+    entries = rows.groupBy("match_id", "pool", "line_id", "total", "score", "_o").agg(
+        *_carry(rows), F.min(at).alias("first"), F.max(at).alias("last")
+    )
+    # a line has at most one entry per score and price
+    lines = entries.groupBy("match_id", "pool", "line_id").agg(
+        *_carry(entries), F.collect_list(F.struct("total", "score", F.col("_o").alias("o"), "first", "last")).alias("_l")
+    )
+    both = F.concat(_line_hits(F.col("_l")), _cross_entries(F.col("_l")))
+    found = spread_fields(lines, ["match_id", "front_end_id", "kickoff_ts", "pool", "line_id"], both)
+    cross = F.col("source") == "crs_fcs"
+    side = lambda p: F.max(F.when(cross, F.col("pool") == p).otherwise(F.lit(True)))
+    own = {"hit_pool": F.when(cross, F.lit("CRS/FCS")).otherwise(F.col("pool")), "own_line": F.when(~cross, F.col("line_id"))}
+    keys = ["match_id", "hit_pool", "own_line", *_HIT]
+    merged = found.withColumns(own).groupBy(*keys).agg(
+        F.max("front_end_id").alias("front_end_id"), F.max("kickoff_ts").alias("kickoff_ts"), side("CRS").alias("_full"), side("FCS").alias("_half"),
+        F.array_sort(F.collect_set(F.nullif(F.col("line_id"), F.lit("")))).alias("_lines"),
+    ).where("_full and _half")
+    out = merged.withColumns({"pool": F.col("hit_pool"), "line_id": F.coalesce("own_line", F.array_join("_lines", " / "))})
+    page = F.when(F.col("pool") == "CRS/FCS", F.lit("crs")).otherwise(F.col("source_page"))
+    hits = _hits(out, "source").withColumn("source_page", page)
+    return hits
 
 
 def pool_quotes(sel: DataFrame) -> DataFrame:

@@ -37,6 +37,13 @@ def allowed_list(spark, sf):
     return S.filter_allowed_leagues(rows, ["日職聯"]).select("match_id", "league")
 
 
+@query("f3_league_names_expanded", f"{M} select league, count(*) n_matches from m where league in ('英超附加賽', '世界杯外围赛') group by league")
+def spellings(spark, sf):
+    """Accepted spellings that occur in the match list, as written."""
+    names = S.league_names_expanded(spark).withColumnRenamed("league_name", "league")
+    return matches(spark, sf).join(F.broadcast(names), "league").groupBy("league").agg(F.count(F.lit(1)).alias("n_matches"))
+
+
 @query("f4_search_league", f"{M} select match_id, league from m where league in ('世界杯外围赛')")
 def searched(spark, sf):
     return S.search_league(matches(spark, sf), "世盃外").select("match_id", "league")

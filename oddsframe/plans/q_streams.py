@@ -13,7 +13,7 @@ from oddsframe.plans.fx import ctes, fx, table
 from oddsframe.plans.q_select import BATCH
 from oddsframe.plans.registry import query
 from oddsframe.session import checkpoint_root
-from oddsframe.sources import sinks
+from oddsframe.sources import pages, sinks
 from oddsframe.streaming import streams as T
 
 
@@ -81,11 +81,14 @@ def progress(spark, sf):
     return T.progress(_drained(spark, T.stream_progress(results), "progress", ["match_id"]))
 
 
-@query(
-    "t2_stream_cache_upsert",
+_UPSERT = (
     f"with {ctes('fx_cache')}, l as (select match_id, saved_at, result, saved_at + to_hours(20000) expires_at from fx_cache qualify row_number() over (partition by match_id order by saved_at desc, source_index desc) = 1)"
-    " select * from l where expires_at > timestamp '1999-01-01 00:00:00'",
+    " select * from l where expires_at > timestamp '1999-01-01 00:00:00'"
 )
+
+
+@query("k3_upsert_extract_cache", _UPSERT)
+@query("t2_stream_cache_upsert", _UPSERT)
 def cache(spark, sf):
     o = _stream(spark, sf, "orders")
     results = o.select(
@@ -99,6 +102,26 @@ def cache(spark, sf):
     return live.select("match_id", "saved_at", "result", "expires_at")
 
 
+@query(
+    "s1_read_raw_pages",
+    "select page_id, url, 200 status_code, md5(html) body_hash from pages",
+)
+def raw_pages(spark, sf):
+    """Captures landed in the raw-page layout and read back as a stream of files, drained once."""
+    src = table(spark, sf, "pages")
+    path = _folder(spark, "pages")
+    landed = src.select(
+        F.lit("site").alias("source"), F.col("page_id").cast("string").alias("match_id"), F.lit("").alias("market"), F.lit("").alias("period"),
+        "url", F.lit("2026-04-19 10:00:00").cast("timestamp").alias("fetched_at"), F.lit(200).alias("status_code"),
+        F.lit("text/html; charset=utf-8").alias("content_type"), F.lit(False).alias("incomplete"), F.encode("html", "UTF-8").alias("body"),
+    )
+    landed.write.parquet(f"{path}/in")
+    text = pages.decode_pages(pages.read_raw_pages(spark, f"{path}/in", streaming=True))
+    rows = text.select(F.col("match_id").cast("long").alias("page_id"), "url", "status_code", F.md5("text").alias("body_hash"))
+    T.write_changes(rows, f"{path}/data", f"{path}/state", mode="append").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/data").select(*rows.columns)
+
+
 _EXPORT = f"with {ctes('fx_quotes', 'fx_matches')} select k.match_id \"matchId\", league, home, market, company_id \"companyId\", case when market <> 'europe' then case when is_closed then '1' else '0' end else '' end \"isClosed\" from fx_quotes k join fx_matches m on m.match_id = k.match_id"
 _EXPORTED = ["matchId", "league", "home", "market", "companyId", "isClosed"]
 
