@@ -99,8 +99,10 @@ def scan_special_odds(sel: DataFrame, now: Column, hours: int = 24, order=_ORDER
 
 def scan_summary(sel: DataFrame, hits: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """Scanned matches and hits."""
-    scanned = pool_window(sel, now, hours).agg(F.count_distinct("match_id").alias("scanned_matches"))
-    return scanned.crossJoin(hits.agg(F.count(F.lit(1)).alias("hit_count")))  # one row each
+    zero = F.lit(0).cast("long")
+    scanned = pool_window(sel, now, hours).agg(F.count_distinct("match_id").alias("scanned_matches")).withColumn("hit_count", zero)
+    found = hits.agg(F.count(F.lit(1)).alias("hit_count")).withColumn("scanned_matches", zero)
+    return scanned.unionByName(found).agg(*[F.max(c).alias(c) for c in ("scanned_matches", "hit_count")])
 
 
 def correct_scores(sel: DataFrame) -> DataFrame:

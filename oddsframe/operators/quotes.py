@@ -153,10 +153,6 @@ def carry_forward(df: DataFrame, col: str, keys: list[str], block: Column, order
         W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     )
     carried = per_block.select(*keys, "_b", before.alias("_before"))
-    same = [rows[k].eqNullSafe(carried[k]) for k in [*keys, "_b"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
     joined = rows.withColumn("_in", inside).alias("r").join(
         carried.alias("c"), [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_b"]], "left"
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from oddsframe import dims
 from oddsframe.operators import quotes as Q
 from oddsframe.plans.fx import ctes, fx
 from oddsframe.plans.registry import query
-from oddsframe.plans.sqltext import KEYED, MAIN, RANKS, ROW_ORDER, TARGETS, values
-from oddsframe import dims
+from oddsframe.plans.sqltext import KEYED, MAIN, ROW_ORDER, TARGETS, values
 
 ORDER = ("changed_at", "tie_break", "company_id", "ini_a", "cur_a")
 QUOTES = f"with {ctes('fx_quotes')}, {KEYED}"
@@ -38,9 +38,7 @@ def identify(spark, sf):
     order by changed_at desc, tie_break desc, ini_a desc) = 1""",
 )
 def latest(spark, sf):
-    rows = quotes(spark, sf).where("market = 'europe'")
-    rows = rows.withColumn("source_index", F.struct("tie_break", "ini_a")).withColumn("bookmaker_key", F.lit(""))
-    out = Q.latest_quote(rows.withColumn("changed_at", F.col("changed_at")), index="tie_break")
+    out = Q.latest_quote(quotes(spark, sf).where("market = 'europe'"), index="tie_break")
     return out.select("match_id", "company_id", "changed_at", "tie_break", "cur_a", "ini_a")
 
 

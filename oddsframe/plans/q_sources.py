@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddsframe.functions import text as T
-from oddsframe.functions.odds import round_n
 from oddsframe.plans.fx import ctes, fx, table
 from oddsframe.plans.registry import query
 from oddsframe.sources import crowd, feeds, pages, scripts, tables

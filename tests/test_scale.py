@@ -1,12 +1,13 @@
 """Hot keys against brute force, row-order independence, and plan shapes."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from oddsframe.operators import link, quotes, select
+from oddsframe.operators import features, link, pools, quotes, select
 from oddsframe.operators.ordered import previous_row
 from oddsframe.plans import load_all
 from oddsframe.plans.registry import QUERIES
@@ -59,6 +60,41 @@ def test_latest_and_main_line_do_not_depend_on_row_order(rows):
     assert results[0] == results[1]
 
 
+def test_features_of_a_hot_match(rows):
+    rnd = random.Random(11)
+    data = [("hot" if i % 5 < 2 else f"m{rnd.randrange(30)}", "asian", "full", rnd.choice("pqrs"), rnd.random() < 0.2, False, rnd.randrange(70, 110) / 100,
+             None, rnd.choice([None, 0.81, 0.9, 1.0]), rnd.randrange(-8, 9) / 4, 0.9, None, 0.9, 0.0) for i in range(4000)]
+    schema = "match_id string, market string, period string, bookmaker string, is_multi_line boolean, is_closed boolean, " + ", ".join(
+        f"{w}_{c} double" for w in ("cur", "ini") for c in ("a", "draw", "b", "line")
+    )
+    got = {r.match_id: r for r in features.asian_features(rows(data, schema)).collect()}
+    for match in ("hot", "m3"):
+        mine = [d for d in data if d[0] == match]
+        a, b, line = [d[6] for d in mine], [d[8] for d in mine if d[8] is not None], [d[9] for d in mine]
+        r = got[match]
+        assert (r.rows, r.bookmaker_count, r.multi_line) == (len(mine), len({d[3] for d in mine}), sum(d[4] for d in mine))
+        assert r.line_median == pytest.approx(statistics.median(line), abs=1e-3)
+        assert r.home_odds_avg == pytest.approx(statistics.mean(a), abs=6e-4)
+        spread = (statistics.pstdev(a) + statistics.pstdev(b) + statistics.pstdev(line)) / 3
+        assert r.disagreement == pytest.approx(spread, abs=6e-5)
+        assert r.low_water == sum(d[6] <= 0.82 or (d[8] or 0) <= 0.82 for d in mine)
+
+
+def test_one_pass_score_scan_equals_the_single_scans(rows):
+    rnd = random.Random(13)
+    data = [("hot" if i % 3 == 0 else str(i % 25), f"FB{i % 3}", rnd.choice(["CRS", "FCS"]), str(rnd.randrange(2)), f"0{rnd.randrange(3)}0{rnd.randrange(3)}",
+             f"{rnd.randrange(10, 34) / 2:.2f}", i) for i in range(2500)]
+    df = rows(data, "match_id string, front_end_id string, pool string, line_id string, sel string, odds string, sel_index long")
+    df = df.withColumn("kickoff_ts", F.lit("2026-05-01 20:00:00").cast("timestamp_ntz"))
+    single = pools.full_half_equal_scores(df)
+    for part in (pools.equal_odds_by_total(df), pools.half_score_pairs(df), pools.score_pairs(df)):
+        single = single.unionByName(part)
+    cols = ["match_id", "kickoff_ts", "pool", "rule", "rule_label", "line_id", "line", "selection", "odds", "total_goals", "score_count", "source_page"]
+    got = pools.scan_equal_scores(df, F.lit("2026-05-01 18:00:00"))
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, single.select(*cols).distinct().collect()))
+    assert got.where("match_id = 'hot'").count() > 0
+
+
 def test_link_packs_give_the_same_best(rows, monkeypatch):
     """A catalog larger than one pack and a snapshot cut into salts change nothing."""
     rnd = random.Random(5)
