@@ -12,6 +12,7 @@ from oddsframe.operators import quotes as Q
 from oddsframe.plans.fx import ctes, fx, table
 from oddsframe.plans.q_select import BATCH
 from oddsframe.plans.registry import query
+from oddsframe.plans.sqltext import KEYED
 from oddsframe.session import checkpoint_root
 from oddsframe.sources import pages, sinks
 from oddsframe.streaming import streams as T
@@ -139,6 +140,18 @@ def csv(spark, sf):
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _EXPORTED])
 
 
+@query(
+    "f13_compact_rows",
+    f"""with {ctes('fx_quotes', 'fx_matches')}, {KEYED} select k.match_id "matchId", market, company_id "companyId", 8 + case when bookmaker_key is null then 0 else 2 end + case when cur_b is null then 0 else 1 end
+    + case when market = 'europe' then 6 else 9 end n_keys, count(*) n_rows from keyed k join fx_matches m on m.match_id = k.match_id group by all""",
+)
+def compact_rows(spark, sf):
+    named = Q.identify_bookmaker(fx(spark, sf, "fx_quotes"))
+    out = sinks.compact_rows(Q.flatten_quotes(named, fx(spark, sf, "fx_matches")))
+    keys = F.size(F.json_object_keys("compact_json")).alias("n_keys")
+    return out.groupBy("matchId", "market", "companyId", keys).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("k2_write_jsonl", _EXPORT)
 def jsonl(spark, sf):
     path = _folder(spark, "jsonl")

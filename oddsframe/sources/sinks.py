@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe.operators.quotes import FLAT_COLUMNS
@@ -31,16 +31,33 @@ HEADERS = {"flat": FLAT_COLUMNS, "pool": POOL_HEADERS, "probability": PROBABILIT
 _OTHER_NAMES = {"kickOffTime": "kickoff_ts", "kickoffTime": "kickoff_raw", "combinationStatus": "comb_status"}
 
 
+# Columns kept for a model's input: the export headers less a few, plus the raw pool match id.
+COMPACT = {
+    "flat": FLAT_COLUMNS,
+    "pool": [h for name in POOL_HEADERS if name != "tournamentCode" for h in ([name, "rawMatchId"] if name == "matchId" else [name])],
+    "probability": [h for h in PROBABILITY_HEADERS if h not in ("companyId", "sourceLabel")],
+    "crowd": CROWD_HEADERS,
+}
+
+
+def _column(df: DataFrame, header: str) -> Column:
+    """The table column behind an export header, as text."""
+    snake = re.sub(r"(?<!^)([A-Z])", r"_\1", header).lower()
+    for name in (header, snake, _OTHER_NAMES.get(header)):
+        if name in df.columns:
+            return F.col(name).cast("string")
+    return F.lit(None).cast("string")
+
+
 def export_columns(df: DataFrame, kind: str) -> DataFrame:
     """The header set of a kind as text columns, '' where a value is missing."""
-    def pick(header):
-        snake = re.sub(r"(?<!^)([A-Z])", r"_\1", header).lower()
-        for name in (header, snake, _OTHER_NAMES.get(header)):
-            if name in df.columns:
-                return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(header)
-        return F.lit("").alias(header)
-
-    return df.select(*[pick(h) for h in HEADERS[kind]])
+    return df.select(*[F.coalesce(_column(df, h), F.lit("")).alias(h) for h in HEADERS[kind]])
+
+
+def compact_rows(df: DataFrame, kind: str = "flat") -> DataFrame:
+    """The model-input columns of a kind, and each row as JSON without its empty values."""
+    rows = df.select(*[F.nullif(_column(df, h), F.lit("")).alias(h) for h in COMPACT[kind]])
+    return rows.withColumn("compact_json", F.to_json(F.struct(*COMPACT[kind])))
 
 
 def write_csv(df: DataFrame, path: str, kind: str = "flat") -> None:

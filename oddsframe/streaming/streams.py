@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from oddsframe.functions.text import text
 from oddsframe.operators.cache import TTL_HOURS, latest_results
@@ -40,9 +41,13 @@ def write_changes(changes: DataFrame, path: str, checkpoint: str, once: bool = T
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
+def _with_batch(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("batch_id", LongType())])
+
+
 def read_changes(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
     """Current row per key: the one of its latest batch."""
-    log = spark.read.schema(schema.add("batch_id", "long")).parquet(path)
+    log = spark.read.schema(_with_batch(schema)).parquet(path)
     return pick_last(log, keys, [F.col("batch_id")]).drop("batch_id")
 
 
@@ -111,6 +116,6 @@ def stream_cache_upsert(results: DataFrame, path: str, checkpoint: str, ttl_hour
 
 def read_cache(spark: SparkSession, path: str, schema, now: Column) -> DataFrame:
     """Live entry per match from the upsert log."""
-    log = spark.read.schema(schema.add("batch_id", "long")).parquet(path)
+    log = spark.read.schema(_with_batch(schema)).parquet(path)
     live = log.where(F.col("expires_at") > now.cast("timestamp_ntz"))
     return pick_last(live, ["match_id"], [F.col("saved_at"), F.col("source_index")]).drop("batch_id")
