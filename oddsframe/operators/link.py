@@ -223,9 +223,15 @@ def gated_pool_match(matches: DataFrame, catalog: DataFrame, keys: tuple[str, ..
     """
     keys = list(keys)
     m = F.col("_m")
-    in_time = F.filter("catalog", lambda c: time_score(F.abs(m["k"] - c["key"]["k"]), m["clock"]) >= 0.8)
+    # both straight sides must round to 75, so entries below that are not scored in full
+    likely = F.filter(
+        "catalog",
+        lambda c: (time_score(F.abs(m["k"] - c["key"]["k"]), m["clock"]) >= 0.8)
+        & (T.best_side_similarity(m["h"], c["key"]["h"]) >= 0.7449)
+        & (T.best_side_similarity(m["a"], c["key"]["a"]) >= 0.7449),
+    )
     passed = F.filter(
-        pair_scores(m, in_time),
+        pair_scores(m, likely),
         lambda p: ~p["swapped"] & (p["home_score"] >= 75) & (p["away_score"] >= 75) & (p["time_score"] >= 80) & (p["score"] >= 85),
     )
     good = spread_fields(_met(matches, catalog, keys), [*keys, "match_id"], passed)

@@ -96,9 +96,13 @@ def _triplet(cells: Column) -> Column:
 
 
 def _quote(row: Column) -> Column:
-    cells = row["cells"]
-    kind = lambda name: F.filter(cells, lambda c: F.lower(c["oddstype"]) == name)
-    whole, last = kind("wholeodds"), kind("wholelastodds")
+    """Quote of a row; each group of price cells is picked once."""
+    kind = lambda name: F.filter(row["cells"], lambda c: F.lower(c["oddstype"]) == name)
+    marked = F.struct(kind("wholeodds").alias("whole"), kind("wholelastodds").alias("last"))
+    return let(marked, lambda m: _quote_of(row, row["cells"], m["whole"], m["last"]))
+
+
+def _quote_of(row: Column, cells: Column, whole: Column, last: Column) -> Column:
     name = cells[1]["text"]
     return F.struct(
         F.coalesce(
@@ -108,9 +112,9 @@ def _quote(row: Column) -> Column:
         F.contains(name, F.lit("封")).alias("is_closed"),
         row["hidden"].alias("hidden"),
         cells[2]["text"].alias("multi_label"),
-        _triplet(F.slice(cells, 4, 3)).alias("initial"),
-        _triplet(F.when(F.size(whole) >= 3, F.slice(whole, 1, 3)).otherwise(F.slice(cells, 10, 3))).alias("current"),
-        F.when(F.size(last) >= 3, _triplet(F.slice(last, 1, 3))).alias("last_before_current"),
+        let(F.slice(cells, 4, 3), _triplet).alias("initial"),
+        let(F.when(F.size(whole) >= 3, whole).otherwise(F.slice(cells, 10, 3)), _triplet).alias("current"),
+        F.when(F.size(last) >= 3, _triplet(last)).alias("last_before_current"),
     )
 
 
@@ -118,7 +122,10 @@ def _with_company(quotes: Column) -> Column:
     """Hidden rows take the company of the last visible row above them."""
     def fill(q, i):
         above = F.filter(F.slice(quotes, F.lit(1), i + 1), lambda x: ~x["hidden"] & (x["company"] != ""))
-        seen = F.try_element_at(above, F.lit(-1))
+        lacks = q["hidden"] | (q["company"] == "") | (q["company_id"] == "")
+        return let(F.when(lacks, F.try_element_at(above, F.lit(-1))), lambda seen: filled(q, seen))
+
+    def filled(q, seen):
         pick = lambda n: F.coalesce(F.nullif(q[n], F.lit("")), seen[n], F.lit(""))
         return F.struct(
             pick("company_id").alias("company_id"), pick("company").alias("company"), q["is_closed"].alias("is_closed"),
