@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsframe.llm import sharding, twins
+from oddsframe.llm import mixing, sharding, twins
 from oddsframe.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def query(name: str, sql: str | None = None):
 @query("op3_sharding", twins.sharding(16, 42))
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), shards=16, seed=42)
+
+
+@query("op1_temperature_mixing", twins.mixing(max_repeats=2.0, block_tokens=100_000, seed=7))
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir), max_repeats=2.0, block_tokens=100_000, seed=7)
