@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsframe.llm.shared import keep, n_words
+from oddsframe.llm.shared import keep, n_words, spell_out
 
 STEPS = 10  # jobs of four halvings each
 SMALL_TABLE = 50_000  # sources up to which their table may be broadcast
@@ -125,7 +125,7 @@ def mixture(df: DataFrame, max_repeats: float = 2.0, min_entropy: float | None =
     spent = plan.agg(F.sum("budget").alias("spent")).first()["spent"] or 0
     blocks = max(1, -(-int(spent) // block_tokens))
     rows = _epochs(rows, plan, seed)
-    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = spell_out(rows, "copies")
     at = (F.col("epoch") * F.col("all_tokens") + F.col("start") + F.col("nth") * F.col("tokens")).cast("double")
     block = F.when(F.col("budget") > 0, F.least(F.floor(at * F.lit(float(blocks)) / F.col("budget").cast("double")), F.lit(blocks - 1))).otherwise(0).cast("long")
     rows = rows.withColumn("block", block)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsframe.llm import mixing, sharding, twins
+from oddsframe.llm import mixing, packing, sharding, twins
 from oddsframe.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_temperature_mixing", twins.mixing(max_repeats=2.0, block_tokens=100_000, seed=7))
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir), max_repeats=2.0, block_tokens=100_000, seed=7)
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))

@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsframe.llm.shared import spell_out
+
 ROUNDS = 6
 WALKS = 64  # more than any number needs: about one in sqrt(n) leaves the range at each pass
 BLOCK_DIGITS = 3  # row numbers are dealt by 16**3 blocks of hashed values
-RUN = 10_000  # equal rows that one task spells out
 
 
 def _mix(seed: int, r: int, x: Column) -> Column:
@@ -76,10 +77,7 @@ def number_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     inside = Window.partitionBy("block").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("first", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     rows = rows.join(F.broadcast(blocks), "block").withColumn("first", F.col("first") + F.col("offset"))
-    runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN).cast("long"))))
-    last = F.least(F.col("copies"), (F.col("run") + 1) * RUN) - 1
-    rows = runs.select("doc_id", "size", "text_crc32", "total", "first", F.explode(F.sequence(F.col("run") * RUN, last)).alias("nth"))
-    return rows.withColumn("number", F.col("first") + F.col("nth")).drop("first", "nth")
+    return spell_out(rows, "copies").select("doc_id", "size", "text_crc32", "total", (F.col("first") + F.col("nth")).alias("number"))
 
 
 def assign_shards(df: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

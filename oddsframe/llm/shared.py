@@ -52,3 +52,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def held_out(doc_id) -> F.Column:
     """Rows kept from learning: crc32 of the id as text leaves remainder 0 at five (a null id: as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 0
+
+
+def spell_out(df: DataFrame, copies: str, into: str = "nth", run: int = 10_000) -> DataFrame:
+    """One row for each of `copies` equal rows, numbered from 0; a long run is spelled out piece by piece."""
+    n, k = F.col(copies), F.col("run_") * run
+    runs = df.withColumn("run_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / run).cast("long"))))
+    return runs.withColumn(into, F.explode(F.sequence(k, F.least(n, k + run) - 1))).drop("run_")
