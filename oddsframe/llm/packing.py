@@ -12,6 +12,7 @@ one.  Ties go by length, then digest, then piece.  No rows, no output; other col
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,7 +80,7 @@ def pack(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, group_pieces: int =
     groups = max(1, -(-rows.where("piece is not null").count() // group_pieces))
     packed = rows.where("piece is not null").withColumn("group", F.pmod(F.xxhash64("item", F.floor(F.col("nth") / 1000), "piece"), F.lit(groups)))
 
-    def one_group(key, part: pd.DataFrame) -> pd.DataFrame:
+    def one_group(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["tokens", "item", "piece", "nth"], ascending=[False, True, True, True], kind="stable")
         where, offsets, capacity = best_fit(part["tokens"].tolist(), lengths)
         return part.assign(sequence=[(int(key[0]) << 32) + k for k in where], capacity=[capacity[k] for k in where], offset=offsets)[
