@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsframe.llm import mixing, packing, sharding, simhash, suffixes, twins
+from oddsframe.llm import mixing, packing, sharding, simhash, suffixes, twins, winnowing
 from oddsframe.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_array_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(documents(spark, sf_dir))
+
+
+@query("op4_winnowing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(documents(spark, sf_dir))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsframe.llm.rolling import ODD, mix, prefix, sliding_least
 from oddsframe.llm.shared import small_batches, utf8
 from oddsframe.llm.suffixarray import repeats
 
@@ -33,50 +34,21 @@ BUCKET_BYTES = 40_000_000  # text whose anchors share a bucket
 SHARD_BYTES = 8_000_000  # text whose stretches share a shard
 SAMPLE_ROWS = 2_000  # texts looked through for frequent anchors
 HOT_SHARE, HOT_ROWS = 0.01, 200_000  # frequent: in this share of texts, and by that in so many
-ODD = np.uint64(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = []
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE + 4096)
-        inverse = np.uint64(pow(int(ODD), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, base, np.uint64)]) for base in (ODD, inverse)]
-    return _powers[0], _powers[1]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    power, inverse = _power_table(len(data) + 1)
-    terms = data.astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= inverse[: len(data)]
-    return np.r_[np.uint64(0), np.cumsum(terms)], power
 
 
 def _piece_runs(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that share an anchor: first and last window, the anchor's hash, a digest of the bytes under them."""
-    sums, power = _prefix(data)
+    sums, power = prefix(data)
     n = len(data) - GRAM + 1
-    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * power[:n])
+    grams = mix((sums[GRAM:] - sums[:-GRAM]) * power[:n])
     least = (grams & ~np.uint64(0xFFFFFF)) | (np.uint64(0xFFFFFF) - np.arange(n, dtype=np.uint64))  # ties: the last
-    width, span = WINDOW - GRAM + 1, 1
-    while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if width > span:
-        least = np.minimum(least[: -(width - span)], least[width - span :])
+    least = sliding_least(least, WINDOW - GRAM + 1)
     valid = valid[: len(least)]
     new = valid & np.r_[True, (least[1:] != least[:-1]) | ~valid[:-1]]
     first = np.flatnonzero(new)
     last = np.flatnonzero(valid & np.r_[(least[1:] != least[:-1]) | ~valid[1:], True])
     anchor = grams[(np.uint64(0xFFFFFF) - (least[first] & np.uint64(0xFFFFFF))).astype(np.int64)]
-    under = _mix((sums[last + WINDOW] - sums[first]) * power[first])
+    under = mix((sums[last + WINDOW] - sums[first]) * power[first])
     return first, last, anchor, under
 
 
@@ -227,7 +199,7 @@ def _stretches(part: pa.RecordBatch, hot: np.ndarray) -> tuple[list, pa.RecordBa
             for block in words:
                 for c in block.T:
                     digest = (digest + c + np.uint64(1)) * ODD
-            under[single] = _mix(digest)
+            under[single] = mix(digest)
             anchor = np.where(single, under, anchor)
     turn = np.lexsort((first, k2[text], k1[text], late[text], under, last - first, anchor))
     same = np.r_[False, (anchor[turn][1:] == anchor[turn][:-1]) & (under[turn][1:] == under[turn][:-1]) & ((last - first)[turn][1:] == (last - first)[turn][:-1])]
@@ -298,7 +270,7 @@ def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = B
         for part in parts:
             (a1, a2, start, end), (anchor, k1, k2, late, first, bytes_) = _stretches(part, hot)
             n, m = len(a1), len(k1)
-            shard = np.r_[(a2.astype(np.int64) % shards), (_mix(anchor) % np.uint64(shards)).astype(np.int64)]
+            shard = np.r_[(a2.astype(np.int64) % shards), (mix(anchor) % np.uint64(shards)).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(shard), pa.array(np.r_[np.zeros(n, np.int64), anchor.view(np.int64)]), pa.array(np.r_[a1, k1]), pa.array(np.r_[a2, k2]), pa.array(np.r_[np.zeros(n, bool), late.astype(bool)]),
                 pa.array(np.r_[start, first]), pa.array(np.r_[end, np.zeros(m, np.int64)]), pa.concat_arrays([pa.nulls(n, pa.binary()), bytes_]),
@@ -311,7 +283,7 @@ def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = B
         out = [c["k1"][ready].tolist(), c["k2"][ready].tolist(), c["start"][ready].tolist(), c["end"][ready].tolist()]
         go = np.flatnonzero(~ready)
         parts = 1 + sum(len(stretches[i]) for i in go) // (2 * SHARD_BYTES)  # more than expected: sorted in parts by anchor
-        part_of = _mix(c["anchor"][go].view(np.uint64) ^ ODD) % np.uint64(parts)
+        part_of = mix(c["anchor"][go].view(np.uint64) ^ ODD) % np.uint64(parts)
         for k in range(parts):
             at = go[part_of == np.uint64(k)]
             if len(at):
