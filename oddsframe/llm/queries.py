@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsframe.llm import mixing, packing, sharding, simhash, suffixes, twins, winnowing
+from oddsframe.llm import langid, mixing, packing, sharding, simhash, suffixes, twins, winnowing
 from oddsframe.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_winnowing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(documents(spark, sf_dir))
+
+
+@query("op2_rank_order_langid")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
