@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsframe.llm import langid, mixing, packing, sharding, simhash, suffixes, twins, winnowing
+from oddsframe.llm import langid, mixing, packing, sharding, simhash, suffixes, toxicity, twins, winnowing
 from oddsframe.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_rank_order_langid")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
+
+
+@query("op10_subsequence_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
