@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsframe.llm import langid, mixing, packing, sharding, simhash, suffixes, toxicity, twins, winnowing
+from oddsframe.llm import langid, mixing, packing, search, sharding, simhash, suffixes, toxicity, twins, winnowing
 from oddsframe.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_subsequence_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op7_block_max_search", twins.search(k=10, every=100))
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return search.search(docs, docs.where("doc_id % 100 = 0"), k=10)

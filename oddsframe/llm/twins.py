@@ -62,3 +62,17 @@ placed as (select *, coalesce(sum(tokens) over (partition by name, epoch order b
 cut as (select *, case when budget > 0 then least(floor((epoch * all_tokens + start)::double * blocks::double / budget::double), blocks - 1)::bigint else 0 end block
   from placed, blocks where epoch < whole or start + tokens <= budget - whole * all_tokens)
 select doc_id, source, tokens, epoch, block, {_digits(f"concat_ws(':', '{seed}b', block, epoch, item)", 15)} place from cut"""
+
+
+def search(k: int, every: int) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with words as (select doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+')) word from documents),
+bags as (select doc_id, word, count(*)::double tf from words group by all),
+lengths as (select doc_id, sum(tf) len from bags group by 1),
+stats as (select (select count(*) from documents)::double n, (select sum(len) from lengths) / (select count(*) from documents) mean),
+df as (select word, count(*)::double df from bags group by 1),
+scored as (select q.doc_id query_id, d.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len / mean))), 4) score
+  from bags q join bags d using (word) join df using (word) join lengths l on l.doc_id = d.doc_id, stats where q.doc_id % {every} = 0 group by 1, 2)
+select query_id, (row_number() over (partition by query_id order by score desc, doc_id))::int rank, doc_id, score from scored
+qualify row_number() over (partition by query_id order by score desc, doc_id) <= {k}"""
