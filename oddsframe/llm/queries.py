@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsframe.llm import langid, mixing, packing, search, sharding, simhash, suffixes, toxicity, twins, winnowing
+from oddsframe.llm import htmltext, langid, mixing, packing, search, sharding, simhash, suffixes, toxicity, twins, winnowing
 from oddsframe.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return search.search(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
+@query("op8_html_layout_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.pages_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
