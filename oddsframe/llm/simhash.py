@@ -31,6 +31,7 @@ from oddsframe.llm.shared import keep, small_batches
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCK = 2048  # fingerprints whose balls are spelled out together
+SPELL_FPS = 16_384  # fingerprints whose balls one task spells out
 BUCKET_VALUES = 4_000_000  # values that one bucket should hold
 LOW_BITS = 24
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -177,7 +178,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_values: int = BUCKET_VALU
         a, b = meet(np.repeat(joined["fps"], joined["counts"]), low.view(np.uint32).ravel(), key[0].as_py(), buckets, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = fps.select("fp").mapInArrow(spell, "bucket int, fps binary, counts binary, low binary")
+    spread = fps.select("fp").repartition(-(-n // SPELL_FPS) or 1, "fp")  # the table is small, its balls are not
+    sent = spread.mapInArrow(spell, "bucket int, fps binary, counts binary, low binary")
     return sent.groupBy("bucket").applyInArrow(bucket_links, "a long, b long")
 
 
