@@ -210,7 +210,10 @@ def _stretches(part: pa.RecordBatch, hot: np.ndarray) -> tuple[list, pa.RecordBa
     twin = np.zeros(len(turn), bool)
     twin[turn] = (k1[text[turn]] == k1[text[head]]) & (k2[text[turn]] == k2[text[head]]) & (late[text[turn]] == late[text[head]]) & (first[turn] - starts[text[turn]] == first[head] - starts[text[head]])
     later &= ~twin
-    settled = (k1[text[later]], k2[text[later]], (first - starts[text])[later], (last - starts[text])[later] + WINDOW)
+    owner, start, end = text[later], (first - starts[text])[later], (last - starts[text])[later] + WINDOW
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] > end[:-1])] if len(owner) else later[:0]  # neighbours become one span
+    owner, start, end = owner[new], start[new], end[np.r_[new[1:], True]] if len(owner) else end
+    settled = (k1[owner], k2[owner], start, end)
     go = ~later
     text, first, last, anchor = text[go], first[go], last[go], anchor[go]
     size = last - first + WINDOW
