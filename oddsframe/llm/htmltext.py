@@ -298,4 +298,4 @@ def pages_text(df: DataFrame) -> DataFrame:
                 part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64()), pa.array(texts, pa.string()),
             ], names=["page_id", "n_chars", "n_lines", "text"])
 
-    return df.select("page_id", F.col("html")).mapInArrow(render, "page_id long, n_chars long, n_lines long, text string")
+    return df.select(df["page_id"].cast("long"), "html").mapInArrow(render, "page_id long, n_chars long, n_lines long, text string")

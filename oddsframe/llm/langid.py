@@ -181,5 +181,5 @@ def languages(df: DataFrame, train_rows: int = TRAIN_ROWS, profile: int = PROFIL
             judged = profiles.judge(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([j[0] for j in judged], pa.string()), pa.array([j[1] for j in judged], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = df.select(df["doc_id"].cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")

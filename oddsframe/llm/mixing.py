@@ -86,7 +86,7 @@ def budgets(sources: DataFrame, exponent: float, totals: dict, budget: int | Non
 
 def keyed(df: DataFrame) -> DataFrame:
     """One narrow row for each different (id, source, text), with how often it stands in the input."""
-    rows = df.select("doc_id", "source", _named(df["source"]).alias("name"), n_words(df["text"]).alias("tokens"), item(df).alias("item"))
+    rows = df.select(df["doc_id"].cast("long").alias("doc_id"), "source", _named(df["source"]).alias("name"), n_words(df["text"]).alias("tokens"), item(df).alias("item"))
     return rows.groupBy("doc_id", "source", "name", "tokens", "item").agg(F.count("*").alias("copies"))
 
 
@@ -142,11 +142,9 @@ def mixed(df: DataFrame, max_repeats: float = 2.0, min_entropy: float | None = N
     ends = _epochs(rows, plan, seed).where("epoch = whole").groupBy("name").agg(F.max("perm").alias("end"))
     plan = plan.join(ends, "name", "left").withColumn("whole", F.when(F.col("all_tokens") > 0, F.floor(F.col("budget") / F.col("all_tokens"))).otherwise(1).cast("long"))
     plan = keep(plan.select("name", "whole", "end"), "plan")
-    keyed_rows = df.withColumns({"name_": _named(df["source"]), "item_": item(df)})
-    plan = plan.select(F.col("name").alias("name_"), F.col("whole").alias("whole_"), F.col("end").alias("end_"))
-    small = plan.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE
-    out = keyed_rows.join(F.broadcast(plan) if small else plan, "name_")
-    perm = digits(F.concat_ws(":", F.lit(seed), F.col("whole_"), F.col("item_")))
-    times = F.col("whole_") + F.coalesce((perm <= F.col("end_")).cast("long"), F.lit(0))
-    out = out.withColumn("times_", times).where("times_ > 0")
-    return out.withColumn("times_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times_")))).select(*df.columns)
+    all_rows = df.select(F.struct("*").alias("row"), _named(df["source"]).alias("name"), item(df).alias("item"))
+    out = _with_plan(all_rows, plan)
+    perm = digits(F.concat_ws(":", F.lit(seed), "whole", "item"))
+    times = F.col("whole") + F.coalesce((perm <= F.col("end")).cast("long"), F.lit(0))
+    out = out.withColumn("times", times).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

@@ -67,11 +67,11 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list
 
 
 def pieces(df: DataFrame, longest: int) -> DataFrame:
-    rows = df.select("doc_id", n_words(df["text"]).alias("words"), item(df).alias("item")).groupBy("doc_id", "words", "item").agg(F.count("*").alias("copies"))
+    rows = df.select(df["doc_id"].cast("long"), n_words(df["text"]).alias("words"), item(df).alias("item")).groupBy("doc_id", "words", "item").agg(F.count("*").alias("copies"))
     rows = spell_out(rows, "copies")
     rows = rows.withColumn("piece", F.explode_outer(F.when(F.col("words") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / longest).cast("long")))))
     first = F.col("piece") * longest
-    return rows.select("doc_id", "item", "nth", "piece", first.alias("first_token"), F.coalesce(F.least(F.col("words") - first, F.lit(longest)), F.lit(0)).alias("tokens"))
+    return rows.select("doc_id", "item", "nth", "piece", first.alias("first_token"), F.when(F.col("words") > 0, F.least(F.col("words") - first, F.lit(longest))).otherwise(0).alias("tokens"))
 
 
 def pack(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, group_pieces: int = GROUP_PIECES) -> DataFrame:

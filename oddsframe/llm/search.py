@@ -65,7 +65,7 @@ def forward_index(df: DataFrame) -> DataFrame:
             columns = [[column[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])] for column in (word, count)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "length", "words", "counts"])
 
-    return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(split, WORDS_SCHEMA)
+    return df.select(df["doc_id"].cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(split, WORDS_SCHEMA)
 
 
 class Queries:

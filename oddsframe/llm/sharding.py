@@ -66,7 +66,7 @@ def number_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spread, and only the count of each block is brought together.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_crc32", "size")
     rows = rows.withColumn("block", F.conv(F.substring(F.md5(name), 1, BLOCK_DIGITS), 16, 10).cast("int"))

@@ -65,7 +65,7 @@ def fingerprints(df: DataFrame) -> DataFrame:
             values = np.array([fingerprint(t) if t else 0 for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(values)], names=["doc_id", "item", "fp"])
 
-    rows = df.select("doc_id", item(df).alias("item"), "text")
+    rows = df.select(df["doc_id"].cast("long"), item(df).alias("item"), "text")
     return rows.mapInArrow(batches, "doc_id long, item long, fp long")
 
 
@@ -203,9 +203,9 @@ def deduplicated(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "item")
     best = found.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n"))
     gone = found.join(best.where("n > 1"), "root").where(~((F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("item") == F.col("best.item"))))
-    keyed = df.withColumn("item_", item(df))
-    gone = gone.select(F.col("doc_id").alias("id_"), F.col("item").alias("gone_"))
-    stay = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["id_"]) & (keyed["item_"] == gone["gone_"]), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("item").alias("gone_item"))
+    rows = df.select(F.struct("*").alias("row"), df["doc_id"].cast("long").alias("id"), item(df).alias("item"))
+    stay = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("item") == F.col("gone_item")), "left_anti")
     if not found.where("copies > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id", "item_"])
-    return stay.select(*df.columns)
+        stay = stay.dropDuplicates(["id", "item"])
+    return stay.select("row.*")

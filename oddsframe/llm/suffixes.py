@@ -337,14 +337,13 @@ def repeated_passages(df: DataFrame) -> DataFrame:
 
 def cleaned(df: DataFrame) -> DataFrame:
     """The input rows with repeated passages cut out; a character cut in two is dropped, a null text stays null."""
-    found = spans(keyed(df)).select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.col("spans").alias("spans_"))
+    found = spans(keyed(df))
 
     @F.pandas_udf("string")
     def left_over(text: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut(t.encode(), list(s))[0].decode("utf-8", "ignore") for t, s in zip(text, found)])
 
-    text = F.coalesce(df["text"], F.lit(""))
-    rows = df.withColumns({"i1_": F.coalesce(df["doc_id"], F.lit(0)).cast("long"), "i2_": F.xxhash64(text, df["doc_id"].isNull())})
-    joined = rows.join(found, (F.col("i1_") == F.col("k1_")) & (F.col("i2_") == F.col("k2_")), "left")
-    new = F.when(F.col("spans_").isNull(), F.col("text")).otherwise(left_over("text", "spans_"))
-    return joined.withColumn("text", new).select(*df.columns)
+    key = [F.coalesce(df["doc_id"], F.lit(0)).cast("long").alias("k1"), F.xxhash64(F.coalesce(df["text"], F.lit("")), df["doc_id"].isNull()).alias("k2")]
+    joined = df.select(F.struct("*").alias("row"), *key).join(found, ["k1", "k2"], "left")
+    new = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(left_over(F.col("row.text"), F.col("spans")))
+    return joined.select(F.col("row").withField("text", new).alias("row")).select("row.*")

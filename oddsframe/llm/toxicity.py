@@ -24,6 +24,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -277,7 +278,7 @@ def scores(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) -
             score = machine.score(part.column(2).to_pylist()) if machine else np.zeros(len(part))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -288,9 +289,7 @@ def accepted(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS)
         return docs
 
     @F.pandas_udf("boolean")
-    def toxic(text):
-        import pandas as pd
-
+    def toxic(text: pd.Series) -> pd.Series:
         return pd.Series(machine.score([t or "" for t in text]) >= 0.5)
 
     return docs.where(~toxic(F.coalesce(docs["text"], F.lit(""))))

@@ -121,7 +121,7 @@ def _across(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
-    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = df.select(df["doc_id"].cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     # a fixed number of partitions: both readers must see the same ones, so that Spark shuffles once for the two
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
