@@ -27,31 +27,29 @@ from oddsframe.llm.rolling import mix, prefix
 from oddsframe.llm.shared import keep, small_batches, utf8
 
 K1, B = 1.2, 0.75
-BLOCK = 32
+BLOCK = 64
+PIECE = 1 << 17  # words hashed together
 QUERY_WORDS = 2_000_000
 DIGITS = 4
 WORDS_SCHEMA = "doc_id long, length long, words binary, counts binary"
 
 
-def bags(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different words of each text: text number, hash and count, in order; and the words of each text."""
-    n_texts = len(starts) - 1
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+def hashed_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a batch in order, and how many each text has."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(starts) - 1, np.int64)
+    letter = (data != 32) & ((data < 9) | (data > 13))
+    edge = np.zeros(len(data) + 1, bool)  # a text ends a word even where it ends without a space
+    edge[starts] = True
+    begins = np.flatnonzero(letter & (edge[:-1] | ~np.r_[False, letter[:-1]]))
+    ends = np.flatnonzero(letter & (edge[1:] | ~np.r_[letter[1:], False])) + 1
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    first = ~space & np.r_[True, space[:-1]] if len(data) else space
-    at = starts[:-1][starts[:-1] < len(data)]
-    first[at] = ~space[at]  # a text starts a word even where the one before ends without a space
-    begins = np.flatnonzero(first)
-    stop = space.copy()
-    breaks = np.unique(np.r_[np.flatnonzero(stop), starts])
-    ends = breaks[np.searchsorted(breaks, begins, side="right")] if len(begins) else begins
-    sums, power = prefix(low)
-    word = mix((sums[ends] - sums[begins]) * power[begins]) if len(begins) else np.zeros(0, np.uint64)
-    text = np.searchsorted(starts, begins, side="right") - 1
-    order = np.lexsort((word, text))
-    word, text = word[order], text[order]
-    new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (text[1:] != text[:-1])]) if len(word) else np.zeros(0, np.int64)
-    return text[new], word[new], np.diff(np.r_[new, len(word)]), np.bincount(text, minlength=n_texts)
+    words = np.zeros(len(begins), np.uint64)
+    for at in range(0, len(begins), PIECE):  # power tables stay small: hashes do not depend on the place
+        a, b = begins[at : at + PIECE], ends[at : at + PIECE]
+        sums, power = prefix(low[a[0] : b[-1]])
+        words[at : at + PIECE] = mix((sums[b - a[0]] - sums[a - a[0]]) * power[a - a[0]])
+    return words, np.diff(np.searchsorted(begins, starts))
 
 
 def forward_index(df: DataFrame) -> DataFrame:
@@ -59,10 +57,13 @@ def forward_index(df: DataFrame) -> DataFrame:
 
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            text, word, count, length = bags(*utf8(part.column(1)))
-            cut = np.searchsorted(text, np.arange(len(part) + 1))
-            count = count.astype(np.uint32)
-            columns = [[column[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])] for column in (word, count)]
+            words, length = hashed_words(*utf8(part.column(1)))
+            columns: tuple[list[bytes], list[bytes]] = ([], [])
+            for end, n in zip(np.cumsum(length).tolist(), length.tolist()):
+                bag = np.sort(words[end - n : end])
+                new = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1]]) if n else np.zeros(0, np.int64)
+                columns[0].append(bag[new].tobytes())
+                columns[1].append(np.diff(np.r_[new, n]).astype(np.uint32).tobytes() if n else b"")
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "length", "words", "counts"])
 
     return df.select(df["doc_id"].cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(split, WORDS_SCHEMA)
@@ -84,14 +85,32 @@ class Queries:
         return at[hit], hit
 
 
-class Shard:
-    """Inverted index of some documents, for the words of a block of queries."""
+def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of some ranges, one after the other."""
+    size = ends - begins
+    return np.arange(size.sum()) + np.repeat(begins - (np.cumsum(size) - size), size)
+
 
-    def __init__(self, ids: np.ndarray, docs: np.ndarray, terms: np.ndarray, values: np.ndarray, n_terms: int):
-        order = np.lexsort((docs, terms))
-        self.ids, self.docs, self.values = ids, docs[order], values[order]
-        terms = terms[order]
-        self.starts = np.searchsorted(terms, np.arange(n_terms + 1))
+class Shard:
+    """Inverted index of some documents, for the words of a block of queries.
+
+    Documents with the same commonest word stand together, by length: their blocks have tight bounds.
+    """
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, values: np.ndarray, n_terms: int):
+        """Postings come by document: its words in the block, as many as `sizes` says."""
+        main = np.zeros(len(ids), np.uint64)
+        used = sizes > 0
+        if len(terms):
+            main[used] = np.maximum.reduceat(np.minimum(counts, 0xFFFFFFF).astype(np.uint64) << np.uint64(32) | terms.astype(np.uint64), (np.cumsum(sizes) - sizes)[used])
+        order = np.lexsort((lengths, main & np.uint64(0xFFFFFFFF)))
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        packed = terms.astype(np.uint64) << np.uint64(32) | np.repeat(place, sizes).astype(np.uint64)
+        turn = np.argsort(packed)
+        packed = packed[turn]
+        self.ids, self.docs, self.values = ids[order], (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), values[turn]
+        terms = (packed >> np.uint64(32)).astype(np.int64)
         block = self.docs // BLOCK
         new = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])]) if len(terms) else np.zeros(0, np.int64)
         self.blocks, self.most = block[new], np.maximum.reduceat(self.values, new) if len(new) else self.values
@@ -100,18 +119,16 @@ class Shard:
 
     def _scores(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of all documents in some (word, block) entries."""
-        size = self.first[entries + 1] - self.first[entries]
-        at = np.arange(size.sum()) + np.repeat(self.first[entries] - np.r_[0, np.cumsum(size)[:-1]], size)
+        at = _ranges(self.first[entries], self.first[entries + 1])
         total = np.bincount(self.docs[at], self.values[at], len(self.ids))
         found = np.flatnonzero(total)
         return found, total[found]
 
     def best(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The k best documents and their scores, and how many blocks were opened."""
-        ranges = [(a, b) for a, b in zip(self.block_starts[terms], self.block_starts[terms + 1]) if b > a]
-        if not ranges:
+        entries = _ranges(self.block_starts[terms], self.block_starts[terms + 1])
+        if not len(entries):
             return np.zeros(0, np.int64), np.zeros(0), 0
-        entries = np.concatenate([np.arange(a, b) for a, b in ranges])
         block = self.blocks[entries]
         bound = np.bincount(block, self.most[entries], self.n_blocks) * (1 + 1e-9)  # sums may round differently
         docs, scores = np.zeros(0, np.int64), np.zeros(0)
@@ -157,21 +174,18 @@ def _search_block(index: DataFrame, queries: Queries, k: int, rows: int, mean: f
 
     def answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = scored.value
-        ids, docs, terms, values, n = [], [], [], [], 0
+        held: list[list[np.ndarray]] = [[] for _ in range(6)]
         for part in parts:
-            at, hit = asked.places(np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint64))
             counts = part.column("counts").to_pylist()
+            at, hit = asked.places(np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint64))
             owner = np.repeat(np.arange(len(part)), [len(c) // 4 for c in counts])[hit]
-            tf = np.frombuffer(b"".join(counts), np.uint32)[hit].astype(float)
-            length = part.column("length").to_numpy()[owner]
-            values.append(asked.idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
-            docs.append((owner + n).astype(np.int32))
-            terms.append(at.astype(np.int32))
-            ids.append(part.column("doc_id").fill_null(NO_ID).to_numpy())
-            n += len(part)
-        if n:
-            shard = Shard(np.concatenate(ids), np.concatenate(docs), np.concatenate(terms), np.concatenate(values), len(asked.words))
-            del docs, terms, values
+            tf, length = np.frombuffer(b"".join(counts), np.uint32)[hit], part.column("length").to_numpy()
+            value = asked.idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean))
+            for column, more in zip(held, (part.column("doc_id").fill_null(NO_ID).to_numpy(), length, np.bincount(owner, minlength=len(part)), at.astype(np.int32), tf, value)):
+                column.append(more)
+        if held[0]:
+            shard = Shard(*(np.concatenate(column) for column in held), len(asked.words))
+            held.clear()
             rows_ = []
             for query, words in zip(asked.ids.tolist(), asked.terms):
                 found, score, _ = shard.best(words, k)
