@@ -35,6 +35,7 @@ from oddsframe.llm.shared import held_out, keep, small_batches
 DECAY, SPAN = 0.7, 6
 TRAIN_TEXTS = 4_000
 CANDIDATES, NEGATIVES, LANDMARKS = 1_000, 20_000, 192
+SPREAD_WEIGHT = 1.0
 WORST, CLIP = 3, 1.5  # words of a text that make its score, and how far one may count
 SPACE, BREAK = 255, 254
 STEPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -112,7 +113,7 @@ def kernel(words: list[bytes], landmarks: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps."""
     x1 = np.c_[x, np.ones(len(x))]
     w, ridge = np.zeros(x1.shape[1]), np.r_[np.ones(x.shape[1]), 1e-6]
@@ -216,6 +217,11 @@ def _telling(candidates: dict[bytes, tuple[int, int]], pairs: list[tuple[bytes,
     return out + sorted(w for w in pool if candidates[w][1] == 0 and candidates[w][0] >= max(least, most // 20))
 
 
+def spaced_out(word: bytes) -> list[bytes]:
+    """The word with a letter put in, once at every inner place."""
+    return [word[:k] + bytes([1 + (7 * k + len(word)) % 26]) + word[k:] for k in range(1, len(word))]
+
+
 def learn(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) -> Machine | None:
     sample = labelled(docs, labels, train_texts)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -240,9 +246,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) ->
     gram = landmarks @ landmarks.T
     values, axes = np.linalg.eigh(gram.astype(float))
     root = axes[:, values > 1e-6] / np.sqrt(values[values > 1e-6])  # Nystroem features: kernel to the landmarks times this
-    x = kernel([*positive, *negative], landmarks) @ root
-    y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    weight = np.r_[np.full(len(positive), 1.0), np.full(len(negative), max(0.05, 2 * len(positive) / len(negative)))]
+    spread = [v for word in positive for v in spaced_out(word)]
+    x = kernel([*positive, *spread, *negative], landmarks) @ root
+    y = np.r_[np.ones(len(positive) + len(spread)), -np.ones(len(negative))]
+    weight = np.r_[np.ones(len(positive)), np.full(len(spread), SPREAD_WEIGHT), np.full(len(negative), max(0.05, 4 * len(positive) / len(negative)))]
     w, offset = fit(x, y, weight)
     machine = Machine((root @ w) @ landmarks, offset)
 
@@ -255,14 +262,14 @@ def learn(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) ->
     return machine
 
 
-def _curve(value: np.ndarray, toxic: np.ndarray, rounds: int = 25) -> np.ndarray:
+def _curve(value: np.ndarray, toxic: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
     """Logistic regression of the label on a text's worst words, by Newton steps."""
     x = np.c_[value, np.ones(len(value))]
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (toxic - p) - 0.05 * w)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (toxic - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break

@@ -189,10 +189,10 @@ def test_toxicity_tolerates_gaps(spark):
     docs, marks = [], []
     for k in range(400):
         text = clean[k % 4] + f" number {k} and more words from {clean[(k + 1) % 4]}"
-        docs.append((k, text if k % 2 else text + f". You {insults[k // 2 % 3]}!"))
+        docs.append((k, text if k % 2 else text + f". You {insults[k // 2 % 3]} and {insults[k // 4 % 3]}!"))
         marks.append((k, 0, 1 - k % 2))
     machine = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
-    scores = machine.score(["you d.u.m.b.h.e.a.d", "such a dumxbhead", "a stink-face", "b l o c k w i t", clean[0], "", "a walk by the river"])
+    scores = machine.score(["you d.u.m.b.h.e.a.d, a dumbhead", "such dumxbhead, stinkfxace", "a stink-face, st.ink.face", "a stinkface, b l o c k w i t", clean[0], "", "a walk by the river"])
     assert (scores[:4] > 0.5).all() and (scores[4:] < 0.5).all()
 
 
