@@ -67,25 +67,24 @@ def balanced_objects():
     The functions are local, so they travel to the executors by value and need no package there.
     """
     def scan(raw):
-        found = []
-        start = raw.find("{")
-        while start >= 0:
-            depth, quoted, escaped = 0, False, False
-            for at in range(start, len(raw)):
-                ch = raw[at]
-                if escaped:
-                    escaped = False
-                elif ch == "\\":
-                    escaped = True
-                elif ch == '"':
-                    quoted = not quoted
-                elif not quoted:
-                    depth += (ch == "{") - (ch == "}")
-                    if depth == 0:
-                        found.append(raw[start : at + 1])
-                        break
-            start = raw.find("{", start + 1)
-        return found
+        # one pass for each state of the quotes that a `{` can be read in: the quotes before a start do not count,
+        # so a `{` is open either outside the running quotes or, read on its own, inside them
+        found, stacks = [], ([], [])
+        escaped = quoted = False
+        for at, ch in enumerate(raw):
+            if escaped:
+                escaped = False
+                continue
+            if ch == "\\":
+                escaped = True
+            elif ch == '"':
+                quoted = not quoted
+            elif ch == "{":
+                stacks[quoted].append(at)
+            elif ch == "}" and stacks[quoted]:
+                start = stacks[quoted].pop()
+                found.append((start, raw[start : at + 1]))
+        return [text for _, text in sorted(found)]
 
     def batch(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: scan(t) if t else [])
@@ -165,11 +164,13 @@ _PICK = (
 _REPORT = f"summary string, top10 array<struct<{_PICK}>>, singleMatch struct<{_PICK}>, recommendation {_RECOMMENDATION}, dataQuality struct<missingData: {_LIST}>"
 
 
-def chunk_result_summary(df: DataFrame) -> DataFrame:
-    """Short summary row of each chunk reply: first filled of the alternative keys, cut to size.
+def chunk_result_summary(df: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
+    """Summary row of each chunk reply: first filled of the alternative keys.
 
-    Input: match_id, structured (JSON), text (the reply) and optionally error.
+    Input: match_id, structured (JSON), text (the reply) and optionally error.  `sizes` cuts named
+    output columns to so many characters (texts) or items (lists); without it values stay whole.
     """
+    sizes = sizes or {}
     out = df.withColumn("_r", F.from_json("structured", _REPORT))
     top, single = "_r.top10[0]", "_r.singleMatch"
     def at(path):
@@ -181,9 +182,12 @@ def chunk_result_summary(df: DataFrame) -> DataFrame:
         picks = [F.get("_r.top10", F.lit(0))["recommendation"], F.col("_r.singleMatch.recommendation"), F.col("_r.recommendation")]
         return F.coalesce(*picks)[field]
 
-    def first(size, *cols):
+    def first(name, *cols):
         filled = F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
-        return F.left(filled, F.lit(size))
+        return (F.left(filled, F.lit(sizes[name])) if name in sizes else filled).alias(name)
+
+    def listed(name, items):
+        return (F.slice(items, 1, sizes[name]) if name in sizes else items).alias(name)
 
     t, s = lambda f: at(f"{top}.{f}"), lambda f: at(f"{single}.{f}")
     both = lambda a, b: F.concat(F.coalesce(a, F.array().cast(_LIST)), F.coalesce(b, F.array().cast(_LIST)))
@@ -192,18 +196,18 @@ def chunk_result_summary(df: DataFrame) -> DataFrame:
     return out.select(
         *[c for c in df.columns if c not in ("structured", "text", "error")],
         (error == "").alias("ok"),
-        first(520, F.left(F.coalesce(F.nullif(F.col("_r.summary"), F.lit("")), F.nullif(s("conclusion"), F.lit("")), F.nullif(F.col("text"), F.lit("")), F.lit("未有摘要")), F.lit(700))).alias("summary"),
+        first("summary", F.col("_r.summary"), s("conclusion"), F.col("text"), F.lit("未有摘要")),
         F.coalesce(t("confidenceScore"), s("confidenceScore")).alias("confidence_score"),
-        first(180, t("recommendedBet"), t("recommended_bet"), t("betRecommendation"), s("recommendedBet"), s("recommended_bet"), rec("recommendedBet"), rec("recommendation"), rec("primary_market")).alias("recommended_bet"),
-        first(120, t("primaryMarket"), t("primary_market"), s("primaryMarket"), s("primary_market"), rec("primaryMarket"), rec("primary_market")).alias("primary_market"),
-        first(120, t("selection"), t("pick"), s("selection"), s("pick"), rec("selection"), rec("pick")).alias("selection"),
-        first(120, t("betDirection"), t("bet_direction"), s("betDirection"), s("bet_direction")).alias("bet_direction"),
-        first(60, t("riskLevel"), t("risk_level"), s("riskLevel"), s("risk_level"), rec("risk_level")).alias("risk_level"),
-        first(60, t("suggestedStakePctOfBankroll"), t("suggested_stake_pct_of_bankroll"), s("suggestedStakePctOfBankroll"), s("suggested_stake_pct_of_bankroll"), rec("suggested_stake_pct_of_bankroll")).alias("stake_pct"),
-        first(260, t("conclusion"), s("conclusion")).alias("conclusion"),
-        F.slice(both(t("evidence"), findings), 1, 4).alias("evidence"),
-        F.slice(both(t("risks"), s("risks")), 1, 4).alias("risks"),
-        F.slice(both(F.col("_r.dataQuality.missingData"), s("missingData")), 1, 4).alias("missing_data"),
+        first("recommended_bet", t("recommendedBet"), t("recommended_bet"), t("betRecommendation"), s("recommendedBet"), s("recommended_bet"), rec("recommendedBet"), rec("recommendation"), rec("primary_market")),
+        first("primary_market", t("primaryMarket"), t("primary_market"), s("primaryMarket"), s("primary_market"), rec("primaryMarket"), rec("primary_market")),
+        first("selection", t("selection"), t("pick"), s("selection"), s("pick"), rec("selection"), rec("pick")),
+        first("bet_direction", t("betDirection"), t("bet_direction"), s("betDirection"), s("bet_direction")),
+        first("risk_level", t("riskLevel"), t("risk_level"), s("riskLevel"), s("risk_level"), rec("risk_level")),
+        first("stake_pct", t("suggestedStakePctOfBankroll"), t("suggested_stake_pct_of_bankroll"), s("suggestedStakePctOfBankroll"), s("suggested_stake_pct_of_bankroll"), rec("suggested_stake_pct_of_bankroll")),
+        first("conclusion", t("conclusion"), s("conclusion")),
+        listed("evidence", both(t("evidence"), findings)),
+        listed("risks", both(t("risks"), s("risks"))),
+        listed("missing_data", both(F.col("_r.dataQuality.missingData"), s("missingData"))),
         error.alias("error"),
     )
 

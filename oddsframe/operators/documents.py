@@ -1,7 +1,6 @@
 """Per-match documents, chunks and the single-match input.
 
-A document list is a report with a row budget per payload; rows are cut to the budget before they
-are collected, so no array can outgrow it.
+A document list may have a row budget per payload; rows over it go to further payloads.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from oddsframe.functions.odds import section_key
 from oddsframe.functions.text import text, token_estimate
 from oddsframe.operators.quotes import pick_first
 
-MAX_ROWS = 800  # row budget of one payload
 MISSING = "未指定"  # marker for a missing value in rendered documents
 
 _MATCH = ["league", "kickoff_ts", "state", "score", "home", "away"]
@@ -25,31 +23,28 @@ def _have(df: DataFrame, names: list[str]) -> list[str]:
     return [n for n in names if n in df.columns]
 
 
-def budget_rows(rows: DataFrame, payload: list[str], order: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
-    """The first `max_rows` rows of each payload, numbered in `row_no` from 1.
-
-    The limit is applied per task before the shuffle (window group limit).
-    """
+def budget_rows(rows: DataFrame, payload: list[str], order: list[str], max_rows: int | None = None) -> DataFrame:
+    """`row_no` from 1 in each payload, and `payload_no`: rows over the budget go to further payloads."""
     number = F.row_number().over(W.partitionBy(*payload).orderBy(*order))
-    return rows.withColumn("row_no", number).where(F.col("row_no") <= max_rows)
+    out = rows.withColumn("row_no", number)
+    part = F.floor((F.col("row_no") - 1) / max_rows) if max_rows else F.lit(0)
+    return out.withColumn("payload_no", part.cast("long"))
 
 
-def payload_summary(rows: DataFrame, payload: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
-    """Rows of each payload, how many are sent, omitted, and whether it is cut."""
+def payload_summary(rows: DataFrame, payload: list[str], max_rows: int | None = None) -> DataFrame:
+    """Rows of each payload, and into how many payloads of the budget they go."""
     out = rows.groupBy(*payload).agg(F.count(F.lit(1)).alias("original_rows"))
-    sent = F.least("original_rows", F.lit(max_rows))
-    return out.withColumns(
-        {
-            "sent_rows": sent,
-            "omitted_rows": F.col("original_rows") - sent,
-            "truncated": F.col("original_rows") > max_rows,
-        }
-    )
+    parts = F.ceil(F.col("original_rows") / max_rows) if max_rows else F.lit(1)
+    return out.withColumns({"payloads": parts.cast("long"), "split": parts > 1})
 
 
-def match_documents(rows: DataFrame, payload: list[str], order: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
-    """One nested document per match of a payload: five market arrays, counts, missing markets, size."""
+def match_documents(rows: DataFrame, payload: list[str], order: list[str], max_rows: int | None = None) -> DataFrame:
+    """One nested document per match of a payload: five market arrays, counts, missing markets, size.
+
+    A match that straddles two payloads of the budget has a document in each.
+    """
     kept = budget_rows(rows.where(F.trim(text(F.col("match_id"))) != ""), payload, order, max_rows)
+    payload = [*payload, "payload_no"]
     kept = kept.withColumn("_bucket", section_key(F.col("market"), F.col("period")))
     left_out = {*payload, *_MATCH, "match_id", "market", "period", "_bucket"}
     entry = F.struct(*[c for c in kept.columns if c not in left_out and c != "row_no"])
@@ -74,10 +69,8 @@ def match_documents(rows: DataFrame, payload: list[str], order: list[str], max_r
 
 
 def per_match_chunks(docs: DataFrame, payload: list[str]) -> DataFrame:
-    """One chunk per document: position, total and title.
-
-    A payload holds at most its row budget of documents, so numbering them is bounded.
-    """
+    """One chunk per document: position, total and title."""
+    payload = [*payload, "payload_no"]
     w = W.partitionBy(*payload)
     teams = F.concat_ws(" vs ", *[F.nullif(F.col(c), F.lit("")) for c in ("home", "away") if c in docs.columns])
     title = F.concat_ws(" · ", F.nullif(F.col("league"), F.lit("")), F.nullif(teams, F.lit("")))
@@ -98,9 +91,10 @@ def pool_chunk_id(df: DataFrame) -> Column:
     return F.coalesce(*ids, F.nullif(names, F.lit("")), F.lit("unknown"))
 
 
-def pool_chunks(hits: DataFrame, payload: list[str], order: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
-    """Hits of one pool match together, within the payload's row budget."""
+def pool_chunks(hits: DataFrame, payload: list[str], order: list[str], max_rows: int | None = None) -> DataFrame:
+    """Hits of one pool match together; hits over the row budget go to further payloads."""
     kept = budget_rows(hits.withColumn("chunk_id", pool_chunk_id(hits)), payload, order, max_rows)
+    payload = [*payload, "payload_no"]
     entry = F.struct("row_no", F.struct(*hits.columns).alias("r"))
     out = kept.groupBy(*payload, "chunk_id").agg(F.sort_array(F.collect_list(entry)).alias("_l"))
     w = W.partitionBy(*payload)
@@ -117,12 +111,10 @@ def pool_chunks(hits: DataFrame, payload: list[str], order: list[str], max_rows:
 def squad(players: DataFrame) -> DataFrame:
     """Line-up players of each match once per name, the last line-up entry winning, and the probable elevens.
 
-    players: match_id, team_pos, team, role, pos, name, number, position, formation, coach.  The
-    report holds four line-ups of eleven starters and twelve substitutes; repeated captures of a
-    slot merge first, so a match collects at most that many rows.
+    players: match_id, team_pos, team, role, pos, name, number, position, formation, coach.
+    Repeated captures of a slot merge first, so a match collects one row per slot of its line-ups.
     """
-    slots = (F.col("team_pos") < 4) & (F.col("pos") < F.when(F.col("role") == "start", 11).otherwise(12))
-    players = pick_first(players.where(slots), ["match_id", "team_pos", "role", "pos"], [F.col("name")])
+    players = pick_first(players, ["match_id", "team_pos", "role", "pos"], [F.col("name")])
     at = F.struct("team_pos", F.col("role") == "substitute", "pos")
     named = players.where(F.coalesce("name", F.lit("")) != "")
     unique = named.groupBy("match_id", "name").agg(F.min(at).alias("_at"), F.max_by(F.struct("team", "position"), at).alias("_p"))

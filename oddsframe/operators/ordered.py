@@ -6,16 +6,35 @@ over (key, block), and one summary row per block carries the rest.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys of which NULL equals NULL; the columns of `df`, then the rest of `other`."""
+    right = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(right, same).drop(*[f"_k_{k}" for k in keys])
+
+
+def blocked(df: DataFrame, keys: list[str], index: str, block: int) -> DataFrame:
+    """`_b`: number of the index block of a row, about `block` rows each where the index is even."""
+    n = F.col(index).cast("double")
+    ranges = df.groupBy(*keys).agg(F.min(n).alias("_lo"), F.max(n).alias("_hi"), F.count(F.lit(1)).alias("_all"))
+    rows = join_null_safe(df, ranges, keys)
+    share = (n - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    number = F.coalesce(F.floor(share * F.ceil(F.col("_all") / block)), F.lit(-1)).cast("long")
+    return rows.withColumn("_b", number).drop("_lo", "_hi", "_all")
+
+
 def previous_row(df: DataFrame, keys: list[str], block: Column, order: list[str], cols: list[str]) -> DataFrame:
     """`prev`: struct of `cols` of the row before, per key; NULL on the first row."""
     rows = df.withColumns({"_b": block, "_s": F.struct(*cols)})
     inside = F.lag("_s").over(W.partitionBy(*keys, "_b").orderBy(*order))
     last = rows.groupBy(*keys, "_b").agg(F.max_by("_s", F.struct(*order)).alias("_last"))
     before = F.lag("_last").over(W.partitionBy(*keys).orderBy("_b"))
-    joined = rows.withColumn("_in", inside).join(last.select(*keys, "_b", before.alias("_before")), [*keys, "_b"])
+    joined = join_null_safe(rows.withColumn("_in", inside), last.select(*keys, "_b", before.alias("_before")), [*keys, "_b"])
     return joined.select(*df.columns, F.coalesce("_in", "_before").alias("prev"))

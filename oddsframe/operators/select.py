@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from oddsframe import dims
 from oddsframe.functions.text import norm_name, text
+from oddsframe.operators.ordered import blocked, join_null_safe
 from oddsframe.operators.quotes import pick_first
 
 
@@ -254,9 +255,10 @@ def retryable_results(sections: DataFrame) -> DataFrame:
     return retry_issues(sections).select("match_id").distinct()
 
 
-def order_by_kickoff(df: DataFrame, limit: int = 200, index: str = "source_index") -> DataFrame:
-    """Earliest kickoff first, unknown last, then input order; the limit is a report size (1..500)."""
-    return df.orderBy(F.asc_nulls_last("kickoff_ts"), F.asc(index)).limit(max(1, min(limit, 500)))
+def order_by_kickoff(df: DataFrame, limit: int | None = None, index: str = "source_index") -> DataFrame:
+    """Earliest kickoff first, unknown last, then input order; all rows, or the first `limit`."""
+    ordered = df.orderBy(F.asc_nulls_last("kickoff_ts"), F.asc(index))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def sort_hits(hits: DataFrame) -> DataFrame:
@@ -272,17 +274,18 @@ def limit_matches(df: DataFrame, n: int, index: str = "source_index") -> DataFra
 def running_number(df: DataFrame, keys: list[str], index: str, block: int = 50_000) -> DataFrame:
     """`row_no`: 0-based position per key by an integer `index`, without one task per key.
 
-    Rows are cut into index blocks; positions inside a block plus the counts of earlier blocks
-    (one row per block) give the global position.
+    The index range of a key is cut into as many blocks as its rows need, however sparse the index
+    is; positions inside a block plus the counts of earlier blocks (one row per block) give the
+    global position.  A NULL key is a key, a NULL index comes first.
     """
-    rows = df.withColumn("_b", F.floor(F.col(index) / block))
+    rows = blocked(df, keys, index, block)
     counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(
         F.sum("_n").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
     offsets = counts.select(*keys, "_b", before.alias("_before"))
     inside = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(index))
-    numbered = rows.withColumn("_i", inside).join(offsets, [*keys, "_b"])
+    numbered = join_null_safe(rows.withColumn("_i", inside), offsets, [*keys, "_b"])
     return numbered.withColumn("row_no", (F.col("_before") + F.col("_i") - 1).cast("long")).drop("_b", "_i", "_before")
 
 

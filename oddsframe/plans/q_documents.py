@@ -16,7 +16,7 @@ from oddsframe.plans.q_quotes import quotes
 from oddsframe.plans.registry import query
 from oddsframe.plans.sqltext import KEYED, mean, rn
 
-# One payload per ten matches: about 200 rows each here, cut at 120.
+# One payload per ten matches: about 200 rows each here, in parts of 120.
 BUDGET = 120
 ROW_ORDER = ["match_no", "bucket_no", "changed_at", "tie_break", "company_id", "ini_a", "cur_a"]
 _ROWS = (
@@ -24,12 +24,13 @@ _ROWS = (
     " case when market = 'asian' and period = 'full' then 1 when market = 'asian' then 2 when market = 'over_under' and period = 'full' then 3 when market = 'over_under' then 4 else 5 end bucket_no,"
     " row_number() over (partition by cast(match_id as bigint) // 10 order by cast(match_id as bigint), case when market = 'asian' and period = 'full' then 1 when market = 'asian' then 2"
     " when market = 'over_under' and period = 'full' then 3 when market = 'over_under' then 4 else 5 end, changed_at, tie_break, company_id, ini_a, cur_a) row_no from keyed),"
-    f" kept as (select * from r where row_no <= {BUDGET})"
+    f" kept as (select *, (row_no - 1) // {BUDGET} payload_no from r)"
 )
 _COUNTS = ", ".join(f"count(*) filter (bucket_no = {i}) n{i}" for i in range(1, 6))
 _DOCS = (
-    f"{_ROWS}, docs as (select payload_id, match_id, min(row_no) first_row, {_COUNTS}, string_agg(company_id, ',' order by row_no) filter (bucket_no = 3) books from kept group by all)"
+    f"{_ROWS}, docs as (select payload_id, payload_no, match_id, min(row_no) first_row, {_COUNTS}, string_agg(company_id, ',' order by row_no) filter (bucket_no = 3) books from kept group by all)"
 )
+_WHOLE = _DOCS.replace(f"(row_no - 1) // {BUDGET} payload_no", "0 payload_no")
 _MISSING = "concat_ws('、', case when n1 = 0 then '亞盤 全場' end, case when n2 = 0 then '亞盤 半場' end, case when n3 = 0 then '大小 全場' end, case when n4 = 0 then '大小 半場' end, case when n5 = 0 then '歐洲賠率' end)"
 _COMPLETE = "((n1 > 0)::int + (n2 > 0)::int + (n3 > 0)::int + (n4 > 0)::int + (n5 > 0)::int)"
 
@@ -50,12 +51,12 @@ def docs(spark, sf):
 
 @query(
     "a17_match_documents",
-    f"{_DOCS} select payload_id, match_id, first_row, n1 asian_full, n2 asian_half, n3 over_under_full, n4 over_under_half, n5 europe, {_COMPLETE} complete_market_count, {_MISSING} missing_markets, coalesce(books, '') books from docs",
+    f"{_DOCS} select payload_id, payload_no, match_id, first_row, n1 asian_full, n2 asian_half, n3 over_under_full, n4 over_under_half, n5 europe, {_COMPLETE} complete_market_count, {_MISSING} missing_markets, coalesce(books, '') books from docs",
 )
 def documents(spark, sf):
     c = F.col
     return docs(spark, sf).select(
-        "payload_id", "match_id", "first_row", c("market_counts.asianFull").alias("asian_full"), c("market_counts.asianHalf").alias("asian_half"),
+        "payload_id", "payload_no", "match_id", "first_row", c("market_counts.asianFull").alias("asian_full"), c("market_counts.asianHalf").alias("asian_half"),
         c("market_counts.overUnderFull").alias("over_under_full"), c("market_counts.overUnderHalf").alias("over_under_half"), c("market_counts.europe").alias("europe"),
         "complete_market_count", F.array_join("missing_markets", "、").alias("missing_markets"),
         F.array_join(F.transform("markets.overUnderFull", lambda r: r["company_id"]), ",").alias("books"),
@@ -64,7 +65,7 @@ def documents(spark, sf):
 
 @query(
     "a17_payload_summary",
-    f"{_ROWS} select payload_id, count(*) original_rows, least(count(*), {BUDGET}) sent_rows, greatest(count(*) - {BUDGET}, 0) omitted_rows, count(*) > {BUDGET} truncated from r group by payload_id",
+    f"{_ROWS} select payload_id, count(*) original_rows, (count(*) + {BUDGET} - 1) // {BUDGET} payloads, count(*) > {BUDGET} split from r group by payload_id",
 )
 def payloads(spark, sf):
     return D.payload_summary(rows(spark, sf), ["payload_id"], BUDGET)
@@ -72,28 +73,28 @@ def payloads(spark, sf):
 
 @query(
     "a18_per_match_chunks",
-    f"{_DOCS} select payload_id, match_id, row_number() over (partition by payload_id order by first_row) chunk_index, count(*) over (partition by payload_id) chunk_total, 'L · H' || match_id match_title from docs",
+    f"{_DOCS} select payload_id, payload_no, match_id, row_number() over (partition by payload_id, payload_no order by first_row) chunk_index, count(*) over (partition by payload_id, payload_no) chunk_total, 'L · H' || match_id match_title from docs",
 )
 def chunks(spark, sf):
-    return D.per_match_chunks(docs(spark, sf), ["payload_id"]).select("payload_id", "match_id", "chunk_index", "chunk_total", "match_title")
+    return D.per_match_chunks(docs(spark, sf), ["payload_id"]).select("payload_id", "payload_no", "match_id", "chunk_index", "chunk_total", "match_title")
 
 
 @query(
     "a18_pool_chunks",
-    f"{POOL}, {_VARIED}, {_PRICE.format('varied')}, p as (select *, cast(match_id as bigint) // 50 payload_id, case when cast(match_id as bigint) % 2 = 0 then front_end_id else match_id end chunk_id from price qualify row_number() over (partition by cast(match_id as bigint) // 50 order by cast(match_id as bigint), pool, line_id, \"rule\", selection) <= 100),"
-    " g as (select payload_id, chunk_id, count(*) n_rows, min(cast(match_id as bigint)) m from p group by all) select payload_id, chunk_id, n_rows, row_number() over (partition by payload_id order by m) chunk_index, count(*) over (partition by payload_id) chunk_total from g",
+    f"{POOL}, {_VARIED}, {_PRICE.format('varied')}, p as (select *, cast(match_id as bigint) // 50 payload_id, case when cast(match_id as bigint) % 2 = 0 then front_end_id else match_id end chunk_id, row_number() over (partition by cast(match_id as bigint) // 50 order by cast(match_id as bigint), pool, line_id, \"rule\", selection) row_no from price),"
+    " g as (select payload_id, (row_no - 1) // 100 payload_no, chunk_id, count(*) n_rows, min(row_no) m from p group by all) select payload_id, payload_no, chunk_id, n_rows, row_number() over (partition by payload_id, payload_no order by m) chunk_index, count(*) over (partition by payload_id, payload_no) chunk_total from g",
 )
 def pool_chunks(spark, sf):
     number = F.col("match_id").cast("long")
     hits = P.scan_price_rules(varied(spark, sf)).withColumns({"number": number, "payload_id": F.floor(number / 50)})
     hits = hits.withColumn("front_end_id", F.when(number % 2 == 0, F.col("front_end_id")))
     out = D.pool_chunks(hits, ["payload_id"], ["number", "pool", "line_id", "rule", "selection"], 100)
-    return out.select("payload_id", "chunk_id", F.size("rows").alias("n_rows"), "chunk_index", "chunk_total")
+    return out.select("payload_id", "payload_no", "chunk_id", F.size("rows").alias("n_rows"), "chunk_index", "chunk_total")
 
 
 def inputs(spark, sf):
-    d = docs(spark, sf).withColumn("state", F.when(F.col("match_id").cast("long") % 3 == 0, F.lit("下半場")).otherwise(F.lit("未開")))
-    ids = fx(spark, sf, "fx_matches").select("match_id", "source_index").where(F.col("source_index") < 3000)
+    d = D.match_documents(rows(spark, sf), ["payload_id"], ROW_ORDER).withColumn("state", F.when(F.col("match_id").cast("long") % 3 == 0, F.lit("下半場")).otherwise(F.lit("未開")))
+    ids = fx(spark, sf, "fx_matches").select("match_id", "source_index")
     players = ids.where("source_index % 2 = 0").select("match_id", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("k"))
     players = players.select(
         "match_id", F.lit(0).alias("team_pos"), F.lit("T").alias("team"), F.lit("4-4-2").alias("formation"), F.lit("C").alias("coach"),
@@ -105,7 +106,7 @@ def inputs(spark, sf):
 
 
 _INPUT = (
-    f"{_DOCS}, ids as (select cast(o_orderkey as varchar) match_id, o_orderkey k from orders where o_custkey % 40 <> o_orderkey % 40 and o_orderkey < 3000),"
+    f"{_WHOLE}, ids as (select cast(o_orderkey as varchar) match_id, o_orderkey k from orders where o_custkey % 40 <> o_orderkey % 40),"
     " inp as (select d.*, cast(d.match_id as bigint) % 3 = 0 live, case when i.k % 2 = 0 then 12 else 0 end squad, case when i.k % 2 = 0 then 11 else 0 end xi, case when i.k % 5 = 0 then 1 else 0 end hurt from docs d left join ids i using (match_id))"
 )
 
@@ -189,7 +190,7 @@ def validated(spark, sf):
 
 @query(
     "a19_chunk_result_summary",
-    f"""{OUTPUTS} select id, case when j like '%"confidenceScore":80%' then 80.0 end confidence_score, case when j like '%"recommendation":"observe"%' then 'observe' else '' end recommended_bet, left("text", 520) summary, id % 7 <> 0 ok from o""",
+    f"""{OUTPUTS} select id, case when j like '%"confidenceScore":80%' then 80.0 end confidence_score, case when j like '%"recommendation":"observe"%' then 'observe' else '' end recommended_bet, "text" summary, id % 7 <> 0 ok from o""",
 )
 def result_summary(spark, sf):
     out = A.extract_structured(outputs(spark, sf)).withColumn("error", F.when(F.col("id") % 7 == 0, F.lit("timeout")))

@@ -287,32 +287,28 @@ def batch(spark, sf):
     return S.batch_summary(batch_rows(spark, sf))
 
 
-@query("l1_order_by_kickoff", f"with {ctes('fx_support')} select match_id, kickoff_ts from fx_support order by kickoff_ts, cast(match_id as bigint) limit 200")
+@query("l1_order_by_kickoff", f"with {ctes('fx_support')} select match_id, kickoff_ts from fx_support order by kickoff_ts, cast(match_id as bigint)")
 def by_kickoff(spark, sf):
     rows = fx(spark, sf, "fx_support").withColumn("source_index", F.col("match_id").cast("long"))
-    return S.order_by_kickoff(rows, 200).select("match_id", "kickoff_ts")
+    return S.order_by_kickoff(rows).select("match_id", "kickoff_ts")
 
 
-@query("l2_sort_hits", f"{M} select match_id, row_number() over (order by kickoff_ts, league || '|' || home || '|' || away, source_index) pos from m where state_code = '1' order by 2 limit 300")
+@query("l2_sort_hits", f"{M} select match_id, league || '|' || home || '|' || away sort_text from m order by kickoff_ts, 2")
 def sorted_hits(spark, sf):
-    hits = matches(spark, sf).where("state_code = '1'").withColumn("tournament", F.col("league"))
-    top = S.sort_hits(hits).orderBy("kickoff_ts", "sort_text", "source_index").limit(300)
-    key = F.struct("kickoff_ts", "sort_text", "source_index", "match_id")
-    listed = top.agg(F.sort_array(F.collect_list(key)).alias("l"))  # the 300 report rows
-    return listed.select(F.posexplode("l").alias("p", "x")).select("x.match_id", (F.col("p") + 1).alias("pos"))
+    return S.sort_hits(matches(spark, sf).withColumn("tournament", F.col("league"))).select("match_id", "sort_text")
 
 
-@query("l3_limit_matches", f"{M} select match_id, source_index from m where state_code = '0' order by source_index limit 50")
+@query("l3_limit_matches", f"{M} select match_id, source_index from m order by source_index limit 50")
 def limited(spark, sf):
-    return S.limit_matches(matches(spark, sf).where("state_code = '0'"), 50).select("match_id", "source_index")
+    return S.limit_matches(matches(spark, sf), 50).select("match_id", "source_index")
 
 
 @query(
     "l4_chunk_ids",
-    f"{M} select match_id, state_code snapshot_id, cast((row_number() over (partition by state_code order by source_index) - 1) // 25 as bigint) chunk from m",
+    f"{M} select match_id, nullif(state_code, '1') snapshot_id, cast((row_number() over (partition by state_code order by source_index) - 1) // 25 as bigint) chunk from m",
 )
 def chunks(spark, sf):
-    rows = matches(spark, sf).withColumn("snapshot_id", F.col("state_code"))
+    rows = matches(spark, sf).withColumn("snapshot_id", F.nullif(F.col("state_code"), F.lit("1")))  # a NULL key is a key
     return S.chunk_ids(rows).select("match_id", "snapshot_id", "chunk")
 
 

@@ -337,7 +337,7 @@ _PERSON = '{"player":{"id":{{o_custkey}},"name":"P#","type":"Out","reason":"Knee
 
 @query(
     "s20_parse_context_injuries",
-    "select o_orderkey page_id, i pos, 'P' || i player, 'T' || o_custkey % 9 team, 'Knee' reason, cast(o_orderkey as varchar) fixture_id from orders, range(30) t(i)",
+    "select o_orderkey page_id, i pos, 'P' || i player, 'T' || o_custkey % 9 team, 'Knee' reason, cast(o_orderkey as varchar) fixture_id from orders, range(33) t(i)",
 )
 def injuries(spark, sf):
     doc = '{"response":[' + ",".join(_PERSON.replace("#", str(i)) for i in range(33)) + "]}"
@@ -346,7 +346,7 @@ def injuries(spark, sf):
 
 @query(
     "s20_parse_context_lineups",
-    "select o_orderkey page_id, 'T' || o_custkey % 9 team, '4-4-2' formation, 'start' \"role\", i pos, 'S' || i as \"name\" from orders, range(11) t(i) union all select o_orderkey, 'T' || o_custkey % 9, '4-4-2', 'substitute', i, 'R' || i from orders, range(12) t(i)",
+    "select o_orderkey page_id, 'T' || o_custkey % 9 team, '4-4-2' formation, 'start' \"role\", i pos, 'S' || i as \"name\" from orders, range(12) t(i) union all select o_orderkey, 'T' || o_custkey % 9, '4-4-2', 'substitute', i, 'R' || i from orders, range(13) t(i)",
 )
 def lineups(spark, sf):
     people = lambda p, n: ",".join(f'{{"player":{{"id":{i},"name":"{p}{i}","number":{i},"pos":"M"}}}}' for i in range(n))
@@ -365,12 +365,14 @@ def weather(spark, sf):
 
 @query(
     "s20_parse_context_fixtures",
-    "select o_orderkey page_id, cast(o_orderkey as varchar) fixture_id, '2026-04-19' as \"date\", 'NS' status, 'City ' || o_custkey % 9 city, 'PL' league, 'H' || o_custkey % 40 home, 'A' || o_orderkey % 40 away from orders",
+    "select o_orderkey page_id, cast(o_orderkey as varchar) fixture_id, '2026-04-19' as \"date\", 'NS' status, 'Not Started' status_long, 'Ground ' || o_custkey % 5 venue, 'City ' || o_custkey % 9 city, '1' league_id, 'PL' league, 'England' country,"
+    " '2026' season, 'Round ' || o_custkey % 38 as \"round\", '1' home_id, 'H' || o_custkey % 40 home, '2' away_id, 'A' || o_orderkey % 40 away, (o_custkey % 4)::int goals_home, null::int goals_away, 1 halftime_home, 0 halftime_away,"
+    " (o_custkey % 4)::int fulltime_home, null::int fulltime_away, null::int extratime_home, null::int extratime_away, null::int penalty_home, null::int penalty_away from orders",
 )
 def fixtures(spark, sf):
     doc = (
-        '{"response":[{"fixture":{"id":{{o_orderkey}},"date":"2026-04-19","status":{"short":"NS"},"venue":{"city":"City {{o_custkey % 9}}"}},"league":{"id":1,"name":"PL"},'
-        '"teams":{"home":{"id":1,"name":"H{{o_custkey % 40}}"},"away":{"id":2,"name":"A{{o_orderkey % 40}}"}}}]}'
+        '{"response":[{"fixture":{"id":{{o_orderkey}},"date":"2026-04-19","status":{"long":"Not Started","short":"NS"},"venue":{"name":"Ground {{o_custkey % 5}}","city":"City {{o_custkey % 9}}"}},"league":{"id":1,"name":"PL","country":"England","season":2026,"round":"Round {{o_custkey % 38}}"},'
+        '"teams":{"home":{"id":1,"name":"H{{o_custkey % 40}}"},"away":{"id":2,"name":"A{{o_orderkey % 40}}"}},"goals":{"home":{{o_custkey % 4}},"away":null},"score":{"halftime":{"home":1,"away":0},"fulltime":{"home":{{o_custkey % 4}},"away":null}}}]}'
     )
     return feeds.parse_context_json(body(spark, sf, doc), "fixtures")
 

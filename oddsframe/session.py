@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,10 +39,13 @@ def build_session(app: str = "oddsframe", master: str | None = None, shuffle_par
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage and stream state: the cluster's spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a scratch folder is used.
+    Only where a local session names none (tests) a scratch folder is used; executors on other
+    machines could not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

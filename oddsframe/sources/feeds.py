@@ -124,11 +124,8 @@ def has_probability_json(body: Column) -> Column:
 
 
 def parse_probability_text(df: DataFrame, threshold: float = 80, min_n: int = 10) -> DataFrame:
-    """Events from the visible text of pages without probability JSON.
-
-    The section is the 50,000 characters after its heading, as in the pages themselves.
-    """
-    section = F.regexp_extract("body", r"(?is)(?:概率事件|概率|Probability\s*Events?).{0,50000}", 0)
+    """Events from the visible text of pages without probability JSON, from the heading to the end of the page."""
+    section = F.regexp_extract("body", r"(?is)(?:概率事件|概率|Probability\s*Events?).*", 0)
     broken = F.regexp_replace(section, r"(?i)</(?:div|li|p|tr|td|dd|dt|section|article|h[1-6])>|<br\s*/?>", "\n")
     lines = F.filter(F.transform(F.split(decode_entities(strip_tags(broken)), r"\n+"), squeeze), lambda t: t != "")
     base = df.where(~F.coalesce(has_probability_json(F.col("body")), F.lit(False))).select(*_kept(df), lines.alias("_l"))
@@ -221,9 +218,11 @@ def pool_catalog(df: DataFrame, pool_keys: list[str] | None = None, now: Column
 
 _TEAM = "struct<id: string, name: string>"
 _PERSON = "struct<id: string, name: string, number: string, pos: string, grid: string, type: string, reason: string>"
+_GOALS = "struct<home: int, away: int>"
 _FIXTURE = (
     "fixture struct<id: string, date: string, status: struct<long: string, short: string>, venue: struct<name: string, city: string>>, "
-    f"league struct<id: string, name: string, country: string, season: string, round: string>, teams struct<home: {_TEAM}, away: {_TEAM}>"
+    f"league struct<id: string, name: string, country: string, season: string, round: string>, teams struct<home: {_TEAM}, away: {_TEAM}>, "
+    f"goals {_GOALS}, score struct<halftime: {_GOALS}, fulltime: {_GOALS}, extratime: {_GOALS}, penalty: {_GOALS}>"
 )
 
 
@@ -232,8 +231,14 @@ def parse_fixtures(df: DataFrame) -> DataFrame:
     f = F.col("_f")
     return rows.select(
         *_kept(df), f["fixture"]["id"].alias("fixture_id"), f["fixture"]["date"].alias("date"),
-        f["fixture"]["status"]["short"].alias("status"), f["fixture"]["venue"]["city"].alias("city"),
-        f["league"]["name"].alias("league"), f["teams"]["home"]["name"].alias("home"), f["teams"]["away"]["name"].alias("away"),
+        f["fixture"]["status"]["short"].alias("status"), f["fixture"]["status"]["long"].alias("status_long"),
+        f["fixture"]["venue"]["name"].alias("venue"), f["fixture"]["venue"]["city"].alias("city"),
+        f["league"]["id"].alias("league_id"), f["league"]["name"].alias("league"), f["league"]["country"].alias("country"),
+        f["league"]["season"].alias("season"), f["league"]["round"].alias("round"),
+        f["teams"]["home"]["id"].alias("home_id"), f["teams"]["home"]["name"].alias("home"),
+        f["teams"]["away"]["id"].alias("away_id"), f["teams"]["away"]["name"].alias("away"),
+        f["goals"]["home"].alias("goals_home"), f["goals"]["away"].alias("goals_away"),
+        *[f["score"][part][side].alias(f"{part}_{side}") for part in ("halftime", "fulltime", "extratime", "penalty") for side in ("home", "away")],
     )
 
 
@@ -250,13 +255,10 @@ def _struct(fields: str) -> str:
     return ", ".join(out)
 
 
-MAX_INJURIES, MAX_LINEUPS, MAX_STARTERS, MAX_SUBSTITUTES = 30, 4, 11, 12  # sizes of the context report
-
-
 def parse_injuries(df: DataFrame) -> DataFrame:
-    """Injuries of a fixture document, the first 30."""
+    """Injuries of a fixture document, with their place in it."""
     schema = f"response array<struct<player: {_PERSON}, team: {_TEAM}, fixture: struct<id: string>>>"
-    items = F.slice(F.from_json("body", schema)["response"], 1, MAX_INJURIES)
+    items = F.from_json("body", schema)["response"]
     rows = spread(df, _kept(df), items, "_i")
     i = F.col("_i")
     return rows.select(
@@ -267,17 +269,17 @@ def parse_injuries(df: DataFrame) -> DataFrame:
 
 
 def parse_lineups(df: DataFrame) -> DataFrame:
-    """Line-up players: up to four teams, eleven starters and twelve substitutes each."""
+    """Line-up players of every team, starters then substitutes."""
     entry = f"array<struct<player: {_PERSON}>>"
     schema = f"response array<struct<team: {_TEAM}, formation: string, coach: struct<name: string>, startXI: {entry}, substitutes: {entry}>>"
-    teams = F.slice(F.from_json("body", schema)["response"], 1, MAX_LINEUPS)
+    teams = F.from_json("body", schema)["response"]
     rows = spread(df, _kept(df), teams, "_t", "team_pos")
     t = F.col("_t")
     empty = F.array().cast(entry)
-    tagged = lambda arr, role, n: F.transform(
-        F.slice(F.coalesce(arr, empty), 1, n), lambda e, i: F.struct(F.lit(role).alias("role"), i.alias("pos"), e["player"].alias("p"))
+    tagged = lambda arr, role: F.transform(
+        F.coalesce(arr, empty), lambda e, i: F.struct(F.lit(role).alias("role"), i.alias("pos"), e["player"].alias("p"))
     )
-    players = F.concat(tagged(t["startXI"], "start", MAX_STARTERS), tagged(t["substitutes"], "substitute", MAX_SUBSTITUTES))
+    players = F.concat(tagged(t["startXI"], "start"), tagged(t["substitutes"], "substitute"))
     rows = spread_fields(rows, [*_kept(df), "team_pos", "_t"], players)
     p = F.col("p")
     return rows.select(

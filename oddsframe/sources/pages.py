@@ -52,9 +52,16 @@ def _count(col: Column, pattern: str) -> Column:
     return F.length(col) - F.length(F.regexp_replace(col, pattern, ""))
 
 
-def declared_charset(body: Column, content_type: Column) -> Column:
-    """Charset of the header, else of the first 4096 bytes, as utf-8 / gb18030 / big5 / its own name."""
-    head = F.decode(F.substring(body, 1, 4096), "ISO-8859-1")
+def _head(body: Column, size: int | None) -> Column:
+    return body if size is None else F.substring(body, 1, size)
+
+
+def declared_charset(body: Column, content_type: Column, head_bytes: int | None = None) -> Column:
+    """Charset of the header, else of the body, as utf-8 / gb18030 / big5 / its own name.
+
+    `head_bytes` limits how much of the body is looked through; the default is all of it.
+    """
+    head = F.decode(_head(body, head_bytes), "ISO-8859-1")
     header = F.regexp_extract(text(content_type), r"(?i)charset=([^;\s]+)", 1)
     meta = F.regexp_extract(head, r"(?i)charset=[\"']?\s*([a-z0-9_-]+)", 1)
     name = F.lower(F.translate(F.coalesce(F.nullif(header, F.lit("")), meta), "\"'", ""))
@@ -65,7 +72,7 @@ def declared_charset(body: Column, content_type: Column) -> Column:
     )
 
 
-def decode_pages(df: DataFrame) -> DataFrame:
+def decode_pages(df: DataFrame, head_bytes: int | None = None) -> DataFrame:
     """`text` of each page: the declared charset, or the other of UTF-8 and GB18030 where that one
     clearly reads better."""
     spark = df.sparkSession
@@ -73,12 +80,12 @@ def decode_pages(df: DataFrame) -> DataFrame:
     with lenient_decoding(spark):
         read = df.withColumns(
             {
-                "_cs": declared_charset(body, kind),
+                "_cs": declared_charset(body, kind, head_bytes),
                 "_utf": F.decode(body, "UTF-8"),
                 "_gb": F.decode(body, "GB18030"),
                 "_big5": F.decode(body, "Big5"),
                 "_says_utf": kind.rlike(r"(?i)charset\s*=\s*[\"']?\s*utf-?8")
-                | F.decode(F.substring(body, 1, 4096), "ISO-8859-1").rlike(r"(?i)charset\s*=\s*[\"']?\s*utf-?8"),
+                | F.decode(_head(body, head_bytes), "ISO-8859-1").rlike(r"(?i)charset\s*=\s*[\"']?\s*utf-?8"),
             }
         )
     cjk = lambda c: _count(F.col(c), "[㐀-鿿]")
@@ -113,9 +120,12 @@ def decode_pages(df: DataFrame) -> DataFrame:
     return out.select(*df.columns, "text")
 
 
-def is_error_page(body: Column) -> Column:
-    """A server error in the head of the page, or a not-found page without any match data."""
-    head = F.substring(body, 1, 12000)
+def is_error_page(body: Column, head_chars: int | None = None) -> Column:
+    """A server error on the page, or a not-found page without any match data.
+
+    `head_chars` limits how much of the page is looked through; the default is all of it.
+    """
+    head = _head(body, head_chars)
     plain = F.regexp_replace(head, r"(?is)<script\b.*?</script>|<style\b.*?</style>", " ")
     plain = F.regexp_replace(plain, "<[^>]+>", " ")
     useful = body.rlike("(?i)freshJsonData|oddsData|概率事件|compDiv|scheduleId")
@@ -128,5 +138,5 @@ def is_error_page(body: Column) -> Column:
     return server | (~useful & gone)
 
 
-def drop_error_pages(df: DataFrame, body: str = "body") -> DataFrame:
-    return df.where(~is_error_page(F.col(body)))
+def drop_error_pages(df: DataFrame, body: str = "body", head_chars: int | None = None) -> DataFrame:
+    return df.where(~is_error_page(F.col(body), head_chars))
