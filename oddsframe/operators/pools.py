@@ -4,28 +4,41 @@ A selection table holds match_id, front_end_id, kickoff_ts, status, pool, pool_s
 condition, main, line_status, sel, comb_status, odds, update_at and an increasing `sel_index`;
 columns a scan does not need may be absent.  `names` (array) may hold further selection texts.
 All scans group by (match, pool, line) with partial aggregates, so a match with very many
-selections is reduced before the shuffle.
+selections is reduced before the shuffle.  A table with `snapshot_id` holds several captures: prices
+are compared within a capture only, and hits say which.  `latest_snapshot` keeps the newest.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe import dims
 from oddsframe.functions import odds as X
-from oddsframe.functions.rows import spread_fields
 from oddsframe.operators.quotes import pick_first
 from oddsframe.operators.select import pool_window, pool_window_or_inplay
 
 HIT_COLUMNS = [
-    "match_id", "front_end_id", "kickoff_ts", "pool", "rule", "rule_label", "line_id", "line", "selection", "odds",
+    "snapshot_id", "match_id", "front_end_id", "kickoff_ts", "pool", "rule", "rule_label", "line_id", "line", "selection", "odds",
     "home_odds", "draw_odds", "away_odds", "total_goals", "score_count", "source_page",
 ]
 _TYPES = {"kickoff_ts": "timestamp_ntz", "total_goals": "int", "score_count": "int"}
 _ORDER = ("sel_index",)
 
 
+def _match(df: DataFrame) -> list[str]:
+    """What tells a capture of a match apart."""
+    return ["snapshot_id", "match_id"] if "snapshot_id" in df.columns else ["match_id"]
+
+
+def latest_snapshot(sel: DataFrame) -> DataFrame:
+    """The rows of each match's newest capture."""
+    newest = sel.groupBy("match_id").agg(F.max("snapshot_id").alias("snapshot_id"))
+    return sel.join(newest, ["match_id", "snapshot_id"], "left_semi")
+
+
 def _opt(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(_TYPES.get(name, "string"))
 
@@ -49,7 +62,7 @@ def _last(value: Column, where: Column, order) -> Column:
 def scan_three_way(sel: DataFrame, order=_ORDER) -> DataFrame:
     """Home or away at a wanted price, and the two full price triples, per HAD line."""
     rows = sel.where(F.col("pool") == "HAD").withColumn("_o", X.price(sel))
-    line = rows.groupBy("match_id", "pool", "line_id").agg(
+    line = rows.groupBy(*_match(rows), "pool", "line_id").agg(
         *_carry(rows), *[_last(F.col("_o"), F.col("sel") == s, order).alias(s) for s in "HDA"]
     )
     line = line.withColumns({s: F.col(s).cast("string") for s in "HDA"})
@@ -100,7 +113,7 @@ def scan_special_odds(sel: DataFrame, now: Column, hours: int = 24, order=_ORDER
 def scan_summary(sel: DataFrame, hits: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """Scanned matches and hits."""
     zero = F.lit(0).cast("long")
-    scanned = pool_window(sel, now, hours).agg(F.count_distinct("match_id").alias("scanned_matches")).withColumn("hit_count", zero)
+    scanned = pool_window(sel, now, hours).agg(F.count_distinct(F.struct(*_match(sel))).alias("scanned_matches")).withColumn("hit_count", zero)
     found = hits.agg(F.count(F.lit(1)).alias("hit_count")).withColumn("scanned_matches", zero)
     return scanned.unionByName(found).agg(*[F.max(c).alias(c) for c in ("scanned_matches", "hit_count")])
 
@@ -116,17 +129,17 @@ def correct_scores(sel: DataFrame) -> DataFrame:
     return rows.withColumns({"score": F.col("_s.label"), "total": F.col("_s.home") + F.col("_s.away")})
 
 
-def equal_odds_by_total(sel: DataFrame, order=_ORDER) -> DataFrame:
-    """Full-time scores of one goal total and one price, where two or more scores share them."""
-    rows = correct_scores(sel).where(F.col("pool") == "CRS")
-    # first step merges repeats of a score, so the list below holds distinct scores only
-    per_score = rows.groupBy("match_id", "pool", "line_id", "total", "_o", "score").agg(
-        *_carry(rows), F.min(F.struct(*order)).alias("_at")
-    )
-    groups = per_score.groupBy("match_id", "pool", "line_id", "total", "_o").agg(
-        *_carry(per_score), F.sort_array(F.collect_list(F.struct("_at", "score"))).alias("_l")
+def score_entries(sel: DataFrame, order=_ORDER) -> DataFrame:
+    """Correct-score selections with repeats of a (line, score, price) merged: when it came first and last."""
+    rows, at = correct_scores(sel), F.struct(*order)
+    return rows.groupBy(*_match(rows), "pool", "line_id", "total", "score", "_o").agg(*_carry(rows), F.min(at).alias("_first"), F.max(at).alias("_last"))
+
+
+def _equal_totals(entries: DataFrame) -> DataFrame:
+    rows = entries.where(F.col("pool") == "CRS")
+    groups = rows.groupBy(*_match(rows), "pool", "line_id", "total", "_o").agg(
+        *_carry(rows), F.sort_array(F.collect_list(F.struct("_first", "score"))).alias("_l")  # the scores of one total
     )
-    names = F.array_join(F.transform("_l", lambda x: x["score"]), " / ")
     total = F.col("total").cast("string")
     out = groups.where(F.size("_l") >= 2).withColumns(
         {
@@ -134,7 +147,7 @@ def equal_odds_by_total(sel: DataFrame, order=_ORDER) -> DataFrame:
             "rule": F.concat(F.lit("CRS_SAME_TOTAL_"), total, F.lit("_ODDS_"), F.col("_o")),
             "rule_label": F.concat(F.lit("全場波膽：同總入球 "), total, F.lit(" 同賠率")),
             "line": F.concat(F.lit("總入球 "), total),
-            "selection": names,
+            "selection": F.array_join(F.transform("_l", lambda x: x["score"]), " / "),
             "total_goals": F.col("total"),
             "score_count": F.size("_l"),
         }
@@ -142,11 +155,16 @@ def equal_odds_by_total(sel: DataFrame, order=_ORDER) -> DataFrame:
     return _hits(out)
 
 
-def _score_table(sel: DataFrame, pool: Column, labels: list[str], order) -> DataFrame:
+def equal_odds_by_total(sel: DataFrame, order=_ORDER) -> DataFrame:
+    """Full-time scores of one goal total and one price, where two or more scores share them."""
+    return _equal_totals(score_entries(sel, order))
+
+
+def _score_table(entries: DataFrame, pool: Column, labels: list[str]) -> DataFrame:
     """One row per line with the last price of each wanted score in column `s_<label>`."""
-    rows = correct_scores(sel).where(pool)
-    return rows.groupBy("match_id", "pool", "line_id").agg(
-        *_carry(rows), *[_last(F.col("_o"), F.col("score") == s, order).alias(f"s_{s}") for s in labels]
+    rows = entries.where(pool)
+    return rows.groupBy(*_match(rows), "pool", "line_id").agg(
+        *_carry(rows), *[F.max_by("_o", F.when(F.col("score") == s, F.col("_last"))).alias(f"s_{s}") for s in labels]
     )
 
 
@@ -165,9 +183,8 @@ def _pair(first: str, second: str, rule: Column, label: Column, line: Column, to
     )
 
 
-def half_score_pairs(sel: DataFrame, order=_ORDER) -> DataFrame:
-    """Half-time 0:0 priced like 1:0 (home) or 0:1 (away)."""
-    table = _score_table(sel, F.col("pool") == "FCS", ["0:0", "1:0", "0:1"], order)
+def _half_pairs(entries: DataFrame) -> DataFrame:
+    table = _score_table(entries, F.col("pool") == "FCS", ["0:0", "1:0", "0:1"])
     found = []
     for other, side in (("1:0", "home"), ("0:1", "away")):
         rule = F.concat(F.lit(f"FCS_{side}_SAME_ODDS_00_{other.replace(':', '')}_"), F.col("`s_0:0`"))
@@ -175,11 +192,14 @@ def half_score_pairs(sel: DataFrame, order=_ORDER) -> DataFrame:
     return _pair_hits(table, found)
 
 
-def score_pairs(sel: DataFrame, pairs=None, order=_ORDER) -> DataFrame:
-    """Configured score pairs at one price in one line, full and half time."""
-    pairs = pairs or dims.SCORE_PAIRS
+def half_score_pairs(sel: DataFrame, order=_ORDER) -> DataFrame:
+    """Half-time 0:0 priced like 1:0 (home) or 0:1 (away)."""
+    return _half_pairs(score_entries(sel, order))
+
+
+def _pairs(entries: DataFrame, pairs) -> DataFrame:
     labels = list(dict.fromkeys(s for p in pairs for s in p))
-    table = _score_table(sel, F.col("pool").isin("CRS", "FCS"), labels, order)
+    table = _score_table(entries, F.col("pool").isin("CRS", "FCS"), labels)
     prefix = F.when(F.col("pool") == "FCS", F.lit("半場波膽同賠率")).otherwise(F.lit("全場波膽同賠率"))
     found = []
     for a, b in pairs:
@@ -189,12 +209,15 @@ def score_pairs(sel: DataFrame, pairs=None, order=_ORDER) -> DataFrame:
     return _pair_hits(table, found)
 
 
-def full_half_equal_scores(sel: DataFrame) -> DataFrame:
-    """A score at the same price in the full-time and the half-time pool: one grouping, no self-join."""
-    rows = correct_scores(sel)
+def score_pairs(sel: DataFrame, pairs=None, order=_ORDER) -> DataFrame:
+    """Configured score pairs at one price in one line, full and half time."""
+    return _pairs(score_entries(sel, order), pairs or dims.SCORE_PAIRS)
+
+
+def _full_half(entries: DataFrame) -> DataFrame:
     side = lambda p: F.max(F.col("pool") == p)
-    groups = rows.groupBy("match_id", "score", "_o").agg(
-        *_carry(rows), F.max("total").alias("total_goals"), side("CRS").alias("_full"), side("FCS").alias("_half"),
+    groups = entries.groupBy(*_match(entries), "score", "_o").agg(
+        *_carry(entries), F.max("total").alias("total_goals"), side("CRS").alias("_full"), side("FCS").alias("_half"),
         F.array_sort(F.collect_set(F.nullif(F.col("line_id"), F.lit("")))).alias("_lines"),
     ).where("_full and _half")
     text = F.concat(F.lit("全場 "), F.col("score"), F.lit(" | 半場 "), F.col("score"))
@@ -214,21 +237,27 @@ def full_half_equal_scores(sel: DataFrame) -> DataFrame:
     return _hits(out).withColumn("source_page", F.lit("crs"))
 
 
+def full_half_equal_scores(sel: DataFrame) -> DataFrame:
+    """A score at the same price in the full-time and the half-time pool: one grouping, no self-join."""
+    return _full_half(score_entries(sel, ("pool",)))
+
+
 HIT_KEY = ["match_id", "front_end_id", "pool", "rule", "line_id", "total_goals", "odds", "selection", "kickoff_ts"]
 
 
 def dedupe_hits(hits: DataFrame, rank: str | None = None) -> DataFrame:
-    """One hit per 9-field key; the lowest `rank` wins, without one the rows are equal anyway."""
-    if rank is None:
-        return hits.dropDuplicates(HIT_KEY)
-    return pick_first(hits, HIT_KEY, [F.col(rank)])
+    """One hit per 9-field key and capture; the lowest `rank` wins, without one the rows are equal anyway."""
+    key = [*(c for c in ("snapshot_id",) if c in hits.columns), *HIT_KEY]
+    return hits.dropDuplicates(key) if rank is None else pick_first(hits, key, [F.col(rank)])
 
 
 def prefer_pool_source(sel: DataFrame, rank: str = "source_rank") -> DataFrame:
-    """Keep one source per match and pool: the regular listing for full-time scores, else the first."""
+    """Keep one source per match, capture and pool: the regular listing for full-time scores, else the first."""
     order = F.struct((F.col("pool").eqNullSafe("CRS") & (F.col("source") != "crs")).cast("int"), F.col(rank))
-    chosen = sel.groupBy("match_id", "pool").agg(F.min_by("source", order).alias("source"))
-    return sel.join(chosen, ["match_id", "pool", "source"], "left_semi")
+    key = [*_match(sel), "pool"]
+    chosen = sel.groupBy(*key).agg(F.min_by("source", order).alias("source"))
+    same = reduce(lambda a, b: a & b, [sel[c].eqNullSafe(chosen[c]) for c in [*key, "source"]])
+    return sel.join(chosen, same, "left_semi")
 
 
 # Fixed values: (listing source, wanted pool) of the score scan.
@@ -243,115 +272,48 @@ def first_pool_candidates(catalog: DataFrame) -> DataFrame:
     return rows.where(F.array_contains(on_sale, F.col("target_pool"))).dropDuplicates(["match_id", "source", "target_pool"])
 
 
-_HIT = ["rule", "rule_label", "line", "selection", "odds", "total_goals", "score_count", "source"]
-
-
-def _line_hits(entries: Column) -> Column:
-    """Hits inside one pool line, from its distinct (total, score, price) entries."""
-    pool = F.col("pool")
-
-    def hit(rule, label, line, selection, odds, total, count):
-        source = F.when(pool == "FCS", F.lit("fcs")).otherwise(F.lit("crs"))
-        values = [rule, label, line, selection, odds, total.cast("int"), count.cast("int"), source]
-        return F.struct(*[v.alias(n) for v, n in zip(values, _HIT)])
-
-    def same_total(group):
-        fits = F.filter(entries, lambda e: (e["total"] == group["total"]) & (e["o"] == group["o"]))
-        ordered = F.array_sort(F.transform(fits, lambda e: F.struct(e["first"], e["score"])))
-        total = group["total"].cast("string")
-        return hit(
-            F.concat(F.lit("CRS_SAME_TOTAL_"), total, F.lit("_ODDS_"), group["o"]),
-            F.concat(F.lit("全場波膽：同總入球 "), total, F.lit(" 同賠率")),
-            F.concat(F.lit("總入球 "), total),
-            F.array_join(F.transform(ordered, lambda x: x["score"]), " / "),
-            group["o"], group["total"], F.size(ordered),
-        )
-
-    groups = F.array_distinct(F.transform(entries, lambda e: F.struct(e["total"].alias("total"), e["o"].alias("o"))))
-    totals = F.when(pool == "CRS", F.filter(F.transform(groups, same_total), lambda h: h["score_count"] >= 2))
-
-    def last_price(label):
-        prices = F.transform(F.filter(entries, lambda e: e["score"] == label), lambda e: F.struct(e["last"], e["o"].alias("o")))
-        return F.array_max(prices)["o"]
-
-    found = []
-    for other, side in (("1:0", "home"), ("0:1", "away")):
-        zero = last_price("0:0")
-        cond = (pool == "FCS") & (zero == last_price(other))
-        rule = F.concat(F.lit(f"FCS_{side}_SAME_ODDS_00_{other.replace(':', '')}_"), zero)
-        found.append(F.when(cond, hit(rule, F.lit(f"半場波膽：{other} 與 0:0 同賠率"), F.lit("半場波膽"), F.lit(f"0:0 / {other}"), zero, F.lit(1), F.lit(2))))
-    prefix = F.when(pool == "FCS", F.lit("半場波膽同賠率")).otherwise(F.lit("全場波膽同賠率"))
-    for a, b in dims.SCORE_PAIRS:
-        price = last_price(a)
-        rule = F.concat(pool, F.lit(f"_PAIR_{a.replace(':', '')}_{b.replace(':', '')}_ODDS_"), price)
-        found.append(F.when(price == last_price(b), hit(rule, F.concat(prefix, F.lit(f"：{a} / {b}")), prefix, F.lit(f"{a} / {b}"), price, F.lit(None), F.lit(2))))
-    pairs = F.filter(F.array(*found), lambda h: h.isNotNull())
-    return F.concat(F.coalesce(totals, F.slice(pairs, 1, 0)), pairs)
-
-
-def _cross_entries(entries: Column) -> Column:
-    """Each (score, price) of a line as half of a possible full-time / half-time hit."""
-    def entry(e):
-        digits = F.replace(e["score"], F.lit(":"), F.lit(""))
-        values = [
-            F.concat(F.lit("CRS_FCS_SAME_SCORE_"), digits, F.lit("_ODDS_"), e["o"]), F.lit("全場/半場波膽同比分同賠率"),
-            F.concat(F.lit("比分 "), e["score"], F.lit("：全場 vs 半場")),
-            F.concat(F.lit("全場 "), e["score"], F.lit(" | 半場 "), e["score"]), e["o"], e["total"].cast("int"), F.lit(2), F.lit("crs_fcs"),
-        ]
-        return F.struct(*[v.alias(n) for v, n in zip(values, _HIT)])
-
-    return F.transform(entries, entry)
-
-
 def scan_equal_scores(sel: DataFrame, now: Column, hours: int = 24, order=_ORDER) -> DataFrame:
-    """All equal-price score scans inside the window (or in play), deduped, with their source.
+    """All equal-price score scans inside the window (or in play), with their source.
 
-    The selections are read once.  They merge to distinct (line, score, price) entries, a line's
-    entries meet in one row for the scans inside a line, and the last grouping both joins the
-    full-time and half-time entries and removes repeated hits.
+    The selections merge to distinct (line, score, price) entries once; each scan is a grouping of those.
     """
     rows = pool_window_or_inplay(sel, now, hours)
     if "source" in rows.columns:
         rows = prefer_pool_source(rows)
-    rows = correct_scores(rows)
-    at = F.struct(*order)
-    entries = rows.groupBy("match_id", "pool", "line_id", "total", "score", "_o").agg(
-        *_carry(rows), F.min(at).alias("first"), F.max(at).alias("last")
-    )
-    # a line has at most one entry per score and price
-    lines = entries.groupBy("match_id", "pool", "line_id").agg(
-        *_carry(entries), F.collect_list(F.struct("total", "score", F.col("_o").alias("o"), "first", "last")).alias("_l")
-    )
-    both = F.concat(_line_hits(F.col("_l")), _cross_entries(F.col("_l")))
-    found = spread_fields(lines, ["match_id", "front_end_id", "kickoff_ts", "pool", "line_id"], both)
-    cross = F.col("source") == "crs_fcs"
-    side = lambda p: F.max(F.when(cross, F.col("pool") == p).otherwise(F.lit(True)))
-    own = {"hit_pool": F.when(cross, F.lit("CRS/FCS")).otherwise(F.col("pool")), "own_line": F.when(~cross, F.col("line_id"))}
-    keys = ["match_id", "hit_pool", "own_line", *_HIT]
-    merged = found.withColumns(own).groupBy(*keys).agg(
-        F.max("front_end_id").alias("front_end_id"), F.max("kickoff_ts").alias("kickoff_ts"), side("CRS").alias("_full"), side("FCS").alias("_half"),
-        F.array_sort(F.collect_set(F.nullif(F.col("line_id"), F.lit("")))).alias("_lines"),
-    ).where("_full and _half")
-    out = merged.withColumns({"pool": F.col("hit_pool"), "line_id": F.coalesce("own_line", F.array_join("_lines", " / "))})
-    page = F.when(F.col("pool") == "CRS/FCS", F.lit("crs")).otherwise(F.col("source_page"))
-    hits = _hits(out, "source").withColumn("source_page", page)
-    return hits
+    entries = score_entries(rows, order)
+    found = [
+        (_equal_totals(entries), F.lit("crs")), (_half_pairs(entries), F.lit("fcs")), (_pairs(entries, dims.SCORE_PAIRS), F.lower("pool")),
+        (_full_half(entries), F.lit("crs_fcs")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), [hits.withColumn("source", source) for hits, source in found])
+
+
+CLOSED = ("CLOSED", "REFUND", "ABANDONED", "CANCELLED", "SUSPENDED")  # fixed values: states of a pool that is not open
+
+
+def open_pool(sel: DataFrame) -> Column:
+    """Whether the selection's pool is open; a table without the column holds open pools only."""
+    if "pool_status" not in sel.columns:
+        return F.lit(True)
+    status = F.upper(F.coalesce("pool_status", F.lit("")))
+    return (status != "") & ~status.isin(*CLOSED)
 
 
 def pool_quotes(sel: DataFrame) -> DataFrame:
     """Two-way quotes from the handicap (HDC) and totals (HIL, FHL) pools.
 
-    Only available lines with both prices above 1; prices net of stake, handicap sign flipped.
+    Only available lines of open pools with both prices above 1; prices net of stake, handicap sign flipped.
     """
     rows = sel.where(
-        F.col("pool").isin("HDC", "HIL", "FHL") & (F.col("line_status") == "AVAILABLE") & (F.col("comb_status") == "AVAILABLE")
+        F.col("pool").isin("HDC", "HIL", "FHL") & open_pool(sel) & (F.col("line_status") == "AVAILABLE") & (F.col("comb_status") == "AVAILABLE")
     )
     first = lambda s: F.min_by(F.col("odds").cast("decimal(18,6)"), F.when(s, F.col("sel_index")))
     asian = F.col("pool") == "HDC"
     third = F.when(asian, F.lit("A")).otherwise(F.lit("L"))
-    lines = rows.groupBy("match_id", "pool", "line_id").agg(
+    key = _match(rows)
+    lines = rows.groupBy(*key, "pool", "line_id").agg(
         F.max("condition").alias("condition"),
-        F.max("main").alias("main"),
+        F.coalesce(F.max("main"), F.lit(False)).alias("main"),
         F.max("update_at").alias("changed_at"),
         first(F.col("sel") == "H").alias("_a"),
         first(F.col("sel") == third).alias("_b"),
@@ -359,7 +321,7 @@ def pool_quotes(sel: DataFrame) -> DataFrame:
     value = X.line_value(F.col("condition"))
     lines = lines.withColumn("_v", value).where((F.col("_a") > 1) & (F.col("_b") > 1) & F.col("_v").isNotNull())
     return lines.select(
-        "match_id",
+        *key,
         F.when(asian, F.lit("asian")).otherwise(F.lit("over_under")).alias("market"),
         F.when(F.col("pool") == "FHL", F.lit("half")).otherwise(F.lit("full")).alias("period"),
         F.lit("48").alias("company_id"),

@@ -48,7 +48,8 @@ select cast(l_orderkey % 1500 as string) pool_match_id,
       else concat('0', cast(l_suppkey % 3 as string), '0', cast(l_partkey % 3 as string)) end sel,
  case when l_returnflag = 'N' then cast(1.70 + (l_partkey % 8) * 0.03 as decimal(10,2))
       else cast(5 + (l_partkey % 22) * 0.5 as decimal(10,2)) end odds,
- case when l_linestatus = 'O' then 'AVAILABLE' else 'SUSPENDED' end comb_status, l_shipdate update_at
+ case when l_linestatus = 'O' then 'AVAILABLE' else 'SUSPENDED' end comb_status, l_shipdate update_at,
+ nullif(cast(l_linenumber % 3 as string), '2') snapshot_id, case when l_suppkey % 11 = 0 then 'SUSPENDED' when l_suppkey % 13 = 0 then '' else 'SellingStarted' end pool_status
  from lineitem
 """,
     "fx_support": """

@@ -19,7 +19,7 @@ HOURS = 24 * 120
 POOL = (
     f"with {ctes('fx_pool')}, sel as (select pool_match_id match_id, cast('FB' || pool_match_id as varchar) front_end_id,"
     " timestamp '2001-01-01 00:00:00' + to_days(cast(cast(pool_match_id as bigint) % 700 as int)) kickoff_ts,"
-    " pool, line_id, sel, odds, comb_status, update_at from fx_pool)"
+    " pool, line_id, sel, odds, comb_status, update_at, snapshot_id, pool_status from fx_pool)"
 )
 _SCORES = (
     "scores as (select *, cast(cast(sel[1:2] as int) as varchar) || ':' || cast(cast(sel[3:4] as int) as varchar) score,"
@@ -32,7 +32,7 @@ def sel(spark, sf):
         F.col("pool_match_id").alias("match_id"),
         F.concat(F.lit("FB"), "pool_match_id").alias("front_end_id"),
         (F.lit("2001-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("pool_match_id").cast("long") % 700).cast("int"))).alias("kickoff_ts"),
-        "pool", "line_id", "sel", "odds", "comb_status", "update_at",
+        "pool", "line_id", "sel", "odds", "comb_status", "update_at", "snapshot_id", "pool_status",
     )
 
 
@@ -42,29 +42,29 @@ def now():
 
 def _three_way_sql(source: str) -> str:
     return (
-        f"had as (select match_id, front_end_id, kickoff_ts, line_id, max_by(printf('%.2f', odds), (update_at, odds)) filter (sel = 'H') h,"
+        f"had as (select snapshot_id, match_id, front_end_id, kickoff_ts, line_id, max_by(printf('%.2f', odds), (update_at, odds)) filter (sel = 'H') h,"
         f" max_by(printf('%.2f', odds), (update_at, odds)) filter (sel = 'D') d, max_by(printf('%.2f', odds), (update_at, odds)) filter (sel = 'A') a"
-        f" from {source} where pool = 'HAD' group by all), three as (select match_id, front_end_id, kickoff_ts, line_id, 'HAD_HOME_AWAY_' || p as \"rule\", 'H' selection, h odds"
-        " from had, (values ('1.73'), ('1.76')) t(p) where h = p union all select match_id, front_end_id, kickoff_ts, line_id, 'HAD_HOME_AWAY_' || p, 'A', a from had,"
-        " (values ('1.73'), ('1.76')) t(p) where a = p union all select match_id, front_end_id, kickoff_ts, line_id, 'HAD_2.14_3.00_3.00', 'H', h from had"
-        " where h = '2.14' and d = '3.00' and a = '3.00' union all select match_id, front_end_id, kickoff_ts, line_id, 'HAD_3.00_3.00_2.14', 'A', a from had"
+        f" from {source} where pool = 'HAD' group by all), three as (select snapshot_id, match_id, front_end_id, kickoff_ts, line_id, 'HAD_HOME_AWAY_' || p as \"rule\", 'H' selection, h odds"
+        " from had, (values ('1.73'), ('1.76')) t(p) where h = p union all select snapshot_id, match_id, front_end_id, kickoff_ts, line_id, 'HAD_HOME_AWAY_' || p, 'A', a from had,"
+        " (values ('1.73'), ('1.76')) t(p) where a = p union all select snapshot_id, match_id, front_end_id, kickoff_ts, line_id, 'HAD_2.14_3.00_3.00', 'H', h from had"
+        " where h = '2.14' and d = '3.00' and a = '3.00' union all select snapshot_id, match_id, front_end_id, kickoff_ts, line_id, 'HAD_3.00_3.00_2.14', 'A', a from had"
         " where h = '3.00' and d = '3.00' and a = '2.14')"
     )
 
 
-@query("p1_scan_three_way", f"{POOL}, {_three_way_sql('sel')} select match_id, line_id, \"rule\", selection, odds from three")
+@query("p1_scan_three_way", f"{POOL}, {_three_way_sql('sel')} select snapshot_id, match_id, line_id, \"rule\", selection, odds from three")
 def three_way(spark, sf):
-    return P.scan_three_way(sel(spark, sf), ORDER).select("match_id", "line_id", "rule", "selection", "odds")
+    return P.scan_three_way(sel(spark, sf), ORDER).select("snapshot_id", "match_id", "line_id", "rule", "selection", "odds")
 
 
 # Other pools made from the HAD rows so that every price rule has candidates.
 _VARIED = (
-    "varied as (select match_id, front_end_id, kickoff_ts, line_id, sel, update_at,"
+    "varied as (select snapshot_id, match_id, front_end_id, kickoff_ts, line_id, sel, update_at,"
     " case when pool <> 'HAD' then pool when line_id = '0' then 'FHA' when cast(match_id as bigint) % 2 = 0 then 'FHL' else 'EHL' end pool,"
     " case when pool = 'HAD' and line_id = '1' then odds - 0.04 else odds end odds from sel)"
 )
 _PRICE = (
-    "price as (select match_id, front_end_id, kickoff_ts, line_id, pool, sel selection, printf('%.2f', odds) odds, pool || case pool when 'FHA' then '_DRAW_' else '_ANY_' end"
+    "price as (select snapshot_id, match_id, front_end_id, kickoff_ts, line_id, pool, sel selection, printf('%.2f', odds) odds, pool || case pool when 'FHA' then '_DRAW_' else '_ANY_' end"
     " || printf('%.2f', odds) as \"rule\" from {0} where (pool = 'FHA' and sel = 'D' and odds = 1.76) or (pool = 'EHL' and odds in (1.66, 1.69))"
     " or (pool = 'FHL' and odds in (1.66, 1.69, 1.94)))"
 )
@@ -79,9 +79,9 @@ def varied(spark, sf):
     )
 
 
-@query("p2_scan_price_rules", f"{POOL}, {_VARIED}, {_PRICE.format('varied')} select match_id, line_id, pool, \"rule\", selection, odds from price")
+@query("p2_scan_price_rules", f"{POOL}, {_VARIED}, {_PRICE.format('varied')} select snapshot_id, match_id, line_id, pool, \"rule\", selection, odds from price")
 def price_rules(spark, sf):
-    return P.scan_price_rules(varied(spark, sf)).select("match_id", "line_id", "pool", "rule", "selection", "odds")
+    return P.scan_price_rules(varied(spark, sf)).select("snapshot_id", "match_id", "line_id", "pool", "rule", "selection", "odds")
 
 
 _IN_WINDOW = f"kickoff_ts between timestamp '{NOW}' and timestamp '{NOW}' + to_hours({HOURS})"
@@ -95,18 +95,18 @@ def both(spark, sf):
 
 @query(
     "p3_scan_special_odds",
-    f"{POOL}, {_VARIED}, {_BOTH}, {_three_way_sql('bothp')}, {_PRICE.format('bothp')} select match_id, front_end_id, kickoff_ts, line_id, 'HAD' pool, \"rule\", selection, odds from three"
-    " union all select match_id, front_end_id, kickoff_ts, line_id, pool, \"rule\", selection, odds from price",
+    f"{POOL}, {_VARIED}, {_BOTH}, {_three_way_sql('bothp')}, {_PRICE.format('bothp')} select snapshot_id, match_id, front_end_id, kickoff_ts, line_id, 'HAD' pool, \"rule\", selection, odds from three"
+    " union all select snapshot_id, match_id, front_end_id, kickoff_ts, line_id, pool, \"rule\", selection, odds from price",
 )
 def special(spark, sf):
     return P.scan_special_odds(both(spark, sf), now(), HOURS, ORDER).select(
-        "match_id", "front_end_id", "kickoff_ts", "line_id", "pool", "rule", "selection", "odds"
+        "snapshot_id", "match_id", "front_end_id", "kickoff_ts", "line_id", "pool", "rule", "selection", "odds"
     )
 
 
 @query(
     "p3_scan_summary",
-    f"{POOL}, {_VARIED}, {_BOTH}, {_three_way_sql('bothp')}, {_PRICE.format('bothp')} select (select count(distinct match_id) from bothp) scanned_matches,"
+    f"{POOL}, {_VARIED}, {_BOTH}, {_three_way_sql('bothp')}, {_PRICE.format('bothp')} select (select count(distinct (coalesce(snapshot_id, '-'), match_id)) from bothp) scanned_matches,"
     " (select count(*) from three) + (select count(*) from price) hit_count",
 )
 def special_summary(spark, sf):
@@ -115,55 +115,55 @@ def special_summary(spark, sf):
 
 
 _EQUAL = (
-    "equal_total as (select match_id, line_id, total, o, string_agg(score, ' / ' order by first_at, score) selection, count(*) n from"
-    " (select match_id, line_id, total, o, score, min((update_at, odds)) first_at from {0} where pool = 'CRS' group by all) group by all having count(*) >= 2)"
+    "equal_total as (select snapshot_id, match_id, line_id, total, o, string_agg(score, ' / ' order by first_at, score) selection, count(*) n from"
+    " (select snapshot_id, match_id, line_id, total, o, score, min((update_at, odds)) first_at from {0} where pool = 'CRS' group by all) group by all having count(*) >= 2)"
 )
 _TABLE = (
-    "score_table as (select match_id, pool, line_id, max_by(o, (update_at, odds)) filter (score = '0:0') s00, max_by(o, (update_at, odds)) filter (score = '1:0') s10,"
+    "score_table as (select snapshot_id, match_id, pool, line_id, max_by(o, (update_at, odds)) filter (score = '0:0') s00, max_by(o, (update_at, odds)) filter (score = '1:0') s10,"
     " max_by(o, (update_at, odds)) filter (score = '0:1') s01, max_by(o, (update_at, odds)) filter (score = '1:1') s11 from {0} group by all)"
 )
 
 
 @query(
     "a10_equal_odds_by_total",
-    f"{POOL}, {_SCORES}, {_EQUAL.format('scores')} select match_id, line_id, 'CRS_SAME_TOTAL_' || total || '_ODDS_' || o as \"rule\", selection, o odds, total total_goals, n score_count from equal_total",
+    f"{POOL}, {_SCORES}, {_EQUAL.format('scores')} select snapshot_id, match_id, line_id, 'CRS_SAME_TOTAL_' || total || '_ODDS_' || o as \"rule\", selection, o odds, total total_goals, n score_count from equal_total",
 )
 def equal_total(spark, sf):
-    return P.equal_odds_by_total(sel(spark, sf), ORDER).select("match_id", "line_id", "rule", "selection", "odds", "total_goals", "score_count")
+    return P.equal_odds_by_total(sel(spark, sf), ORDER).select("snapshot_id", "match_id", "line_id", "rule", "selection", "odds", "total_goals", "score_count")
 
 
 _HALF = (
-    "half_pairs as (select match_id, line_id, 'FCS_home_SAME_ODDS_00_10_' || s00 as \"rule\", '0:0 / 1:0' selection, s00 odds from score_table where pool = 'FCS' and s00 = s10"
-    " union all select match_id, line_id, 'FCS_away_SAME_ODDS_00_01_' || s00, '0:0 / 0:1', s00 from score_table where pool = 'FCS' and s00 = s01)"
+    "half_pairs as (select snapshot_id, match_id, line_id, 'FCS_home_SAME_ODDS_00_10_' || s00 as \"rule\", '0:0 / 1:0' selection, s00 odds from score_table where pool = 'FCS' and s00 = s10"
+    " union all select snapshot_id, match_id, line_id, 'FCS_away_SAME_ODDS_00_01_' || s00, '0:0 / 0:1', s00 from score_table where pool = 'FCS' and s00 = s01)"
 )
 
 
 @query("a11_half_score_pairs", f"{POOL}, {_SCORES}, {_TABLE.format('scores')}, {_HALF} select * from half_pairs")
 def half_pairs(spark, sf):
-    return P.half_score_pairs(sel(spark, sf), ORDER).select("match_id", "line_id", "rule", "selection", "odds")
+    return P.half_score_pairs(sel(spark, sf), ORDER).select("snapshot_id", "match_id", "line_id", "rule", "selection", "odds")
 
 
-_PAIRS = "pairs as (select match_id, pool, line_id, pool || '_PAIR_10_11_ODDS_' || s10 as \"rule\", '1:0 / 1:1' selection, s10 odds from score_table where s10 = s11)"
+_PAIRS = "pairs as (select snapshot_id, match_id, pool, line_id, pool || '_PAIR_10_11_ODDS_' || s10 as \"rule\", '1:0 / 1:1' selection, s10 odds from score_table where s10 = s11)"
 
 
 @query("a12_score_pairs", f"{POOL}, {_SCORES}, {_TABLE.format('scores')}, {_PAIRS} select * from pairs")
 def pairs(spark, sf):
-    return P.score_pairs(sel(spark, sf), order=ORDER).select("match_id", "pool", "line_id", "rule", "selection", "odds")
+    return P.score_pairs(sel(spark, sf), order=ORDER).select("snapshot_id", "match_id", "pool", "line_id", "rule", "selection", "odds")
 
 
 _CROSS = (
-    "full_half as (select f.match_id, f.score, f.o from (select distinct match_id, score, o from {0} where pool = 'CRS') f"
-    " join (select distinct match_id, score, o from {0} where pool = 'FCS') h using (match_id, score, o))"
+    "full_half as (select f.snapshot_id, f.match_id, f.score, f.o from (select distinct snapshot_id, match_id, score, o from {0} where pool = 'CRS') f"
+    " join (select distinct snapshot_id, match_id, score, o from {0} where pool = 'FCS') h on h.snapshot_id is not distinct from f.snapshot_id and h.match_id = f.match_id and h.score = f.score and h.o = f.o)"
 )
 
 
 @query(
     "j10_full_half_equal_scores",
-    f"{POOL}, {_SCORES}, {_CROSS.format('scores')} select match_id, 'CRS_FCS_SAME_SCORE_' || replace(score, ':', '') || '_ODDS_' || o as \"rule\","
+    f"{POOL}, {_SCORES}, {_CROSS.format('scores')} select snapshot_id, match_id, 'CRS_FCS_SAME_SCORE_' || replace(score, ':', '') || '_ODDS_' || o as \"rule\","
     " '全場 ' || score || ' | 半場 ' || score selection, o odds from full_half",
 )
 def full_half(spark, sf):
-    return P.full_half_equal_scores(sel(spark, sf)).select("match_id", "rule", "selection", "odds")
+    return P.full_half_equal_scores(sel(spark, sf)).select("snapshot_id", "match_id", "rule", "selection", "odds")
 
 
 _WIN = f"wscores as (select * from scores where {_IN_WINDOW})"
@@ -172,20 +172,20 @@ _WIN = f"wscores as (select * from scores where {_IN_WINDOW})"
 @query(
     "p4_scan_equal_scores",
     f"{POOL}, {_SCORES}, {_WIN}, {_EQUAL.format('wscores')}, {_TABLE.format('wscores')}, {_HALF}, {_PAIRS}, {_CROSS.format('wscores')}"
-    " select match_id, 'CRS_SAME_TOTAL_' || total || '_ODDS_' || o as \"rule\", selection, o odds, 'crs' source from equal_total"
-    " union all select match_id, \"rule\", selection, odds, 'fcs' from half_pairs union all select match_id, \"rule\", selection, odds, lower(pool) from pairs"
-    " union all select match_id, 'CRS_FCS_SAME_SCORE_' || replace(score, ':', '') || '_ODDS_' || o, '全場 ' || score || ' | 半場 ' || score, o, 'crs_fcs' from full_half",
+    " select snapshot_id, match_id, 'CRS_SAME_TOTAL_' || total || '_ODDS_' || o as \"rule\", selection, o odds, 'crs' source from equal_total"
+    " union all select snapshot_id, match_id, \"rule\", selection, odds, 'fcs' from half_pairs union all select snapshot_id, match_id, \"rule\", selection, odds, lower(pool) from pairs"
+    " union all select snapshot_id, match_id, 'CRS_FCS_SAME_SCORE_' || replace(score, ':', '') || '_ODDS_' || o, '全場 ' || score || ' | 半場 ' || score, o, 'crs_fcs' from full_half",
 )
 def equal_scores(spark, sf):
-    return P.scan_equal_scores(sel(spark, sf), now(), HOURS, ORDER).select("match_id", "rule", "selection", "odds", "source")
+    return P.scan_equal_scores(sel(spark, sf), now(), HOURS, ORDER).select("snapshot_id", "match_id", "rule", "selection", "odds", "source")
 
 
 @query(
     "w5_dedupe_hits",
-    f"{POOL}, {_VARIED}, {_PRICE.format('varied')} select distinct match_id, pool, \"rule\", line_id, odds, selection from price",
+    f"{POOL}, {_VARIED}, {_PRICE.format('varied')} select distinct snapshot_id, match_id, pool, \"rule\", line_id, odds, selection from price",
 )
 def deduped(spark, sf):
-    return P.dedupe_hits(P.scan_price_rules(varied(spark, sf))).select("match_id", "pool", "rule", "line_id", "odds", "selection")
+    return P.dedupe_hits(P.scan_price_rules(varied(spark, sf))).select("snapshot_id", "match_id", "pool", "rule", "line_id", "odds", "selection")
 
 
 _SOURCED = (
@@ -196,8 +196,8 @@ _SOURCED = (
 
 @query(
     "w6_prefer_pool_source",
-    f"{POOL}, {_SOURCED}, best as (select match_id, pool, min_by(source, (case when pool = 'CRS' and source <> 'crs' then 1 else 0 end, source_rank)) source from sourced group by all)"
-    " select match_id, pool, source, count(*) n_rows from sourced semi join best using (match_id, pool, source) group by all",
+    f"{POOL}, {_SOURCED}, best as (select snapshot_id, match_id, pool, min_by(source, (case when pool = 'CRS' and source <> 'crs' then 1 else 0 end, source_rank)) source from sourced group by all)"
+    " select snapshot_id, match_id, pool, source, count(*) n_rows from sourced s where exists (select 1 from best b where b.snapshot_id is not distinct from s.snapshot_id and b.match_id = s.match_id and b.pool = s.pool and b.source = s.source) group by all",
 )
 def preferred(spark, sf):
     year = F.year("update_at")
@@ -207,7 +207,7 @@ def preferred(spark, sf):
             "source_rank": year,
         }
     )
-    return P.prefer_pool_source(rows).groupBy("match_id", "pool", "source").agg(F.count(F.lit(1)).alias("n_rows"))
+    return P.prefer_pool_source(rows).groupBy("snapshot_id", "match_id", "pool", "source").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(
@@ -228,11 +228,11 @@ def candidates(spark, sf):
 
 @query(
     "x5_pool_quotes",
-    f"{POOL}, lines as (select match_id, case line_id when '0' then 'HDC' else 'HIL' end pool, line_id,"
+    f"{POOL}, lines as (select snapshot_id, match_id, case line_id when '0' then 'HDC' else 'HIL' end pool, line_id,"
     " min_by(odds, (update_at, odds)) filter (sel = 'H' and comb_status = 'AVAILABLE') a,"
-    " min_by(odds, (update_at, odds)) filter (sel = case line_id when '0' then 'A' else 'D' end and comb_status = 'AVAILABLE') b"
-    " from sel where pool = 'HAD' group by all) select match_id, case pool when 'HDC' then 'asian' else 'over_under' end market,"
-    " case pool when 'HDC' then 1.25 else 2.5 end cur_line, pool = 'HIL' is_multi_line, cast(a - 1 as double) cur_a, cast(b - 1 as double) cur_b from lines where a > 1 and b > 1",
+    " min_by(odds, (update_at, odds)) filter (sel = case line_id when '0' then 'A' else 'D' end and comb_status = 'AVAILABLE') b, max(update_at) filter (comb_status = 'AVAILABLE') changed_at"
+    " from sel where pool = 'HAD' and upper(pool_status) not in ('', 'SUSPENDED') group by all) select snapshot_id, match_id, case pool when 'HDC' then 'asian' else 'over_under' end market,"
+    " case pool when 'HDC' then 1.25 else 2.5 end cur_line, pool = 'HIL' is_multi_line, changed_at, cast(a - 1 as double) cur_a, cast(b - 1 as double) cur_b from lines where a > 1 and b > 1",
 )
 def pool_quotes(spark, sf):
     first = F.col("line_id") == "0"
@@ -241,12 +241,12 @@ def pool_quotes(spark, sf):
             "pool": F.when(first, "HDC").otherwise("HIL"),
             "sel": F.when(~first & (F.col("sel") == "D"), "L").otherwise(F.col("sel")),
             "condition": F.when(first, "-1.0/-1.5").otherwise("2.5"),
-            "main": first,
+            "main": F.when(first, True),
             "line_status": F.lit("AVAILABLE"),
             "sel_index": F.struct("update_at", "odds"),
         }
     )
-    return P.pool_quotes(rows).select("match_id", "market", "cur_line", "is_multi_line", "cur_a", "cur_b")
+    return P.pool_quotes(rows).select("snapshot_id", "match_id", "market", "cur_line", "is_multi_line", "changed_at", "cur_a", "cur_b")
 
 
 @query(
@@ -331,3 +331,11 @@ def sections(spark, sf):
     m, p = F.col("market"), F.col("period")
     rows = fx(spark, sf, "fx_quotes").select(X.section_key(m, p).alias("section"), X.section_label(m, p).alias("section_label"))
     return rows.groupBy("section", "section_label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(
+    "p1_latest_snapshot",
+    f"{POOL}, newest as (select match_id, max(snapshot_id) s from sel group by 1) select sel.match_id, snapshot_id, count(*) n_rows from sel join newest n on n.match_id = sel.match_id and n.s = snapshot_id group by all",
+)
+def newest_capture(spark, sf):
+    return P.latest_snapshot(sel(spark, sf)).groupBy("match_id", "snapshot_id").agg(F.count(F.lit(1)).alias("n_rows"))
