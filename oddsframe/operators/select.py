@@ -19,16 +19,21 @@ def _league_cols(df: DataFrame) -> list[Column]:
 
 
 def league_names_expanded(spark: SparkSession, leagues: list[str] | None = None) -> DataFrame:
-    """Every accepted league spelling: names, other names, phase variants."""
+    """The league export: names, other names, and phase variants of the leagues themselves."""
     names = []
     for league in leagues or dims.DEFAULT_LEAGUES:
-        spellings = dims.league_names(league)
-        names += [s + suffix for s in spellings for suffix in ["", *dims.LEAGUE_SUFFIXES]]
+        names += [*dims.league_names(league), *[league + suffix for suffix in dims.LEAGUE_SUFFIXES]]
     if leagues is None:
         names += dims.DEFAULT_PHASE_LEAGUES
     return spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "league_name string")
 
 
+def accepted_spellings(leagues: list[str] | None = None) -> list[str]:
+    """What the league filter accepts: every name, each with every phase suffix."""
+    names = [n + suffix for league in leagues or dims.DEFAULT_LEAGUES for n in dims.league_names(league) for suffix in ["", *dims.LEAGUE_SUFFIXES]]
+    return list(dict.fromkeys(names + (dims.DEFAULT_PHASE_LEAGUES if leagues is None else [])))
+
+
 def filter_allowed_leagues(df: DataFrame, leagues: list[str] | bool | None = None) -> DataFrame:
     """Keep rows whose league, in any of its name columns, is an accepted spelling.
 
@@ -37,9 +42,9 @@ def filter_allowed_leagues(df: DataFrame, leagues: list[str] | bool | None = Non
     """
     if leagues is False:
         return df
+    names_ = df.sparkSession.createDataFrame([(n,) for n in accepted_spellings(leagues or None)], "league_name string")
     allowed = (
-        league_names_expanded(df.sparkSession, leagues or None)
-        .select(norm_name(F.col("league_name")).alias("_league"))
+        names_.select(norm_name(F.col("league_name")).alias("_league"))
         .where("_league <> ''")
         .distinct()
     )

@@ -37,7 +37,7 @@ def allowed_list(spark, sf):
     return S.filter_allowed_leagues(rows, ["日職聯"]).select("match_id", "league")
 
 
-@query("f3_league_names_expanded", f"{M} select league, count(*) n_matches from m where league in ('英超附加賽', '世界杯外围赛') group by league")
+@query("f3_league_names_expanded", f"{M} select league, count(*) n_matches from m where league in ('英超附加賽', '日職百年构想联赛') group by league")
 def spellings(spark, sf):
     """Accepted spellings that occur in the match list, as written."""
     names = S.league_names_expanded(spark).withColumnRenamed("league_name", "league")
