@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from oddsframe import dims
 
 _CJK = "\\u4e00-\\u9fff"
-_FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-_HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
-# Latin letters with marks and the plain letter each one decomposes to.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+# Scripts whose characters are taken apart: Latin to symbols, CJK compatibility, ligatures, full width.
+_RANGES = ((0x80, 0x2500), (0x3000, 0x3001), (0xF900, 0xFB07), (0xFF00, 0xFFF0))
+
+
+@lru_cache(maxsize=None)
+def _compatible(marks: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Characters and the one character each stands for, and those that stand for several, by Unicode rules.
+
+    With `marks`, compatibility forms only (NFKC); without, letters lose their marks as well (NFKD).
+    """
+    single, several = {}, {}
+    for c in (chr(n) for a, b in _RANGES for n in range(a, b)):
+        plain = unicodedata.normalize("NFKC" if marks else "NFKD", c)
+        if not marks:
+            plain = "".join(x for x in plain if unicodedata.category(x) != "Mn").lower()
+        if plain != c and plain.strip() == plain and any(x.isalnum() or x in "()" for x in plain) or c == "\u3000":
+            (single if len(plain) == 1 else several)[c] = plain
+    return "".join(single), "".join(single.values()), tuple(several.items())
+
+
+def _folded(col: Column, marks: bool) -> Column:
+    """Compatibility forms replaced; rows of plain ASCII are left alone."""
+    old, new, several = _compatible(marks)
+    pairs = F.expr("array(" + ", ".join(f"named_struct('a', '{a}', 'b', '{b}')" for a, b in several) + ")")
+    hit = "[" + "".join(a for a, _ in several) + "]"
+    spelled = F.when(col.rlike(hit), F.aggregate(pairs, col, lambda t, p: F.replace(t, p["a"], p["b"]))).otherwise(col)
+    return F.when(col.rlike("[^\\x00-\\x7F]"), F.translate(spelled, old, new)).otherwise(col)
 
 
 def text(col) -> Column:
@@ -51,9 +72,8 @@ def norm_name(col: Column) -> Column:
 
 
 def fold_text(col: Column) -> Column:
-    """Width, case and script fold.  Other compatibility forms: see `nfkc`."""
-    out = F.lower(F.translate(text(col), _FULL_WIDTH, _HALF_WIDTH))
-    return F.translate(out, *dims.FOLD_CHARS)
+    """Compatibility forms (width, ligatures, Roman numerals, ...), case and script fold."""
+    return F.translate(F.lower(_folded(text(col), marks=True)), *dims.FOLD_CHARS)
 
 
 def _drop_brackets(col: Column) -> Column:
@@ -77,17 +97,8 @@ def norm_comp(col: Column) -> Column:
     return _drop_rest(_drop_brackets(fold_text(col)))
 
 
-def nfkc(col: Column) -> Column:
-    """Unicode NFKC, which Spark has no built-in for; use at landing when names need it."""
-    def batch(names: pd.Series) -> pd.Series:
-        return names.str.normalize("NFKC")
-
-    return F.pandas_udf(batch, StringType())(col)
-
-
 def _plain_letters(col: Column) -> Column:
-    lowered = F.translate(F.lower(text(col)), _MARKED, _PLAIN)
-    return F.regexp_replace(lowered, "\\p{Mn}+", "")
+    return F.regexp_replace(_folded(F.lower(text(col)), marks=False), "\\p{Mn}+", "")
 
 
 def norm_latin(col: Column) -> Column:

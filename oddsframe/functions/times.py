@@ -24,7 +24,8 @@ def parse_kickoff(raw: Column, now: Column) -> Column:
     """Kickoff from the four text forms in use.
 
     ISO or `yyyy-MM-dd ... HH:mm`, `MM-dd ... HH:mm` in the year of `now`, and `HH:mm`,
-    which moves to the next day when more than two hours past.
+    which moves to the next day when more than two hours past.  A day that its year lacks, such as
+    29 February of another year, gives NULL.
     """
     t = F.trim(F.regexp_replace(F.regexp_replace(raw, "/", "-"), r"\s+", " "))
     now = now.cast("timestamp_ntz")
@@ -42,7 +43,7 @@ def parse_kickoff(raw: Column, now: Column) -> Column:
     today = F.date_format(now, "yyyy-MM-dd")
     clock = F.when(t.rlike(_CLOCK), _stamp(today, _part(t, _CLOCK, 1), _part(t, _CLOCK, 2)))
     rolled = F.when(clock < now - F.expr("interval 2 hours"), clock + F.expr("interval 1 day")).otherwise(clock)
-    return F.coalesce(iso_zone, full, partial, rolled)
+    return F.coalesce(iso_zone, F.when(t.rlike(_FULL), full).when(t.rlike(_MONTH_DAY), partial).otherwise(rolled))
 
 
 def time_score(gap_minutes: Column, clock_only: Column | None = None) -> Column:

@@ -11,6 +11,7 @@ from oddsframe.functions.odds import round_n
 from oddsframe.functions.text import text
 from oddsframe.operators.link import link_fixtures
 from oddsframe.operators.quotes import pick_first
+from oddsframe.session import written
 
 
 def kickoff_date(raw: Column, now: Column) -> Column:
@@ -76,8 +77,11 @@ def assemble_context(
     weather: DataFrame,
     keys: tuple[str, ...] = ("batch_id",),
 ) -> dict[str, DataFrame]:
-    """The context tables of a batch: linked fixtures, their rows tagged with the match, and gaps."""
-    linked = link_fixtures(matches, fixtures, keys=keys)
+    """The context tables of a batch: linked fixtures, their rows tagged with the match, and gaps.
+
+    Linking runs once: its one row per match is written to the shared folder, and all tables read that.
+    """
+    linked = written(link_fixtures(matches, fixtures, keys=keys), "linked")
     tag = linked.select(*keys, "match_id", "fixture_id")
     fixture_cols = [c for c in fixtures.columns if c not in {*keys, "home", "away", "source_index"}]
     titled = matches.select(

@@ -48,10 +48,13 @@ def market_blocks(quotes: DataFrame) -> DataFrame:
     low = (F.coalesce(a, F.lit(0.0)) <= LOW_WATER) | (F.coalesce(b, F.lit(0.0)) <= LOW_WATER)
     high = (F.coalesce(a, F.lit(0.0)) >= HIGH_WATER) | (F.coalesce(b, F.lit(0.0)) >= HIGH_WATER)
     share = odds.implied(a, draw, b)
+    book = F.nullif(F.col("bookmaker"), F.lit(""))
+    if "company" in quotes.columns:  # a bookmaker outside the known groups counts under its own name
+        book = F.coalesce(book, F.nullif(F.col("company"), F.lit("")))
     raw = quotes.groupBy("match_id", "market", "period").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.size(F.collect_set("bookmaker")).alias("bookmaker_count"),
-        F.collect_set("bookmaker").alias("bookmakers"),
+        F.size(F.collect_set(book)).alias("bookmaker_count"),
+        F.collect_set(book).alias("bookmakers"),
         _mean(a).alias("avg_a"),
         _mean(draw).alias("avg_draw"),
         _mean(b).alias("avg_b"),

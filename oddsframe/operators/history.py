@@ -32,8 +32,11 @@ def head_to_head(matches: DataFrame, past: DataFrame) -> DataFrame:
 def pair_stats(past: DataFrame, recent: int = 10, index: str = "source_index") -> DataFrame:
     """Per pair: meetings, games over 2.5 goals, and the first `recent` results as text.
 
-    The list is cut to `recent` rows per pair before it is collected.
+    A meeting that was landed more than once counts once.  The list is cut to `recent` rows per
+    pair before it is collected.
     """
+    meeting = ["home_team_id", "away_team_id", "played_at", "home_goals", "away_goals"]
+    past = past.groupBy(*meeting).agg(F.min(index).alias(index))
     rows = _pair(past).withColumn("total_goals", F.col("home_goals") + F.col("away_goals"))
     counts = rows.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("sample_count"), F.count_if(F.col("total_goals") > 2.5).alias("over_count")

@@ -7,6 +7,8 @@ increasing `source_index`.  Optional: company, english_name, bookmaker_key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -182,6 +184,9 @@ def merge_market_sources(primary: DataFrame, supplement: DataFrame, official: bo
     )
 
 
+_FEEDS = ("pages", "mobile", "comparison", "official")
+
+
 def resolve_market_sources(
     pages: DataFrame, mobile: DataFrame, comparison: DataFrame, official: DataFrame, deep: bool = False
 ) -> DataFrame:
@@ -191,24 +196,38 @@ def resolve_market_sources(
     match from its mobile snapshot if there is one, else from its pages.  Then the comparison
     overlay, then the official feed for matches that lack its operator in asian full, totals
     full or totals half; asian half is never filled.
+
+    The feeds become one table.  What each match has (small sets of sections and bookmakers) is one
+    aggregate over its narrow columns, and every row is kept or left out by that.
     """
+    feeds = [df.withColumn("_feed", F.lit(name)) for name, df in zip(_FEEDS, (pages, mobile, comparison, official))]
+    rows = identify_bookmaker(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds))
+    section = F.concat("market", F.lit("|"), "period")
+    book = F.concat(section, F.lit("|"), F.coalesce("bookmaker_key", F.lit("?")))
+    operator = F.col("bookmaker_key") == "hk_jockey"
+    fillable = (F.col("market") == "over_under") | ((F.col("market") == "asian") & (F.col("period") == "full"))
+    feed = lambda name: F.col("_feed") == name
+    found = lambda value, cond: F.collect_set(F.when(cond, value))
+    keyed = rows.withColumns({"_section": section, "_book": book, "_fill": fillable})
+    have = keyed.groupBy("match_id").agg(
+        found(F.col("_section"), feed("pages")).alias("_pages"), F.max(feed("mobile")).alias("_any_mobile"),
+        found(F.col("_book"), feed("comparison")).alias("_compared"), found(F.col("_book"), feed("official") & F.col("_fill")).alias("_supplied"),
+        *[found(F.col("_section"), feed(n) & operator).alias(f"_hk_{n}") for n in ("pages", "mobile", "comparison")],
+    )
     if deep:
-        have = pages.select(*_SECTION).distinct()
-        base = pages.unionByName(mobile.join(have, _SECTION, "left_anti"), allowMissingColumns=True)
+        base_hk = F.concat("_hk_pages", F.array_except("_hk_mobile", "_pages"))
     else:
-        have = mobile.select("match_id").distinct()
-        base = mobile.unionByName(pages.join(have, "match_id", "left_anti"), allowMissingColumns=True)
-    merged = merge_market_sources(base, comparison).drop("bookmaker_key", "bookmaker", "merge_rank")
-    fillable = (F.col("market") == "over_under") | ((F.col("market") == "asian") & (F.col("period") == "full"))
-    quoted = (
-        identify_bookmaker(merged)
-        .where(fillable & (F.col("bookmaker_key") == "hk_jockey"))
-        .groupBy("match_id")
-        .agg(F.count_distinct("market", "period").alias("n"))
-    )
-    complete = quoted.where(F.col("n") == 3).select("match_id")
-    fill = official.where(fillable).join(complete, "match_id", "left_anti")
-    return merge_market_sources(merged, fill, official=True).drop("merge_rank")
+        base_hk = F.when(F.col("_any_mobile"), F.col("_hk_mobile")).otherwise(F.col("_hk_pages"))
+    quoted = F.array_union("_hk_comparison", base_hk)
+    complete = F.size(F.filter(quoted, lambda s: ~s.startswith("asian|") | (s == "asian|full"))) == 3
+    have = have.select("match_id", "_pages", "_any_mobile", "_compared", "_supplied", quoted.alias("_quoted"), complete.alias("_complete"))
+    joined = keyed.join(have.withColumnRenamed("match_id", "_match"), F.col("match_id") == F.col("_match"), "left")
+    among = lambda names, value: F.coalesce(F.array_contains(names, F.col(value)), F.lit(False))
+    base = feed("pages") | (feed("mobile") & ~among("_pages", "_section")) if deep else feed("mobile") | (feed("pages") & ~F.coalesce("_any_mobile", F.lit(False)))
+    merged = feed("comparison") | (base & ~among("_compared", "_book"))
+    filled = ~F.coalesce("_complete", F.lit(False)) & ~among("_quoted", "_section")
+    keep = (merged & ~(filled & among("_supplied", "_book"))) | (feed("official") & F.col("_fill") & filled)
+    return joined.where(keep).drop("_feed", "_section", "_book", "_fill", "_match", *[c for c in have.columns if c != "match_id"])
 
 
 def section_keys(quotes: DataFrame) -> DataFrame:
@@ -289,13 +308,17 @@ FLAT_COLUMNS = [
 
 
 def flatten_quotes(quotes: DataFrame, matches: DataFrame) -> DataFrame:
-    """The flat odds row: each market fills its own columns, the rest is NULL."""
+    """The flat odds row: each market fills its own columns, the rest is NULL.
+
+    Every quote gives one row; a match without data leaves its columns NULL, of a repeated match
+    the first row counts (by `source_index` where there is one).
+    """
     meta_names = {"match_id": "match_id", "league": "league", "kickoff_ts": "kickoffTime", "state": "state",
                   "score": "score", "home": "home", "away": "away"}
-    meta = matches.select(
-        *[_opt(matches, c).cast("string").alias(f"m_{n}") for c, n in meta_names.items()]
-    )
-    joined = quotes.join(meta, quotes["match_id"] == meta["m_match_id"])
+    first = F.struct(*([F.col("source_index")] if "source_index" in matches.columns else []), *[f"m_{n}" for n in meta_names.values()])
+    meta = matches.select("*", *[_opt(matches, c).cast("string").alias(f"m_{n}") for c, n in meta_names.items()])
+    meta = meta.groupBy("m_match_id").agg(*[F.min_by(f"m_{n}", first).alias(f"m_{n}") for c, n in meta_names.items() if c != "match_id"])
+    joined = quotes.join(meta, quotes["match_id"] == meta["m_match_id"], "left")
     asian, totals, europe = (F.col("market") == m for m in ("asian", "over_under", "europe"))
     flag = lambda name: F.when(~europe, F.when(F.coalesce(F.col(name), F.lit(False)), F.lit("1")).otherwise(F.lit("0")))
     pick = lambda cond, name: F.when(cond, _opt(quotes, name))

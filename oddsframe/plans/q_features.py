@@ -35,7 +35,7 @@ def eu_fields(where):
     fh, fa = (mean(_FAIR[s], 1_000_000_000, where) for s in ("home", "away"))
     return {
         "rows": f"count(*) filter ({where})",
-        "bookmaker_count": f"count(distinct bookmaker) filter ({where})",
+        "bookmaker_count": f"count(distinct coalesce(bookmaker, 'Book ' || company_id)) filter ({where})",
         "avg_a": rn(mean("cur_a", where=where), 2),
         "avg_draw": rn(mean("cur_draw", where=where), 2),
         "avg_b": rn(mean("cur_b", where=where), 2),
@@ -55,7 +55,7 @@ def line_fields(where):
     high = f"({where}) and (cur_a >= 1.0 or cur_b >= 1.0)"
     return {
         "rows": f"count(*) filter ({where})",
-        "bookmaker_count": f"count(distinct bookmaker) filter ({where})",
+        "bookmaker_count": f"count(distinct coalesce(bookmaker, 'Book ' || company_id)) filter ({where})",
         "line_median": rn(f"median(cur_line) filter ({where})", 3),
         "line_move": rn(_move("line", where), 3),
         "avg_a": rn(mean("cur_a", where=where), 3),
@@ -78,12 +78,17 @@ def _cols(fields, rename=None):
 _EU_NAMES = {"avg_a": "avg_win", "avg_b": "avg_loss", "overround": "avg_overround", "favourite": "favorite"}
 
 
+def named(spark, sf):
+    """Quotes with the company name that an unknown bookmaker counts under."""
+    return Q.identify_bookmaker(quotes(spark, sf)).withColumn("company", F.concat(F.lit("Book "), "company_id"))
+
+
 @query(
     "a1_europe_features",
     f"{RAW} select match_id, {_cols(eu_fields('true'), _EU_NAMES)} from keyed where market = 'europe' group by match_id",
 )
 def europe(spark, sf):
-    return A.europe_features(Q.identify_bookmaker(quotes(spark, sf)))
+    return A.europe_features(named(spark, sf))
 
 
 def _two_way(name, market, first, third, run):
@@ -93,7 +98,7 @@ def _two_way(name, market, first, third, run):
             f" where market = '{market}' and period = '{period}' group by match_id"
         )
         query(f"{name}_{period}", sql)(
-            lambda spark, sf, period=period: run(Q.identify_bookmaker(quotes(spark, sf)), period)
+            lambda spark, sf, period=period: run(named(spark, sf), period)
         )
 
 

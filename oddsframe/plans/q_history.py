@@ -27,9 +27,9 @@ def meetings(spark, sf):
     return out.select("source_index", "team_1", "team_2", "home_goals", "away_goals")
 
 
-_STATS = f"""{_PAST}, {_MATCHES}, s as (select t1, t2, count(*) n, count(*) filter (home_goals + away_goals > 2.5) o from p group by all),
+_STATS = f"""{_PAST}, {_MATCHES}, past2 as (select * from p union all select * replace (source_index + 10000000 as source_index) from p where source_index % 3 = 0), d as (select home_team_id, away_team_id, t1, t2, played_at, home_goals, away_goals, min(source_index) source_index from past2 group by all), s as (select t1, t2, count(*) n, count(*) filter (home_goals + away_goals > 2.5) o from d group by all),
     l as (select t1, t2, string_agg(cast(played_at as varchar) || ' ' || home_goals || '-' || away_goals, ' | ' order by source_index) history from
-      (select * from p qualify row_number() over (partition by t1, t2 order by source_index) <= 10) group by all),
+      (select * from d qualify row_number() over (partition by t1, t2 order by source_index) <= 10) group by all),
     r as (select match_id, m.t1, coalesce(n, 0) n, o, history, case when m.t1 = '' then 'missing_ids' when n is null then 'no_meetings' when n < 12 then 'too_few' end reason
       from m left join s using (t1, t2) left join l using (t1, t2)),
     h as (select match_id, case when t1 = '' then 0 else n end sample_count, reason no_data_reason, case when reason is null then o end over_count,
@@ -37,9 +37,15 @@ _STATS = f"""{_PAST}, {_MATCHES}, s as (select t1, t2, count(*) n, count(*) filt
       case when reason is null then {rn('o::double / n * 100.0::double', 1)} end over_percent, case when reason is null then {rn('(n - o)::double / n * 100.0::double', 1)} end under_percent from r)"""
 
 
+def landed(spark, sf):
+    """Past results of which a third was landed from a second page as well."""
+    past = fx(spark, sf, "fx_past")
+    return past.unionByName(past.where("source_index % 3 = 0").withColumn("source_index", F.col("source_index") + 10_000_000))
+
+
 @query("a8_h2h_over_under", f"{_STATS} select *, coalesce(over_percent >= 60, false) over_hit, coalesce(under_percent >= 60, false) under_hit from h")
 def over_under(spark, sf):
-    out = H.h2h_over_under(upcoming(spark, sf), fx(spark, sf, "fx_past"), 60, 12)
+    out = H.h2h_over_under(upcoming(spark, sf), landed(spark, sf), 60, 12)
     return out.select(
         "match_id", "sample_count", "no_data_reason", "over_count", "under_count", "history", "over_percent", "under_percent",
         "over_hit", "under_hit",
@@ -53,7 +59,7 @@ def over_under(spark, sf):
     select match_id, type, p percent, '近' || sample_count || '次對賽，' || type || c || '次（' || regexp_replace(cast(p as varchar), '\\.0$', '') || '%）' description from x""",
 )
 def hits(spark, sf):
-    out = H.h2h_over_under(upcoming(spark, sf), fx(spark, sf, "fx_past"), 60, 12)
+    out = H.h2h_over_under(upcoming(spark, sf), landed(spark, sf), 60, 12)
     return H.h2h_hits(out).select("match_id", "type", "percent", "description")
 
 

@@ -346,8 +346,7 @@ def labels(spark, sf):
 @query(
     "x15_parse_kickoff",
     f"""{M} select match_id, case cast(source_index % 4 as int) when 0 then kickoff_ts when 1 then timestamp '{NOW}' + (date_trunc('day', kickoff_ts) - date_trunc('day', kickoff_ts)) + to_hours(cast(source_index % 24 as int))
-      + to_minutes(5) when 2 then make_timestamp(1998, month(kickoff_ts), day(kickoff_ts), source_index % 24, 30, 0) end kickoff from m
-      where not (month(kickoff_ts) = 2 and day(kickoff_ts) = 29)""",
+      + to_minutes(5) when 2 then case when month(kickoff_ts) <> 2 or day(kickoff_ts) <> 29 then make_timestamp(1998, month(kickoff_ts), least(day(kickoff_ts), case month(kickoff_ts) when 2 then 28 else 31 end), source_index % 24, 30, 0) end end kickoff from m""",
 )
 def kickoffs(spark, sf):
     i, k = F.col("source_index"), F.col("kickoff_ts")
@@ -358,8 +357,7 @@ def kickoffs(spark, sf):
         .when(i % 4 == 2, F.concat(F.date_format(k, "MM-dd "), hour, F.lit(":30")))
         .otherwise(F.lit("TBA"))
     )
-    rows = matches(spark, sf).where(~((F.month(k) == 2) & (F.dayofmonth(k) == 29)))
-    return rows.select("match_id", times.parse_kickoff(raw, now()).alias("kickoff"))
+    return matches(spark, sf).select("match_id", times.parse_kickoff(raw, now()).alias("kickoff"))
 
 
 @query(

@@ -123,7 +123,7 @@ def raw_pages(spark, sf):
     return spark.read.schema(rows.schema).parquet(f"{path}/data").select(*rows.columns)
 
 
-_EXPORT = f"with {ctes('fx_quotes', 'fx_matches')} select k.match_id \"matchId\", league, home, market, company_id \"companyId\", case when market <> 'europe' then case when is_closed then '1' else '0' end else '' end \"isClosed\" from fx_quotes k join fx_matches m on m.match_id = k.match_id"
+_EXPORT = f"with {ctes('fx_quotes', 'fx_matches')} select k.match_id \"matchId\", coalesce(league, '') league, coalesce(home, '') home, market, company_id \"companyId\", case when market <> 'europe' then case when is_closed then '1' else '0' end else '' end \"isClosed\" from fx_quotes k left join fx_matches m on m.match_id = k.match_id"
 _EXPORTED = ["matchId", "league", "home", "market", "companyId", "isClosed"]
 
 
@@ -143,7 +143,7 @@ def csv(spark, sf):
 @query(
     "f13_compact_rows",
     f"""with {ctes('fx_quotes', 'fx_matches')}, {KEYED} select k.match_id "matchId", market, company_id "companyId", 8 + case when bookmaker_key is null then 0 else 2 end + case when cur_b is null then 0 else 1 end
-    + case when market = 'europe' then 6 else 9 end n_keys, count(*) n_rows from keyed k join fx_matches m on m.match_id = k.match_id group by all""",
+    + case when market = 'europe' then 6 else 9 end - case when m.match_id is null then 4 else 0 end n_keys, count(*) n_rows from keyed k left join fx_matches m on m.match_id = k.match_id group by all""",
 )
 def compact_rows(spark, sf):
     named = Q.identify_bookmaker(fx(spark, sf, "fx_quotes"))

@@ -31,13 +31,23 @@ HEADERS = {"flat": FLAT_COLUMNS, "pool": POOL_HEADERS, "probability": PROBABILIT
 _OTHER_NAMES = {"kickOffTime": "kickoff_ts", "kickoffTime": "kickoff_raw", "combinationStatus": "comb_status"}
 
 
-# Columns kept for a model's input: the export headers less a few, plus the raw pool match id.
-COMPACT = {
-    "flat": FLAT_COLUMNS,
-    "pool": [h for name in POOL_HEADERS if name != "tournamentCode" for h in ([name, "rawMatchId"] if name == "matchId" else [name])],
-    "probability": [h for h in PROBABILITY_HEADERS if h not in ("companyId", "sourceLabel")],
-    "crowd": CROWD_HEADERS,
-}
+# Columns kept for a model's input, in order.
+COMPACT_POOL = [
+    "pool", "rule", "ruleLabel", "frontEndId", "matchId", "rawMatchId", "kickOffTime", "status", "tournament", "home", "away",
+    "line", "selection", "selectionName", "odds", "homeOdds", "drawOdds", "awayOdds", "poolStatus", "lineStatus",
+    "combinationStatus", "updateAt", "sourcePage",
+]
+COMPACT_PROBABILITY = [
+    "matchId", "league", "kickoffTime", "state", "score", "home", "away", "companyName", "market", "oddsType", "type", "percent",
+    "description", "count", "overCount", "underCount", "overPercent", "underPercent", "kind", "rawLine", "sourcePage",
+]
+COMPACT_CROWD = [
+    "matchId", "guessId", "league", "kickoffTime", "state", "score", "home", "away", "homeRank", "awayRank", "asianLine",
+    "asianLineOdds", "asianCount", "asianHomePercent", "asianAwayPercent", "asianHomeSupportOdds", "asianAwaySupportOdds",
+    "asianLean", "asianEdge", "totalLine", "totalLineOdds", "totalCount", "overPercent", "underPercent", "overSupportOdds",
+    "underSupportOdds", "totalLean", "totalEdge", "maxPercent", "maxEdge", "hot", "detailUrl", "sourcePage",
+]
+COMPACT = {"flat": FLAT_COLUMNS, "pool": COMPACT_POOL, "probability": COMPACT_PROBABILITY, "crowd": COMPACT_CROWD}
 
 
 def _column(df: DataFrame, header: str) -> Column:
