@@ -202,7 +202,8 @@ def deduplicated(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = keep(classes(df, radius).groupBy("root", "doc_id", "item").agg(F.count("*").alias("copies")), "classes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "item")
     best = found.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n"))
-    gone = found.join(best.where("n > 1"), "root").where(~((F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("item") == F.col("best.item"))))
+    best = keep(best.where("n > 1"), "best")  # written, so that Spark can split a large class in the join
+    gone = found.join(best, "root").where(~((F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("item") == F.col("best.item"))))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("item").alias("gone_item"))
     rows = df.select(F.struct("*").alias("row"), df["doc_id"].cast("long").alias("id"), item(df).alias("item"))
     stay = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("item") == F.col("gone_item")), "left_anti")
