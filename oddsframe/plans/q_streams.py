@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from oddsframe.functions import sqlfns
+from oddsframe.operators import cache as K
 from oddsframe.operators import quotes as Q
+from oddsframe.operators.pools import HIT_KEY
 from oddsframe.plans.fx import ctes, fx, table
 from oddsframe.plans.q_select import BATCH
 from oddsframe.plans.registry import query
@@ -31,10 +33,16 @@ def ticks(spark, sf):
     return e.select("event_id", "ts", F.col("user_id").cast("string").alias("match_id"), F.col("event_type").alias("bookmaker_key"), F.col("value").alias("price"))
 
 
-def _drained(spark, changes, name, keys):
+def _drained(spark, rows, partial, merge, name, schema):
+    """A stream drained into partials, folded once, and read back."""
     out = _folder(spark, name)
-    T.write_changes(changes, f"{out}/data", f"{out}/state").awaitTermination()
-    return T.read_changes(spark, f"{out}/data", StructType(changes.schema.fields), keys)
+    T.write_partials(rows, partial, f"{out}/data", f"{out}/state").awaitTermination()
+    T.compact(spark, f"{out}/data", schema, merge)
+    return merge(T.read_partials(spark, f"{out}/data", schema))
+
+
+def _schema(spark, partial, rows):
+    return partial(spark.createDataFrame([], rows.schema)).schema
 
 
 _TICKS = f"with {ctes('fx_ticks')}"
@@ -45,7 +53,8 @@ _TICKS = f"with {ctes('fx_ticks')}"
     f"{_TICKS} select match_id, bookmaker_key, ts, event_id, price from fx_ticks qualify row_number() over (partition by match_id, bookmaker_key order by ts desc, event_id desc) = 1",
 )
 def latest(spark, sf):
-    return _drained(spark, T.stream_latest_quote(ticks(spark, sf)), "latest", T.TICK_KEYS)
+    rows = ticks(spark, sf)
+    return _drained(spark, rows, T.latest_quotes, T.latest_quotes, "latest", _schema(spark, T.latest_quotes, rows))
 
 
 @query(
@@ -53,16 +62,32 @@ def latest(spark, sf):
     f"{_TICKS}, s as (select match_id, bookmaker_key, arg_min(price, (ts, event_id)) open_price, arg_max(price, (ts, event_id)) latest_price, count(*) ticks from fx_ticks group by all) select *, abs(latest_price - open_price) as \"move\" from s",
 )
 def moves(spark, sf):
-    return T.with_move(_drained(spark, T.stream_open_close_move(ticks(spark, sf)), "moves", T.TICK_KEYS))
+    rows = ticks(spark, sf)
+    prices = _drained(spark, rows, T.open_close, T.merge_open_close, "moves", _schema(spark, T.open_close, rows))
+    return T.with_move(prices).drop("open_at", "latest_at")
+
+
+_HITS = (
+    "select distinct cast(l_orderkey % 3 as varchar) match_id, cast(l_orderkey % 3 as varchar) front_end_id, cast(l_suppkey % 2 as varchar) pool, l_returnflag as \"rule\", cast(l_linenumber % 2 as varchar) line_id,"
+    " cast(l_quantity as int) % 2 total_goals, '8.50' odds, l_linestatus selection, l_shipdate kickoff_ts from lineitem"
+)
 
 
-@query("t3_stream_dedupe_hits", f"{_TICKS} select distinct match_id, bookmaker_key from fx_ticks")
+@query("t3_stream_dedupe_hits", _HITS)
 def deduped(spark, sf):
-    hits = T.stream_dedupe_hits(ticks(spark, sf), T.TICK_KEYS, "ts", "20000 days").select(*T.TICK_KEYS)
+    """Hits come again with every capture; the 9-field key lets one of each through."""
+    rows = _stream(spark, sf, "lineitem")
+    match = (F.col("l_orderkey") % 3).cast("string")
+    hits = rows.select(
+        match.alias("match_id"), match.alias("front_end_id"), (F.col("l_suppkey") % 2).cast("string").alias("pool"), F.col("l_returnflag").alias("rule"), (F.col("l_linenumber") % 2).cast("string").alias("line_id"),
+        (F.col("l_quantity").cast("int") % 2).alias("total_goals"), F.lit("8.50").alias("odds"), F.col("l_linestatus").alias("selection"), F.col("l_shipdate").alias("kickoff_ts"),
+    )
+    once = T.stream_dedupe_hits(hits, HIT_KEY, "kickoff_ts").select(*HIT_KEY)
     out = _folder(spark, "dedupe")
-    writer = hits.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    writer = once.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
     writer.start(f"{out}/data").awaitTermination()
-    return spark.read.schema("match_id string, bookmaker_key string").parquet(f"{out}/data")
+    found = spark.read.schema(once.schema).parquet(f"{out}/data")
+    return found.withColumn("kickoff_ts", F.col("kickoff_ts").cast(dict(hits.dtypes)["kickoff_ts"]))
 
 
 @query(
@@ -79,7 +104,7 @@ def progress(spark, sf):
         F.when(i % 10 == 0, "HTTP 404 at page").when(i % 5 == 0, "timeout").alias("error"),
         F.when(i % 5 != 0, (F.col("o_custkey") % 5).cast("int")).otherwise(F.lit(0)).alias("hits"),
     )
-    return T.progress(_drained(spark, T.stream_progress(results), "progress", ["match_id"]))
+    return T.progress(_drained(spark, results, T.match_counts, T.merge_counts, "progress", _schema(spark, T.match_counts, results)))
 
 
 _UPSERT = (
@@ -88,19 +113,37 @@ _UPSERT = (
 )
 
 
-@query("k3_upsert_extract_cache", _UPSERT)
-@query("t2_stream_cache_upsert", _UPSERT)
-def cache(spark, sf):
-    o = _stream(spark, sf, "orders")
-    results = o.select(
+CACHE_NOW = "1999-01-01"
+
+
+def _cached(spark, sf):
+    return _stream(spark, sf, "orders").select(
         (F.col("o_orderkey") % 4000).cast("string").alias("match_id"), F.col("o_orderkey").alias("source_index"),
         F.col("o_orderdate").alias("saved_at"), F.col("o_totalprice").alias("result"),
     )
-    out = _folder(spark, "cache")
+
+
+@query("t2_stream_cache_upsert", _UPSERT)
+def cache(spark, sf):
+    results, out, now = _cached(spark, sf), _folder(spark, "cache"), F.lit(CACHE_NOW).cast("timestamp_ntz")
     T.stream_cache_upsert(results, f"{out}/data", f"{out}/state", 20000).awaitTermination()
     schema = StructType(results.schema.fields).add("expires_at", "timestamp_ntz")
-    live = T.read_cache(spark, f"{out}/data", schema, F.lit("1999-01-01").cast("timestamp_ntz"))
-    return live.select("match_id", "saved_at", "result", "expires_at")
+    return T.read_cache(spark, f"{out}/data", schema, now).select("match_id", "saved_at", "result", "expires_at")
+
+
+@query("k3_upsert_extract_cache", _UPSERT)
+def stored_cache(spark, sf):
+    """The cache table as it is stored: half of the results folded in, then the other half."""
+    out, now = _folder(spark, "store"), F.lit(CACHE_NOW).cast("timestamp_ntz")
+    schema = StructType(_cached(spark, sf).schema.fields).add("expires_at", "timestamp_ntz")
+    for parity in (0, 1):
+        batch = table(spark, sf, "orders").where(F.col("o_orderkey") % 2 == parity)
+        rows = K.latest_results(batch.select(
+            (F.col("o_orderkey") % 4000).cast("string").alias("match_id"), F.col("o_orderkey").alias("source_index"), F.col("o_orderdate").alias("saved_at"), F.col("o_totalprice").alias("result"),
+        ), ttl_hours=20000)
+        rows.select(*schema.names).write.parquet(f"{out}/batch_id={parity}")
+        T.compact_cache(spark, out, schema, now)
+    return T.read_partials(spark, out, schema).select("match_id", "saved_at", "result", "expires_at")
 
 
 @query(
@@ -119,8 +162,8 @@ def raw_pages(spark, sf):
     landed.write.parquet(f"{path}/in")
     text = pages.decode_pages(pages.read_raw_pages(spark, f"{path}/in", streaming=True))
     rows = text.select(F.col("match_id").cast("long").alias("page_id"), "url", "status_code", F.md5("text").alias("body_hash"))
-    T.write_changes(rows, f"{path}/data", f"{path}/state", mode="append").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{path}/data").select(*rows.columns)
+    T.write_partials(rows, lambda batch: batch, f"{path}/data", f"{path}/state").awaitTermination()
+    return T.read_partials(spark, f"{path}/data", rows.schema)
 
 
 _EXPORT = f"with {ctes('fx_quotes', 'fx_matches')} select k.match_id \"matchId\", coalesce(league, '') league, coalesce(home, '') home, market, company_id \"companyId\", case when market <> 'europe' then case when is_closed then '1' else '0' end else '' end \"isClosed\" from fx_quotes k left join fx_matches m on m.match_id = k.match_id"

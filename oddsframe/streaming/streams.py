@@ -1,22 +1,26 @@
 """Structured Streaming forms of the latest-quote, cache, dedupe, move and progress jobs.
 
-State lives in the streaming aggregation; each micro-batch writes only the keys it changed, under
-its own batch id.  Writing a batch again after a lost executor or a restart replaces the same
-folder, so the result is the same.
+Running results keep no state in the stream.  Each micro-batch is reduced to one partial row per key it
+touched and written under its own batch id; a batch that is run again after a lost executor or a restart
+replaces the same folder.  Reading merges the partials, so late rows count whenever they come, and
+`compact` folds finished batches into one base table, without the rows that have expired.  Only the
+dedupe job holds state, bounded by its watermark, in RocksDB.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from oddsframe.functions.text import text
-from oddsframe.operators.cache import TTL_HOURS, latest_results
+from oddsframe.operators.cache import TTL_HOURS, latest_results, live_entries
 from oddsframe.operators.quotes import pick_last
 
 TICK_KEYS = ["match_id", "bookmaker_key"]
+Reduce = Callable[[DataFrame], DataFrame]
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -25,51 +29,75 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keep large state off the heap."""
+    """Keep state off the heap."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
 
 
-def write_changes(changes: DataFrame, path: str, checkpoint: str, once: bool = True, mode: str = "update") -> StreamingQuery:
-    """Changed rows of each micro-batch under `path/batch_id=N`."""
+def write_partials(rows: DataFrame, partial: Reduce, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """The partial rows of each micro-batch under `path/batch_id=N`."""
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        partial(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    writer = changes.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save)
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
-def _with_batch(schema: StructType) -> StructType:
-    return StructType([*schema.fields, StructField("batch_id", LongType())])
+def _finished(spark: SparkSession, path: str, name: str) -> dict[int, str]:
+    """Folders `name=N` below a path whose write has finished."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    done = [p for p in found if p.getName().startswith(f"{name}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return {int(p.getName().split("=")[1]): p.toString() for p in done}
 
 
-def read_changes(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
-    """Current row per key: the one of its latest batch."""
-    log = spark.read.schema(_with_batch(schema)).parquet(path)
-    return pick_last(log, keys, [F.col("batch_id")]).drop("batch_id")
+def read_partials(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest base table and the batches after it."""
+    bases, batches = _finished(spark, path, "upto"), _finished(spark, path, "batch_id")
+    upto = max(bases, default=-1)
+    folders = [*([bases[upto]] if bases else []), *[folder for n, folder in sorted(batches.items()) if n > upto]]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def compact_changes(spark: SparkSession, path: str, schema, keys: list[str], target: str) -> None:
-    """Rewrite the change log as one table, for long-running jobs."""
-    read_changes(spark, path, schema, keys).write.mode("overwrite").parquet(target)
+def compact(spark: SparkSession, path: str, schema, merge: Reduce, live: Column | None = None) -> None:
+    """Fold the finished batches into a base table `upto=N`, rows that are not `live` left out, and drop them."""
+    bases, batches = _finished(spark, path, "upto"), _finished(spark, path, "batch_id")
+    newest = max([*bases, *batches], default=None)
+    if newest is None or newest in bases:
+        return
+    merged = merge(read_partials(spark, path, schema))
+    (merged if live is None else merged.where(live)).write.mode("overwrite").parquet(f"{path}/upto={newest}")
+    fs_path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in [*bases.values(), *[f for n, f in batches.items() if n <= newest]]:
+        fs_path(folder).getFileSystem(conf).delete(fs_path(folder), True)
 
 
-def stream_latest_quote(ticks: DataFrame) -> DataFrame:
-    """Latest tick per match and bookmaker; a later event wins equal times."""
+def latest_quotes(ticks: DataFrame) -> DataFrame:
+    """Latest tick per match and bookmaker; a later event wins equal times.  Merges its own output."""
     at = F.struct("ts", "event_id")
     return ticks.groupBy(*TICK_KEYS).agg(
         F.max("ts").alias("ts"), F.max_by("event_id", at).alias("event_id"), F.max_by("price", at).alias("price")
     )
 
 
-def stream_open_close_move(ticks: DataFrame) -> DataFrame:
-    """First and latest price per match and bookmaker; see `with_move` for the difference."""
+def open_close(ticks: DataFrame) -> DataFrame:
+    """First and latest price per match and bookmaker of a batch of ticks."""
     at = F.struct("ts", "event_id")
     return ticks.groupBy(*TICK_KEYS).agg(
-        F.min_by("price", at).alias("open_price"), F.max_by("price", at).alias("latest_price"), F.count(F.lit(1)).alias("ticks")
-    )
+        F.min(at).alias("open_at"), F.min_by("price", at).alias("open_price"), F.max(at).alias("latest_at"),
+        F.max_by("price", at).alias("latest_price"), F.count(F.lit(1)).alias("ticks"),
+    )
+
+
+def merge_open_close(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*TICK_KEYS).agg(
+        F.min("open_at").alias("open_at"), F.min_by("open_price", "open_at").alias("open_price"), F.max("latest_at").alias("latest_at"),
+        F.max_by("latest_price", "latest_at").alias("latest_price"), F.sum("ticks").alias("ticks"),
+    )
 
 
 def with_move(prices: DataFrame) -> DataFrame:
@@ -78,12 +106,16 @@ def with_move(prices: DataFrame) -> DataFrame:
 
 def stream_dedupe_hits(hits: DataFrame, keys: list[str], time: str, delay: str = "2 days") -> DataFrame:
     """One hit per key while its event time is within the delay; state older than that is dropped."""
+    use_rocksdb(hits.sparkSession)
     timed = hits.withColumn(time, F.col(time).cast("timestamp"))
     return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_progress(results: DataFrame) -> DataFrame:
-    """Running counts per match; `progress` sums them up."""
+_COUNTS = ["total", "ok_count", "error_count", "no_data_count", "hit_count"]
+
+
+def match_counts(results: DataFrame) -> DataFrame:
+    """Counts per match of a batch of results; `progress` sums them up."""
     no_data = text(F.col("error")).rlike("returned an error page|HTTP 404|no-match|Object reference|暂无相关数据|暂无数据")
     done = F.coalesce(F.col("ok"), F.lit(False)) | no_data
     return results.groupBy("match_id").agg(
@@ -95,11 +127,14 @@ def stream_progress(results: DataFrame) -> DataFrame:
     )
 
 
+def merge_counts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("match_id").agg(*[F.sum(c).cast("long").alias(c) for c in _COUNTS])
+
+
 def progress(per_match: DataFrame, chunk: int = 25) -> DataFrame:
     """The batch counts from the per-match counts."""
-    sums = ["total", "ok_count", "error_count", "no_data_count", "hit_count"]
     out = per_match.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums],
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in _COUNTS],
         F.count_if(F.col("hit_count") > 0).alias("match_hit_count"),
     )
     return out.withColumn("batch_count", F.ceil(F.col("total") / chunk).cast("long"))
@@ -107,15 +142,18 @@ def progress(per_match: DataFrame, chunk: int = 25) -> DataFrame:
 
 def stream_cache_upsert(results: DataFrame, path: str, checkpoint: str, ttl_hours: float = TTL_HOURS, once: bool = True) -> StreamingQuery:
     """Keyed upsert of extraction results: each micro-batch adds its newest result per match."""
-    def save(batch: DataFrame, batch_id: int) -> None:
-        latest_results(batch, ttl_hours=ttl_hours).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return write_partials(results, lambda batch: latest_results(batch, ttl_hours=ttl_hours), path, checkpoint, once)
 
-    writer = results.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
+
+def merge_cache(parts: DataFrame) -> DataFrame:
+    return pick_last(parts, ["match_id"], [F.col("saved_at"), F.col("source_index")])
+
+
+def compact_cache(spark: SparkSession, path: str, schema, now: Column) -> None:
+    """One row per match that has not expired."""
+    compact(spark, path, schema, merge_cache, F.col("expires_at") > now.cast("timestamp_ntz"))
 
 
 def read_cache(spark: SparkSession, path: str, schema, now: Column) -> DataFrame:
-    """Live entry per match from the upsert log."""
-    log = spark.read.schema(_with_batch(schema)).parquet(path)
-    live = log.where(F.col("expires_at") > now.cast("timestamp_ntz"))
-    return pick_last(live, ["match_id"], [F.col("saved_at"), F.col("source_index")]).drop("batch_id")
+    """Live entry per match."""
+    return merge_cache(live_entries(read_partials(spark, path, schema), now))

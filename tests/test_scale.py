@@ -1,5 +1,6 @@
 """Hot keys against brute force, row-order independence, and plan shapes."""
 
+import os
 import random
 import statistics
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from oddsframe.operators import features, link, pools, quotes, select
+from oddsframe.operators import cache, features, link, pools, quotes, select
 from oddsframe.operators.ordered import previous_row
 from oddsframe.plans import load_all
 from oddsframe.plans.registry import QUERIES
@@ -114,19 +115,66 @@ def test_link_packs_give_the_same_best(rows, monkeypatch):
     assert all(best[r.match_id][0] == r.score and (r.matched_id in (None, f"p{best[r.match_id][1]}")) for r in got)
 
 
-def test_streams_equal_batch_over_several_files(spark, rows, tmp_path):
-    data = [(str(i % 5), "b%d" % (i % 2), i, float(i % 7)) for i in range(200)]
-    df = rows(data, "match_id string, bookmaker_key string, event_id long, price double").withColumn("ts", F.timestamp_seconds(F.col("event_id") * 60 % 4000))
-    df.repartition(6).write.parquet(str(tmp_path / "in"))
+def _ticks(rows, n=200):
+    data = [(str(i % 5), "b%d" % (i % 2), i, float(i % 7)) for i in range(n)]
+    return rows(data, "match_id string, bookmaker_key string, event_id long, price double").withColumn("ts", F.timestamp_seconds(F.col("event_id") * 60 % 4000))
+
+
+def _drain(spark, df, tmp_path, partial, merge, live=None):
+    """Over one file a batch, with a fold in between and late rows after it."""
+    half = F.col(df.columns[0]).isNotNull() & (F.xxhash64(*df.columns) % 2 == 0)
+    schema = partial(spark.createDataFrame([], df.schema)).schema
+    for part in (df.where(half), df.where(~half)):
+        part.repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.read_stream(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
+        streams.write_partials(stream, partial, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        streams.compact(spark, str(tmp_path / "out"), schema, merge, live)
+    left = list((tmp_path / "out").glob("batch_id=*")), list((tmp_path / "out").glob("upto=*"))
+    assert (len(left[0]), len(left[1])) == (0, 1)
+    return merge(streams.read_partials(spark, str(tmp_path / "out"), schema))
+
+
+def _same(a, b):
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+@pytest.mark.parametrize("job", [(streams.latest_quotes, streams.latest_quotes), (streams.open_close, streams.merge_open_close)])
+def test_tick_streams_equal_batch(spark, rows, tmp_path, job):
+    df = _ticks(rows)
+    _same(_drain(spark, df, tmp_path, *job), job[1](job[0](df)))
+
+
+def test_progress_stream_equals_batch(spark, rows, tmp_path):
+    df = rows([(str(i % 9), i % 3 > 0, "HTTP 404" if i % 3 == 0 else None, i % 4) for i in range(120)], "match_id string, ok boolean, error string, hits int")
+    got = _drain(spark, df, tmp_path, streams.match_counts, streams.merge_counts)
+    _same(got, streams.match_counts(df))
+    assert streams.progress(got).first()["total"] == 120
+
+
+def test_cache_stream_drops_expired_entries(spark, rows, tmp_path):
+    df = rows([(str(i % 20), i, float(i)) for i in range(100)], "match_id string, source_index long, result double")
+    df = df.withColumn("saved_at", F.timestamp_seconds(F.col("source_index") * 3600).cast("timestamp_ntz"))
+    now = F.timestamp_seconds(F.lit(95 * 3600)).cast("timestamp_ntz")
+    got = _drain(spark, df, tmp_path, lambda b: cache.latest_results(b, ttl_hours=10), streams.merge_cache, F.col("expires_at") > now)
+    want = cache.live_entries(cache.latest_results(df, ttl_hours=10), now)
+    _same(want, got)
+    assert got.count() == 14
+
+
+def test_dedupe_stream_lets_one_through_and_forgets(spark, rows, tmp_path):
+    df = rows([("a", 0), ("a", 3600), ("b", 10), ("a", 10 * 86400), ("c", 20 * 86400), ("a", 30 * 86400)], "k string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+    known = set()
+    for n, at in enumerate(sorted(r["s"] for r in df.collect())):  # files are read by age
+        df.where(F.col("s") == at).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        new = set((tmp_path / "in").glob("*.parquet")) - known
+        known |= new
+        [os.utime(f, (1_000_000_000 + 60 * n,) * 2) for f in new]
     stream = streams.read_stream(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
-    changes = streams.stream_latest_quote(stream)
-    streams.write_changes(changes, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    schema = StructType(changes.schema.fields)
-    got = streams.read_changes(spark, str(tmp_path / "out"), schema, streams.TICK_KEYS)
-    want = streams.stream_latest_quote(df)
-    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
-    streams.compact_changes(spark, str(tmp_path / "out"), StructType(changes.schema.fields), streams.TICK_KEYS, str(tmp_path / "table"))
-    assert spark.read.parquet(str(tmp_path / "table")).count() == got.count()
+    once = streams.stream_dedupe_hits(stream, ["k"], "ts", "2 days").select("k", "s")
+    once.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = sorted((r["k"], r["s"]) for r in spark.read.schema("k string, s long").parquet(str(tmp_path / "out")).collect())
+    # the watermark follows a batch behind: "a" is let through again once its state has gone
+    assert got == [("a", 0), ("a", 30 * 86400), ("b", 10), ("c", 20 * 86400)]
 
 
 @pytest.mark.parametrize("name", ["a4_match_features", "j2_link_matches", "j3_gated_pool_match", "a17_match_documents", "w1_latest_quote", "l4_chunk_ids", "j9_head_to_head", "a8_h2h_over_under", "q4_series_quality", "p4_scan_equal_scores", "j7_merge_market_sources"])
