@@ -36,17 +36,21 @@ def attribute(tag: Column, name: str) -> Column:
 _START = r"(?s)^<[^>]*>"
 
 
+def _attr(tag: Column, name: str) -> Column:
+    """Decoded attribute, looked for only where the tag holds its name."""
+    here = F.contains(F.lower(tag), F.lit(name))
+    return F.when(here, decode_entities(attribute(tag, name))).otherwise(F.lit(""))
+
+
 def _cell(outer: Column) -> Column:
+    """What rows are chosen by; texts and price attributes are read from the cells that are used."""
     inner = F.regexp_replace(F.regexp_replace(outer, _START, ""), r"(?i)</t[dh]>$", "")
-    names = ("colspan", "oddstype", "goals", "title")
+    parts = F.struct(F.regexp_extract(outer, _START, 0).alias("tag"), inner.alias("html"))
+    return let(parts, lambda p: F.struct(_attr(p["tag"], "colspan").alias("colspan"), _attr(p["tag"], "oddstype").alias("oddstype"), p["tag"], p["html"]))
 
-    def read(tag, html):
-        has = lambda n: F.contains(F.lower(tag), F.lit(n))
-        attrs = [F.when(has(n), decode_entities(attribute(tag, n))).otherwise(F.lit("")).alias(n) for n in names]
-        return F.struct(*attrs, html.alias("html"), cell_text(html).alias("text"))
 
-    parts = F.struct(F.regexp_extract(outer, _START, 0).alias("tag"), inner.alias("html"))
-    return let(parts, lambda p: read(p["tag"], p["html"]))
+def _price_cell(c: Column) -> Column:
+    return F.struct(cell_text(c["html"]).alias("text"), _attr(c["tag"], "goals").alias("goals"), _attr(c["tag"], "title").alias("title"))
 
 
 _CELLS = r"(?is)<t[dh]\b[^>]*>.*?</t[dh]>"
@@ -87,6 +91,11 @@ def flat_rows(table: Column) -> Column:
 
 
 def _triplet(cells: Column) -> Column:
+    """Price, line and price of the first three of some cells."""
+    return let(F.transform(F.slice(cells, 1, 3), _price_cell), _triplet_of)
+
+
+def _triplet_of(cells: Column) -> Column:
     a, line, b = (F.get(cells, F.lit(i)) for i in range(3))
     title = lambda c: F.nullif(c["title"], F.lit(""))
     return F.struct(
@@ -103,7 +112,10 @@ def _quote(row: Column) -> Column:
 
 
 def _quote_of(row: Column, cells: Column, whole: Column, last: Column) -> Column:
-    name = cells[1]["text"]
+    return let(cell_text(cells[1]["html"]), lambda name: _named_quote(row, cells, whole, last, name))
+
+
+def _named_quote(row: Column, cells: Column, whole: Column, last: Column, name: Column) -> Column:
     return F.struct(
         F.coalesce(
             F.nullif(F.regexp_extract(cells[0]["html"], r"(?i)\bdata-id\s*=\s*[\"']?(\d+)", 1), F.lit("")), row["row_company"]
@@ -111,7 +123,7 @@ def _quote_of(row: Column, cells: Column, whole: Column, last: Column) -> Column
         F.trim(F.regexp_replace(F.replace(name, F.lit("封"), F.lit("")), r"\s+", " ")).alias("company"),
         F.contains(name, F.lit("封")).alias("is_closed"),
         row["hidden"].alias("hidden"),
-        cells[2]["text"].alias("multi_label"),
+        cell_text(cells[2]["html"]).alias("multi_label"),
         let(F.slice(cells, 4, 3), _triplet).alias("initial"),
         let(F.when(F.size(whole) >= 3, whole).otherwise(F.slice(cells, 10, 3)), _triplet).alias("current"),
         F.when(F.size(last) >= 3, _triplet(last)).alias("last_before_current"),
@@ -119,11 +131,13 @@ def _quote_of(row: Column, cells: Column, whole: Column, last: Column) -> Column
 
 
 def _with_company(quotes: Column) -> Column:
-    """Hidden rows take the company of the last visible row above them."""
-    def fill(q, i):
-        above = F.filter(F.slice(quotes, F.lit(1), i + 1), lambda x: ~x["hidden"] & (x["company"] != ""))
+    """Hidden rows take the company of the last visible row above them.
+
+    The rows are cut at the visible ones, so every row is looked at once.
+    """
+    def fill(q, seen):
         lacks = q["hidden"] | (q["company"] == "") | (q["company_id"] == "")
-        return let(F.when(lacks, F.try_element_at(above, F.lit(-1))), lambda seen: filled(q, seen))
+        return let(F.when(lacks, seen), lambda above: filled(q, above))
 
     def filled(q, seen):
         pick = lambda n: F.coalesce(F.nullif(q[n], F.lit("")), seen[n], F.lit(""))
@@ -133,7 +147,18 @@ def _with_company(quotes: Column) -> Column:
             q["current"].alias("current"), q["last_before_current"].alias("last_before_current"),
         )
 
-    return F.filter(F.transform(quotes, fill), lambda q: q["company"] != "")
+    visible = lambda q: ~q["hidden"] & (q["company"] != "")
+    heads = F.filter(F.transform(quotes, lambda q, i: F.when(visible(q) | (i == 0), i)), lambda i: i.isNotNull())
+
+    def cut(starts):
+        def part(s, k):
+            rows = F.slice(quotes, s + 1, F.coalesce(F.get(starts, k + 1), F.size(quotes)) - s)
+            head = F.when(visible(quotes[s]), quotes[s])
+            return let(head, lambda seen: F.transform(rows, lambda q: fill(q, seen)))
+
+        return F.flatten(F.transform(starts, part))
+
+    return F.filter(let(heads, cut), lambda q: q["company"] != "")
 
 
 def parse_odds_table(df: DataFrame, include_multi: bool = False) -> DataFrame:
@@ -166,7 +191,7 @@ def parse_europe_html(df: DataFrame) -> DataFrame:
     body = F.col("body")
     source = F.coalesce(*[F.nullif(table_html(body, i), F.lit("")) for i in ("odds", "datatb", "data")], body)
     texts = F.transform(
-        html_rows(source), lambda r: F.transform(F.filter(r["cells"], lambda c: c["text"] != ""), lambda c: c["text"])
+        html_rows(source), lambda r: F.filter(F.transform(r["cells"], lambda c: cell_text(c["html"])), lambda t: t != "")
     )
     header = "公司|所有|主胜|主勝|凱利|凯利|返还|返還"
     rows = F.filter(texts, lambda t: (F.size(t) >= 10) & ~t[0].rlike(header))
