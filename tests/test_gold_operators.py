@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from oddsframe.functions import odds as X
 from oddsframe.functions import text as T
-from oddsframe.operators import audit, features, history, link, pools, quotes, select
+from oddsframe.operators import audit, documents, features, history, link, pools, quotes, select
+from oddsframe.sources import feeds
 
 
 def test_bookmaker_names(rows):
@@ -188,7 +190,9 @@ def test_team_names(spark, rows):
     df = rows([("Arsenal FC",), ("CA普拉坦斯",), ("fc東京",), ("東京FC",), ("皇家馬德里（青年隊）",), ("ＡＣ米蘭",)], "n string")
     got = [r.x for r in df.select(T.norm_team(F.col("n")).alias("x")).collect()]
     assert got == ["arsenal", "普拉坦斯", "東京", "東京", "皇家马德里", "米兰"]
-    assert [r.x for r in df.limit(1).select(T.nfkc(F.lit("①")).alias("x")).collect()] == ["1"]
+    forms = rows([("ﬁorentina", "Târgoviște"), ("東京Ⅱ", "Hà Nội"), ("Ｔｏｋｙｏ ②", "plain"), (None, None)], "a string, b string")
+    got = [(r.t, r.c, r.l) for r in forms.select(T.norm_team(F.col("a")).alias("t"), T.norm_comp(F.col("a")).alias("c"), T.norm_latin(F.col("b")).alias("l")).collect()]
+    assert got == [("fiorentina", "fiorentina", "targoviste"), ("東京ii", "東京ii", "hanoi"), ("tokyo2", "tokyo2", "plain"), ("", "", "")]
 
 
 def test_league_filter(rows):
@@ -217,3 +221,87 @@ def test_structured_output(rows):
     assert (got[2].level, got[2].validation_score) == ("ok", 100)
     assert got[3].level == "warn" and {"pitch_reality", "singleMatch"} <= set(got[3].missing)
     assert (got[4].level, got[4].ok, got[4].validation_score, got[4].missing) == ("error", False, 0, ["structured_json"])
+
+
+def test_captures_are_not_mixed(rows):
+    """2:0 at 7.00 in one capture and 1:1 at 7.00 in the next were never equal at one time."""
+    schema = "snapshot_id int, match_id string, pool string, line_id string, sel string, odds string, sel_index int, kickoff_ts timestamp_ntz"
+    at = __import__("datetime").datetime(2026, 5, 1, 20)
+    prices = [(1, "0200", "7.00", 1), (1, "0101", "6.50", 2), (2, "0200", "7.50", 3), (2, "0101", "7.00", 4)]
+    df = rows([(s, "1", "CRS", "0", sel, o, i, at) for s, sel, o, i in prices], schema)
+    assert pools.equal_odds_by_total(df).count() == 0 and pools.score_pairs(df).count() == 0
+    assert pools.scan_equal_scores(df, F.lit("2026-05-01 18:00:00").cast("timestamp_ntz")).count() == 0
+    assert pools.equal_odds_by_total(df.drop("snapshot_id")).count() == 1
+    assert {r.snapshot_id for r in pools.latest_snapshot(df).collect()} == {2}
+
+
+def test_quotes_of_open_pools_only(rows):
+    schema = "snapshot_id int, match_id string, pool string, pool_status string, line_id string, condition string, main boolean, line_status string, comb_status string, sel_index int, sel string, odds string, update_at string"
+    line = lambda s, status, i, sel, odds, main=True: (s, "1", "HIL", status, "a", "2.5", main, "AVAILABLE", "AVAILABLE", i, sel, odds, f"t{s}")
+    df = rows([line(1, "SellingStarted", 1, "H", "1.90"), line(1, "SellingStarted", 2, "L", "1.80"), line(2, "Suspended", 3, "H", "2.00"), line(2, "Suspended", 4, "L", "1.70"),
+               line(3, "SELLINGSTARTED", 5, "H", "2.10", None), line(3, "SELLINGSTARTED", 6, "L", "1.60", None)], schema)
+    got = sorted((r.snapshot_id, r.cur_a, r.changed_at, r.is_multi_line) for r in pools.pool_quotes(df).collect())
+    assert got == [(1, 0.9, "t1", False), (3, 1.1, "t3", True)]
+
+
+def test_no_quote_is_lost(rows):
+    q = rows([("1", "asian", "full", "3"), ("2", "asian", "full", "3"), (None, "europe", None, "9")], "match_id string, market string, period string, company_id string")
+    q = q.withColumns({c: F.lit(1.5) for c in ("cur_a", "cur_b", "cur_line", "ini_a", "ini_b", "ini_line", "cur_draw", "ini_draw")})
+    q = q.withColumns({"is_closed": F.lit(False), "is_multi_line": F.lit(False), "changed_at": F.lit("t")})
+    m = rows([("1", 2, "later"), ("1", 1, "first")], "match_id string, source_index int, league string")
+    assert sorted((r.matchId or "", r.league or "") for r in quotes.flatten_quotes(q, m).collect()) == [("", ""), ("1", "first"), ("2", "")]
+
+
+def test_null_keys_keep_their_rows(rows):
+    df = rows([(None, 1), ("a", 5_000_000_000), (None, 900)], "snapshot_id string, source_index long")
+    assert sorted((r.source_index, r.chunk) for r in select.chunk_ids(df, size=1).collect()) == [(1, 0), (900, 1), (5_000_000_000, 0)]
+
+
+def test_a_meeting_counts_once(rows):
+    past = rows([(1, "2025-01-01", "7", "8", 3, 0), (2, "2025-01-01", "7", "8", 3, 0), (3, "2025-06-01", "8", "7", 0, 0)],
+                "source_index int, played_at string, home_team_id string, away_team_id string, home_goals int, away_goals int")
+    got = history.pair_stats(past).first()
+    assert (got.sample_count, got.over_count, got.history) == (2, 1, "2025-01-01 3-0 | 2025-06-01 0-0")
+
+
+def test_unknown_bookmakers_count(rows):
+    df = rows([("1", "asian", "full", None, "Book A"), ("1", "asian", "full", "", "Book B"), ("1", "asian", "full", "Pinna", "x")], "match_id string, market string, period string, bookmaker string, company string")
+    df = df.withColumns({c: F.lit(0.9) for c in ("cur_a", "cur_b", "cur_draw", "cur_line", "ini_a", "ini_b", "ini_draw", "ini_line")}).withColumns({"is_closed": F.lit(False), "is_multi_line": F.lit(False)})
+    assert features.asian_features(df).first().bookmaker_count == 3
+
+
+def test_league_export_and_filter(spark):
+    names = {r.league_name for r in select.league_names_expanded(spark).collect()}
+    assert len(names) == 1585 and {"卡亲王盃", "韓K2联", "世盃外", "東盟杯"} <= names
+    assert not {"K联赛2", "英足总杯", "世盃外附"} & names
+
+
+def test_all_players_and_rows_come_out(rows):
+    people = ",".join(f'{{"player":{{"name":"p{i}"}}}}' for i in range(15))
+    team = f'{{"team":{{"name":"T"}},"startXI":[{people}],"substitutes":[{people}]}}'
+    df = rows([(1, '{"response":[' + ",".join([team] * 6) + "]}")], "page_id int, body string")
+    assert feeds.parse_lineups(df).count() == 6 * 30
+    many = rows([("1", "asian", "full", i) for i in range(30)], "match_id string, market string, period string, n int").withColumn("payload", F.lit(1))
+    docs = documents.match_documents(many, ["payload"], ["n"], 12).collect()
+    assert sorted((d.payload_no, d.market_counts.asianFull) for d in docs) == [(0, 12), (1, 12), (2, 6)]
+    assert documents.match_documents(many, ["payload"], ["n"]).first().market_counts.asianFull == 30
+
+
+def test_brace_scan_is_linear(rows):
+    import time
+
+    df = rows([(1, "{" * 200_000 + '{"top10":[1]} {"a":"}"} tail')], "id int, text string")
+    start = time.time()
+    assert audit.extract_structured(df).first().structured == '{"top10":[1]}'
+    assert time.time() - start < 30
+
+
+def test_scratch_folder_only_for_local_sessions(monkeypatch):
+    from types import SimpleNamespace
+
+    from oddsframe.session import checkpoint_root
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        checkpoint_root(session)
