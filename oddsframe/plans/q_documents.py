@@ -224,7 +224,7 @@ def probes(spark, sf):
     return A.probe_status(fx(spark, sf, "fx_probe")).select("event_id", "state", "diagnosis")
 
 
-@query("a21_probe_summary", f"{_PROBE} select count(*) filter (state = 'ok') ok_count, count(*) filter (state = 'warn') warn_count, count(*) filter (state = 'error') error_count, 'error' overall from s")
+@query("a21_probe_summary", f"{_PROBE} select count(*) filter (state = 'ok') ok_count, count(*) filter (state = 'warn') warn_count, count(*) filter (state = 'error') error_count, case when count(*) filter (state = 'error') > 0 then 'error' when count(*) filter (state = 'warn') > 0 then 'warn' else 'ok' end overall from s")
 def probe_summary(spark, sf):
     return A.probe_summary(A.probe_status(fx(spark, sf, "fx_probe")))
 

@@ -63,14 +63,14 @@ def hits(spark, sf):
     return H.h2h_hits(out).select("match_id", "type", "percent", "description")
 
 
-@query(
-    "a9_probability_events",
-    f"""with {ctes('fx_prob')}, b as (select * from fx_prob where kind = 'ALL' and odds_type in ('LETGOAL', 'OU') and n >= 10
+EVENTS = f"""with {ctes('fx_prob')}, b as (select * from fx_prob where kind = 'ALL' and odds_type in ('LETGOAL', 'OU') and n >= 10
       qualify row_number() over (partition by match_id, company_id, odds_type order by count_type <> 'Ten', pos) = 1),
     e as (select *, case odds_type when 'OU' then '大' else '赢' end as type, win_scale percent from b union all
-      select *, '走', draw_scale from b union all select *, case odds_type when 'OU' then '小' else '输' end, loss_scale from b)
-    select match_id, company_id, odds_type, type, percent, n as count, '近' || n || '场相同' || case odds_type when 'OU' then '总进球数' else '让球' end description from e where percent >= 80""",
-)
+      select *, '走', draw_scale from b union all select *, case odds_type when 'OU' then '小' else '输' end, loss_scale from b)"""
+EVENT_ROWS = "select match_id, company_id, odds_type, type, percent, n as count, '近' || n || '场相同' || case odds_type when 'OU' then '总进球数' else '让球' end description from e where percent >= 80"
+
+
+@query("a9_probability_events", f"{EVENTS} {EVENT_ROWS}")
 def events(spark, sf):
     out = H.probability_events(fx(spark, sf, "fx_prob"))
     return out.select("match_id", "company_id", "odds_type", "type", "percent", "count", "description")

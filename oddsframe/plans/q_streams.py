@@ -9,9 +9,13 @@ from pyspark.sql.types import StructType
 
 from oddsframe.functions import sqlfns
 from oddsframe.operators import cache as K
+from oddsframe.operators import history as H
+from oddsframe.operators import pools as P
 from oddsframe.operators import quotes as Q
 from oddsframe.operators.pools import HIT_KEY
 from oddsframe.plans.fx import ctes, fx, table
+from oddsframe.plans.q_history import EVENT_ROWS, EVENTS
+from oddsframe.plans.q_pools import POOL, _PRICE, _VARIED, varied
 from oddsframe.plans.q_select import BATCH
 from oddsframe.plans.registry import query
 from oddsframe.plans.sqltext import KEYED
@@ -166,8 +170,11 @@ def raw_pages(spark, sf):
     return T.read_partials(spark, f"{path}/data", rows.schema)
 
 
-_EXPORT = f"with {ctes('fx_quotes', 'fx_matches')} select k.match_id \"matchId\", coalesce(league, '') league, coalesce(home, '') home, market, company_id \"companyId\", case when market <> 'europe' then case when is_closed then '1' else '0' end else '' end \"isClosed\" from fx_quotes k left join fx_matches m on m.match_id = k.match_id"
-_EXPORTED = ["matchId", "league", "home", "market", "companyId", "isClosed"]
+_EXPORT = f"with {ctes('fx_quotes', 'fx_matches')} select k.match_id \"matchId\", coalesce(league, '') league, coalesce(cast(kickoff_ts as varchar), '') \"kickoffTime\", coalesce(home, '') home, coalesce(away, '') away, market, case when market = 'europe' then 'full' else period end as \"period\", case when market <> 'europe' then case when is_multi_line then '1' else '0' end else '' end \"isMultiLine\", coalesce(cast(case when market = 'asian' then ini_a end as varchar), '') \"initialHomeOdds\", coalesce(cast(case when market = 'asian' then cur_line end as varchar), '') \"currentHandicapValue\", coalesce(cast(case when market = 'over_under' then cur_a end as varchar), '') \"currentOverOdds\", coalesce(cast(case when market = 'europe' then cur_draw end as varchar), '') \"currentDraw\", coalesce(case when market = 'europe' then cast(changed_at as varchar) end, '') \"changedAt\", company_id \"companyId\", case when market <> 'europe' then case when is_closed then '1' else '0' end else '' end \"isClosed\" from fx_quotes k left join fx_matches m on m.match_id = k.match_id"
+_EXPORTED = [
+    "matchId", "league", "kickoffTime", "home", "away", "market", "period", "companyId", "isClosed", "isMultiLine", "initialHomeOdds",
+    "currentHandicapValue", "currentOverOdds", "currentDraw", "changedAt",
+]
 
 
 def flat(spark, sf):
@@ -183,6 +190,41 @@ def csv(spark, sf):
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _EXPORTED])
 
 
+def _exported(spark, rows, kind, columns):
+    """Rows written as CSV in the layout of a kind, and some of its columns read back."""
+    path = _folder(spark, f"csv-{kind}")
+    sinks.write_csv(rows, path, kind)
+    schema = ", ".join(f"`{c}` string" for c in sinks.HEADERS[kind])
+    back = spark.read.schema(schema).csv(path, header=True, escape='"')
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+
+
+@query(
+    "k1_write_csv_pool",
+    f"{POOL}, {_VARIED}, {_PRICE.format('varied')} select pool, \"rule\", front_end_id \"frontEndId\", match_id \"matchId\", cast(kickoff_ts as varchar) \"kickOffTime\", selection, odds, case when pool = 'EHL' then 'hil' else lower(pool) end \"sourcePage\", '' \"tournament\" from price",
+)
+def csv_pool(spark, sf):
+    columns = ["pool", "rule", "frontEndId", "matchId", "kickOffTime", "selection", "odds", "sourcePage", "tournament"]
+    return _exported(spark, P.scan_price_rules(varied(spark, sf)), "pool", columns)
+
+
+@query(
+    "k1_write_csv_probability",
+    f"""{EVENTS} select match_id "matchId", cast(company_id as varchar) "companyId", odds_type "oddsType", "type", cast(percent as varchar) "percent", "description", cast("count" as varchar) "count", '' "league" from ({EVENT_ROWS})""",
+)
+def csv_probability(spark, sf):
+    return _exported(spark, H.probability_events(fx(spark, sf, "fx_prob")), "probability", ["matchId", "companyId", "oddsType", "type", "percent", "description", "count", "league"])
+
+
+@query(
+    "k1_write_csv_crowd",
+    f"""with {ctes('fx_support')} select match_id "matchId", cast(asian_home_percent as varchar) "asianHomePercent", cast(asian_away_percent as varchar) "asianAwayPercent",
+    cast(over_percent as varchar) "overPercent", cast(under_percent as varchar) "underPercent", '' "detailUrl" from fx_support""",
+)
+def csv_crowd(spark, sf):
+    return _exported(spark, fx(spark, sf, "fx_support"), "crowd", ["matchId", "asianHomePercent", "asianAwayPercent", "overPercent", "underPercent", "detailUrl"])
+
+
 @query(
     "f13_compact_rows",
     f"""with {ctes('fx_quotes', 'fx_matches')}, {KEYED} select k.match_id "matchId", market, company_id "companyId", 8 + case when bookmaker_key is null then 0 else 2 end + case when cur_b is null then 0 else 1 end
@@ -207,13 +249,15 @@ def jsonl(spark, sf):
     "sql_functions",
     f"""with {ctes('fx_pool')} select pool, printf('%.2f', odds) odds, cast(odds - 1 as double) hk, cast(odds as double) back, cast(odds as double) number, (floor(odds) + 0.5)::double line,
     case when odds * 10 >= 70 then '高' when odds * 10 >= 40 then '中' else '低' end risk, case when odds * 10 >= 72 then '高' when odds * 10 >= 50 then '中' else '低' end confidence,
-    case when odds * 10 >= 70 then '強' when odds * 10 >= 40 then '中' else '弱' end pressure, count(*) n_rows from fx_pool group by all""",
+    case when odds * 10 >= 70 then '強' when odds * 10 >= 40 then '中' else '弱' end pressure,
+    round(1 / odds::double + 1 / 3.0::double + 1 / (odds::double + 1), 9) overround, round((1 / 3.0::double) / (1 / odds::double + 1 / 3.0::double + 1 / (odds::double + 1)), 9) share, count(*) n_rows from fx_pool group by all""",
 )
 def sql_functions(spark, sf):
     sqlfns.register(spark)
     return spark.sql(
         """select pool, norm_odds(cast(odds as string)) odds, cast(hk_odds(odds) as double) hk, cast(decimal_odds(hk_odds(odds)) as double) back,
         first_number(concat('x ', odds, ' y')) number, line_value(concat(floor(odds), '/', floor(odds) + 1)) line, risk_label(odds * 10) risk,
-        confidence_label(odds * 10) confidence, pressure_label(odds * 10) pressure, count(*) n_rows from {p} group by all""",
+        confidence_label(odds * 10) confidence, pressure_label(odds * 10) pressure,
+        round(implied_overround(odds, 3, odds + 1), 9) overround, round(fair_share(3, odds, 3, odds + 1), 9) share, count(*) n_rows from {p} group by all""",
         p=fx(spark, sf, "fx_pool"),
     )
