@@ -13,6 +13,7 @@ from oddsframe.session import checkpoint_root
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word: a run of anything but ASCII white space
 BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+MOST_TASKS = 20_000  # of one stage; beyond, a task does several units one after the other
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession, units: int) -> int:
+    """Partitions for so many units of work of bounded size: they grow with the data, not with a default."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(units, MOST_TASKS))
+
+
 def n_words(text) -> F.Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from oddsframe.llm.components import components
 from oddsframe.llm.mixing import item
-from oddsframe.llm.shared import keep, small_batches
+from oddsframe.llm.shared import keep, small_batches, tasks
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCK = 2048  # fingerprints whose balls are spelled out together
@@ -180,7 +180,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_values: int = BUCKET_VALU
 
     spread = fps.select("fp").repartition(-(-n // SPELL_FPS) or 1, "fp")  # the table is small, its balls are not
     sent = spread.mapInArrow(spell, "bucket int, fps binary, counts binary, low binary")
-    return sent.groupBy("bucket").applyInArrow(bucket_links, "a long, b long")
+    return sent.repartition(tasks(fps.sparkSession, buckets), "bucket").groupBy("bucket").applyInArrow(bucket_links, "a long, b long")
 
 
 def classes(df: DataFrame, radius: int = RADIUS) -> DataFrame:

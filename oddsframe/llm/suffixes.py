@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe.llm.rolling import ODD, mix, prefix, sliding_least
-from oddsframe.llm.shared import small_batches, utf8
+from oddsframe.llm.shared import small_batches, tasks, utf8
 from oddsframe.llm.suffixarray import repeats
 
 WINDOW, GRAM = 100, 32
@@ -172,7 +172,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "codes": pa.array(codes, pa.binary())})
 
     sent = docs.select("k1", "k2", "text").mapInArrow(send, "bucket long, k1 binary, k2 binary, counts binary, anchors binary")
-    return sent.groupBy("bucket").applyInArrow(match, "k1 long, k2 long, codes binary")
+    return sent.repartition(tasks(docs.sparkSession, buckets), "bucket").groupBy("bucket").applyInArrow(match, "k1 long, k2 long, codes binary")
 
 
 def _stretches(part: pa.RecordBatch, hot: np.ndarray) -> tuple[list, pa.RecordBatch | None]:
@@ -296,7 +296,7 @@ def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = B
         return pa.table(dict(zip(("k1", "k2", "start", "end"), (pa.array(x, pa.int64()) for x in out))))
 
     sent = marked.mapInArrow(stretch, "shard long, anchor long, k1 long, k2 long, late boolean, start long, end long, stretch binary")
-    found = sent.groupBy("shard").applyInArrow(sort_shard, "k1 long, k2 long, start long, end long")
+    found = sent.repartition(tasks(docs.sparkSession, shards), "shard").groupBy("shard").applyInArrow(sort_shard, "k1 long, k2 long, start long, end long")
     return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
