@@ -30,7 +30,7 @@ from oddsframe.llm.mixing import item
 from oddsframe.llm.shared import keep, small_batches, tasks
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-BLOCK = 2048  # fingerprints whose balls are spelled out together
+BLOCK = 1024  # fingerprints whose balls are spelled out together
 SPELL_FPS = 16_384  # fingerprints whose balls one task spells out
 BUCKET_VALUES = 4_000_000  # values that one bucket should hold
 LOW_BITS = 24
@@ -80,8 +80,11 @@ def _spread(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     mixed = values * ODD
     mixed ^= mixed >> np.uint64(32)
     mixed *= ODD
-    high = mixed >> np.uint64(40)  # 24 bits choose the bucket
-    return (high * np.uint64(buckets) >> np.uint64(24)).astype(np.uint32), ((mixed >> np.uint64(8)) & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32)
+    low = (mixed >> np.uint64(8)).astype(np.uint32) & np.uint32((1 << LOW_BITS) - 1)
+    mixed >>= np.uint64(40)  # 24 bits choose the bucket
+    mixed *= np.uint64(buckets)
+    mixed >>= np.uint64(24)
+    return mixed.astype(np.uint32), low
 
 
 def send(fps: np.ndarray, masks: np.ndarray, buckets: int) -> pd.DataFrame:
@@ -115,12 +118,20 @@ def _middle(a: np.ndarray, b: np.ndarray, half: int) -> np.ndarray:
     return out
 
 
-def meet(owner: np.ndarray, low: np.ndarray, bucket: int, buckets: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints that meet in a bucket; owner and low bits of every value that came."""
-    known, who = np.unique(owner, return_inverse=True)
-    packed = np.sort(low.astype(np.uint64) << np.uint64(32) | who.astype(np.uint64))
+def meet(owners: np.ndarray, counts: np.ndarray, low: np.ndarray, bucket: int, buckets: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the fingerprints that meet in a bucket; each owner's count of values, and the low bits of all of them."""
+    known, who = np.unique(owners, return_inverse=True)
+    packed = low.astype(np.uint64)
+    packed <<= np.uint64(32)
+    packed |= np.repeat(who.astype(np.uint32), counts)
+    packed.sort()
     packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
-    value, f = (packed >> np.uint64(32)).astype(np.uint32), known[(packed & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    value = (packed >> np.uint64(32)).astype(np.uint32)
+    beside = value[1:] == value[:-1]
+    met = np.r_[beside, False] | np.r_[False, beside]
+    value, packed = value[met], packed[met]
+    f = known[(packed & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    del packed, beside, met
     half, left, right = (radius + 1) // 2, [], []
 
     def take(a, b, at):
@@ -174,8 +185,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_values: int = BUCKET_VALU
     def bucket_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         joined = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("fps", np.uint64), ("counts", np.uint16), ("low", np.uint8))}
         low = np.zeros((len(joined["low"]) // 3, 4), np.uint8)
-        low[:, :3] = joined["low"].reshape(-1, 3)
-        a, b = meet(np.repeat(joined["fps"], joined["counts"]), low.view(np.uint32).ravel(), key[0].as_py(), buckets, radius)
+        low[:, :3] = joined.pop("low").reshape(-1, 3)
+        a, b = meet(joined["fps"], joined["counts"], low.view(np.uint32).ravel(), key[0].as_py(), buckets, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     spread = fps.select("fp").repartition(-(-n // SPELL_FPS) or 1, "fp")  # the table is small, its balls are not

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 
+_INDEX = np.int32  # a text that is sorted at once stays far below 2**31 symbols
 NARROW = 512  # alphabets up to here are induced; wider ones are sorted by doubling
 
 
 def _classes(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the last symbol is the sentinel."""
     n = len(text)
-    differs = np.append(text[:-1] != text[1:], True)
     rises = np.append(text[:-1] < text[1:], True)
-    at = np.where(differs, np.arange(n), n)
+    at = np.arange(n, dtype=_INDEX)
+    at[:-1][text[:-1] == text[1:]] = n
     return rises[np.minimum.accumulate(at[::-1])[::-1]]
 
 
@@ -26,7 +27,7 @@ def _by_symbol(symbols: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.
     """Stable order by symbol, the counts, and each element's rank within its symbol."""
     order = np.argsort(symbols, kind="stable")
     counts = np.bincount(symbols, minlength=k)
-    rank = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rank = np.arange(len(symbols), dtype=_INDEX) - np.repeat((np.cumsum(counts) - counts).astype(_INDEX), counts)
     return order, counts, rank
 
 
@@ -36,9 +37,10 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> n
     sizes = np.bincount(text, minlength=k)
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    out = np.full(n, -1, np.int64)
+    out = np.full(n, -1, _INDEX)
     order, seeded, rank = _by_symbol(text[seeds], k)
     out[np.repeat(ends - seeded, seeded) + rank] = seeds[order]
+    del order, rank
 
     heads = begins.copy()
 
@@ -104,7 +106,7 @@ def _double(ranks: np.ndarray, depth: int | None) -> np.ndarray:
     n = len(ranks)
     order = np.argsort(ranks, kind="stable")
     first = np.r_[True, ranks[order][1:] != ranks[order][:-1]]
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int64)  # two ranks make a 64-bit key
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank[n] = -1
     step = 1
@@ -134,22 +136,26 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    text = np.r_[text.astype(np.int64) + 1, 0]
-    k = int(text.max()) + 1
-    text = text.astype(np.uint8 if k <= 256 else np.uint16 if k <= 65_536 else np.int64)
+    k = int(text.max()) + 2
+    symbols = np.zeros(n + 1, np.uint8 if k <= 256 else np.uint16 if k <= 65_536 else np.int64)
+    np.add(text, 1, out=symbols[:-1], casting="unsafe")
+    text = symbols
     small = _classes(text)
-    leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    leftmost = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(_INDEX)
     is_leftmost = np.zeros(n + 1, bool)
     is_leftmost[leftmost] = True
     found = _induce(text, small, leftmost, k)
     ordered = found[is_leftmost[found]]
-    length = np.zeros(n + 1, np.int64)
+    del found, is_leftmost
+    length = np.zeros(n + 1, _INDEX)
     length[leftmost] = np.diff(np.r_[leftmost, n]) + 1
     names = _names(text, ordered, length)
+    del length
     if names[-1] + 1 < len(ordered):
-        name_at = np.zeros(n + 1, np.int64)
+        name_at = np.zeros(n + 1, _INDEX)
         name_at[ordered] = names
         reduced = name_at[leftmost]
+        del name_at
         inner = None if depth is None else depth // 2 + 2
         ordered = leftmost[suffix_array(reduced, inner) if names[-1] < NARROW else _double(reduced, inner)]
     return _induce(text, small, ordered, k)[1:]
@@ -165,7 +171,7 @@ def repeats(text: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
     order = order[valid[order]]
     if len(order) < 2:
         return out
-    before = np.full(len(text), -1, np.int64)
+    before = np.full(len(text), -1, _INDEX)
     before[order[1:]] = order[:-1]
     common = np.zeros(len(text), np.int16)
     words = np.lib.stride_tricks.as_strided(np.r_[text, np.zeros(8, np.uint8)], (len(text), 8), (1, 1)).copy().view(np.uint64).ravel()

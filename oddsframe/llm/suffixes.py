@@ -32,6 +32,7 @@ WINDOW, GRAM = 100, 32
 PIECE = 1 << 20  # bytes hashed together
 BUCKET_BYTES = 40_000_000  # text whose anchors share a bucket
 SHARD_BYTES = 8_000_000  # text whose stretches share a shard
+SORT_BYTES = 3_000_000  # stretches sorted at once
 SAMPLE_ROWS = 2_000  # texts looked through for frequent anchors
 HOT_SHARE, HOT_ROWS = 0.01, 200_000  # frequent: in this share of texts, and by that in so many
 
@@ -216,11 +217,8 @@ def _stretches(part: pa.RecordBatch, hot: np.ndarray) -> tuple[list, pa.RecordBa
     settled = (k1[owner], k2[owner], start, end)
     go = ~later
     text, first, last, anchor = text[go], first[go], last[go], anchor[go]
-    size = last - first + WINDOW
-    ends = np.cumsum(size)
-    flat = data[np.arange(ends[-1]) - np.repeat(ends - size - first, size)] if len(size) else data[:0]
-    offsets = np.r_[0, ends].astype(np.int32)
-    stretch = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+    raw = data.tobytes()
+    stretch = pa.array([raw[a:b] for a, b in zip(first.tolist(), (last + WINDOW).tolist())], pa.binary())
     return settled, (anchor, k1[text], k2[text], late[text], first - starts[text], stretch)
 
 
@@ -285,7 +283,7 @@ def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = B
         ready = np.array([s is None for s in stretches], bool)
         out = [c["k1"][ready].tolist(), c["k2"][ready].tolist(), c["start"][ready].tolist(), c["end"][ready].tolist()]
         go = np.flatnonzero(~ready)
-        parts = 1 + sum(len(stretches[i]) for i in go) // (2 * SHARD_BYTES)  # more than expected: sorted in parts by anchor
+        parts = 1 + sum(len(stretches[i]) for i in go) // SORT_BYTES  # sorted in parts by anchor: equal windows share one
         part_of = mix(c["anchor"][go].view(np.uint64) ^ ODD) % np.uint64(parts)
         for k in range(parts):
             at = go[part_of == np.uint64(k)]

@@ -96,7 +96,7 @@ def test_meeting_survives_false_neighbours():
     for mask in simhash.ball(2):
         for bucket in range(1):
             home, bits = simhash._spread(group ^ mask, 1)
-            x, y = simhash.meet(np.r_[group, group], np.r_[bits, np.full(len(group), bits[1])].astype(np.uint32), bucket, 1, 4)
+            x, y = simhash.meet(np.r_[group, group], np.ones(2 * len(group), np.uint16), np.r_[bits, np.full(len(group), bits[1])].astype(np.uint32), bucket, 1, 4)
             links |= set(zip(x.tolist(), y.tolist()))
     assert all(bin(x ^ y).count("1") <= 4 for x, y in links)
 
