@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from oddsframe.session import checkpoint_root
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word: a run of anything but ASCII white space
-BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 5 << 20
 MOST_TASKS = 20_000  # of one stage; beyond, a task does several units one after the other
 
 

@@ -53,15 +53,20 @@ def _piece_runs(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, last, anchor, under
 
 
+def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Where a window may start in texts that lie side by side."""
+    long_ = ends - starts >= WINDOW
+    steps = np.zeros(n + 1, np.int8)
+    np.add.at(steps, starts[long_], 1)
+    np.add.at(steps, ends[long_] - WINDOW + 1, -1)
+    return np.cumsum(steps[:-1], dtype=np.int8).view(bool)
+
+
 def runs(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     """The runs of all texts of a batch; text number, first and last window within the batch's bytes, anchor, digest."""
     ends = np.append(starts[1:], len(data)) if len(starts) and starts[-1] != len(data) else starts[1:]
     starts = starts[: len(ends)]
-    valid = np.zeros(len(data) + 1, np.int32)
-    long_ = ends - starts >= WINDOW
-    np.add.at(valid, starts[long_], 1)
-    np.add.at(valid, ends[long_] - WINDOW + 1, -1)
-    valid = np.cumsum(valid[:-1]) > 0
+    valid = _marked(starts, ends, len(data))
     parts = []
     for at in range(0, len(data), PIECE):
         upto = min(at + PIECE, len(data))
@@ -242,10 +247,7 @@ def _shard_repeats(late: np.ndarray, k1: np.ndarray, k2: np.ndarray, first: np.n
     sizes = np.array([len(stretch[i]) for i in lead])
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    valid = np.zeros(len(text) + 1, np.int32)
-    np.add.at(valid, begins, 1)
-    np.add.at(valid, ends - WINDOW + 1, -1)
-    repeated = repeats(text, np.cumsum(valid[:-1]) > 0, WINDOW)
+    repeated = repeats(text, _marked(begins, ends, len(text)), WINDOW)
     edge = np.diff(np.r_[0, repeated.astype(np.int8), 0])
     for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
         i = int(np.searchsorted(ends, a, side="right"))
