@@ -1,7 +1,8 @@
 """Visible text of web pages, laid out as a browser would place it.
 
 A tolerant tree builder closes what HTML lets authors leave open (paragraphs, list items, table parts, options, the
-head) and ignores end tags that match nothing.  Elements that do not show are left out: head matter, scripts,
+head), opens the bodies and rows that a table's cells stand in, moves what is misplaced between cells before the table,
+and ignores end tags that match nothing.  Elements that do not show are left out: head matter, scripts,
 templates, `hidden`, `display: none` and `visibility: hidden` in style attributes or in a page's own rules for a tag,
 class or id, closed dialogs and details, unselected options.  The rest is rendered block by block: white space runs
 collapse outside `pre`, paragraphs, headings, lists, tables and quotes stand apart by a blank line, other blocks by a
@@ -40,6 +41,10 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "body": ({"head"}, set()),
 }
 CELL_SCOPE = frozenset({"td", "th", "caption", "table"})
+CELLS, SECTIONS = frozenset({"td", "th", "caption"}), frozenset({"thead", "tbody", "tfoot"})
+ROWS = SECTIONS | {"table", "tr"}  # these hold parts of a table only
+PARTS = CELLS | SECTIONS | {"tr", "col", "colgroup"}
+APART = frozenset({"noscript", "iframe", "template"})  # their content does not reach the table around them
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 SIMPLE = re.compile(r"[a-z][\w-]*|[.#][\w-]+", re.I)
@@ -69,25 +74,64 @@ class Builder(HTMLParser):
                 del self.open[k:]
                 return self._close(tags, scope)
 
+    def _last(self, tags: frozenset[str] | set[str]) -> int:
+        return next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag in tags), 0)
+
+    def _table(self) -> int:
+        """Place of the open table whose parts come next; 0 in a cell, a caption or no table."""
+        k = self._last(CELL_SCOPE | APART)
+        return k if self.open[k].tag == "table" else 0
+
+    def _part(self, tag: str) -> None:
+        """Make room for a part of a table: end what may not hold it, and open the body and row it needs."""
+        k = self._last({"table"} | APART)
+        if self.open[k].tag != "table":
+            return
+        inner = [n.tag for n in self.open[k + 1 :]]
+        row = next((j for j, t in enumerate(inner) if t == "tr"), None)
+        body = next((j for j, t in enumerate(inner) if t in SECTIONS), None)
+        if tag in ("td", "th") and row is not None:
+            del self.open[k + row + 2 :]
+        elif tag in ("td", "th", "tr"):
+            del self.open[k + 1 if body is None else k + body + 2 :]
+            for missing in ["tbody"] * (body is None) + ["tr"] * (tag != "tr"):
+                self._add(Node(missing, {}))
+        else:
+            del self.open[k + 1 :]
+
+    def _add(self, node: Node) -> None:
+        self.open[-1].children.append(node)
+        if len(self.open) < DEPTH:
+            self.open.append(node)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
             return
+        if tag in PARTS:
+            self._part(tag)
+        if tag == "table" and (table := self._table()):
+            del self.open[table:]
         if tag in CLOSES_P:
             self._close({"p"}, CELL_SCOPE | {"button", "object"})
         if tag not in SILENT and tag not in VOID:
             self._close({"head"}, frozenset())
         if tag in IMPLIED:
-            self._close(*IMPLIED[tag])
+            tags, scope = IMPLIED[tag]
+            self._close(tags, scope | APART if tag in PARTS else scope | APART | CELL_SCOPE)
+        table = self._table()
         node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
+        if table and tag not in PARTS and tag not in SILENT and tag != "form" and self.open[-1].tag in ROWS:
+            self.open[table - 1].children.insert(-1, node)  # the table is the last child so far
+        else:
+            self.open[-1].children.append(node)
+        if tag not in VOID and tag != "colgroup" and not (table and tag == "form") and len(self.open) < DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        scope = frozenset() if tag in CELL_SCOPE or tag in ("tr", "thead", "tbody", "tfoot", "body") else CELL_SCOPE
+        scope = {"table"} if tag in CELLS or tag in SECTIONS or tag == "tr" else frozenset() if tag in ("table", "body") else CELL_SCOPE
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
                 del self.open[k:]
@@ -104,7 +148,11 @@ class Builder(HTMLParser):
         if parent.tag == "head" and not data.isspace():
             self._close({"head"}, frozenset())
             parent = self.open[-1]
-        parent.children.append(data)
+        table = self._table() if parent.tag in ROWS and not data.isspace() else 0
+        if table:
+            self.open[table - 1].children.insert(-1, data)
+        else:
+            parent.children.append(data)
 
 
 class Layout:
