@@ -4,7 +4,8 @@ A tolerant tree builder closes what HTML lets authors leave open (paragraphs, li
 head), opens the bodies and rows that a table's cells stand in, moves what is misplaced between cells before the table,
 and ignores end tags that match nothing.  Elements that do not show are left out: head matter, scripts,
 templates, `hidden`, `display: none` and `visibility: hidden` in style attributes or in a page's own rules for a tag,
-class or id, closed dialogs and details, unselected options.  The rest is rendered block by block: white space runs
+class or id, closed dialogs and details, unselected options.  Rules hold that apply to a screen of SCREEN pixels; of
+several, the one that wins by importance, kind of selector and order.  The rest is rendered block by block: white space runs
 collapse outside `pre`, paragraphs, headings, lists, tables and quotes stand apart by a blank line, other blocks by a
 line break, list items are marked and indented, and table cells are padded to common column widths.
 
@@ -45,8 +46,18 @@ CELLS, SECTIONS = frozenset({"td", "th", "caption"}), frozenset({"thead", "tbody
 ROWS = SECTIONS | {"table", "tr"}  # these hold parts of a table only
 PARTS = CELLS | SECTIONS | {"tr", "col", "colgroup"}
 APART = frozenset({"noscript", "iframe", "template"})  # their content does not reach the table around them
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+# a desktop screen: its size, and the features that style sheets ask for
+SCREEN = {"width": 1280, "height": 720}
+FEATURES = {
+    "orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "prefers-color-scheme": "light",
+    "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference", "scripting": "enabled", "update": "fast",
+}
+EM = 16
+SKIP = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|url\([^()"']*\)""", re.S | re.I)
+LENGTH = r"([\d.]+)\s*(px|em|rem|)"
+BOUND = re.compile(r"(min-|max-|)(?:device-)?(width|height)\s*:\s*" + LENGTH)
+RANGE = re.compile(rf"(?:{LENGTH}\s*(<=?|>=?|=)\s*)?(width|height)\s*(?:(<=?|>=?|=)\s*{LENGTH})?")
+COMPARE = {"<": float.__lt__, "<=": float.__le__, ">": float.__gt__, ">=": float.__ge__, "=": float.__eq__, "min-": float.__ge__, "max-": float.__le__, "": float.__eq__}
 SIMPLE = re.compile(r"[a-z][\w-]*|[.#][\w-]+", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -58,13 +69,83 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def _pixels(number: str, unit: str) -> float:
+    return float("0" + number if number.count(".") < 2 else 0) * (EM if unit in ("em", "rem") else 1)
+
+
+def _feature(text: str) -> bool | None:
+    """Whether the screen has a feature; None if that is not known."""
+    if m := BOUND.fullmatch(text):
+        return COMPARE[m[1]](float(SCREEN[m[2]]), _pixels(m[3], m[4]))
+    if m := RANGE.fullmatch(text):
+        size = float(SCREEN[m[4]])
+        return (not m[3] or COMPARE[m[3]](_pixels(m[1], m[2]), size)) and (not m[5] or COMPARE[m[5]](size, _pixels(m[6], m[7])))
+    name, _, value = (x.strip() for x in text.partition(":"))
+    if name in FEATURES:
+        return FEATURES[name] == value if value else FEATURES[name] != "no-preference"
+    return True if text == "color" else None
+
+
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds for the screen; what is not known does not hold."""
+    for query in media.lower().split(","):
+        words = re.findall(r"\([^()]*\)|[\w-]+", query)
+        negated = words[:1] == ["not"]
+        asked = [w for w in words[negated:] if w not in ("and", "or", "only")]
+        held = [None if w == "not" else _feature(w[1:-1].strip()) if w[0] == "(" else w in ("all", "screen") for w in asked]
+        if None not in held and (any(held) if "or" in words else all(held)) != negated:
+            return True
+    return False
+
+
+def _plain(css: str) -> str:
+    """Style text without comments and the content of strings."""
+    return SKIP.sub(lambda m: " " if m[0][0] in "/<-" else '""', css)
+
+
+def _declared(body: list[str]) -> dict[str, tuple[bool, bool]]:
+    """Whether `display` and `visibility` are declared important, and whether they hide."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for name, value in (x.lower().split(":", 1) for x in body if ":" in x):
+        name, (value, _, mark) = name.strip(), value.partition("!")
+        if name in ("display", "visibility") and value.strip():
+            important = mark.strip() == "important"
+            if important or not out.get(name, (False,))[0]:
+                out[name] = important, value.strip() in (("none",) if name == "display" else ("hidden", "collapse"))
+    return out
+
+
+def screen_rules(css: str) -> Iterator[tuple[str, dict[str, tuple[bool, bool]]]]:
+    """Selector lists and what they declare, in order, of the rules that apply to the screen."""
+    css = _plain(css)
+    blocks: list[tuple[bool, str | None, list[str]]] = []  # open blocks: whether they apply, selectors if a rule, declarations
+    at = 0
+    for m in re.finditer(r"[{};]|\Z", css):
+        text, at = css[at : m.start()].strip(), m.end()
+        if m[0] == "{":
+            applies = not blocks or blocks[-1][0] and blocks[-1][1] is None  # rules within rules have no simple selector
+            if text.startswith("@"):
+                name, rest = re.match(r"@([\w-]*)(.*)", text, re.S).groups()
+                group = name.lower() in ("layer", "supports") or name.lower() == "media" and on_screen(rest)
+                blocks.append((applies and group, None, []))
+            else:
+                blocks.append((applies, text, []))
+            continue
+        if blocks:
+            blocks[-1][2].append(text)
+        for _ in range(len(blocks) if not m[0] else min(len(blocks), m[0] == "}")):
+            applies, selectors, body = blocks.pop()
+            if applies and selectors and (declared := _declared(body)):
+                yield selectors, declared
+
+
 class Builder(HTMLParser):
-    """Element tree of a page, and the simple selectors that its style sheets hide."""
+    """Element tree of a page, and what its style sheets say of simple selectors."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
-        self.open, self.hidden = [self.root], set()
+        self.open, self.styles = [self.root], []
 
     def _close(self, tags: set[str], scope: set[str] | frozenset[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -141,10 +222,8 @@ class Builder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         parent = self.open[-1]
-        if parent.tag == "style":
-            for selectors, body in RULE.findall(data):
-                if HIDES.search(body):
-                    self.hidden.update(s for s in (x.strip().lower() for x in selectors.split(",")) if SIMPLE.fullmatch(s))
+        if parent.tag == "style" and not self._last(APART):
+            self.styles.append(parent)
         if parent.tag == "head" and not data.isspace():
             self._close({"head"}, frozenset())
             parent = self.open[-1]
@@ -155,22 +234,39 @@ class Builder(HTMLParser):
             parent.children.append(data)
 
 
+    def rules(self) -> dict[str, dict[str, tuple[bool, int, int, bool]]]:
+        """For each simple selector and property the winning rule: important, kind of selector, order, whether it hides."""
+        out: dict[str, dict[str, tuple[bool, int, int, bool]]] = {}
+        sheets = ("".join(c for c in node.children if isinstance(c, str)) for node in dict.fromkeys(self.styles) if on_screen(node.attrs.get("media") or "all"))
+        for turn, (selectors, declared) in enumerate(rule for sheet in sheets for rule in screen_rules(sheet)):
+            for name in (x.strip().lower() for x in selectors.split(",")):
+                if SIMPLE.fullmatch(name):
+                    known = out.setdefault(name, {})
+                    for what, (important, hides) in declared.items():
+                        known[what] = max(known.get(what, (False, -1, -1, False)), (important, ".#".find(name[0]) + 1, turn, hides))
+        return out
+
+
 class Layout:
     """Renders a tree to lines; a block is a list of lines, None standing for a wanted blank line."""
 
-    def __init__(self, hidden: set[str]):
-        self.hidden = hidden
+    def __init__(self, rules: dict[str, dict[str, tuple[bool, int, int, bool]]]):
+        self.rules = rules
 
     def shows(self, node: Node) -> bool:
         attrs = node.attrs
         if node.tag in SILENT or "hidden" in attrs or (node.tag == "input" and (attrs.get("type") or "").lower() not in ("submit", "button", "reset")):
             return False
-        if node.tag == "dialog" and "open" not in attrs or HIDES.search(attrs.get("style") or ""):
+        if node.tag == "dialog" and "open" not in attrs:
             return False
-        if self.hidden:
+        found = []
+        if self.rules:
             names = [node.tag, "#" + (attrs.get("id") or "").lower(), *("." + c.lower() for c in (attrs.get("class") or "").split())]
-            return not any(n in self.hidden for n in names)
-        return True
+            found = [self.rules[n] for n in names if n in self.rules]
+        if attrs.get("style"):
+            own = _declared(_plain(attrs["style"]).split(";"))
+            found.append({what: (important, 3, 0, hides) for what, (important, hides) in own.items()})
+        return not any(max(rule[what] for rule in found if what in rule)[3] for what in {w for rule in found for w in rule})
 
     def block(self, node: Node, pre: bool = False) -> list[str | None]:
         """Lines of a node's content."""
@@ -326,7 +422,7 @@ def visible_text(html: str) -> str:
     builder = Builder()
     builder.feed(html)
     builder.close()
-    lines = _trimmed(Layout(builder.hidden).block(builder.root))
+    lines = _trimmed(Layout(builder.rules()).block(builder.root))
     out: list[str] = []
     for line in lines:
         line = (line or "").replace("\xa0", " ")

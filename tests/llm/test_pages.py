@@ -38,3 +38,41 @@ def test_no_text_of_random_tables_is_lost():
         words = [f"w{k}x" for k in range(30)]
         page = "".join(f"<{rng.choice(['', '', '/'])}{rng.choice(tags)}>" + (w if rng.random() < 0.7 else "") for w in words)
         assert sorted(re.findall(r"w\d+x", htmltext.visible_text(page))) == sorted(re.findall(r"w\d+x", page)), page
+
+
+@pytest.mark.parametrize(("css", "shown"), [
+    ("@media print{.x{display:none}}", True),
+    ("@media print{.y{color:red}.x{display:none}} .z{display:none}", True),
+    ("@media (max-width:600px){.x{display:none}}", True),
+    ("@media screen and (max-width: 40em){.x{display:none}}", True),
+    ("@media only screen and (min-width:768px){.x{display:none}}", False),
+    ("@media (width >= 600px){.x{display:none}}", False),
+    ("@media (600px <= width <= 900px){.x{display:none}}", True),
+    ("@media not print{.x{display:none}}", False),
+    ("@media print, screen{.x{display:none}}", False),
+    ("@media (min-width:1px){@media print{.x{display:none}}}", True),
+    ("@supports (display:grid){.x{display:none}}", False),
+    ("@import url(a;b.css); .x{display:none}", False),
+    ("@keyframes k{from{opacity:0}} .x{display:none}", False),
+    (".x{display:none} .x{display:block}", True),
+    (".x{display:none} .x{color:red}", False),
+    (".x{display:none!important} .x{display:block}", False),
+    (".x{display:block} p{display:none}", True),
+    ("p{display:none} #i{display:block}", True),
+    (".x{visibility:hidden} .x{visibility:visible}", True),
+    (".x{display:block;visibility:hidden}", False),
+    (".x{/* display:none; */color:red}", True),
+    ("/* .x{display:none} */", True),
+    (".q{content:'}.x{display:none}'}", True),
+    (".x{color:red;display:none", False),
+    (".a .x{display:none}", True),
+    (".y{.x{display:none}}", True),
+])
+def test_only_rules_for_the_screen_hide(css, shown):
+    assert htmltext.visible_text(f"<style>{css}</style><p id=i class='x'>text") == "text" * shown
+
+
+def test_style_attributes_and_elements():
+    assert htmltext.visible_text("<style>.x{display:none}</style><p class=x style='display:block'>a<p style='display:block;display:none'>b<p style=\"color:red; /* x */ DISPLAY:NONE\">c") == "a"
+    assert htmltext.visible_text("<style media=print>p{display:none}</style><noscript><style>p{display:none}</style></noscript><p>a") == "a"
+    assert htmltext.visible_text("a<style/>p{}<p>b") == "a"
