@@ -5,8 +5,9 @@ window picks an anchor, the least hash among its 32-byte grams; equal windows pi
 windows mostly share one.  An anchor that occurs once in all texts cannot be part of a repeated window.  For the
 others, the stretch of text under an anchor's windows goes to the anchor's shard, which builds a suffix array by
 induced sorting and finds from common prefixes which windows occurred earlier.  Whatever is equal within a batch of
-texts is settled there, so a passage in a third of all texts reaches its shard once per batch.  Anchors that are
-frequent but stand in ever different text are found in a bounded sample; their windows travel one by one.
+texts is settled there, so a passage in a third of all texts reaches its shard once per batch.  What then is left of
+every anchor is counted before anything is sent: an anchor whose stretches could fill a good part of a sort, as it
+stands in ever different text, is split up, and its windows go by their own bytes, again only those that occur twice.
 
 Null texts count as empty.  Earlier means smaller id (a null id comes last), then digest of the text, then start;
 rows equal in id and text are one document and get the same result.  Texts shorter than a window lose nothing.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe.llm.rolling import ODD, mix, prefix, sliding_least
-from oddsframe.llm.shared import small_batches, tasks, utf8
+from oddsframe.llm.shared import keep, small_batches, tasks, utf8
 from oddsframe.llm.suffixarray import repeats
 
 WINDOW, GRAM = 100, 32
@@ -33,12 +34,16 @@ PIECE = 1 << 20  # bytes hashed together
 BUCKET_BYTES = 40_000_000  # text whose anchors share a bucket
 SHARD_BYTES = 8_000_000  # text whose stretches share a shard
 SORT_BYTES = 3_000_000  # stretches sorted at once
-SAMPLE_ROWS = 2_000  # texts looked through for frequent anchors
-HOT_SHARE, HOT_ROWS = 0.01, 200_000  # frequent: in this share of texts, and by that in so many
+STRETCH = 2 * WINDOW - GRAM  # bytes of a stretch at most
+HOT_SHARE, HOT_ROWS = 0.25, 100  # split up: an anchor whose stretches may fill this share of a sort, and are more than so many
+NONE = np.zeros(0, np.uint64)
 
 
-def _piece_runs(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share an anchor: first and last window, the anchor's hash, a digest of the bytes under them."""
+def _piece_runs(data: np.ndarray, valid: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share an anchor: first and last window, the anchor's hash, a digest of the bytes under them.
+
+    A window of a hot anchor is a run of its own, anchored by its digest, and marked as single.
+    """
     sums, power = prefix(data)
     n = len(data) - GRAM + 1
     grams = mix((sums[GRAM:] - sums[:-GRAM]) * power[:n])
@@ -49,8 +54,15 @@ def _piece_runs(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.nda
     first = np.flatnonzero(new)
     last = np.flatnonzero(valid & np.r_[(least[1:] != least[:-1]) | ~valid[1:], True])
     anchor = grams[(np.uint64(0xFFFFFF) - (least[first] & np.uint64(0xFFFFFF))).astype(np.int64)]
+    single = np.isin(_code(anchor), hot)
+    if single.any():
+        each = np.where(single, last - first + 1, 1)
+        run = np.repeat(np.arange(len(first)), each)
+        first = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(each) - each, each)
+        single, anchor = single[run], anchor[run]
+        last = np.where(single, first, last[run])
     under = mix((sums[last + WINDOW] - sums[first]) * power[first])
-    return first, last, anchor, under
+    return first, last, np.where(single, under, anchor), under, single
 
 
 def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -62,7 +74,7 @@ def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1], dtype=np.int8).view(bool)
 
 
-def runs(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+def runs(data: np.ndarray, starts: np.ndarray, hot: np.ndarray = NONE) -> dict[str, np.ndarray]:
     """The runs of all texts of a batch; text number, first and last window within the batch's bytes, anchor, digest."""
     ends = np.append(starts[1:], len(data)) if len(starts) and starts[-1] != len(data) else starts[1:]
     starts = starts[: len(ends)]
@@ -74,11 +86,11 @@ def runs(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         if len(data_part) >= WINDOW and valid[at:upto].any():
             ok = np.zeros(len(data_part), bool)
             ok[: upto - at] = valid[at:upto]
-            first, last, anchor, under = _piece_runs(data_part, ok)
-            parts.append((first + at, last + at, anchor, under))
-    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+            first, last, *others = _piece_runs(data_part, ok, hot)
+            parts.append((first + at, last + at, *others))
+    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), NONE, NONE, np.zeros(0, bool)]
     text = np.searchsorted(starts, cols[0], side="right") - 1 if len(starts) else cols[0]
-    return {"text": text, "first": cols[0], "last": cols[1], "anchor": cols[2], "under": cols[3]}
+    return {"text": text, "first": cols[0], "last": cols[1], "anchor": cols[2], "under": cols[3], "single": cols[4]}
 
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -100,30 +112,28 @@ def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return part.column(0).to_numpy(), part.column(1).to_numpy()
 
 
-def frequent(docs: DataFrame, rows: int) -> np.ndarray:
-    """Anchors in a large share of a bounded sample of texts; bounded by the anchors of the sample."""
-    if rows * HOT_SHARE < HOT_ROWS:
-        return np.zeros(0, np.uint64)
-    some = docs.where(F.pmod(F.xxhash64("k1", "k2", F.lit(1)), F.lit(max(1, rows // SAMPLE_ROWS))) == 0)
-
-    def anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found = runs(*utf8(part.column("text")))
-            pairs = np.unique(np.rec.fromarrays([found["anchor"], found["text"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs["f0"].view(np.int64))], names=["anchor"])
-
-    counts = some.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").count()
-    hot = counts.where(F.col("count") >= max(2, int(SAMPLE_ROWS * HOT_SHARE))).select("anchor").collect()
-    return np.sort(np.array([r["anchor"] for r in hot], np.int64).view(np.uint64))
+def _distinct(found: dict[str, np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of some runs, and how many different stretches each has."""
+    anchor, size, under = found["anchor"][some], (found["last"] - found["first"])[some], found["under"][some]
+    turn = np.lexsort((under, size, anchor))
+    anchor, size, under = anchor[turn], size[turn], under[turn]
+    other = np.r_[True, anchor[1:] != anchor[:-1]]
+    new = other | np.r_[True, (size[1:] != size[:-1]) | (under[1:] != under[:-1])]
+    at = np.flatnonzero(other)
+    return anchor[at], np.add.reduceat(new.astype(np.int64), at)
 
 
-def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(k1, k2, codes): the anchors of each document that occur more than once in all texts."""
+def repeated_anchors(docs: DataFrame, buckets: int, hot: np.ndarray | None = None) -> DataFrame:
+    """(k1, k2, codes): the anchors of each document that occur more than once in all texts; with `hot` codes, the
+    single windows of those that do.  Rows without k1 hold the anchors whose stretches are too many for one sort."""
+    most = max(HOT_ROWS, int(HOT_SHARE * SORT_BYTES / STRETCH))
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             k1, k2 = _ids(part)
-            found = runs(*utf8(part.column("text")))
+            found = runs(*utf8(part.column("text")), NONE if hot is None else hot)
+            if hot is not None:
+                found = {name: column[found["single"]] for name, column in found.items()}
             anchor, text = found["anchor"], found["text"]
             if not len(anchor):
                 continue
@@ -137,6 +147,12 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 for a, b in zip(cut, np.r_[cut[1:], len(here)]):
                     who = text[here[a]]
                     out.append((int(k2[who] % buckets), k1[who : who + 1].tobytes(), k2[who : who + 1].tobytes(), b"", np.unique(_code(anchor[here[a:b]])).tobytes()))
+                if hot is None:
+                    many, stretches = _distinct(found, here)
+                    many, stretches = many[stretches > 1], stretches[stretches > 1] - 1  # one is sent below
+                    home = _bucket(many, buckets)
+                    for b in np.unique(home):
+                        out.append((int(b), b"", b"", stretches[home == b].astype(np.uint32).tobytes(), _code(many[home == b]).tobytes()))
             once = order[new]  # one of each for the others
             bucket, low = _bucket(anchor[once], buckets), _code(anchor[once])
             turn = np.lexsort((text[once], bucket))
@@ -151,12 +167,14 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 5))], names=["bucket", "k1", "k2", "counts", "anchors"])
 
     def match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        k1, k2, codes, ids1, ids2, counts, lows = [], [], [], [], [], [], []
+        k1, k2, codes, ids1, ids2, counts, lows, more, many = [], [], [], [], [], [], [], [], []
         for a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("k1", "k2", "counts", "anchors"))):
             if not c:
                 k1.append(int.from_bytes(a, "little", signed=True))
                 k2.append(int.from_bytes(b, "little", signed=True))
                 codes.append(d)
+            elif not a:
+                more.append(c), many.append(d)
             else:
                 ids1.append(a), ids2.append(b), counts.append(c), lows.append(d)
         if lows:
@@ -169,6 +187,11 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(low, kind="stable")
             new = np.r_[True, low[order][1:] != low[order][:-1]]
             size = np.diff(np.r_[np.flatnonzero(new), len(order)])
+            if hot is None:
+                known, stretches = low[order][new], size.copy()
+                if many:
+                    np.add.at(stretches, np.searchsorted(known, np.frombuffer(b"".join(many), np.uint64)), np.frombuffer(b"".join(more), np.uint32))
+                k1.append(None), k2.append(None), codes.append(known[stretches > most].tobytes())
             hit = np.sort(order[np.repeat(size > 1, size)])
             cut = np.flatnonzero(np.r_[True, owner[hit][1:] != owner[hit][:-1]]) if len(hit) else hit
             for a, b in zip(cut, np.r_[cut[1:], len(hit)]):
@@ -185,28 +208,11 @@ def _stretches(part: pa.RecordBatch, hot: np.ndarray) -> tuple[list, pa.RecordBa
     """What the repeated anchors of a batch cover: spans settled here, and stretches for the shards."""
     k1, k2, late = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
     data, starts = utf8(part.column("text"))
-    found = runs(data, starts)
+    found = runs(data, starts, hot)
     codes = part.column("codes")
     wanted = np.frombuffer(b"".join(x for row in codes.to_pylist() for x in row), np.uint64)
-    hit = np.isin(_code(found["anchor"]), wanted) | np.isin(found["anchor"], hot)
+    hit = np.isin(_code(found["anchor"]), wanted)
     text, first, last, anchor, under = (found[c][hit] for c in ("text", "first", "last", "anchor", "under"))
-    if len(hot):  # windows of a frequent anchor go one by one, keyed by their own bytes
-        each = np.where(np.isin(anchor, hot), last - first + 1, 1)
-        offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        single = np.repeat(np.isin(anchor, hot), each)
-        text, anchor, under = np.repeat(text, each), np.repeat(anchor, each), np.repeat(under, each)
-        first, last = np.repeat(first, each) + np.where(single, offset, 0), np.repeat(last, each)
-        last = np.where(single, first, last)
-        if single.any():
-            under = under.copy()
-            at = first[single]
-            words = [data[at[:, None] + np.arange(k, min(k + 20, WINDOW))].astype(np.uint64) for k in range(0, WINDOW, 20)]
-            digest = np.zeros(len(at), np.uint64)
-            for block in words:
-                for c in block.T:
-                    digest = (digest + c + np.uint64(1)) * ODD
-            under[single] = mix(digest)
-            anchor = np.where(single, under, anchor)
     turn = np.lexsort((first, k2[text], k1[text], late[text], under, last - first, anchor))
     same = np.r_[False, (anchor[turn][1:] == anchor[turn][:-1]) & (under[turn][1:] == under[turn][:-1]) & ((last - first)[turn][1:] == (last - first)[turn][:-1])]
     later = np.zeros(len(turn), bool)
@@ -258,16 +264,15 @@ def _shard_repeats(late: np.ndarray, k1: np.ndarray, k2: np.ndarray, first: np.n
     return out
 
 
-def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(k1, k2, spans): the covered byte ranges of every document that has any; `docs` comes from keyed()."""
-    small_batches(docs.sparkSession)
-    rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    shards, buckets = max(1, -(-total // shard_bytes)), max(1, -(-total // bucket_bytes))
-    hot = frequent(docs, rows)
-
-    marks = repeated_anchors(docs, buckets).groupBy("k1", "k2").agg(F.collect_list("codes").alias("codes"))
-    marked = docs.join(marks, ["k1", "k2"], "left" if len(hot) else "inner")
-    marked = marked.withColumn("codes", F.coalesce("codes", F.array().cast("array<binary>")))
+def sent_stretches(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
+    """What goes to the shards: stretches by anchor, and spans that are settled already (without a stretch)."""
+    marks = keep(repeated_anchors(docs, buckets), "marks")
+    many = marks.where("k1 is null and octet_length(codes) > 0").select("codes").collect()  # few: each fills a share of a sort
+    hot = np.unique(np.frombuffer(b"".join(bytes(r["codes"]) for r in many), np.uint64))
+    if len(hot):
+        marks = marks.unionByName(repeated_anchors(docs, buckets, hot))
+    marks = marks.where("k1 is not null").groupBy("k1", "k2").agg(F.collect_list("codes").alias("codes"))
+    marked = docs.join(marks, ["k1", "k2"])
 
     def stretch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -279,6 +284,15 @@ def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = B
                 pa.array(np.r_[start, first]), pa.array(np.r_[end, np.zeros(m, np.int64)]), pa.concat_arrays([pa.nulls(n, pa.binary()), bytes_]),
             ], names=["shard", "anchor", "k1", "k2", "late", "start", "end", "stretch"])
 
+    return marked.mapInArrow(stretch, "shard long, anchor long, k1 long, k2 long, late boolean, start long, end long, stretch binary")
+
+
+def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(k1, k2, spans): the covered byte ranges of every document that has any; `docs` comes from keyed()."""
+    small_batches(docs.sparkSession)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards, buckets = max(1, -(-total // shard_bytes)), max(1, -(-total // bucket_bytes))
+
     def sort_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         c = {name: table.column(name).to_numpy() for name in ("anchor", "k1", "k2", "late", "start", "end")}
         stretches = table.column("stretch").to_pylist()
@@ -295,7 +309,7 @@ def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = B
                     column.extend(more)
         return pa.table(dict(zip(("k1", "k2", "start", "end"), (pa.array(x, pa.int64()) for x in out))))
 
-    sent = marked.mapInArrow(stretch, "shard long, anchor long, k1 long, k2 long, late boolean, start long, end long, stretch binary")
+    sent = sent_stretches(docs, shards, buckets)
     found = sent.repartition(tasks(docs.sparkSession, shards), "shard").groupBy("shard").applyInArrow(sort_shard, "k1 long, k2 long, start long, end long")
     return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
