@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe.llm.rolling import ODD, mix, prefix, sliding_least
-from oddsframe.llm.shared import keep, small_batches, tasks, utf8
+from oddsframe.llm.shared import small_batches, tasks, utf8
 from oddsframe.llm.suffixarray import repeats
 
 WINDOW, GRAM = 100, 32
@@ -42,7 +42,7 @@ NONE = np.zeros(0, np.uint64)
 def _piece_runs(data: np.ndarray, valid: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows that share an anchor: first and last window, the anchor's hash, a digest of the bytes under them.
 
-    A window of a hot anchor is a run of its own, anchored by its digest, and marked as single.
+    A window of a hot anchor is a run of its own, anchored by its digest.
     """
     sums, power = prefix(data)
     n = len(data) - GRAM + 1
@@ -62,7 +62,7 @@ def _piece_runs(data: np.ndarray, valid: np.ndarray, hot: np.ndarray) -> tuple[n
         single, anchor = single[run], anchor[run]
         last = np.where(single, first, last[run])
     under = mix((sums[last + WINDOW] - sums[first]) * power[first])
-    return first, last, np.where(single, under, anchor), under, single
+    return first, last, np.where(single, under, anchor), under
 
 
 def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -88,9 +88,9 @@ def runs(data: np.ndarray, starts: np.ndarray, hot: np.ndarray = NONE) -> dict[s
             ok[: upto - at] = valid[at:upto]
             first, last, *others = _piece_runs(data_part, ok, hot)
             parts.append((first + at, last + at, *others))
-    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), NONE, NONE, np.zeros(0, bool)]
+    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), NONE, NONE]
     text = np.searchsorted(starts, cols[0], side="right") - 1 if len(starts) else cols[0]
-    return {"text": text, "first": cols[0], "last": cols[1], "anchor": cols[2], "under": cols[3], "single": cols[4]}
+    return {"text": text, "first": cols[0], "last": cols[1], "anchor": cols[2], "under": cols[3]}
 
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -112,28 +112,61 @@ def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return part.column(0).to_numpy(), part.column(1).to_numpy()
 
 
-def _distinct(found: dict[str, np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors of some runs, and how many different stretches each has."""
-    anchor, size, under = found["anchor"][some], (found["last"] - found["first"])[some], found["under"][some]
-    turn = np.lexsort((under, size, anchor))
-    anchor, size, under = anchor[turn], size[turn], under[turn]
+def _distinct(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of a batch in order, and how many different stretches each has."""
+    turn = np.lexsort((found["under"], found["last"] - found["first"], found["anchor"]))
+    anchor, size, under = found["anchor"][turn], (found["last"] - found["first"])[turn], found["under"][turn]
     other = np.r_[True, anchor[1:] != anchor[:-1]]
     new = other | np.r_[True, (size[1:] != size[:-1]) | (under[1:] != under[:-1])]
     at = np.flatnonzero(other)
-    return anchor[at], np.add.reduceat(new.astype(np.int64), at)
+    return anchor[at], np.add.reduceat(new, at, dtype=np.uint32)
 
 
-def repeated_anchors(docs: DataFrame, buckets: int, hot: np.ndarray | None = None) -> DataFrame:
-    """(k1, k2, codes): the anchors of each document that occur more than once in all texts; with `hot` codes, the
-    single windows of those that do.  Rows without k1 hold the anchors whose stretches are too many for one sort."""
+def _wide(lows: list[bytes]) -> np.ndarray:
+    """Codes from their five bytes each."""
+    flat = np.frombuffer(b"".join(lows), np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, :5] = flat
+    return wide.view(np.uint64).ravel()
+
+
+def frequent(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Codes of the anchors whose stretches could be too many for one sort; a batch sends each different one once."""
     most = max(HOT_ROWS, int(HOT_SHARE * SORT_BYTES / STRETCH))
 
+    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = runs(*utf8(part.column("text")))
+            if not len(found["anchor"]):
+                continue
+            anchor, count = _distinct(found)
+            bucket, low = _bucket(anchor, buckets), _code(anchor).view(np.uint8).reshape(-1, 8)[:, :5]
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[cut[1:], len(bucket)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(bucket[cut]), pa.array([low[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([count[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+            ], names=["bucket", "anchors", "counts"])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        low, counts = _wide(table.column("anchors").to_pylist()), np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
+        order = np.argsort(low, kind="stable")
+        low = low[order]
+        new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        many = np.add.reduceat(counts[order].astype(np.int64), new) > most
+        return pa.table({"code": pa.array(low[new[many]].view(np.int64), pa.int64())})
+
+    sent = docs.select("text").mapInArrow(send, "bucket long, anchors binary, counts binary")
+    counted = sent.repartition(tasks(docs.sparkSession, buckets), "bucket").groupBy("bucket").applyInArrow(add, "code long")
+    return np.unique(np.array([r["code"] for r in counted.collect()], np.int64).view(np.uint64))  # few: each fills a share of a sort
+
+
+def repeated_anchors(docs: DataFrame, buckets: int, hot: np.ndarray = NONE) -> DataFrame:
+    """(k1, k2, codes): the anchors of each document that occur more than once in all texts; windows, for `hot` ones."""
+
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             k1, k2 = _ids(part)
-            found = runs(*utf8(part.column("text")), NONE if hot is None else hot)
-            if hot is not None:
-                found = {name: column[found["single"]] for name, column in found.items()}
+            found = runs(*utf8(part.column("text")), hot)
             anchor, text = found["anchor"], found["text"]
             if not len(anchor):
                 continue
@@ -147,12 +180,6 @@ def repeated_anchors(docs: DataFrame, buckets: int, hot: np.ndarray | None = Non
                 for a, b in zip(cut, np.r_[cut[1:], len(here)]):
                     who = text[here[a]]
                     out.append((int(k2[who] % buckets), k1[who : who + 1].tobytes(), k2[who : who + 1].tobytes(), b"", np.unique(_code(anchor[here[a:b]])).tobytes()))
-                if hot is None:
-                    many, stretches = _distinct(found, here)
-                    many, stretches = many[stretches > 1], stretches[stretches > 1] - 1  # one is sent below
-                    home = _bucket(many, buckets)
-                    for b in np.unique(home):
-                        out.append((int(b), b"", b"", stretches[home == b].astype(np.uint32).tobytes(), _code(many[home == b]).tobytes()))
             once = order[new]  # one of each for the others
             bucket, low = _bucket(anchor[once], buckets), _code(anchor[once])
             turn = np.lexsort((text[once], bucket))
@@ -167,31 +194,21 @@ def repeated_anchors(docs: DataFrame, buckets: int, hot: np.ndarray | None = Non
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 5))], names=["bucket", "k1", "k2", "counts", "anchors"])
 
     def match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        k1, k2, codes, ids1, ids2, counts, lows, more, many = [], [], [], [], [], [], [], [], []
+        k1, k2, codes, ids1, ids2, counts, lows = [], [], [], [], [], [], []
         for a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("k1", "k2", "counts", "anchors"))):
             if not c:
                 k1.append(int.from_bytes(a, "little", signed=True))
                 k2.append(int.from_bytes(b, "little", signed=True))
                 codes.append(d)
-            elif not a:
-                more.append(c), many.append(d)
             else:
                 ids1.append(a), ids2.append(b), counts.append(c), lows.append(d)
         if lows:
             ids1, ids2 = np.frombuffer(b"".join(ids1), np.int64), np.frombuffer(b"".join(ids2), np.int64)
             owner = np.repeat(np.arange(len(ids1)), np.frombuffer(b"".join(counts), np.uint32))
-            flat = np.frombuffer(b"".join(lows), np.uint8).reshape(-1, 5)
-            wide = np.zeros((len(flat), 8), np.uint8)
-            wide[:, :5] = flat
-            low = wide.view(np.uint64).ravel()
+            low = _wide(lows)
             order = np.argsort(low, kind="stable")
             new = np.r_[True, low[order][1:] != low[order][:-1]]
             size = np.diff(np.r_[np.flatnonzero(new), len(order)])
-            if hot is None:
-                known, stretches = low[order][new], size.copy()
-                if many:
-                    np.add.at(stretches, np.searchsorted(known, np.frombuffer(b"".join(many), np.uint64)), np.frombuffer(b"".join(more), np.uint32))
-                k1.append(None), k2.append(None), codes.append(known[stretches > most].tobytes())
             hit = np.sort(order[np.repeat(size > 1, size)])
             cut = np.flatnonzero(np.r_[True, owner[hit][1:] != owner[hit][:-1]]) if len(hit) else hit
             for a, b in zip(cut, np.r_[cut[1:], len(hit)]):
@@ -266,12 +283,8 @@ def _shard_repeats(late: np.ndarray, k1: np.ndarray, k2: np.ndarray, first: np.n
 
 def sent_stretches(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
     """What goes to the shards: stretches by anchor, and spans that are settled already (without a stretch)."""
-    marks = keep(repeated_anchors(docs, buckets), "marks")
-    many = marks.where("k1 is null and octet_length(codes) > 0").select("codes").collect()  # few: each fills a share of a sort
-    hot = np.unique(np.frombuffer(b"".join(bytes(r["codes"]) for r in many), np.uint64))
-    if len(hot):
-        marks = marks.unionByName(repeated_anchors(docs, buckets, hot))
-    marks = marks.where("k1 is not null").groupBy("k1", "k2").agg(F.collect_list("codes").alias("codes"))
+    hot = frequent(docs, buckets)
+    marks = repeated_anchors(docs, buckets, hot).groupBy("k1", "k2").agg(F.collect_list("codes").alias("codes"))
     marked = docs.join(marks, ["k1", "k2"])
 
     def stretch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
