@@ -5,9 +5,9 @@ counts DECAY**n, up to SPAN letters, so an insult with letters put in or left ou
 scaled by what strings of their lengths could share at most.  Before that, words lose everything but letters, accents
 are folded, and runs of single letters are read as one word (`i.d-i o t`).
 
-Labelled texts teach through their sentences.  The label holds for a text, so a toxic text's telling sentences are
-found by greedy cover: words that many toxic and next to no clean texts have, until every toxic text that can be
-is told by one.  Sentences of clean texts are negative throughout.  The machine is linear in the Nystroem features
+Labelled texts teach through their words, not their sentences.  The label holds for a text, so the telling words are
+found by greedy cover: words that two or more toxic and next to no clean texts have, until every toxic text that can
+be is told by one.  Words of clean texts are negative.  An insult made of several ordinary words is not learned.  The machine is linear in the Nystroem features
 of a bounded number of landmark words; as the kernel is a plain product over triples, the trained machine folds into
 one weight a triple, and judging a text takes a few table lookups a letter.  A text scores by its three worst words,
 through a logistic curve fitted to the labelled texts.
@@ -229,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_texts: int = TRAIN_TEXTS) ->
         return None
     words = keep(text_words(sample), "words")
     counts = keep(words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "counts")
-    least = max(2, sizes[1] // 500)
+    least = 2  # two texts, however many there are
     telling = counts.where((F.col("bad") >= least) & (F.col("bad") / sizes[1] >= 10 * (F.col("good") + 0.5) / sizes[0]))
     telling = telling.orderBy(F.desc("bad"), "word").limit(CANDIDATES)
     candidates = {bytes(r["word"]): (r["bad"], r["good"]) for r in telling.collect()}
