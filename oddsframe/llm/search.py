@@ -142,7 +142,7 @@ class Shard:
             opened += int(now.sum())
             alive &= ~now
             if len(scores) >= k:
-                least = np.partition(scores, -k)[-k]
+                least = np.round(np.partition(scores, -k)[-k], DIGITS) - 0.5 * 10.0**-DIGITS - 1e-9  # ranks go by rounded scores
                 alive &= bound >= least
                 top = scores >= least
                 docs, scores = docs[top], scores[top]
