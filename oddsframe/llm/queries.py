@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsframe.llm import htmltext, langid, mixing, packing, search, sharding, simhash, suffixes, toxicity, twins, winnowing
+from oddsframe.llm import htmltext, langid, merkle, mixing, packing, search, sharding, simhash, suffixes, toxicity, twins, urlfilter, winnowing
 from oddsframe.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("allow", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
 
 def query(name: str, sql: str | None = None):
     def add(fn):
@@ -72,3 +74,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_layout_text")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.pages_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op11_url_reputation", twins.url_filter(URL_RULES, urlfilter.LIMIT, urlfilter.Z))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("pages", "labels"))
+    return urlfilter.judge(pages, urlfilter.page_outcomes(pages, labels), URL_RULES)
+
+
+@query("op12_merkle_manifest", twins.merkle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_manifest(documents(spark, sf_dir))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from oddsframe.llm import urlfilter
 from oddsframe.llm.sharding import BLOCK_DIGITS, ROUNDS
 
+CRC = """crc as (
+  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t)"""  # table t of the checksum, entry by byte
+
 
 def _digits(text: str, n: int) -> str:
     return f"('0x' || substr(md5({text}), 1, {n}))::bigint"
@@ -24,9 +29,7 @@ def sharding(shards: int, seed: int) -> str:
     name = "concat_ws(':', coalesce(doc_id::varchar, '-'), text_crc32, size)"
     cols = "doc_id, size, text_crc32, number"
     return f"""
-with recursive crc as (
-  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
-    lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+with recursive {CRC},
 bytes as (select doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) bytes from documents),
 rows_ as (select doc_id, len(bytes) + 1 size,
   xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) text_crc32 from bytes, crc),
@@ -76,3 +79,84 @@ scored as (select q.doc_id query_id, d.doc_id, round(sum(ln(1 + (n - df + 0.5) /
   from bags q join bags d using (word) join df using (word) join lengths l on l.doc_id = d.doc_id, stats where q.doc_id % {every} = 0 group by 1, 2)
 select query_id, (row_number() over (partition by query_id order by score desc, doc_id))::int rank, doc_id, score from scored
 qualify row_number() over (partition by query_id order by score desc, doc_id) <= {k}"""
+
+
+def _quoted(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def url_filter(rules: list[tuple[str, str]], limit: float, z: float) -> str:
+    rows = ", ".join(f"('{v}', '{r.split('/', 1)[0]}', '{r[r.index('/'):]}', '{r}')" for v, r in rules)
+
+    def rho(children: str) -> str:
+        sums = "sum(pow(bad - n * mean, 2) - n * (mean * (1 - mean))), sum(n * (n - 1) * (mean * (1 - mean)))"
+        return f"""(select 1 / least(greatest(case when d > 0 then round(s / d, 6) else {urlfilter.MOST_RHO} end, {urlfilter.LEAST_RHO}), {urlfilter.MOST_RHO})::double - 1 weight
+    from (select * from (select {sums} from {children} where n > 1) t(s, d)))"""
+
+    def shrunk(children: str) -> str:
+        return f"(select c.*, bad + weight * mean a, n - bad + weight - weight * mean b from {children} c, {rho(children)})"
+
+    return f"""
+with rules(verdict, host, path, rule) as (values {rows}),
+urls as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end rest from pages),
+cut as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '') host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path from urls),
+known as (select doc_id number, max(greatest((toxic = 1)::int, (quality = 0)::int)) bad from labels where doc_id is not null group by 1),
+counts as (select host, count(k.bad) n, coalesce(sum(k.bad), 0)::bigint bad from cut c
+  left join known k on k.number = try_cast(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) as bigint) group by 1),
+names as (select *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') labels from counts),
+sized as (select *, regexp_matches(array_to_string(labels, '.'), '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$') address,
+  case when len(labels) > 2 and length(labels[-1]) = 2 and labels[-2] in ({_quoted(urlfilter.SECOND_LEVEL)}) then 2 else 1 end last from names),
+hosts as (select host, n, bad, case when address then '' else array_to_string(labels[len(labels) - last + 1:], '.') end suffix,
+  case when address or len(labels) <= last then array_to_string(labels, '.') else array_to_string(labels[len(labels) - last:], '.') end domain from sized),
+suffixes as (select suffix, sum(n) n, sum(bad) bad, ((select sum(bad) from hosts) + 0.5::double) / ((select sum(n) from hosts) + 1.0::double) mean from hosts group by 1),
+suffix_means as (select suffix, a / (a + b) mean from {shrunk("suffixes")}),
+domains as (select domain, sum(n) n, sum(bad) bad, any_value(mean) mean from hosts join suffix_means using (suffix) group by domain, suffix),
+domain_means as (select domain, a / (a + b) mean from {shrunk("domains")}),
+below as (select host, n, bad, mean from hosts join domain_means using (domain)),
+judged as (select host, a / (a + b) bad_share, {urlfilter.lower_bound(z)} bad_bound from {shrunk("below")}),
+fits as (select page_id, c.host, c.path, r.rule, r.verdict from cut c left join rules r
+  on (c.host = r.host or ends_with(c.host, '.' || r.host)) and starts_with(c.path, r.path)
+  qualify row_number() over (partition by page_id order by length(rule) desc, length(r.host) desc) = 1)
+select page_id, host, path, rule, coalesce(verdict, case when bad_bound >= {limit} then 'block' else 'allow' end) verdict,
+  round(bad_share, 6) bad_share, round(bad_bound, 6) bad_bound from fits join judged using (host)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::varchar))::varchar || ':' || {value}::varchar, '-')"
+
+
+def _raised(source: str) -> str:
+    """Levels of the binary trees over `source` (tree, position, node, nodes), by recursion."""
+    return f"""select tree, 0 level, position, node, nodes from {source} union all
+  select tree, level + 1, position // 2, sha256(string_agg(node, '' order by position)), (any_value(nodes) + 1) // 2
+  from {{}} where nodes > 1 group by tree, level, position // 2"""
+
+
+def merkle() -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    plain, other = (" || ".join(_field(f"({c} + {k})" if c == "n_chars" else c) for c in fields) for k in (0, 1))
+    step = """select {who}, {base} + u.level step, case when x.position >> u.level & 1 = 1 then s.node else '' end l,
+    case when x.position >> u.level & 1 = 0 then coalesce(s.node, '') else '' end r
+  from {rows} x join (select distinct tree, level from {up} where nodes > 1) u on u.tree = {tree}
+  left join {up} s on s.tree = u.tree and s.level = u.level and s.position = xor(x.position >> u.level, 1)"""
+    return f"""
+with recursive {CRC},
+sums as (select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(doc_id::varchar)), '..'),
+  lambda x: ('0x' || x)::bigint)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) crc from documents, crc),
+rows_ as (select d.doc_id, coalesce('s:' || lang, 'none') tree, sha256({plain}) node, case when crc % 7 = 0 and n_chars is not null then sha256({other}) end claimed
+  from documents d left join sums using (doc_id)),
+leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, node) - 1 position, count(*) over (partition by tree) nodes,
+  row_number() over () item from rows_),
+up as ({_raised("leaves").format("up")}),
+subroots as (select tree lang, node subroot, '' tree, node, row_number() over (order by tree) - 1 position, count(*) over () nodes from up where nodes = 1),
+top as ({_raised("subroots").format("top")}),
+way as ({step.format(who="x.item", base=0, rows="leaves", up="up", tree="x.tree")} union all
+  {step.format(who="x.item", base=1000, rows="(select item, g.position from leaves l join subroots g on g.lang = l.tree)", up="top", tree="''")}),
+steps as (select item, l, r, row_number() over (partition by item order by step) k from way),
+proofs as (select item, sha256(string_agg(l || r, '' order by k)) proof_sha256, max(k) ks from steps group by item),
+fold as (select item, 0::bigint k, coalesce(claimed, node) h from leaves union all
+  select item, s.k, sha256(l || h || r) from fold f join steps s using (item) where s.k = f.k + 1)
+select doc_id, l.node leaf, subroot, root, coalesce(proof_sha256, sha256('')) proof_sha256, h folded_root, h = root verified
+from leaves l join subroots g on g.lang = l.tree left join proofs using (item) join fold using (item),
+  (select node root from top where nodes = 1) where fold.k = coalesce(ks, 0)"""
