@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsframe.llm import htmltext, langid, merkle, mixing, packing, search, sharding, simhash, suffixes, toxicity, twins, urlfilter, winnowing
+from oddsframe.llm import alignment, htmltext, langid, merkle, mixing, packing, search, sharding, simhash, suffixes, toxicity, twins, urlfilter, winnowing
 from oddsframe.llm.shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_merkle_manifest", twins.merkle())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.documents_manifest(documents(spark, sf_dir))
+
+
+@query("op13_interval_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(documents(spark, sf_dir))

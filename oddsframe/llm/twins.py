@@ -88,13 +88,19 @@ def _quoted(values) -> str:
 def url_filter(rules: list[tuple[str, str]], limit: float, z: float) -> str:
     rows = ", ".join(f"('{v}', '{r.split('/', 1)[0]}', '{r[r.index('/'):]}', '{r}')" for v, r in rules)
 
-    def rho(children: str) -> str:
-        sums = "sum(pow(bad - n * mean, 2) - n * (mean * (1 - mean))), sum(n * (n - 1) * (mean * (1 - mean)))"
-        return f"""(select 1 / least(greatest(case when d > 0 then round(s / d, 6) else {urlfilter.MOST_RHO} end, {urlfilter.LEAST_RHO}), {urlfilter.MOST_RHO})::double - 1 weight
-    from (select * from (select {sums} from {children} where n > 1) t(s, d)))"""
+    def rho(children: str, parent: str) -> str:
+        chance = "(mean * (1 - mean))"
+        sums = f"sum(pow(bad - n * mean, 2) - n * {chance}), sum(n * (n - 1) * {chance})"
+        means = f"select {parent}, sum(bad) / sum(n) mean from {children} group by 1"
+        return f"""(select least(greatest(case when d > 0 then round(s / d, 6) else {urlfilter.MOST_RHO} end, {urlfilter.LEAST_RHO}), {urlfilter.MOST_RHO})::double rho
+    from (select * from (select {sums} from {children} join ({means}) using ({parent}) where n > 1) t(s, d)))"""
 
-    def shrunk(children: str) -> str:
-        return f"(select c.*, bad + weight * mean a, n - bad + weight - weight * mean b from {children} c, {rho(children)})"
+    def summed(children: str, keys: str) -> str:
+        worth = "case when n > 1 then n / (1 + (n - 1) * rho) else n end::double"
+        return f"select {keys}, sum({worth}) n, sum(case when n > 0 then bad / n else 0 end * ({worth})) bad from {children}, {children}_rho group by all"
+
+    def shrunk(children: str, table: str) -> str:
+        return f"(select c.*, bad + (1 / rho - 1) * mean a, n - bad + (1 / rho - 1) - (1 / rho - 1) * mean b from {children} c, {table}_rho)"
 
     return f"""
 with rules(verdict, host, path, rule) as (values {rows}),
@@ -109,12 +115,15 @@ sized as (select *, regexp_matches(array_to_string(labels, '.'), '^[0-9]+\\.[0-9
   case when len(labels) > 2 and length(labels[-1]) = 2 and labels[-2] in ({_quoted(urlfilter.SECOND_LEVEL)}) then 2 else 1 end last from names),
 hosts as (select host, n, bad, case when address then '' else array_to_string(labels[len(labels) - last + 1:], '.') end suffix,
   case when address or len(labels) <= last then array_to_string(labels, '.') else array_to_string(labels[len(labels) - last:], '.') end domain from sized),
-suffixes as (select suffix, sum(n) n, sum(bad) bad, ((select sum(bad) from hosts) + 0.5::double) / ((select sum(n) from hosts) + 1.0::double) mean from hosts group by 1),
-suffix_means as (select suffix, a / (a + b) mean from {shrunk("suffixes")}),
-domains as (select domain, sum(n) n, sum(bad) bad, any_value(mean) mean from hosts join suffix_means using (suffix) group by domain, suffix),
-domain_means as (select domain, a / (a + b) mean from {shrunk("domains")}),
-below as (select host, n, bad, mean from hosts join domain_means using (domain)),
-judged as (select host, a / (a + b) bad_share, {urlfilter.lower_bound(z)} bad_bound from {shrunk("below")}),
+hosts_rho as {rho("hosts", "domain")}, domains as ({summed("hosts", "domain, suffix")}),
+domains_rho as {rho("domains", "suffix")}, suffixes as ({summed("domains", "suffix, '' whole")}),
+suffixes_rho as {rho("suffixes", "whole")},
+top as (select *, ((select sum(bad) from suffixes) + 0.5::double) / ((select sum(n) from suffixes) + 1.0::double) mean from suffixes),
+suffix_means as (select suffix, a / (a + b) mean from {shrunk("top", "suffixes")}),
+middle as (select d.*, mean from domains d join suffix_means using (suffix)),
+domain_means as (select domain, a / (a + b) mean from {shrunk("middle", "domains")}),
+low as (select h.*, mean from hosts h join domain_means using (domain)),
+judged as (select host, a / (a + b) bad_share, {urlfilter.lower_bound(z)} bad_bound from {shrunk("low", "hosts")}),
 fits as (select page_id, c.host, c.path, r.rule, r.verdict from cut c left join rules r
   on (c.host = r.host or ends_with(c.host, '.' || r.host)) and starts_with(c.path, r.path)
   qualify row_number() over (partition by page_id order by length(rule) desc, length(r.host) desc) = 1)

@@ -17,7 +17,7 @@ def test_query_matches_sql(spark, monkeypatch, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_covers_its_table(spark, name):
-    table = "pages" if name.startswith("op8") else "documents"
+    table = "pages" if name.startswith(("op8", "op11")) else "documents"
     rows = spark.read.parquet(f"{SMALL}/{table}.parquet").count()
     key = "page_id" if table == "pages" else "doc_id"
     found = QUERIES[name](spark, SMALL)
