@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-TABLE = (1 << 20) + 4096
+TABLE = (1 << 17) + 4096  # longer runs are hashed piece by piece
 _powers: list[np.ndarray] = []
 
 
@@ -32,6 +32,16 @@ def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[np.uint64(0), np.cumsum(terms)], power
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of every gram of `data`, computed in pieces that the table of powers covers."""
+    out = np.empty(max(len(data) - gram + 1, 0), np.uint64)
+    step = TABLE - gram
+    for at in range(0, len(out), step):
+        sums, power = prefix(data[at : at + step + gram - 1])
+        out[at : at + step] = mix((sums[gram:] - sums[:-gram]) * power[: len(sums) - gram])
+    return out
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every `width` neighbours."""
     span = 1

@@ -5,9 +5,10 @@ window picks an anchor, the least hash among its 32-byte grams; equal windows pi
 windows mostly share one.  An anchor that occurs once in all texts cannot be part of a repeated window.  For the
 others, the stretch of text under an anchor's windows goes to the anchor's shard, which builds a suffix array by
 induced sorting and finds from common prefixes which windows occurred earlier.  Whatever is equal within a batch of
-texts is settled there, so a passage in a third of all texts reaches its shard once per batch.  What then is left of
-every anchor is counted before anything is sent: an anchor whose stretches could fill a good part of a sort, as it
-stands in ever different text, is split up, and its windows go by their own bytes, again only those that occur twice.
+texts is settled there, byte by byte, so a passage in a third of all texts reaches its shard once per batch.  Where
+repeated anchors are found, their different stretches are counted too: an anchor whose stretches could fill a good part
+of a sort, as it stands in ever different text, is split up, and its windows go by their own bytes, again only those
+that occur twice.  Which anchors repeat and which are split is kept in tables and meets each document by a join.
 
 Null texts count as empty.  Earlier means smaller id (a null id comes last), then digest of the text, then start;
 rows equal in id and text are one document and get the same result.  Texts shorter than a window lose nothing.
@@ -18,29 +19,32 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe.llm.rolling import ODD, mix, prefix, sliding_least
-from oddsframe.llm.shared import small_batches, tasks, utf8
+from oddsframe.llm.shared import keep, small_batches, tasks, utf8
 from oddsframe.llm.suffixarray import repeats
 
 WINDOW, GRAM = 100, 32
-PIECE = 1 << 20  # bytes hashed together
-BUCKET_BYTES = 40_000_000  # text whose anchors share a bucket
+PIECE = 1 << 17  # bytes hashed together
+BUCKET_BYTES = 16_000_000  # text whose anchors share a bucket
 SHARD_BYTES = 8_000_000  # text whose stretches share a shard
-SORT_BYTES = 3_000_000  # stretches sorted at once
+SORT_BYTES = 1_500_000  # stretches sorted at once
 STRETCH = 2 * WINDOW - GRAM  # bytes of a stretch at most
-HOT_SHARE, HOT_ROWS = 0.25, 100  # split up: an anchor whose stretches may fill this share of a sort, and are more than so many
+HOT_SHARE, HOT_ROWS = 0.5, 100  # split up: an anchor whose stretches may fill this share of a sort, and are more than so many
 NONE = np.zeros(0, np.uint64)
 
 
 def _piece_runs(data: np.ndarray, valid: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share an anchor: first and last window, the anchor's hash, a digest of the bytes under them.
+    """Runs of windows that share an anchor: first and last window, the anchor's hash, a digest of the bytes under them,
+    and whether the run is one window of a hot anchor.
 
     A window of a hot anchor is a run of its own, anchored by its digest.
     """
@@ -62,7 +66,7 @@ def _piece_runs(data: np.ndarray, valid: np.ndarray, hot: np.ndarray) -> tuple[n
         single, anchor = single[run], anchor[run]
         last = np.where(single, first, last[run])
     under = mix((sums[last + WINDOW] - sums[first]) * power[first])
-    return first, last, np.where(single, under, anchor), under
+    return first, last, np.where(single, under, anchor), under, single
 
 
 def _marked(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -88,9 +92,9 @@ def runs(data: np.ndarray, starts: np.ndarray, hot: np.ndarray = NONE) -> dict[s
             ok[: upto - at] = valid[at:upto]
             first, last, *others = _piece_runs(data_part, ok, hot)
             parts.append((first + at, last + at, *others))
-    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), NONE, NONE]
+    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), NONE, NONE, np.zeros(0, bool)]
     text = np.searchsorted(starts, cols[0], side="right") - 1 if len(starts) else cols[0]
-    return {"text": text, "first": cols[0], "last": cols[1], "anchor": cols[2], "under": cols[3]}
+    return {"text": text, "first": cols[0], "last": cols[1], "anchor": cols[2], "under": cols[3], "single": cols[4]}
 
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -130,46 +134,35 @@ def _wide(lows: list[bytes]) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def frequent(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Codes of the anchors whose stretches could be too many for one sort; a batch sends each different one once."""
-    most = max(HOT_ROWS, int(HOT_SHARE * SORT_BYTES / STRETCH))
+def _listed(column: pa.Array) -> np.ndarray:
+    """All numbers in a column of lists of codes."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
-    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found = runs(*utf8(part.column("text")))
-            if not len(found["anchor"]):
-                continue
-            anchor, count = _distinct(found)
-            bucket, low = _bucket(anchor, buckets), _code(anchor).view(np.uint8).reshape(-1, 8)[:, :5]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[cut[1:], len(bucket)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(bucket[cut]), pa.array([low[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([count[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-            ], names=["bucket", "anchors", "counts"])
 
-    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        low, counts = _wide(table.column("anchors").to_pylist()), np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
-        order = np.argsort(low, kind="stable")
-        low = low[order]
-        new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        many = np.add.reduceat(counts[order].astype(np.int64), new) > most
-        return pa.table({"code": pa.array(low[new[many]].view(np.int64), pa.int64())})
+def _lists(codes: np.ndarray, cut: np.ndarray) -> pa.ListArray:
+    """Lists of codes that begin at `cut`."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[cut, len(codes)].astype(np.int32)), pa.array(codes.view(np.int64)))
 
-    sent = docs.select("text").mapInArrow(send, "bucket long, anchors binary, counts binary")
-    counted = sent.repartition(tasks(docs.sparkSession, buckets), "bucket").groupBy("bucket").applyInArrow(add, "code long")
-    return np.unique(np.array([r["code"] for r in counted.collect()], np.int64).view(np.uint64))  # few: each fills a share of a sort
 
+def repeated(docs: DataFrame, buckets: int, split: bool = False) -> DataFrame:
+    """(k1, k2, codes): the anchors of each document that occur more than once in all texts, or the windows below its
+    anchors in `hot` where `split`; rows without codes list in `hot` anchors whose stretches are too many for one sort.
 
-def repeated_anchors(docs: DataFrame, buckets: int, hot: np.ndarray = NONE) -> DataFrame:
-    """(k1, k2, codes): the anchors of each document that occur more than once in all texts; windows, for `hot` ones."""
+    A batch sends each of its anchors to the anchor's bucket once, with how many different stretches it has.
+    """
+    most = max(HOT_ROWS, int(HOT_SHARE * SORT_BYTES / STRETCH))
+    parts = tasks(docs.sparkSession, buckets)
 
-    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
             k1, k2 = _ids(part)
-            found = runs(*utf8(part.column("text")), hot)
+            found = runs(*utf8(part.column("text")), _listed(part.column("hot")) if split else NONE)
+            if split:
+                found = {name: column[found["single"]] for name, column in found.items()}
             anchor, text = found["anchor"], found["text"]
             if not len(anchor):
                 continue
+            _, many = _distinct(found)
             order = np.argsort(anchor, kind="stable")
             new = np.r_[True, anchor[order][1:] != anchor[order][:-1]]
             size = np.diff(np.r_[np.flatnonzero(new), len(order)])
@@ -179,59 +172,84 @@ def repeated_anchors(docs: DataFrame, buckets: int, hot: np.ndarray = NONE) -> D
                 cut = np.flatnonzero(np.r_[True, text[here][1:] != text[here][:-1]])
                 for a, b in zip(cut, np.r_[cut[1:], len(here)]):
                     who = text[here[a]]
-                    out.append((int(k2[who] % buckets), k1[who : who + 1].tobytes(), k2[who : who + 1].tobytes(), b"", np.unique(_code(anchor[here[a:b]])).tobytes()))
+                    out.append((int(k2[who] % buckets), k1[who : who + 1].tobytes(), k2[who : who + 1].tobytes(), b"", np.unique(_code(anchor[here[a:b]])).tobytes(), b""))
             once = order[new]  # one of each for the others
             bucket, low = _bucket(anchor[once], buckets), _code(anchor[once])
             turn = np.lexsort((text[once], bucket))
-            bucket, low, who = bucket[turn], low[turn], text[once][turn]
+            bucket, low, who, many = bucket[turn], low[turn], text[once][turn], many[turn]
             run = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (who[1:] != who[:-1])])
             counts, owners, run_bucket = np.diff(np.r_[run, len(who)]), who[run], bucket[run]
             low = low.view(np.uint8).reshape(-1, 8)[:, :5]
             at = np.r_[run, len(who)]
             cut = np.flatnonzero(np.r_[True, run_bucket[1:] != run_bucket[:-1]])
             for a, b in zip(cut, np.r_[cut[1:], len(run)]):
-                out.append((int(run_bucket[a]), k1[owners[a:b]].tobytes(), k2[owners[a:b]].tobytes(), counts[a:b].astype(np.uint32).tobytes(), low[at[a] : at[b]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 5))], names=["bucket", "k1", "k2", "counts", "anchors"])
+                out.append((int(run_bucket[a]), k1[owners[a:b]].tobytes(), k2[owners[a:b]].tobytes(), counts[a:b].astype(np.uint32).tobytes(), low[at[a] : at[b]].tobytes(), many[at[a] : at[b]].tobytes()))
+            bucket = np.array([r[0] for r in out], np.int64)
+            names = ["part", "bucket", "k1", "k2", "counts", "anchors", "many"]
+            yield pa.RecordBatch.from_arrays([pa.array((bucket % parts).astype(np.int32)), pa.array(bucket), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 6))], names=names)
 
     def match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        k1, k2, codes, ids1, ids2, counts, lows = [], [], [], [], [], [], []
-        for a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("k1", "k2", "counts", "anchors"))):
-            if not c:
-                k1.append(int.from_bytes(a, "little", signed=True))
-                k2.append(int.from_bytes(b, "little", signed=True))
-                codes.append(d)
-            else:
-                ids1.append(a), ids2.append(b), counts.append(c), lows.append(d)
-        if lows:
-            ids1, ids2 = np.frombuffer(b"".join(ids1), np.int64), np.frombuffer(b"".join(ids2), np.int64)
-            owner = np.repeat(np.arange(len(ids1)), np.frombuffer(b"".join(counts), np.uint32))
-            low = _wide(lows)
-            order = np.argsort(low, kind="stable")
-            new = np.r_[True, low[order][1:] != low[order][:-1]]
-            size = np.diff(np.r_[np.flatnonzero(new), len(order)])
-            hit = np.sort(order[np.repeat(size > 1, size)])
-            cut = np.flatnonzero(np.r_[True, owner[hit][1:] != owner[hit][:-1]]) if len(hit) else hit
-            for a, b in zip(cut, np.r_[cut[1:], len(hit)]):
-                k1.append(int(ids1[owner[hit[a]]]))
-                k2.append(int(ids2[owner[hit[a]]]))
-                codes.append(low[hit[a:b]].tobytes())
-        return pa.table({"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "codes": pa.array(codes, pa.binary())})
-
-    sent = docs.select("k1", "k2", "text").mapInArrow(send, "bucket long, k1 binary, k2 binary, counts binary, anchors binary")
-    return sent.repartition(tasks(docs.sparkSession, buckets), "bucket").groupBy("bucket").applyInArrow(match, "k1 long, k2 long, codes binary")
-
-
-def _stretches(part: pa.RecordBatch, hot: np.ndarray) -> tuple[list, pa.RecordBatch | None]:
+        settled = table.filter(pc.equal(pc.binary_length(table.column("counts")), 0))
+        sent = table.filter(pc.greater(pc.binary_length(table.column("counts")), 0))
+        flat = {name: b"".join(sent.column(name).to_pylist()) for name in ("k1", "k2", "counts", "many")}
+        ids1, ids2, many = np.frombuffer(flat["k1"], np.int64), np.frombuffer(flat["k2"], np.int64), np.frombuffer(flat["many"], np.uint32)
+        owner = np.repeat(np.arange(len(ids1), dtype=np.int32), np.frombuffer(flat["counts"], np.uint32))
+        low = _wide(sent.column("anchors").to_pylist())
+        order = np.argsort(low, kind="stable")
+        new = np.r_[np.ones(min(1, len(low)), bool), low[order][1:] != low[order][:-1]]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(order)])
+        hit = np.sort(order[np.repeat(size > 1, size)])
+        cut = np.flatnonzero(np.r_[np.ones(min(1, len(hit)), bool), owner[hit][1:] != owner[hit][:-1]])
+        own = [np.frombuffer(b"".join(settled.column(name).to_pylist()), kind) for name, kind in (("k1", np.int64), ("k2", np.int64), ("anchors", np.uint64))]
+        sizes = pc.binary_length(settled.column("anchors")).to_numpy() // 8
+        hot = low[order[first]][np.add.reduceat(many[order].astype(np.int64), first) > most] if len(first) and not split else NONE
+        n = len(cut) + len(settled)
+        codes = _lists(np.r_[low[hit], own[2]], np.r_[cut, len(hit) + np.cumsum(sizes) - sizes].astype(np.int64))
+        columns = [pa.array(np.r_[ids1[owner[hit[cut]]], own[0]]), pa.array(np.r_[ids2[owner[hit[cut]]], own[1]]), codes, pa.nulls(n, codes.type)]
+        rows = pa.table(columns, names=["k1", "k2", "codes", "hot"])
+        extra = pa.table([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, codes.type), _lists(hot, np.zeros(1, np.int64))], names=rows.column_names)
+        return pa.concat_tables([rows, extra]) if len(hot) else rows
+
+    columns = ["k1", "k2", "text", *(["hot"] if split else [])]
+    sent = docs.select(*columns).mapInArrow(send, "part int, bucket long, k1 binary, k2 binary, counts binary, anchors binary, many binary")
+    return sent.repartitionById(parts, "part").groupBy("part", "bucket").applyInArrow(match, "k1 long, k2 long, codes array<long>, hot array<long>")
+
+
+def marked(docs: DataFrame, buckets: int) -> DataFrame:
+    """`docs` that hold repeated anchors, with `codes` of those and, of anchors that are split, `hot`."""
+    found = keep(repeated(docs, buckets), "anchors")
+    own = found.where("codes is not null").select("k1", "k2", "codes", "hot")
+    hot = found.where("hot is not null").select(F.explode("hot").alias("code")).distinct()
+    parts = [own]
+    if not hot.isEmpty():
+        held = own.select("k1", "k2", F.explode("codes").alias("code")).join(hot, "code")
+        held = keep(held.groupBy("k1", "k2").agg(F.collect_set("code").alias("hot")), "split")
+        windows = repeated(docs.join(held, ["k1", "k2"]), buckets, split=True)
+        parts += [held.select("k1", "k2", F.lit(None).cast("array<long>").alias("codes"), "hot"), windows]
+    marks = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("codes", "hot")])
+    return docs.join(marks, ["k1", "k2"])
+
+
+def _alike(raw: memoryview, turn: np.ndarray, first: np.ndarray, last: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Which of the stretches that agree with the one before them in their digests also agree in their bytes."""
+    at = np.flatnonzero(same)
+    for k, i, j, n in zip(at.tolist(), first[turn[at]].tolist(), first[turn[at - 1]].tolist(), (last - first)[turn[at]].tolist()):
+        same[k] = raw[i : i + n + WINDOW] == raw[j : j + n + WINDOW]
+    return same
+
+
+def _stretches(part: pa.RecordBatch) -> tuple[tuple, tuple]:
     """What the repeated anchors of a batch cover: spans settled here, and stretches for the shards."""
-    k1, k2, late = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+    k1, k2, late = (part.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2", "late"))
     data, starts = utf8(part.column("text"))
-    found = runs(data, starts, hot)
-    codes = part.column("codes")
-    wanted = np.frombuffer(b"".join(x for row in codes.to_pylist() for x in row), np.uint64)
-    hit = np.isin(_code(found["anchor"]), wanted)
+    raw = data.tobytes()
+    found = runs(data, starts, _listed(part.column("hot")))
+    hit = np.isin(_code(found["anchor"]), _listed(part.column("codes")))
     text, first, last, anchor, under = (found[c][hit] for c in ("text", "first", "last", "anchor", "under"))
     turn = np.lexsort((first, k2[text], k1[text], late[text], under, last - first, anchor))
-    same = np.r_[False, (anchor[turn][1:] == anchor[turn][:-1]) & (under[turn][1:] == under[turn][:-1]) & ((last - first)[turn][1:] == (last - first)[turn][:-1])]
+    same = np.r_[np.zeros(min(1, len(turn)), bool), (anchor[turn][1:] == anchor[turn][:-1]) & (under[turn][1:] == under[turn][:-1]) & ((last - first)[turn][1:] == (last - first)[turn][:-1])]
+    same = _alike(memoryview(raw), turn, first, last, same)
     later = np.zeros(len(turn), bool)
     later[turn] = same
     # the same document may stand in a batch twice: its stretches are as early as those of its twin
@@ -245,7 +263,6 @@ def _stretches(part: pa.RecordBatch, hot: np.ndarray) -> tuple[list, pa.RecordBa
     settled = (k1[owner], k2[owner], start, end)
     go = ~later
     text, first, last, anchor = text[go], first[go], last[go], anchor[go]
-    raw = data.tobytes()
     stretch = pa.array([raw[a:b] for a, b in zip(first.tolist(), (last + WINDOW).tolist())], pa.binary())
     return settled, (anchor, k1[text], k2[text], late[text], first - starts[text], stretch)
 
@@ -283,21 +300,19 @@ def _shard_repeats(late: np.ndarray, k1: np.ndarray, k2: np.ndarray, first: np.n
 
 def sent_stretches(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
     """What goes to the shards: stretches by anchor, and spans that are settled already (without a stretch)."""
-    hot = frequent(docs, buckets)
-    marks = repeated_anchors(docs, buckets, hot).groupBy("k1", "k2").agg(F.collect_list("codes").alias("codes"))
-    marked = docs.join(marks, ["k1", "k2"])
+    parts = tasks(docs.sparkSession, shards)
 
-    def stretch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            (a1, a2, start, end), (anchor, k1, k2, late, first, bytes_) = _stretches(part, hot)
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            (a1, a2, start, end), (anchor, k1, k2, late, first, bytes_) = _stretches(part)
             n, m = len(a1), len(k1)
             shard = np.r_[(a2.astype(np.int64) % shards), (mix(anchor) % np.uint64(shards)).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(shard), pa.array(np.r_[np.zeros(n, np.int64), anchor.view(np.int64)]), pa.array(np.r_[a1, k1]), pa.array(np.r_[a2, k2]), pa.array(np.r_[np.zeros(n, bool), late.astype(bool)]),
-                pa.array(np.r_[start, first]), pa.array(np.r_[end, np.zeros(m, np.int64)]), pa.concat_arrays([pa.nulls(n, pa.binary()), bytes_]),
-            ], names=["shard", "anchor", "k1", "k2", "late", "start", "end", "stretch"])
+                pa.array((shard % parts).astype(np.int32)), pa.array(shard), pa.array(np.r_[np.zeros(n, np.int64), anchor.view(np.int64)]), pa.array(np.r_[a1, k1]), pa.array(np.r_[a2, k2]),
+                pa.array(np.r_[np.zeros(n, bool), late.astype(bool)]), pa.array(np.r_[start, first]), pa.array(np.r_[end, np.zeros(m, np.int64)]), pa.concat_arrays([pa.nulls(n, pa.binary()), bytes_]),
+            ], names=["part", "shard", "anchor", "k1", "k2", "late", "start", "end", "stretch"])
 
-    return marked.mapInArrow(stretch, "shard long, anchor long, k1 long, k2 long, late boolean, start long, end long, stretch binary")
+    return marked(docs, buckets).mapInArrow(stretch, "part int, shard long, anchor long, k1 long, k2 long, late boolean, start long, end long, stretch binary")
 
 
 def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -323,7 +338,7 @@ def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = B
         return pa.table(dict(zip(("k1", "k2", "start", "end"), (pa.array(x, pa.int64()) for x in out))))
 
     sent = sent_stretches(docs, shards, buckets)
-    found = sent.repartition(tasks(docs.sparkSession, shards), "shard").groupBy("shard").applyInArrow(sort_shard, "k1 long, k2 long, start long, end long")
+    found = sent.repartitionById(tasks(docs.sparkSession, shards), "part").groupBy("part", "shard").applyInArrow(sort_shard, "k1 long, k2 long, start long, end long")
     return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
