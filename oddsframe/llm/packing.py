@@ -2,8 +2,11 @@
 
 Documents are cut into pieces of the longest length at most.  Pieces are dealt by value into groups of bounded size,
 and every group is packed on its own: longest piece first, each into the open bin that it fills best.  A piece that
-fits no open bin opens one of the size with the least cost per token that can still be put into it (a fixed cost a
-sequence, linear work, and quadratic attention).  In the end every bin shrinks to the least length that holds it.
+fits no open bin opens one.  All permitted lengths are judged for it by what the pieces still to come can fill them
+with: each is filled with the longest that fit, shrunk to its contents, and the one with the least cost per token wins
+(a fixed cost a sequence, linear work, and quadratic attention).  In the end every bin shrinks to the least length that
+holds it.  That choice looks ahead one bin only; so the group is also packed with each length as the least that may be
+opened, and the cheapest of these packings stands.  It never costs more than any single length.
 
 Null and empty texts have no piece and come out with a null sequence.  Rows equal in id and text are packed one by
 one.  Ties go by length, then digest, then piece.  No rows, no output; other columns are ignored.
@@ -11,7 +14,8 @@ one.  Ties go by length, then digest, then piece.  No rows, no output; other col
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from typing import Any
 
 import pandas as pd
@@ -31,13 +35,45 @@ def cost(n: int) -> float:
     return FIXED + n + n * n / ATTENTION
 
 
-def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of every piece (sizes in falling order), and the final length of every bin."""
-    lengths = tuple(sorted(lengths))
+class _Rest:
+    """Sizes of the pieces that are still to come, and what a bin could be filled with from them."""
+
+    def __init__(self, sizes: list[int], lengths: tuple[int, ...]):
+        self.count = Counter(sizes)
+        self.sizes = sorted(self.count)
+        self.lengths = lengths
+
+    def take(self, size: int) -> None:
+        self.count[size] -= 1
+        if not self.count[size]:
+            del self.count[size]
+            self.sizes.pop(bisect_left(self.sizes, size))
+
+    def filled(self, used: int, length: int) -> int:
+        at = bisect_right(self.sizes, length - used)
+        while at:
+            size = self.sizes[at - 1]
+            used += size * min(self.count[size], (length - used) // size)
+            at = bisect_right(self.sizes, length - used, 0, at - 1)
+        return used
+
+    def best_length(self, size: int) -> int:
+        """Length of least cost per token for a bin that begins with a piece of this size."""
+
+        def per_token(length: int) -> tuple[float, int]:
+            used = self.filled(size, length)
+            return cost(self.lengths[bisect_left(self.lengths, used)]) / used, length
+
+        return min((n for n in self.lengths if n >= size), key=per_token)
+
+
+def packed(sizes: list[int], lengths: tuple[int, ...], least: int | None = None) -> tuple[list[int], list[int], list[int]]:
+    """Best fit of sizes in falling order; bins are opened by the look-ahead, or (`least`) at that length or above."""
     bins: list[int] = []  # tokens in each bin
     room: dict[int, list[int]] = {}  # bins by free space
     spaces: list[int] = []  # free spaces that occur, ascending
-    left, where, offsets = sum(sizes), [], []
+    rest = _Rest(sizes, lengths) if least is None else None
+    where, offsets = [], []
 
     def put(k: int, free: int) -> None:
         if free:
@@ -47,6 +83,8 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list
             room[free].append(k)
 
     for size in sizes:
+        if rest:
+            rest.take(size)
         at = bisect_left(spaces, size)
         if at < len(spaces):
             free = spaces[at]
@@ -55,15 +93,20 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list
                 del room[free]
                 del spaces[at]
         else:
-            free = min((n for n in lengths if n >= size), key=lambda n: (cost(n) / min(n, left), n))
+            free = rest.best_length(size) if rest else lengths[bisect_left(lengths, max(size, least or 0))]
             k = len(bins)
             bins.append(0)
         where.append(k)
         offsets.append(bins[k])
         bins[k] += size
-        left -= size
         put(k, free - size)
-    return where, offsets, [next(n for n in lengths if n >= used) for used in bins]
+    return where, offsets, [lengths[bisect_left(lengths, used)] for used in bins]
+
+
+def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
+    """Bin and offset of every piece (sizes in falling order), and the final length of every bin."""
+    lengths = tuple(sorted(lengths))
+    return min((packed(sizes, lengths, least) for least in (None, *lengths)), key=lambda found: sum(map(cost, found[2])))
 
 
 def pieces(df: DataFrame, longest: int) -> DataFrame:

@@ -101,21 +101,19 @@ def out_of_place(text, model, profile):
     return best, 1 - charge[best] / (profile * len(ranked))
 
 
-def best_fit(sizes, lengths, cost):
-    """Slow best fit over every open bin."""
-    bins, where, left = [], [], sum(sizes)
-    for size in sizes:
-        fits = [(free, -k) for k, (_, free) in enumerate(bins) if free >= size]
-        if fits:
-            k = -min(fits)[1]
-        else:
-            bins.append([0, min((n for n in lengths if n >= size), key=lambda n: (cost(n) / min(n, left), n))])
-            k = len(bins) - 1
-        bins[k][0] += size
-        bins[k][1] -= size
-        where.append(k)
-        left -= size
-    return where, [next(n for n in lengths if n >= used) for used, _ in bins]
+def least_packing_cost(sizes, lengths, cost):
+    """The cheapest way to deal pieces into bins, over all ways."""
+
+    def dealt(at, bins):
+        if at == len(sizes):
+            return sum(cost(next(n for n in lengths if n >= b)) for b in bins)
+        found = [dealt(at + 1, [*bins, sizes[at]])]
+        for k in range(len(bins)):
+            if bins[k] + sizes[at] <= max(lengths):
+                found.append(dealt(at + 1, [*bins[:k], bins[k] + sizes[at], *bins[k + 1 :]]))
+        return min(found)
+
+    return dealt(0, [])
 
 
 def held_out(doc_id):

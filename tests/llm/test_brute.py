@@ -55,18 +55,44 @@ def test_repeat_limit_and_budget(docs):
     assert min(blocks) == 0 and len(blocks) == max(blocks) + 1
 
 
-def test_best_fit_is_best():
+def total(found):
+    return sum(map(packing.cost, found[2]))
+
+
+def test_packing_is_sound_and_never_dearer_than_one_length():
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        sizes = sorted((int(x) for x in rng.integers(1, 257, rng.integers(1, 120))), reverse=True)
-        where, offsets, capacity = packing.best_fit(sizes, (32, 64, 256))
+    kinds = [[600] * 1000, [700] * 1000, [512] * 77, [1] * 3000, [8192] * 9 + [5] * 40, [*rng.integers(3000, 5000, 200), *rng.integers(1, 300, 900)], rng.integers(1, 8193, 800), rng.integers(1, 200, 2000)]
+    for kind in kinds:
+        sizes = sorted((int(x) for x in kind), reverse=True)
+        found = packing.best_fit(sizes)
         used = Counter()
-        for k, at, size in zip(where, offsets, sizes):
+        for k, at, size in zip(*found[:2], sizes):
             assert at == used[k]
             used[k] += size
-        want, final = brute.best_fit(sizes, (32, 64, 256), packing.cost)
-        assert sorted(used.values()) == sorted(Counter({k: sum(s for s, w in zip(sizes, want) if w == k) for k in set(want)}).values())
-        assert sorted(capacity) == sorted(final)
+        assert [next(n for n in packing.LENGTHS if n >= used[k]) for k in range(len(used))] == found[2]
+        for n in packing.LENGTHS:
+            if n >= sizes[0]:
+                assert total(found) <= -(-len(sizes) // (n // sizes[0])) * packing.cost(n) + 1e-6 if sizes[0] == sizes[-1] else total(found) <= total(packing.packed(sizes, packing.LENGTHS, n))
+    assert total(packing.best_fit([600] * 1000)) <= 748_160 and total(packing.best_fit([700] * 1000)) <= 934_400
+
+
+def test_packing_is_near_the_optimum_of_small_cases():
+    rng = np.random.default_rng(8)
+    ratios = []
+    for _ in range(40):
+        sizes = sorted((int(x) for x in rng.integers(100, 4000, rng.integers(1, 8))), reverse=True)
+        ratios.append(total(packing.best_fit(sizes)) / brute.least_packing_cost(sizes, packing.LENGTHS, packing.cost))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.25 and np.mean(ratios) < 1.03
+
+
+def test_equal_rows_keep_the_budget(spark):
+    rows = [(1, "x", "a b c d e f g h i j")] * 30 + [(k, "x", "one two three") for k in range(2, 60)] + [(99, "y", "w " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    spent = Counter()
+    plan = mixing.solved(df, 2.0, None, 900)[1].collect()
+    for r in mixing.mixture(df, budget=900).collect():
+        spent[r["source"]] += r["tokens"]
+    assert all(spent[r["name"][2:]] <= r["budget"] for r in plan)
 
 
 @pytest.mark.parametrize("radius", [1, 3, 4])
