@@ -110,7 +110,7 @@ def _epochs(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     inside = Window.partitionBy("name", "epoch", "part").orderBy("perm", "item", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     rows = rows.join(parts, ["name", "epoch", "part"]).withColumn("start", F.col("start") + F.col("before"))
-    return rows.where((F.col("epoch") < F.col("whole")) | (F.col("start") + F.col("tokens") <= F.col("rest")))
+    return rows.where((F.col("epoch") < F.col("whole")) | (F.col("start") + weight <= F.col("rest")))
 
 
 def solved(df: DataFrame, max_repeats: float, min_entropy: float | None, budget: int | None) -> tuple[DataFrame, DataFrame]:

@@ -46,8 +46,8 @@ def mixing(max_repeats: float, block_tokens: int, seed: int) -> str:
     return f"""
 with recursive rows_ as (select doc_id, source, coalesce('s:' || source, 'none') name,
   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint tokens,
-  {_digits("coalesce(doc_id::varchar, '-') || ':' || md5(coalesce(text, ''))", 15)} item from documents),
-sources as (select name, sum(tokens)::bigint all_tokens from rows_ group by name),
+  {_digits("coalesce(doc_id::varchar, '-') || ':' || md5(coalesce(text, ''))", 15)} item, count(*) copies from documents group by all),
+sources as (select name, sum(tokens * copies)::bigint all_tokens from rows_ group by name),
 total as (select sum(all_tokens)::double tokens, max(all_tokens)::double largest, min(all_tokens)::double least from sources where all_tokens > 0),
 halving as (select 0 k, 0.0::double lo, 1.0::double hi union all
   select k + 1, case when pow(largest / least, 1 - (lo + hi) / 2) <= {max_repeats} then lo else (lo + hi) / 2 end,
@@ -60,10 +60,11 @@ planned as (select *, case when all_tokens > 0 then budget // all_tokens else 1
 blocks as (select greatest(1, ceil(sum(budget) / {float(block_tokens)}))::bigint blocks from plan),
 emitted as (select r.*, p.* exclude (name), unnest(range(0, case when budget - whole * all_tokens > 0 then whole + 1 else whole end)) epoch
   from rows_ r join planned p using (name)),
-placed as (select *, coalesce(sum(tokens) over (partition by name, epoch order by {perm}, item, doc_id nulls first
+placed as (select *, coalesce(sum(tokens * copies) over (partition by name, epoch order by {perm}, item, doc_id nulls first
   rows between unbounded preceding and 1 preceding), 0)::bigint start from emitted),
-cut as (select *, case when budget > 0 then least(floor((epoch * all_tokens + start)::double * blocks::double / budget::double), blocks - 1)::bigint else 0 end block
-  from placed, blocks where epoch < whole or start + tokens <= budget - whole * all_tokens)
+spelled as (select *, unnest(range(0, copies)) nth from placed where epoch < whole or start + tokens * copies <= budget - whole * all_tokens),
+cut as (select *, case when budget > 0 then least(floor((epoch * all_tokens + start + nth * tokens)::double * blocks::double / budget::double), blocks - 1)::bigint else 0 end block
+  from spelled, blocks)
 select doc_id, source, tokens, epoch, block, {_digits(f"concat_ws(':', '{seed}b', block, epoch, item)", 15)} place from cut"""
 
 
