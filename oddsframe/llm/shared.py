@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -26,6 +27,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def return_memory() -> None:
+    """For a Python worker that handles one batch after the other: give what a batch needed back to the system.
+
+    By default the C library raises the size from which it does so with every large array that is freed.
+    """
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 18)  # arrays from 256 KB on have pages of their own
+        libc.mallopt(-1, 1 << 20)
+    pa.default_memory_pool().release_unused()
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe.llm.rolling import ODD, mix, prefix, sliding_least
-from oddsframe.llm.shared import keep, small_batches, tasks, utf8
+from oddsframe.llm.shared import keep, return_memory, small_batches, tasks, utf8
 from oddsframe.llm.suffixarray import repeats
 
 WINDOW, GRAM = 100, 32
@@ -155,6 +155,7 @@ def repeated(docs: DataFrame, buckets: int, split: bool = False) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            return_memory()
             k1, k2 = _ids(part)
             found = runs(*utf8(part.column("text")), _listed(part.column("hot")) if split else NONE)
             if split:
@@ -189,6 +190,7 @@ def repeated(docs: DataFrame, buckets: int, split: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array((bucket % parts).astype(np.int32)), pa.array(bucket), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 6))], names=names)
 
     def match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return_memory()
         settled = table.filter(pc.equal(pc.binary_length(table.column("counts")), 0))
         sent = table.filter(pc.greater(pc.binary_length(table.column("counts")), 0))
         flat = {name: b"".join(sent.column(name).to_pylist()) for name in ("k1", "k2", "counts", "many")}
@@ -304,6 +306,7 @@ def sent_stretches(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            return_memory()
             (a1, a2, start, end), (anchor, k1, k2, late, first, bytes_) = _stretches(part)
             n, m = len(a1), len(k1)
             shard = np.r_[(a2.astype(np.int64) % shards), (mix(anchor) % np.uint64(shards)).astype(np.int64)]
@@ -322,6 +325,7 @@ def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = B
     shards, buckets = max(1, -(-total // shard_bytes)), max(1, -(-total // bucket_bytes))
 
     def sort_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return_memory()
         c = {name: table.column(name).to_numpy() for name in ("anchor", "k1", "k2", "late", "start", "end")}
         stretches = table.column("stretch").to_pylist()
         ready = np.array([s is None for s in stretches], bool)
