@@ -46,17 +46,25 @@ def parse_kickoff(raw: Column, now: Column) -> Column:
     return F.coalesce(iso_zone, F.when(t.rlike(_FULL), full).when(t.rlike(_MONTH_DAY), partial).otherwise(rolled))
 
 
+# fixed values: score up to so many minutes apart, then the score beyond
+DATED_STEPS = ((10, 1.0), (60, 0.8), (180, 0.55), 0.0)
+CLOCK_STEPS = ((10, 1.0), (60, 0.8), (120, 0.55), 0.25)
+
+
+def _stepped(gap: Column, steps: tuple) -> Column:
+    *upto, beyond = steps
+    return F.coalesce(*[F.when(gap <= most, score) for most, score in upto], F.lit(beyond))
+
+
 def time_score(gap_minutes: Column, clock_only: Column | None = None) -> Column:
     """Closeness of two kickoffs; a clock without a date compares around the day."""
-    dated = (
-        F.when(gap_minutes <= 10, 1.0).when(gap_minutes <= 60, 0.8).when(gap_minutes <= 180, 0.55).otherwise(0.0)
-    )
+    dated = _stepped(gap_minutes, DATED_STEPS)
     unknown = gap_minutes.isNull()
     if clock_only is None:
         return F.when(unknown, 0.5).otherwise(dated)
     turn = gap_minutes % 1440
     around = F.least(turn, F.lit(1440) - turn)
-    clock = F.when(around <= 10, 1.0).when(around <= 60, 0.8).when(around <= 120, 0.55).otherwise(0.25)
+    clock = _stepped(around, CLOCK_STEPS)
     return F.when(unknown, 0.5).when(clock_only, clock).otherwise(dated)
 
 

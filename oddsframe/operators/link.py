@@ -1,25 +1,29 @@
 """Cross-source match linking by names, kickoff and league.
 
-Every match is compared with the whole catalog of its snapshot, as the scores have no cut-off
-that a blocking key could use exactly (names alone reach the `open` status).  No pair row is
-ever produced: the catalog is packed into rows of about `CATALOG_ROWS` entries, a match meets
-those rows, and the best entry is found inside the row.  A snapshot with a larger catalog has
-more such rows, spread over tasks, so no bound on the catalog is assumed and none is dropped;
-a snapshot with very many matches is split by a salt.
+Names alone can decide a link, so every match has to meet the whole catalog of its snapshot; but few entries can be its
+best.  Matches and entries meet in blocks of bounded size, in which an inverted index over name pieces bounds the score
+of every entry (`candidates`); only entries whose bound reaches the best are scored in full.  A large catalog makes more
+packs and a hot snapshot more salts, spread over tasks, and nothing is dropped.
+
+Fixtures are linked by a cut-off, which allows an equi-join: two names can only reach it if they are equal, one holds
+the other, or they share a word among their rarest ones.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from oddsframe.functions import text as T
-from oddsframe.functions.rows import spread_fields
 from oddsframe.functions.times import time_score
+from oddsframe.operators.candidates import reachable
 
-CATALOG_ROWS = 200  # page size of the pool catalog
-MATCHES_PER_SALT = 20_000
+ENTRIES_PER_PACK = 1_000
+MATCHES_PER_SALT = 2_000
+MOST_BLOCKS = 20_000  # tasks of one stage; beyond, a task does several blocks
 
 
 def _percent(col: Column) -> Column:
@@ -123,67 +127,44 @@ def pair_scores(match: Column, catalog: Column) -> Column:
     return F.transform(catalog, lambda c: T.let(_closeness(match, c), lambda near: _pair(match, c, near)))
 
 
-_PAIR = (
-    "struct<score: int, neg_ix: bigint, matched_id: {id}, team_score: int, time_score: int, league_score: int, "
-    "home_score: int, away_score: int, swapped: boolean>"
-)
+def _dealt(rows: DataFrame, sizes: DataFrame, keys: list[str], own: tuple[str, str, str], other: tuple[str, str]) -> DataFrame:
+    """Rows with the number of their own part by a hash of the id, copied to each part of the other side."""
+    ident, parts, part = own
+    out = rows.join(sizes, keys).withColumn(part, F.pmod(F.xxhash64(ident), F.col(parts)))
+    return out.withColumn(other[1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other[0]) - 1))).drop("_salts", "_packs")
 
 
-def best_pair(match: Column, catalog: Column, id_type: str) -> Column:
-    """The best entry of a catalog array; NULL if it is empty.
+def pairs_to_score(matches: DataFrame, pool_matches: DataFrame, keys: list[str], gate: tuple[float, float] | None = None) -> DataFrame:
+    """(keys, match_id, _m, c): link keys of a match next to an entry that can be its best, or that passes the gate.
 
-    Kickoff and league bound the score from above, so the names of an entry that cannot reach
-    the best score so far are not compared.
+    Raw names are shuffled; keys are worked out behind the shuffle, once a block.
     """
-    def step(best, c):
-        def weigh(near):
-            out_of_reach = F.coalesce(best["score"], F.lit(-1)) > F.greatest(_total(F.lit(1.0), near), F.lit(82))
-            return F.when(out_of_reach, best).otherwise(F.greatest(best, _pair(match, c, near)))
-
-        return T.let(_closeness(match, c), weigh)
-
-    return F.aggregate(catalog, F.lit(None).cast(_PAIR.format(id=id_type)), step)
-
-
-def pack_catalog(rows: DataFrame, keys: list[str], entry: Column, rows_per_pack: int = CATALOG_ROWS) -> DataFrame:
-    """Catalog entries of each key in arrays of about `rows_per_pack`; a large key gets many arrays.
-
-    The spread is a hash of the entry id, so no window or single task sees a whole key.  Raw rows
-    are shuffled and the comparison keys are worked out behind the shuffle, in the partition
-    that packs them.
-    """
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_pack).alias("_packs"))
-    spread = rows.join(sizes, keys).withColumn("_pack", F.pmod(F.xxhash64("id"), F.col("_packs"))).drop("_packs")
-    entries = spread.repartition(_parts(rows), *keys, "_pack").select(*keys, "_pack", entry.alias("_e"))
-    return entries.groupBy(*keys, "_pack").agg(F.collect_list("_e").alias("catalog"))
-
-
-def _parts(df: DataFrame) -> int:
-    """Partitions of the scoring steps.  Scoring costs far more than its input bytes suggest, and a
-    set count keeps AQE from merging these partitions by size."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = [*keys, "_salt", "_pack"]
+    n = lambda df, per, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per).alias(name))
+    sizes = n(matches, MATCHES_PER_SALT, "_salts").join(n(pool_matches, ENTRIES_PER_PACK, "_packs"), keys)
+    units = sizes.agg(F.sum(F.col("_salts") * F.col("_packs"))).first()[0] or 1
+    parts = max(int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(units, MOST_BLOCKS))
+    left = _dealt(matches, sizes, keys, ("match_id", "_salts", "_salt"), ("_packs", "_pack")).repartition(parts, *blocks)
+    right = _dealt(pool_matches, sizes, keys, ("id", "_packs", "_pack"), ("_salts", "_salt")).repartition(parts, *blocks)
+    left = left.select(*blocks, "match_id", link_key(matches).alias("_m"))
+    entry = F.struct(F.col("id"), F.col("source_index").cast("long").alias("ix"), link_key(pool_matches).alias("key"))
+    right = right.select(*[F.col(b).alias(f"p{b}") for b in blocks], entry.alias("c"))
+    kept = [*keys, "match_id", "_m"]
 
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.combine_chunks(), b.combine_chunks()
+        first, second = (t.column(c).combine_chunks() for t, c in ((a, "_m"), (b, "c")))
+        pairs = reachable(first, second.field("key"), gate) if len(a) and len(b) else ([], [])
+        i, j = (pa.array(x, pa.int64()) for x in pairs)
+        return pa.table([*[a.column(c).take(i) for c in kept], b.column("c").take(j)], names=[*kept, "c"])
 
-def against_catalog(matches: DataFrame, packs: DataFrame, keys: list[str], derived: dict[str, Column]) -> DataFrame:
-    """Matches, with the `derived` columns, next to each pack of their key.
+    schema = StructType([*[left.schema[c] for c in kept], right.schema["c"]])
+    return left.groupBy(*blocks).cogroup(right.groupBy(*[f"p{b}" for b in blocks])).applyInArrow(meet, schema)
 
-    A key with many matches is cut into salts of about `MATCHES_PER_SALT`, and only that key's
-    packs are copied per salt.
-    """
-    by = [*keys, "_salt"]
-    sizes = matches.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / MATCHES_PER_SALT).alias("_salts"))
-    salted = matches.join(sizes, keys).withColumn("_salt", F.pmod(F.xxhash64("match_id"), F.col("_salts"))).drop("_salts")
-    copies = packs.join(sizes, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
-    parts = _parts(matches)
-    left = salted.repartition(parts, *by).select(*by, "match_id", *[c.alias(n) for n, c in derived.items()])
-    return left.join(copies.drop("_salts").repartition(parts, *by), by).drop("_salt")
 
-
-def _met(matches: DataFrame, pool_matches: DataFrame, keys: list[str]) -> DataFrame:
-    """Matches (key struct `_m`) next to the catalog packs of their snapshot."""
-    entry = F.struct(F.col("id"), F.col("source_index").cast("long").alias("ix"), link_key(pool_matches).alias("key"))
-    packs = pack_catalog(pool_matches, keys, entry)
-    return against_catalog(matches, packs, keys, {"_m": link_key(matches)})
+def _scored(matches: DataFrame, pool_matches: DataFrame, keys: list[str], gate: tuple[float, float] | None = None) -> DataFrame:
+    m, c = F.col("_m"), F.col("c")
+    return pairs_to_score(matches, pool_matches, keys, gate).select(*keys, "match_id", pair_scores(m, F.array(c))[0].alias("b"))
 
 
 _DETAIL = ["team_score", "time_score", "league_score", "home_score", "away_score", "swapped"]
@@ -201,9 +182,7 @@ def link_matches(
     matches: match_id, names, league, kickoff_min; pool_matches: id, source_index and the same.
     """
     keys = list(keys)
-    kind = pool_matches.schema["id"].dataType.simpleString()
-    best = _met(matches, pool_matches, keys).select(*keys, "match_id", best_pair(F.col("_m"), F.col("catalog"), kind).alias("b"))
-    best = best.groupBy(*keys, "match_id").agg(F.max("b").alias("b"))
+    best = _scored(matches, pool_matches, keys).groupBy(*keys, "match_id").agg(F.max("b").alias("b"))
     out = matches.select(*keys, "match_id").join(best, [*keys, "match_id"], "left")
     score = F.coalesce("b.score", F.lit(0))
     found = score >= possible
@@ -219,22 +198,12 @@ def gated_pool_match(matches: DataFrame, catalog: DataFrame, keys: tuple[str, ..
     """The one safe catalog entry per match, or none.
 
     Not swapped, both sides, time and score high, and five points clear of the next such entry.
-    Only qualifying entries leave the scoring row, and two of them per match go on.
+    Only entries that can qualify are scored, and two of them per match go on.
     """
     keys = list(keys)
-    m = F.col("_m")
-    # both straight sides must round to 75, so entries below that are not scored in full
-    likely = F.filter(
-        "catalog",
-        lambda c: (time_score(F.abs(m["k"] - c["key"]["k"]), m["clock"]) >= 0.8)
-        & (T.best_side_similarity(m["h"], c["key"]["h"]) >= 0.7449)
-        & (T.best_side_similarity(m["a"], c["key"]["a"]) >= 0.7449),
-    )
-    passed = F.filter(
-        pair_scores(m, likely),
-        lambda p: ~p["swapped"] & (p["home_score"] >= 75) & (p["away_score"] >= 75) & (p["time_score"] >= 80) & (p["score"] >= 85),
-    )
-    good = spread_fields(_met(matches, catalog, keys), [*keys, "match_id"], passed)
+    # both straight sides must round to 75
+    scored = _scored(matches, catalog, keys, gate=(0.8, 0.7449)).select(*keys, "match_id", "b.*")
+    good = scored.where("not swapped and home_score >= 75 and away_score >= 75 and time_score >= 80 and score >= 85")
     order = W.partitionBy(*keys, "match_id").orderBy(F.desc("score"), F.desc("neg_ix"))
     top = good.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
     per = top.groupBy(*keys, "match_id").agg(
@@ -245,7 +214,7 @@ def gated_pool_match(matches: DataFrame, catalog: DataFrame, keys: tuple[str, ..
     return per.where(clear).select(*keys, "match_id", "b.*")
 
 
-def _fixture_names(df: DataFrame, names: list[str]) -> Column:
+def _fixture_keys(df: DataFrame, names: list[str]) -> Column:
     return F.array(*[T.fixture_name_key(F.col(c)) for c in names if c in df.columns])
 
 
@@ -253,38 +222,76 @@ def _best_name(lefts: Column, right: Column) -> Column:
     return F.aggregate(lefts, F.lit(0.0), lambda acc, left: F.greatest(acc, T.fixture_name_score(left, right)))
 
 
+def _substrings(name: Column, n: int) -> Column:
+    """Distinct runs of n letters; none where the name is shorter."""
+    starts = F.when(F.length(name) >= n, F.sequence(F.lit(1), F.length(name) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(name, i, F.lit(n))))
+
+
+def _name_pieces(sides: DataFrame) -> DataFrame:
+    """Sides (batch keys, who, n, t) with `words`, rarest first, and `grams`, their runs of three letters, rarest first.
+
+    Rarity is counted over the batch, on both sources, from names that stand there once each.
+    """
+    runs = F.when(F.length("n") >= 3, _substrings(F.col("n"), 3)).otherwise(F.array("n"))
+    pieces = sides.withColumn("pieces", F.concat(F.transform("t", lambda w: F.concat(F.lit("w"), w)), F.transform(runs, lambda g: F.concat(F.lit("g"), g))))
+    each = pieces.select("batch", "n", "t", F.explode("pieces").alias("piece")).distinct()
+    counts = each.groupBy("batch", "piece").agg(F.count(F.lit(1)).alias("rarity"))
+    ranked = each.join(counts, ["batch", "piece"]).groupBy("batch", "n", "t").agg(F.sort_array(F.collect_list(F.struct("rarity", "piece"))).alias("ranked"))
+    kind = lambda sign: F.transform(F.filter("ranked", lambda p: F.startswith(p["piece"], F.lit(sign))), lambda p: p["piece"])
+    names = ranked.select("batch", "n", "t", kind("w").alias("words"), kind("g").alias("grams"))
+    return sides.join(names, ["batch", "n", "t"])
+
+
+def fixture_candidates(matches: DataFrame, fixtures: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """Distinct (keys, match_id, id) of which a side's names may score `threshold` or more.
+
+    Equal and contained names meet by a run of letters: the rarest one of the shorter name stands in the longer.  Others
+    meet by a word: of n words at least ceil(threshold * n) must be shared, so one of the rarest n - that + 1 is.
+    """
+    def sides(df, names, who, other):
+        keyed = df.select(F.struct(*keys).alias("batch"), F.col(who).alias("who"), F.explode(_fixture_keys(df, names)).alias("k"))
+        keyed = keyed.select("batch", "who", "k.n", F.sort_array("k.t").alias("t"), F.lit(other).alias("fixture")).where("n != ''")
+        return keyed.distinct()
+
+    kind = fixtures.schema["fixture_id"].dataType
+    left = sides(matches.withColumn("who", F.struct(F.col("match_id"), F.lit(None).cast(kind).alias("id"))), ["home", "home_s", "home_t", "away", "away_s", "away_t"], "who", False)
+    right = sides(fixtures.withColumn("who", F.struct(F.lit(None).cast(matches.schema["match_id"].dataType).alias("match_id"), F.col("fixture_id").alias("id"))), ["home", "away"], "who", True)
+    named = _name_pieces(left.unionByName(right))
+    n = F.size("words")
+    prefix = F.slice("words", 1, F.greatest(n - F.ceil(n * F.lit(threshold - 1e-9)).cast("int") + 1, F.lit(0)))
+    named = named.withColumns({"prefix": prefix, "rarest": F.slice("grams", 1, 1), "all": F.concat("grams", F.transform(F.concat(_substrings(F.col("n"), 1), _substrings(F.col("n"), 2)), lambda g: F.concat(F.lit("g"), g)))})
+    m, f = named.where("not fixture"), named.where("fixture")
+
+    def joined(a, b):
+        a = m.select("batch", "who.match_id", F.explode(F.array_distinct(a)).alias("piece")).distinct()
+        b = f.select("batch", "who.id", F.explode(F.array_distinct(b)).alias("piece")).distinct()
+        return a.join(b, ["batch", "piece"]).select("batch.*", "match_id", "id")
+
+    found = joined(F.col("prefix"), F.col("prefix")).union(joined(F.col("rarest"), F.col("all"))).union(joined(F.col("all"), F.col("rarest")))
+    return found.distinct()
+
+
 def link_fixtures(matches: DataFrame, fixtures: DataFrame, threshold: float = 0.58, keys: tuple[str, ...] = ("batch_id",)) -> DataFrame:
     """Best fixture per match by shared name words, either way round, at or above the threshold."""
     keys = list(keys)
-    entry = F.struct(
+    entry = fixtures.select(
+        *keys,
         F.col("fixture_id").alias("id"),
         F.col("source_index").cast("long").alias("ix"),
         T.fixture_name_key(F.col("home")).alias("h"),
         T.fixture_name_key(F.col("away")).alias("a"),
     )
-    packs = pack_catalog(fixtures.withColumn("id", F.col("fixture_id")), keys, entry, 500)
-    names = {
-        "_h": _fixture_names(matches, ["home", "home_s", "home_t"]),
-        "_a": _fixture_names(matches, ["away", "away_s", "away_t"]),
-    }
-    sided = F.transform(
-        "catalog",
-        lambda c: F.struct(
-            ((_best_name(F.col("_h"), c["h"]) + _best_name(F.col("_a"), c["a"])) / F.lit(2.0)).alias("direct"),
-            ((_best_name(F.col("_h"), c["a"]) + _best_name(F.col("_a"), c["h"])) / F.lit(2.0)).alias("crossed"),
-            (-c["ix"]).alias("neg_ix"),
-            c["id"].alias("id"),
-        ),
-    )
-    scored = F.transform(
-        sided,
-        lambda p: F.struct(
-            F.greatest(p["direct"], p["crossed"]).alias("score"),
-            p["neg_ix"].alias("neg_ix"),
-            p["id"].alias("fixture_id"),
-            (p["crossed"] > p["direct"]).alias("reversed"),
-        ),
-    )
-    best = against_catalog(matches, packs, keys, names).select(*keys, "match_id", F.array_max(scored).alias("b"))
-    best = best.groupBy(*keys, "match_id").agg(F.max("b").alias("b"))
+    own = matches.select(*keys, "match_id", _fixture_keys(matches, ["home", "home_s", "home_t"]).alias("_h"), _fixture_keys(matches, ["away", "away_s", "away_t"]).alias("_a"))
+    pairs = fixture_candidates(matches, fixtures, threshold, keys).join(own, [*keys, "match_id"]).join(entry, [*keys, "id"])
+    sided = pairs.select(
+        *keys, "match_id", "id", "ix",
+        ((_best_name(F.col("_h"), F.col("h")) + _best_name(F.col("_a"), F.col("a"))) / F.lit(2.0)).alias("direct"),
+        ((_best_name(F.col("_h"), F.col("a")) + _best_name(F.col("_a"), F.col("h"))) / F.lit(2.0)).alias("crossed"),
+    )
+    scored = sided.select(
+        *keys, "match_id",
+        F.struct(F.greatest("direct", "crossed").alias("score"), (-F.col("ix")).alias("neg_ix"), F.col("id").alias("fixture_id"), (F.col("crossed") > F.col("direct")).alias("reversed")).alias("b"),
+    )
+    best = scored.groupBy(*keys, "match_id").agg(F.max("b").alias("b"))
     return best.where(F.col("b.score") >= threshold).select(*keys, "match_id", "b.score", "b.fixture_id", "b.reversed")

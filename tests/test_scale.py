@@ -104,7 +104,7 @@ def test_link_packs_give_the_same_best(rows, monkeypatch):
     m = rows([(1, str(i), pick(), pick(), "lg", rnd.randrange(500)) for i in range(60)], "snapshot_id int, match_id string, home string, away string, league string, kickoff_min long")
     p = rows([(1, f"p{i}", i, pick(), pick(), "lg", rnd.randrange(500)) for i in range(90)], "snapshot_id int, id string, source_index long, home string, away string, league string, kickoff_min long")
     whole = sorted(map(str, link.link_matches(m, p).collect()))
-    monkeypatch.setattr(link.pack_catalog, "__defaults__", (7,))
+    monkeypatch.setattr(link, "ENTRIES_PER_PACK", 7)
     monkeypatch.setattr(link, "MATCHES_PER_SALT", 9)
     assert sorted(map(str, link.link_matches(m, p).collect())) == whole
     # brute force over single pairs
