@@ -21,6 +21,7 @@ from oddsframe.plans.registry import query
 from oddsframe.plans.sqltext import KEYED
 from oddsframe.session import checkpoint_root
 from oddsframe.sources import pages, sinks
+from oddsframe.streaming import keyed
 from oddsframe.streaming import streams as T
 
 
@@ -71,6 +72,17 @@ def moves(spark, sf):
     return T.with_move(prices).drop("open_at", "latest_at")
 
 
+@query(
+    "t4_keyed_price_changes",
+    f"{_TICKS} select match_id, bookmaker_key, arg_min(event_id, (ts, event_id)) open_event, arg_min(price, (ts, event_id)) open_price, arg_max(event_id, (ts, event_id)) latest_event, arg_max(price, (ts, event_id)) latest_price, count(*) ticks from fx_ticks group by all",
+)
+def keyed_changes(spark, sf):
+    """Values as the keyed state emitted them; the delay spans the whole table, so that no tick is too late."""
+    out = _folder(spark, "keyed")
+    T.write_partials(keyed.price_changes(ticks(spark, sf), "3650 days"), lambda batch: batch, f"{out}/data", f"{out}/state", mode="update").awaitTermination()
+    return keyed.latest_values(T.read_partials(spark, f"{out}/data", keyed.MOVES)).select("match_id", "bookmaker_key", "open_event", "open_price", "latest_event", "latest_price", "ticks")
+
+
 _HITS = (
     "select distinct cast(l_orderkey % 3 as varchar) match_id, cast(l_orderkey % 3 as varchar) front_end_id, cast(l_suppkey % 2 as varchar) pool, l_returnflag as \"rule\", cast(l_linenumber % 2 as varchar) line_id,"
     " cast(l_quantity as int) % 2 total_goals, '8.50' odds, l_linestatus selection, l_shipdate kickoff_ts from lineitem"

@@ -3,14 +3,20 @@
 Running results keep no state in the stream.  Each micro-batch is reduced to one partial row per key it
 touched and written under its own batch id; a batch that is run again after a lost executor or a restart
 replaces the same folder.  Reading merges the partials, so late rows count whenever they come, and
-`compact` folds finished batches into one base table, without the rows that have expired.  Only the
-dedupe job holds state, bounded by its watermark, in RocksDB.
+`compact` folds finished batches into one base table, without the rows that have expired.  A manifest
+names the live base and is swapped by one rename; folders it no longer names stay for a grace period, so
+a reader that has listed them still reads, and a compaction that is killed has changed nothing.  The dedupe
+job holds state, bounded by its watermark, in RocksDB, as do the keyed jobs of `keyed`.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,44 +42,92 @@ def use_rocksdb(spark: SparkSession) -> None:
     )
 
 
-def write_partials(rows: DataFrame, partial: Reduce, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def write_partials(rows: DataFrame, partial: Reduce, path: str, checkpoint: str, once: bool = True, mode: str = "append") -> StreamingQuery:
     """The partial rows of each micro-batch under `path/batch_id=N`."""
     def save(batch: DataFrame, batch_id: int) -> None:
         partial(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save)
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
-def _finished(spark: SparkSession, path: str, name: str) -> dict[int, str]:
-    """Folders `name=N` below a path whose write has finished."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
-    done = [p for p in found if p.getName().startswith(f"{name}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return {int(p.getName().split("=")[1]): p.toString() for p in done}
+MANIFEST, GRACE_HOURS = "_manifest.json", 24.0
+
+
+def _at(spark: SparkSession, *parts: str) -> tuple[JavaObject, JavaObject]:
+    """A path and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _finished(spark: SparkSession, path: str, after: int) -> dict[int, str]:
+    """Names of the batches after a number whose write has finished."""
+    root, fs = _at(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    found = {int(n.split("=")[1]): n for n in names if n.startswith("batch_id=")}
+    return {k: n for k, n in found.items() if k > after and fs.exists(_at(spark, path, n, "_SUCCESS")[0])}
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """`base`: the live base table or null, `upto`: the last batch in it, `retired`: folders of before and when they went."""
+    file, fs = _at(spark, path, MANIFEST)
+    if not fs.exists(file):
+        return {"base": None, "upto": -1, "retired": []}
+    stream = fs.open(file)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _swap_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Write beside, then replace in one step."""
+    jvm = spark.sparkContext._jvm
+    draft, fs = _at(spark, path, f"_manifest-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    try:
+        out.writeBytes(json.dumps(manifest))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(draft), fs.makeQualified(_at(spark, path, MANIFEST)[0]), options)
+
+
+def live_folders(spark: SparkSession, path: str) -> list[str]:
+    """What a reader has to read now: the live base and the finished batches after it."""
+    manifest = read_manifest(spark, path)
+    batches = _finished(spark, path, manifest["upto"])
+    return [*([manifest["base"]] if manifest["base"] else []), *[n for _, n in sorted(batches.items())]]
 
 
 def read_partials(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The newest base table and the batches after it."""
-    bases, batches = _finished(spark, path, "upto"), _finished(spark, path, "batch_id")
-    upto = max(bases, default=-1)
-    folders = [*([bases[upto]] if bases else []), *[folder for n, folder in sorted(batches.items()) if n > upto]]
+    folders = [f"{path}/{n}" for n in live_folders(spark, path)]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def compact(spark: SparkSession, path: str, schema, merge: Reduce, live: Column | None = None) -> None:
-    """Fold the finished batches into a base table `upto=N`, rows that are not `live` left out, and drop them."""
-    bases, batches = _finished(spark, path, "upto"), _finished(spark, path, "batch_id")
-    newest = max([*bases, *batches], default=None)
-    if newest is None or newest in bases:
+def compact(spark: SparkSession, path: str, schema, merge: Reduce, live: Column | None = None, grace_hours: float = GRACE_HOURS) -> None:
+    """Fold the finished batches into a new base table, rows that are not `live` left out.
+
+    Folders that went before the grace period are deleted.  One compaction runs at a time.
+    """
+    manifest = read_manifest(spark, path)
+    batches = _finished(spark, path, manifest["upto"])
+    if not batches:
         return
+    now, newest = int(time.time() * 1000), max(batches)
+    base = f"upto={newest}-{uuid.uuid4().hex}"
     merged = merge(read_partials(spark, path, schema))
-    (merged if live is None else merged.where(live)).write.mode("overwrite").parquet(f"{path}/upto={newest}")
-    fs_path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in [*bases.values(), *[f for n, f in batches.items() if n <= newest]]:
-        fs_path(folder).getFileSystem(conf).delete(fs_path(folder), True)
+    (merged if live is None else merged.where(live)).write.parquet(f"{path}/{base}")
+    gone = [*([manifest["base"]] if manifest["base"] else []), *batches.values()]
+    retired = manifest["retired"] + [[name, now] for name in gone]
+    late = now - int(grace_hours * 3_600_000)
+    _swap_manifest(spark, path, {"base": base, "upto": newest, "retired": [r for r in retired if r[1] > late]})
+    for name, at in retired:
+        if at <= late:
+            folder, fs = _at(spark, path, name)
+            fs.delete(folder, True)
 
 
 def latest_quotes(ticks: DataFrame) -> DataFrame:

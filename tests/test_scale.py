@@ -128,7 +128,7 @@ def _drain(spark, df, tmp_path, partial, merge, live=None):
         part.repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
         stream = streams.read_stream(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
         streams.write_partials(stream, partial, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-        streams.compact(spark, str(tmp_path / "out"), schema, merge, live)
+        streams.compact(spark, str(tmp_path / "out"), schema, merge, live, grace_hours=0)
     left = list((tmp_path / "out").glob("batch_id=*")), list((tmp_path / "out").glob("upto=*"))
     assert (len(left[0]), len(left[1])) == (0, 1)
     return merge(streams.read_partials(spark, str(tmp_path / "out"), schema))
