@@ -11,33 +11,58 @@ from pyspark.sql import functions as F
 from oddsframe import dims
 
 _CJK = "\\u4e00-\\u9fff"
-# Scripts whose characters are taken apart: Latin to symbols, CJK compatibility, ligatures, full width.
-_RANGES = ((0x80, 0x2500), (0x3000, 0x3001), (0xF900, 0xFB07), (0xFF00, 0xFFF0))
+# Blocks with compatibility forms: Latin to symbols, enclosed and square CJK, CJK compatibility, ligatures, full width,
+# and beyond the first plane mathematical letters, enclosed letters and CJK compatibility.
+_RANGES = ((0x80, 0x3400), (0xA640, 0xAC00), (0xF900, 0x10000), (0x10780, 0x107C0), (0x11080, 0x110B0), (0x1CCD6, 0x1CCFA), (0x1D400, 0x1D800), (0x1E030, 0x1E070), (0x1EE00, 0x1EF00), (0x1F100, 0x1F260), (0x1FBF0, 0x1FBFA), (0x2F800, 0x2FA20))
 
 
 @lru_cache(maxsize=None)
 def _compatible(marks: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Characters and the one character each stands for, and those that stand for several, by Unicode rules.
 
-    With `marks`, compatibility forms only (NFKC); without, letters lose their marks as well (NFKD).
+    With `marks`, compatibility forms only (NFKC); without, letters lose their marks as well (NFKD).  Hangul syllables
+    are left whole, and their parts are not joined.
     """
-    single, several = {}, {}
-    for c in (chr(n) for a, b in _RANGES for n in range(a, b)):
+    single, several, lost = {}, {}, []
+    for c in (chr(n) for a, b in _RANGES for n in range(a, b) if not 0xD800 <= n < 0xE000):
         plain = unicodedata.normalize("NFKC" if marks else "NFKD", c)
         if not marks:
             plain = "".join(x for x in plain if unicodedata.category(x) != "Mn").lower()
-        if plain != c and plain.strip() == plain and any(x.isalnum() or x in "()" for x in plain) or c == "\u3000":
+        known = c.isalnum() or c == "\u3000" or unicodedata.category(c) == "Mn"
+        if not plain:
+            lost.append(c)
+        elif plain != c and (known or any(x.isalnum() or x in "()" for x in plain)):
             (single if len(plain) == 1 else several)[c] = plain
-    return "".join(single), "".join(single.values()), tuple(several.items())
+    return "".join([*single, *lost]), "".join(single.values()), tuple(several.items())  # the last have no counterpart: they go
+
+
+@lru_cache(maxsize=None)
+def _composed() -> tuple[tuple[str, str], ...]:
+    """A letter with a mark behind it, and the one character of both; those that more marks build on come first."""
+    pairs = {}
+    for n in range(0xC0, 0x3100):
+        parts = unicodedata.normalize("NFD", chr(n))
+        base = unicodedata.normalize("NFC", parts[:-1])
+        if len(parts) > 1 and len(base) == 1 and unicodedata.normalize("NFC", parts) == chr(n):
+            pairs[base + parts[-1]] = chr(n)
+    return tuple(sorted(pairs.items(), key=lambda p: len(unicodedata.normalize("NFD", p[1]))))
+
+
+def _replaced(col: Column, pairs: tuple[tuple[str, str], ...], where: Column) -> Column:
+    """The pairs replaced one after the other, in the few rows that hold any."""
+    known = _texts(a + "\x1e" + b for a, b in pairs)
+    spelled = F.aggregate(known, col, lambda t, p: F.replace(t, F.substring_index(p, "\x1e", 1), F.substring_index(p, "\x1e", -1)))
+    return F.when(where, spelled).otherwise(col)
 
 
 def _folded(col: Column, marks: bool) -> Column:
-    """Compatibility forms replaced; rows of plain ASCII are left alone."""
+    """Compatibility forms replaced, and with `marks` letters joined with their marks; plain ASCII is left alone."""
     old, new, several = _compatible(marks)
-    pairs = F.expr("array(" + ", ".join(f"named_struct('a', '{a}', 'b', '{b}')" for a, b in several) + ")")
-    hit = "[" + "".join(a for a, _ in several) + "]"
-    spelled = F.when(col.rlike(hit), F.aggregate(pairs, col, lambda t, p: F.replace(t, p["a"], p["b"]))).otherwise(col)
-    return F.when(col.rlike("[^\\x00-\\x7F]"), F.translate(spelled, old, new)).otherwise(col)
+    folded = F.translate(_replaced(col, several, col.rlike("[" + "".join(a for a, _ in several) + "]")), old, new)
+    if marks:
+        behind = "[" + "".join(sorted({pair[-1] for pair, _ in _composed()})) + "]"
+        folded = let(folded, lambda t: _replaced(t, _composed(), t.rlike(behind)))
+    return F.when(col.rlike("[^\\x00-\\x7F]"), folded).otherwise(col)
 
 
 def text(col) -> Column:

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from oddsframe import dims
 from oddsframe.functions.odds import section_key
 from oddsframe.functions.text import text, token_estimate
+from oddsframe.operators.ordered import numbered
 from oddsframe.operators.quotes import pick_first
 
 MISSING = "未指定"  # marker for a missing value in rendered documents
@@ -25,8 +25,7 @@ def _have(df: DataFrame, names: list[str]) -> list[str]:
 
 def budget_rows(rows: DataFrame, payload: list[str], order: list[str], max_rows: int | None = None) -> DataFrame:
     """`row_no` from 1 in each payload, and `payload_no`: rows over the budget go to further payloads."""
-    number = F.row_number().over(W.partitionBy(*payload).orderBy(*order))
-    out = rows.withColumn("row_no", number)
+    out = numbered(rows, payload, order, "row_no")
     part = F.floor((F.col("row_no") - 1) / max_rows) if max_rows else F.lit(0)
     return out.withColumn("payload_no", part.cast("long"))
 
@@ -71,13 +70,10 @@ def match_documents(rows: DataFrame, payload: list[str], order: list[str], max_r
 def per_match_chunks(docs: DataFrame, payload: list[str]) -> DataFrame:
     """One chunk per document: position, total and title."""
     payload = [*payload, "payload_no"]
-    w = W.partitionBy(*payload)
     teams = F.concat_ws(" vs ", *[F.nullif(F.col(c), F.lit("")) for c in ("home", "away") if c in docs.columns])
     title = F.concat_ws(" · ", F.nullif(F.col("league"), F.lit("")), F.nullif(teams, F.lit("")))
-    return docs.withColumns(
+    return numbered(docs, payload, ["first_row"], "chunk_index", "chunk_total").withColumns(
         {
-            "chunk_index": F.row_number().over(w.orderBy("first_row")),
-            "chunk_total": F.count(F.lit(1)).over(w),
             "match_title": F.coalesce(F.nullif(title, F.lit("")), F.col("match_id")),
             "workflow": F.lit("chunk_match_scan"),
         }
@@ -96,16 +92,9 @@ def pool_chunks(hits: DataFrame, payload: list[str], order: list[str], max_rows:
     kept = budget_rows(hits.withColumn("chunk_id", pool_chunk_id(hits)), payload, order, max_rows)
     payload = [*payload, "payload_no"]
     entry = F.struct("row_no", F.struct(*hits.columns).alias("r"))
-    out = kept.groupBy(*payload, "chunk_id").agg(F.sort_array(F.collect_list(entry)).alias("_l"))
-    w = W.partitionBy(*payload)
-    out = out.withColumns(
-        {
-            "rows": F.transform("_l", lambda x: x["r"]),
-            "chunk_index": F.row_number().over(w.orderBy(F.col("_l")[0]["row_no"])),
-            "chunk_total": F.count(F.lit(1)).over(w),
-        }
-    )
-    return out.drop("_l")
+    lists = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["r"]).alias("rows")
+    out = kept.groupBy(*payload, "chunk_id").agg(F.min("row_no").alias("_first"), lists)
+    return numbered(out, payload, ["_first"], "chunk_index", "chunk_total").drop("_first")
 
 
 def squad(players: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from oddsframe.session import written
+
 
 def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on keys of which NULL equals NULL; the columns of `df`, then the rest of `other`."""
@@ -38,3 +40,19 @@ def previous_row(df: DataFrame, keys: list[str], block: Column, order: list[str]
     before = F.lag("_last").over(W.partitionBy(*keys).orderBy("_b"))
     joined = join_null_safe(rows.withColumn("_in", inside), last.select(*keys, "_b", before.alias("_before")), [*keys, "_b"])
     return joined.select(*df.columns, F.coalesce("_in", "_before").alias("prev"))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """`name`: place of a row in its key by `order`, from 1; `total`: rows of the key.
+
+    Rows are range-partitioned and sorted by (key, order) and written once, so a key spreads over as many tasks as its
+    rows need; a key's rows per partition, a row each, give where the partition's first row stands.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    dealt = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33))
+    runs = dealt.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*keys, "_part", (before - F.col("_first") + 1).alias("_shift"), F.sum("_rows").over(W.partitionBy(*keys)).alias("_total"))
+    out = join_null_safe(dealt, runs, [*keys, "_part"])
+    return out.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name), *([F.col("_total").alias(total)] if total else []))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from oddsframe.operators import cache, features, link, pools, quotes, select
+from oddsframe.operators import cache, documents, features, link, ordered, pools, quotes, select
 from oddsframe.operators.ordered import previous_row
 from oddsframe.plans import load_all
 from oddsframe.plans.registry import QUERIES
@@ -189,3 +189,21 @@ def test_scan_reads_only_needed_columns_and_filters(spark):
     assert "PushedFilters" in text and "l_linestatus" in text
     schema = text.split("ReadSchema: ")[1].split(">")[0]
     assert "l_extendedprice" not in schema
+
+
+def test_a_hot_payload_is_numbered_over_many_tasks(spark, rows, monkeypatch):
+    kept, write = [], ordered.written
+    monkeypatch.setattr(ordered, "written", lambda df, name: kept.append(write(df, name)) or kept[-1])
+    data = [(("hot", None, "x")[0 if k % 3 else 1 + k % 2], k // 2, k, "m%d" % (k % 50)) for k in range(3000)]
+    df = rows(data, "payload string, a long, b long, match_id string").repartition(5)
+    got = ordered.numbered(df, ["payload"], ["a", "b"], "n", "total")
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["payload"], []).append(r)
+    for payload, own in by.items():
+        own.sort(key=lambda r: (r["a"], r["b"]))
+        assert [r["n"] for r in own] == list(range(1, len(own) + 1)) and {r["total"] for r in own} == {len(own)}
+    # two thirds of all rows share a payload, and were sorted and numbered in several tasks
+    assert kept[0].where("payload = 'hot'").select(F.shiftright("_at", 33)).distinct().count() >= int(spark.conf.get("spark.sql.shuffle.partitions")) // 2
+    text = plan(documents.budget_rows(df, ["payload"], ["a", "b"], 100))
+    assert "row_number" not in text and "Window" in text  # the window adds up the rows of partitions alone
