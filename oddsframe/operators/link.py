@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from oddsframe.functions import text as T
 from oddsframe.functions.times import time_score
 from oddsframe.operators.candidates import reachable
+from oddsframe.session import written
 
 ENTRIES_PER_PACK = 1_000
 MATCHES_PER_SALT = 2_000
@@ -228,26 +229,24 @@ def _substrings(name: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(name, i, F.lit(n))))
 
 
-def _name_pieces(sides: DataFrame) -> DataFrame:
-    """Sides (batch keys, who, n, t) with `words`, rarest first, and `grams`, their runs of three letters, rarest first.
-
-    Rarity is counted over the batch, on both sources, from names that stand there once each.
-    """
-    runs = F.when(F.length("n") >= 3, _substrings(F.col("n"), 3)).otherwise(F.array("n"))
-    pieces = sides.withColumn("pieces", F.concat(F.transform("t", lambda w: F.concat(F.lit("w"), w)), F.transform(runs, lambda g: F.concat(F.lit("g"), g))))
-    each = pieces.select("batch", "n", "t", F.explode("pieces").alias("piece")).distinct()
-    counts = each.groupBy("batch", "piece").agg(F.count(F.lit(1)).alias("rarity"))
-    ranked = each.join(counts, ["batch", "piece"]).groupBy("batch", "n", "t").agg(F.sort_array(F.collect_list(F.struct("rarity", "piece"))).alias("ranked"))
-    kind = lambda sign: F.transform(F.filter("ranked", lambda p: F.startswith(p["piece"], F.lit(sign))), lambda p: p["piece"])
-    names = ranked.select("batch", "n", "t", kind("w").alias("words"), kind("g").alias("grams"))
-    return sides.join(names, ["batch", "n", "t"])
+def _ranked_words(sides: DataFrame) -> DataFrame:
+    """Sides (batch, n, t, ...) with `words`, rarest in the batch first, and whether the batch has names below three letters."""
+    names = sides.select("batch", "n", "t").distinct()
+    each = names.select("batch", "n", "t", F.explode("t").alias("word"))
+    counts = each.groupBy("batch", "word").agg(F.count(F.lit(1)).alias("rarity"))
+    ranked = each.join(counts, ["batch", "word"]).groupBy("batch", "n", "t").agg(F.sort_array(F.collect_list(F.struct("rarity", "word"))).alias("ranked"))
+    tiny = names.where(F.length("n") < 3).select("batch", F.lit(True).alias("tiny")).distinct()
+    out = sides.join(ranked, ["batch", "n", "t"], "left").join(tiny, "batch", "left")
+    words = F.coalesce(F.transform("ranked", lambda p: p["word"]), F.array().cast("array<string>"))
+    return out.withColumns({"words": words, "tiny": F.coalesce("tiny", F.lit(False))}).drop("ranked")
 
 
 def fixture_candidates(matches: DataFrame, fixtures: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
     """Distinct (keys, match_id, id) of which a side's names may score `threshold` or more.
 
-    Equal and contained names meet by a run of letters: the rarest one of the shorter name stands in the longer.  Others
-    meet by a word: of n words at least ceil(threshold * n) must be shared, so one of the rarest n - that + 1 is.
+    Equal and contained names meet by a run of letters: the first three of the shorter name's rarest word (or of the name)
+    stand in the longer.  Others meet by a word: of n words at least ceil(threshold * n) must be shared, so one of the
+    rarest n - that + 1 is.
     """
     def sides(df, names, who, other):
         keyed = df.select(F.struct(*keys).alias("batch"), F.col(who).alias("who"), F.explode(_fixture_keys(df, names)).alias("k"))
@@ -257,19 +256,19 @@ def fixture_candidates(matches: DataFrame, fixtures: DataFrame, threshold: float
     kind = fixtures.schema["fixture_id"].dataType
     left = sides(matches.withColumn("who", F.struct(F.col("match_id"), F.lit(None).cast(kind).alias("id"))), ["home", "home_s", "home_t", "away", "away_s", "away_t"], "who", False)
     right = sides(fixtures.withColumn("who", F.struct(F.lit(None).cast(matches.schema["match_id"].dataType).alias("match_id"), F.col("fixture_id").alias("id"))), ["home", "away"], "who", True)
-    named = _name_pieces(left.unionByName(right))
+    named = _ranked_words(left.unionByName(right))
     n = F.size("words")
-    prefix = F.slice("words", 1, F.greatest(n - F.ceil(n * F.lit(threshold - 1e-9)).cast("int") + 1, F.lit(0)))
-    named = named.withColumns({"prefix": prefix, "rarest": F.slice("grams", 1, 1), "all": F.concat("grams", F.transform(F.concat(_substrings(F.col("n"), 1), _substrings(F.col("n"), 2)), lambda g: F.concat(F.lit("g"), g)))})
-    m, f = named.where("not fixture"), named.where("fixture")
-
-    def joined(a, b):
-        a = m.select("batch", "who.match_id", F.explode(F.array_distinct(a)).alias("piece")).distinct()
-        b = f.select("batch", "who.id", F.explode(F.array_distinct(b)).alias("piece")).distinct()
-        return a.join(b, ["batch", "piece"]).select("batch.*", "match_id", "id")
-
-    found = joined(F.col("prefix"), F.col("prefix")).union(joined(F.col("rarest"), F.col("all"))).union(joined(F.col("all"), F.col("rarest")))
-    return found.distinct()
+    prefix = F.transform(F.slice("words", 1, F.greatest(n - F.ceil(n * F.lit(threshold - 1e-9)).cast("int") + 1, F.lit(0))), lambda w: F.concat(F.lit("w"), w))
+    rarest = F.array(F.substring(F.coalesce(F.get("words", F.lit(0)), F.col("n")), 1, 3))
+    short = F.when(F.col("tiny"), F.concat(_substrings(F.col("n"), 1), _substrings(F.col("n"), 2))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(_substrings(F.col("n"), 3), short)
+    signed = lambda sign, pieces: F.transform(pieces, lambda p: F.concat(F.lit(sign), p))
+    # `<`: the match's name is the shorter one, `>`: the fixture's is
+    keys_of = F.when(F.col("fixture"), F.concat(prefix, signed("<", every), signed(">", rarest))).otherwise(F.concat(prefix, signed("<", rarest), signed(">", every)))
+    named = written(named.select("batch", "who", "fixture", F.array_distinct(keys_of).alias("pieces")), "names")
+    a = named.where("not fixture").select("batch", "who.match_id", F.explode("pieces").alias("piece"))
+    b = named.where("fixture").select("batch", "who.id", F.explode("pieces").alias("piece"))
+    return a.join(b, ["batch", "piece"]).select("batch.*", "match_id", "id").distinct()
 
 
 def link_fixtures(matches: DataFrame, fixtures: DataFrame, threshold: float = 0.58, keys: tuple[str, ...] = ("batch_id",)) -> DataFrame:
