@@ -34,8 +34,8 @@ def return_memory() -> None:
     """
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
-        libc.mallopt(-3, 1 << 18)  # arrays from 256 KB on have pages of their own
-        libc.mallopt(-1, 1 << 20)
+        libc.mallopt(-3, 4 << 20)  # arrays from 4 MB on have pages of their own
+        libc.mallopt(-1, 16 << 20)
     pa.default_memory_pool().release_unused()
 
 

@@ -8,7 +8,8 @@ induced sorting and finds from common prefixes which windows occurred earlier.
 texts is settled there, byte by byte, so a passage in a third of all texts reaches its shard once per batch.  Where
 repeated anchors are found, their different stretches are counted too: an anchor whose stretches could fill a good part
 of a sort, as it stands in ever different text, is split up, and its windows go by their own bytes, again only those
-that occur twice.  Which anchors repeat and which are split is kept in tables and meets each document by a join.
+that occur twice.  Which anchors repeat is kept in a table and meets each document by a join, and so do those that are
+split, unless they are few by count.
 
 Null texts count as empty.  Earlier means smaller id (a null id comes last), then digest of the text, then start;
 rows equal in id and text are one document and get the same result.  Texts shorter than a window lose nothing.
@@ -39,6 +40,7 @@ SHARD_BYTES = 8_000_000  # text whose stretches share a shard
 SORT_BYTES = 1_500_000  # stretches sorted at once
 STRETCH = 2 * WINDOW - GRAM  # bytes of a stretch at most
 HOT_SHARE, HOT_ROWS = 0.5, 100  # split up: an anchor whose stretches may fill this share of a sort, and are more than so many
+MOST_HOT = 200_000  # hot anchors up to which their codes (8 bytes each) go to every task
 NONE = np.zeros(0, np.uint64)
 
 
@@ -144,9 +146,10 @@ def _lists(codes: np.ndarray, cut: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[cut, len(codes)].astype(np.int32)), pa.array(codes.view(np.int64)))
 
 
-def repeated(docs: DataFrame, buckets: int, split: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, buckets: int, split: bool = False, few: np.ndarray = NONE) -> DataFrame:
     """(k1, k2, codes): the anchors of each document that occur more than once in all texts, or the windows below its
-    anchors in `hot` where `split`; rows without codes list in `hot` anchors whose stretches are too many for one sort.
+    hot anchors where `split` (`few`, or the document's own `hot`); rows without codes list in `hot` anchors whose
+    stretches are too many for one sort.
 
     A batch sends each of its anchors to the anchor's bucket once, with how many different stretches it has.
     """
@@ -157,7 +160,7 @@ def repeated(docs: DataFrame, buckets: int, split: bool = False) -> DataFrame:
         for part in batches:
             return_memory()
             k1, k2 = _ids(part)
-            found = runs(*utf8(part.column("text")), _listed(part.column("hot")) if split else NONE)
+            found = runs(*utf8(part.column("text")), _listed(part.column("hot")) if split and not len(few) else few)
             if split:
                 found = {name: column[found["single"]] for name, column in found.items()}
             anchor, text = found["anchor"], found["text"]
@@ -213,24 +216,28 @@ def repeated(docs: DataFrame, buckets: int, split: bool = False) -> DataFrame:
         extra = pa.table([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, codes.type), _lists(hot, np.zeros(1, np.int64))], names=rows.column_names)
         return pa.concat_tables([rows, extra]) if len(hot) else rows
 
-    columns = ["k1", "k2", "text", *(["hot"] if split else [])]
+    columns = ["k1", "k2", "text", *(["hot"] if split and not len(few) else [])]
     sent = docs.select(*columns).mapInArrow(send, "part int, bucket long, k1 binary, k2 binary, counts binary, anchors binary, many binary")
     return sent.repartitionById(parts, "part").groupBy("part", "bucket").applyInArrow(match, "k1 long, k2 long, codes array<long>, hot array<long>")
 
 
-def marked(docs: DataFrame, buckets: int) -> DataFrame:
-    """`docs` that hold repeated anchors, with `codes` of those and, of anchors that are split, `hot`."""
+def marked(docs: DataFrame, buckets: int) -> tuple[DataFrame, np.ndarray]:
+    """`docs` that hold repeated anchors, with `codes` of those and, of anchors that are split, `hot`, or few for all."""
     found = keep(repeated(docs, buckets), "anchors")
     own = found.where("codes is not null").select("k1", "k2", "codes", "hot")
     hot = found.where("hot is not null").select(F.explode("hot").alias("code")).distinct()
+    many = hot.limit(MOST_HOT + 1).count()
+    few = np.unique(np.array([r["code"] for r in hot.collect()], np.int64).view(np.uint64)) if many <= MOST_HOT else NONE
     parts = [own]
-    if not hot.isEmpty():
+    if len(few):
+        parts.append(repeated(docs, buckets, split=True, few=few))
+    elif many:
         held = own.select("k1", "k2", F.explode("codes").alias("code")).join(hot, "code")
         held = keep(held.groupBy("k1", "k2").agg(F.collect_set("code").alias("hot")), "split")
         windows = repeated(docs.join(held, ["k1", "k2"]), buckets, split=True)
         parts += [held.select("k1", "k2", F.lit(None).cast("array<long>").alias("codes"), "hot"), windows]
     marks = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("codes", "hot")])
-    return docs.join(marks, ["k1", "k2"])
+    return docs.join(marks, ["k1", "k2"]), few
 
 
 def _alike(raw: memoryview, turn: np.ndarray, first: np.ndarray, last: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -241,12 +248,12 @@ def _alike(raw: memoryview, turn: np.ndarray, first: np.ndarray, last: np.ndarra
     return same
 
 
-def _stretches(part: pa.RecordBatch) -> tuple[tuple, tuple]:
+def _stretches(part: pa.RecordBatch, few: np.ndarray = NONE) -> tuple[tuple, tuple]:
     """What the repeated anchors of a batch cover: spans settled here, and stretches for the shards."""
     k1, k2, late = (part.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2", "late"))
     data, starts = utf8(part.column("text"))
     raw = data.tobytes()
-    found = runs(data, starts, _listed(part.column("hot")))
+    found = runs(data, starts, few if len(few) else _listed(part.column("hot")))
     hit = np.isin(_code(found["anchor"]), _listed(part.column("codes")))
     text, first, last, anchor, under = (found[c][hit] for c in ("text", "first", "last", "anchor", "under"))
     turn = np.lexsort((first, k2[text], k1[text], late[text], under, last - first, anchor))
@@ -303,11 +310,12 @@ def _shard_repeats(late: np.ndarray, k1: np.ndarray, k2: np.ndarray, first: np.n
 def sent_stretches(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
     """What goes to the shards: stretches by anchor, and spans that are settled already (without a stretch)."""
     parts = tasks(docs.sparkSession, shards)
+    held, few = marked(docs, buckets)
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             return_memory()
-            (a1, a2, start, end), (anchor, k1, k2, late, first, bytes_) = _stretches(part)
+            (a1, a2, start, end), (anchor, k1, k2, late, first, bytes_) = _stretches(part, few)
             n, m = len(a1), len(k1)
             shard = np.r_[(a2.astype(np.int64) % shards), (mix(anchor) % np.uint64(shards)).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([
@@ -315,7 +323,7 @@ def sent_stretches(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
                 pa.array(np.r_[np.zeros(n, bool), late.astype(bool)]), pa.array(np.r_[start, first]), pa.array(np.r_[end, np.zeros(m, np.int64)]), pa.concat_arrays([pa.nulls(n, pa.binary()), bytes_]),
             ], names=["part", "shard", "anchor", "k1", "k2", "late", "start", "end", "stretch"])
 
-    return marked(docs, buckets).mapInArrow(stretch, "part int, shard long, anchor long, k1 long, k2 long, late boolean, start long, end long, stretch binary")
+    return held.mapInArrow(stretch, "part int, shard long, anchor long, k1 long, k2 long, late boolean, start long, end long, stretch binary")
 
 
 def spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

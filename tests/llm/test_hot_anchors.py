@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from oddsframe.llm import suffixes
@@ -11,7 +12,9 @@ from tests.llm import brute
 LINE = "a common line that stands in every text of this table, and is yet shorter than a window"
 
 
-def test_a_frequent_anchor_is_split_at_any_table_size(spark, monkeypatch):
+@pytest.mark.parametrize("most_hot", [200_000, 0])  # hot anchors sent to all tasks, or joined
+def test_a_frequent_anchor_is_split_at_any_table_size(spark, monkeypatch, most_hot):
+    monkeypatch.setattr(suffixes, "MOST_HOT", most_hot)
     rng = np.random.default_rng(5)
     word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
     tails = [word(60) for _ in range(7)]
