@@ -20,7 +20,7 @@ from oddsframe.plans.q_select import BATCH
 from oddsframe.plans.registry import query
 from oddsframe.plans.sqltext import KEYED
 from oddsframe.session import checkpoint_root
-from oddsframe.sources import pages, sinks
+from oddsframe.sources import pages, scripts, sinks
 from oddsframe.streaming import keyed
 from oddsframe.streaming import streams as T
 
@@ -182,6 +182,50 @@ def raw_pages(spark, sf):
     return T.read_partials(spark, f"{path}/data", rows.schema)
 
 
+@query(
+    "s1_read_page_files",
+    """select s_suppkey page_id, case s_suppkey % 5 when 0 then 'error_page' when 1 then 'empty' when 2 then 'unparsed' end reason,
+    case when s_suppkey % 5 > 2 then cast(s_suppkey as varchar) end match_id, case when s_suppkey % 5 > 2 then 'H' || s_nationkey end home from supplier""",
+)
+def page_files(spark, sf):
+    """Script pages kept as files of their own, read as binary files; what can't be parsed goes to the dead letters."""
+    path, k, i = _folder(spark, "files"), F.col("s_suppkey") % 5, F.col("s_suppkey").cast("string")
+    fields = F.concat(i, F.lit("^c^L^L^^h^H"), F.col("s_nationkey").cast("string"), F.lit("^^a^A^^22:00^d^0^1^2"))
+    script = F.concat(F.lit("A["), i, F.lit(']="'), fields, F.lit("\".split('^');"))
+    made = F.when(k == 0, "<p>500 - Internal server error</p>").when(k == 1, " ").when(k == 2, "var A=[];").otherwise(script)
+    table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), made.alias("value")).write.partitionBy("page_id").text(f"{path}/in")
+    files = pages.read_page_files(spark, f"{path}/in", "part-*").withColumn("content_type", F.lit(None).cast("string"))
+    decoded = pages.decode_pages(files).select(F.col("page_id").cast("long").alias("page_id"), F.col("text").alias("body"))
+    good, dead = pages.split_pages(pages.triage(decoded, scripts.is_live_list(F.col("body")), "body"), f"{path}/split")
+    parsed = scripts.parse_live_list(good).select("page_id", F.lit(None).cast("string").alias("reason"), "match_id", "home")
+    return parsed.unionByName(dead.select("page_id", "reason"), allowMissingColumns=True)
+
+
+_AT = "2024-01-30 12:00:00"
+
+
+@query(
+    "t6_stream_stale",
+    f"""with s as (select cast(user_id as varchar) match_id, ts, event_id from events where event_type <> 'error' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)
+    select c_custkey request_id, s.event_id, s.ts saved_at, s.match_id is not null served, s.ts < timestamp '{_AT}' - interval 6 hour stale,
+    coalesce(greatest(event_id % 101, 100 - event_id % 101) >= 80, false) hot from customer left join s on s.match_id = cast(c_custkey % 200 as varchar)""",
+)
+def served(spark, sf):
+    """One stream keeps the last good capture of each match, another answers requests from it."""
+    out, share = _folder(spark, "served"), (F.col("event_id") % 101).cast("int")
+    captures = _stream(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("match_id"), F.col("ts").alias("saved_at"), "event_id", (F.col("event_type") != "error").alias("ok"),
+        share.alias("asian_home_percent"), (100 - share).alias("asian_away_percent"), share.alias("over_percent"), (100 - share).alias("under_percent"),
+    )
+    T.stream_last_good(captures, f"{out}/good", f"{out}/good-state").awaitTermination()
+    requests = _stream(spark, sf, "customer").select(
+        F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 200).cast("string").alias("match_id"), F.lit(_AT).cast("timestamp_ntz").alias("at")
+    )
+    T.stream_serve(requests, f"{out}/good", captures.schema, f"{out}/answers", f"{out}/state", 6, 80).awaitTermination()
+    schema = "request_id long, event_id long, saved_at timestamp_ntz, served boolean, stale boolean, hot boolean"
+    return T.read_partials(spark, f"{out}/answers", schema)
+
+
 _EXPORT = f"with {ctes('fx_quotes', 'fx_matches')} select k.match_id \"matchId\", coalesce(league, '') league, coalesce(cast(kickoff_ts as varchar), '') \"kickoffTime\", coalesce(home, '') home, coalesce(away, '') away, market, case when market = 'europe' then 'full' else period end as \"period\", case when market <> 'europe' then case when is_multi_line then '1' else '0' end else '' end \"isMultiLine\", coalesce(cast(case when market = 'asian' then ini_a end as varchar), '') \"initialHomeOdds\", coalesce(cast(case when market = 'asian' then cur_line end as varchar), '') \"currentHandicapValue\", coalesce(cast(case when market = 'over_under' then cur_a end as varchar), '') \"currentOverOdds\", coalesce(cast(case when market = 'europe' then cur_draw end as varchar), '') \"currentDraw\", coalesce(case when market = 'europe' then cast(changed_at as varchar) end, '') \"changedAt\", company_id \"companyId\", case when market <> 'europe' then case when is_closed then '1' else '0' end else '' end \"isClosed\" from fx_quotes k left join fx_matches m on m.match_id = k.match_id"
 _EXPORTED = [
     "matchId", "league", "kickoffTime", "home", "away", "market", "period", "companyId", "isClosed", "isMultiLine", "initialHomeOdds",

@@ -23,10 +23,41 @@ def read_raw_pages(spark: SparkSession, path: str, streaming: bool = False, file
     return spark.read.schema(RAW_PAGE).parquet(path)
 
 
-def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """Captures kept as plain files: one row per file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("url"), F.col("modificationTime").alias("fetched_at"), F.col("content").alias("body"))
+def read_page_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Captures kept as plain files: one row per file, with the partition columns of their folders.
+
+    `pattern` is a glob over file names; other files are left out when the folders are listed.  Spark's listing
+    also leaves out files without a single byte: they give no row, so they are no dead letters either.
+    """
+    reader = spark.read.format("binaryFile")
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    own = ["path", "modificationTime", "length", "content"]
+    return files.select(
+        *[c for c in files.columns if c not in own],
+        F.col("path").alias("url"), F.col("modificationTime").alias("fetched_at"), F.col("content").alias("body"),
+    )
+
+
+def triage(df: DataFrame, found: Column, body: str = "text") -> DataFrame:
+    """`reason` why a page can't be parsed: empty, error_page or unparsed; NULL where `found` holds.
+
+    `found` tells whether the page has what its parser looks for; NULL counts as not found.
+    """
+    page = F.col(body)
+    return df.withColumn(
+        "reason",
+        F.when(~F.coalesce(page, F.lit("")).rlike(r"\S"), F.lit("empty"))
+        .when(is_error_page(page), F.lit("error_page"))
+        .when(~F.coalesce(found, F.lit(False)), F.lit("unparsed")),
+    )
+
+
+def split_pages(triaged: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Pages to parse and the dead letters with their reason; written once, each page in one of the two."""
+    triaged.withColumn("dead", F.col("reason").isNotNull()).write.partitionBy("dead").parquet(path)
+    schema = triaged.schema.add("dead", "boolean")
+    both = triaged.sparkSession.read.schema(schema).parquet(path)
+    return both.where(~F.col("dead")).drop("dead", "reason"), both.where("dead").drop("dead")
 
 
 # Characters typical of UTF-8 text read as GB18030 (fixed values).

@@ -26,10 +26,17 @@ def _either(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(a, F.lit("")), b)
 
 
+_LIVE = r"(?s)A\[\d+]\s*=\s*\".*?\"\.split\('\^'\);"
+
+
+def is_live_list(body: Column) -> Column:
+    """Whether a page has a match for `parse_live_list`."""
+    return body.rlike(_LIVE)
+
+
 def parse_live_list(df: DataFrame) -> DataFrame:
     """One match per `A[n]="...".split('^');` block; traditional names first."""
-    pattern = r"(?s)A\[\d+]\s*=\s*\".*?\"\.split\('\^'\);"
-    blocks = spread(df, _kept(df), F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), "_b")
+    blocks = spread(df, _kept(df), F.regexp_extract_all("body", F.lit(_LIVE), F.lit(0)), "_b")
     inner = r"(?s)A\[(\d+)]\s*=\s*\"(.*)\"\.split"
     rows = blocks.withColumns(
         {

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from oddsframe.functions.text import text
-from oddsframe.operators.cache import TTL_HOURS, latest_results, live_entries
+from oddsframe.operators.cache import STALE_HOURS, TTL_HOURS, latest_results, live_entries, stale_flag
 from oddsframe.operators.quotes import pick_last
 
 TICK_KEYS = ["match_id", "bookmaker_key"]
@@ -211,3 +211,33 @@ def compact_cache(spark: SparkSession, path: str, schema, now: Column) -> None:
 def read_cache(spark: SparkSession, path: str, schema, now: Column) -> DataFrame:
     """Live entry per match."""
     return merge_cache(live_entries(read_partials(spark, path, schema), now))
+
+
+def newest_good(captures: DataFrame) -> DataFrame:
+    """Newest capture per match of those that are `ok`; a later event wins equal times.  Merges its own output."""
+    return pick_last(captures.where(F.coalesce(F.col("ok"), F.lit(False))), ["match_id"], [F.col("saved_at"), F.col("event_id")])
+
+
+def stream_last_good(captures: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep the last good capture of each match; a failed one never replaces it."""
+    return write_partials(captures, newest_good, path, checkpoint, once)
+
+
+def stream_serve(
+    requests: DataFrame, snapshots: str, schema, path: str, checkpoint: str,
+    ttl_hours: float = STALE_HOURS, threshold: int = 70, once: bool = True,
+) -> StreamingQuery:
+    """Answer each request (match_id, at, ...) with the last good capture of its match as of the micro-batch.
+
+    The snapshot is read anew for every micro-batch, so a request sees what the capture stream has finished by
+    then.  A request of a match without a good capture, or without a match, comes out with `served` false.
+    """
+    spark = requests.sparkSession
+
+    def answer(batch: DataFrame) -> DataFrame:
+        good = newest_good(read_partials(spark, snapshots, schema)).withColumnRenamed("match_id", "_match")
+        found = batch.join(good, batch["match_id"] == good["_match"], "left")
+        flagged = stale_flag(found, F.col("at"), ttl_hours, threshold)
+        return flagged.withColumn("served", F.col("_match").isNotNull()).drop("_match")
+
+    return write_partials(requests, answer, path, checkpoint, once)

@@ -1,5 +1,6 @@
 """Safe reads beside a compaction, and keyed state against batch after late rows, a restart and expiry."""
 
+import datetime as dt
 import os
 
 import pytest
@@ -96,3 +97,47 @@ def test_state_of_prices_that_no_longer_move_is_dropped(spark, rows, tmp_path):
     assert max(s["numRowsTotal"] for s in state) <= 3 * 4  # value and timer of a few matches, not of all
     rows_ = keyed.latest_values(streams.read_partials(spark, str(tmp_path / "out"), keyed.MOVES)).collect()
     assert len(rows_) == 16 and sum(r["closed"] for r in rows_) >= 10
+
+
+CAPTURES = "match_id string, saved_at timestamp_ntz, event_id long, ok boolean, asian_home_percent int, asian_away_percent int, over_percent int, under_percent int"
+
+
+def test_requests_see_the_last_good_capture_of_their_micro_batch(spark, rows, tmp_path):
+    at = lambda hour: dt.datetime(2024, 1, 1, hour)
+    good, asks, answers = (str(tmp_path / n) for n in ("good", "asks", "answers"))
+
+    def capture(*data):
+        rows([(m, at(h), e, ok, p, 100 - p, 50, 50) for m, h, e, ok, p in data], CAPTURES).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.read_stream(spark, str(tmp_path / "in"), CAPTURES)
+        streams.stream_last_good(stream, good, str(tmp_path / "good-state")).awaitTermination()
+
+    def ask(*data):
+        rows([(i, m, at(h)) for i, m, h in data], "id int, match_id string, at timestamp_ntz").coalesce(1).write.mode("append").parquet(asks)
+        stream = streams.read_stream(spark, asks, "id int, match_id string, at timestamp_ntz")
+        streams.stream_serve(stream, good, rows([], CAPTURES).schema, answers, str(tmp_path / "state")).awaitTermination()
+
+    capture(("a", 1, 1, True, 60), ("a", 2, 2, False, 99), ("b", 3, 3, None, 80), (None, 3, 4, True, 80))
+    ask((1, "a", 6), (2, "b", 6), (3, None, 6))
+    capture(("a", 1, 5, True, 75), ("b", 0, 6, True, 70))  # equal times: the later event; an older time for b is still its only good one
+    ask((4, "a", 8), (5, "b", 6))
+    capture(("a", 7, 7, False, 10))  # a failed capture changes nothing
+    ask((6, "a", 7), (7, "a", 8))
+    out = streams.read_partials(spark, answers, "id int, served boolean, event_id long, stale boolean, hot boolean")
+    assert {r[0]: tuple(r[1:]) for r in out.collect()} == {
+        1: (True, 1, False, False), 2: (False, None, None, False), 3: (False, None, None, False),
+        4: (True, 5, True, True), 5: (True, 6, False, True), 6: (True, 5, False, True), 7: (True, 5, True, True),
+    }
+
+
+def test_streamed_answers_equal_batch(spark, rows, tmp_path):
+    """Over many small micro-batches with late captures, as one batch over all of them."""
+    data = [(f"m{k % 7}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=(k * 37) % 600), k, k % 3 > 0, k % 101, 100 - k % 101, 50, 50) for k in range(90)]
+    for n in range(3):
+        rows(data[n::3], CAPTURES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    captures = streams.read_stream(spark, str(tmp_path / "in"), CAPTURES, files_per_batch=1)
+    streams.stream_last_good(captures, str(tmp_path / "good"), str(tmp_path / "good-state")).awaitTermination()
+    schema = rows([], CAPTURES).schema
+    got = streams.newest_good(streams.read_partials(spark, str(tmp_path / "good"), schema))
+    want = streams.newest_good(rows(data, CAPTURES))
+    assert len(streams.live_folders(spark, str(tmp_path / "good"))) == 3
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
