@@ -4,18 +4,23 @@ A tolerant tree builder closes what HTML lets authors leave open (paragraphs, li
 head), opens the bodies and rows that a table's cells stand in, moves what is misplaced between cells before the table,
 and ignores end tags that match nothing.  Elements that do not show are left out: head matter, scripts,
 templates, `hidden`, `display: none` and `visibility: hidden` in style attributes or in a page's own rules for a tag,
-class or id, closed dialogs and details, unselected options.  Rules hold that apply to a screen of SCREEN pixels; of
+class or id, closed dialogs and details, unselected options.  Visibility is inherited, so a visible part of a hidden
+element shows; a rule or style for `display` wins over `hidden`.  Rules hold that apply to a screen of SCREEN pixels; of
 several, the one that wins by importance, kind of selector and order.  The rest is rendered block by block: white space runs
 collapse outside `pre`, paragraphs, headings, lists, tables and quotes stand apart by a blank line, other blocks by a
-line break, list items are marked and indented, and table cells are padded to common column widths.
+line break, list items are marked and indented, and table cells are padded to common column widths, wide letters
+counting as two.
 
-Null and empty pages have empty text.  Elements nested deeper than DEPTH become siblings, as in browsers; no text is
-lost.  Rows are rendered one by one; other columns are ignored.
+Null and empty pages have empty text.  Elements nested deeper than DEPTH are laid out as siblings, as in browsers:
+their text stands in order, blocks on lines of their own, without list marks or columns.  No text is lost, and what
+their own elements hide stays hidden at any depth.  Rows are rendered one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -52,6 +57,9 @@ FEATURES = {
     "orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "prefers-color-scheme": "light",
     "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference", "scripting": "enabled", "update": "fast",
 }
+NESTED = frozenset({"table", "select", "details"})  # their parts need room below DEPTH
+ROOM = 8
+UNSEEN_INPUTS = frozenset("hidden checkbox radio password file image range color".split())
 EM = 16
 SKIP = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|url\([^()"']*\)""", re.S | re.I)
 LENGTH = r"([\d.]+)\s*(px|em|rem|)"
@@ -63,10 +71,15 @@ SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    """An element; `up` is the parent of one beyond DEPTH, the rest is settled before the page is laid out."""
+
+    __slots__ = ("attrs", "children", "gone", "hidden", "kept", "tag", "up")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.up: Node | None = None
+        self.gone: bool | None = None  # not displayed, itself or with an element around it
+        self.hidden, self.kept = False, True
 
 
 def _pixels(number: str, unit: str) -> float:
@@ -103,15 +116,17 @@ def _plain(css: str) -> str:
     return SKIP.sub(lambda m: " " if m[0][0] in "/<-" else '""', css)
 
 
-def _declared(body: list[str]) -> dict[str, tuple[bool, bool]]:
-    """Whether `display` and `visibility` are declared important, and whether they hide."""
-    out: dict[str, tuple[bool, bool]] = {}
+def _declared(body: list[str]) -> dict[str, tuple[bool, bool | None]]:
+    """Whether `display` and `visibility` are declared important, and whether they hide (None: as around it)."""
+    out: dict[str, tuple[bool, bool | None]] = {}
     for name, value in (x.lower().split(":", 1) for x in body if ":" in x):
         name, (value, _, mark) = name.strip(), value.partition("!")
         if name in ("display", "visibility") and value.strip():
             important = mark.strip() == "important"
             if important or not out.get(name, (False,))[0]:
-                out[name] = important, value.strip() in (("none",) if name == "display" else ("hidden", "collapse"))
+                value = value.strip()
+                as_around = name == "visibility" and value in ("inherit", "unset", "revert")
+                out[name] = important, None if as_around else value in (("none",) if name == "display" else ("hidden", "collapse"))
     return out
 
 
@@ -146,6 +161,40 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open, self.styles = [self.root], []
+        self.over: list[Node] = []  # open elements beyond DEPTH, and how many of each tag
+        self.count: Counter[str] = Counter()
+
+    def _hold(self, node: Node) -> None:
+        """Place a leaf of the elements beyond DEPTH."""
+        node.up = self.over[-1] if self.over else None
+        if self.open[-1].tag in ROWS and (table := self._table()):
+            self.open[table - 1].children.insert(-1, node)
+        else:
+            self.open[-1].children.append(node)
+
+    def _push(self, node: Node) -> None:
+        node.up = self.over[-1] if self.over else self.open[-1]
+        if node.tag in BLOCKS:
+            self._hold(Node("br", {}))
+        self.over.append(node)
+        self.count[node.tag] += 1
+
+    def _pop(self, tag: str) -> None:
+        """End the last element of this tag beyond DEPTH, and those in it."""
+        while True:
+            node = self.over.pop()
+            self.count[node.tag] -= 1
+            if node.tag in BLOCKS:
+                self._hold(Node("br", {}))
+            if node.tag == tag:
+                return
+
+    def _close_first(self, tags: set[str], scope: set[str] | frozenset[str]) -> None:
+        found = next((t for t in tags if self.count[t]), None)
+        if found:
+            self._pop(found)
+        else:
+            self._close(tags, scope)
 
     def _close(self, tags: set[str], scope: set[str] | frozenset[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -188,30 +237,52 @@ class Builder(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
             return
-        if tag in PARTS:
-            self._part(tag)
-        if tag == "table" and (table := self._table()):
-            del self.open[table:]
-        if tag in CLOSES_P:
-            self._close({"p"}, CELL_SCOPE | {"button", "object"})
-        if tag not in SILENT and tag not in VOID:
-            self._close({"head"}, frozenset())
-        if tag in IMPLIED:
-            tags, scope = IMPLIED[tag]
-            self._close(tags, scope | APART if tag in PARTS else scope | APART | CELL_SCOPE)
-        table = self._table()
+        before = len(self.open)
+        if not self.count["table"]:
+            if tag in PARTS:
+                self._part(tag)
+            if tag == "table" and not self.over and (table := self._table()):
+                del self.open[table:]
+            if tag in CLOSES_P:
+                self._close_first({"p"}, CELL_SCOPE | {"button", "object"})
+            if tag not in SILENT and tag not in VOID:
+                self._close({"head"}, frozenset())
+            if tag in IMPLIED:
+                tags, scope = IMPLIED[tag]
+                self._close_first(tags, scope | APART if tag in PARTS else scope | APART | CELL_SCOPE)
+        self._left(before)
         node = Node(tag, dict(attrs))
+        if self.over and tag in VOID:
+            return self._hold(node)
+        if self.over or (tag not in VOID and len(self.open) >= DEPTH - ROOM * (tag in NESTED)):
+            return self._push(node)
+        table = self._table()
         if table and tag not in PARTS and tag not in SILENT and tag != "form" and self.open[-1].tag in ROWS:
             self.open[table - 1].children.insert(-1, node)  # the table is the last child so far
         else:
             self.open[-1].children.append(node)
-        if tag not in VOID and tag != "colgroup" and not (table and tag == "form") and len(self.open) < DEPTH:
+        if tag not in VOID and tag != "colgroup" and not (table and tag == "form"):
             self.open.append(node)
 
+    def _left(self, before: int) -> None:
+        """Elements beyond DEPTH end with the element that they stand in."""
+        if len(self.open) < before:
+            self.over.clear()
+            self.count.clear()
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.count[tag]:
+            return self._pop(tag)
+        if self.count["table"] and tag != "body":
+            return
+        before = len(self.open)
+        self._end(tag)
+        self._left(before)
+
+    def _end(self, tag: str) -> None:
         scope = {"table"} if tag in CELLS or tag in SECTIONS or tag == "tr" else frozenset() if tag in ("table", "body") else CELL_SCOPE
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
@@ -221,6 +292,13 @@ class Builder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.over:
+            if self.over[-1].tag == "style" and not any(self.count[t] for t in APART) and not self._last(APART):
+                self.over[-1].children.append(data)
+                self.styles.append(self.over[-1])
+            holder = Node("span", {})
+            holder.children.append(data)
+            return self._hold(holder)
         parent = self.open[-1]
         if parent.tag == "style" and not self._last(APART):
             self.styles.append(parent)
@@ -253,20 +331,43 @@ class Layout:
     def __init__(self, rules: dict[str, dict[str, tuple[bool, int, int, bool]]]):
         self.rules = rules
 
-    def shows(self, node: Node) -> bool:
+    def _styled(self, node: Node) -> dict[str, bool | None]:
+        """Whether `display` and `visibility` of an element hide it, where the page says so."""
         attrs = node.attrs
-        if node.tag in SILENT or "hidden" in attrs or (node.tag == "input" and (attrs.get("type") or "").lower() not in ("submit", "button", "reset")):
-            return False
-        if node.tag == "dialog" and "open" not in attrs:
-            return False
-        found = []
+        found = [{"display": (False, -1, 0, True)}] if "hidden" in attrs else []
         if self.rules:
             names = [node.tag, "#" + (attrs.get("id") or "").lower(), *("." + c.lower() for c in (attrs.get("class") or "").split())]
-            found = [self.rules[n] for n in names if n in self.rules]
+            found += [self.rules[n] for n in names if n in self.rules]
         if attrs.get("style"):
             own = _declared(_plain(attrs["style"]).split(";"))
             found.append({what: (important, 3, 0, hides) for what, (important, hides) in own.items()})
-        return not any(max(rule[what] for rule in found if what in rule)[3] for what in {w for rule in found for w in rule})
+        return {w: max((rule[w] for rule in found if w in rule), key=lambda r: r[:3])[3] for w in {w for rule in found for w in rule}}
+
+    def _judge(self, node: Node, around: Node | None) -> None:
+        attrs, styled = node.attrs, self._styled(node)
+        unseen = node.tag == "input" and (attrs.get("type") or "").lower() in UNSEEN_INPUTS
+        closed = node.tag == "dialog" and "open" not in attrs
+        node.gone = bool(around and around.gone) or node.tag in SILENT or unseen or closed or bool(styled.get("display"))
+        hidden = styled.get("visibility")
+        node.hidden = bool(around and around.hidden) if hidden is None else hidden
+
+    def settle(self, root: Node) -> None:
+        """Decide for all elements whether they, or anything in them, show."""
+        root.gone, order = False, [root]
+        for node in order:
+            for child in node.children:
+                if isinstance(child, str):
+                    continue
+                chain, around = [child], child.up or node
+                while around.gone is None:  # an element beyond DEPTH
+                    chain.append(around)
+                    around = around.up
+                for element in reversed(chain):
+                    self._judge(element, around)
+                    around = element
+                order.append(child)
+        for node in reversed(order):
+            node.kept = not node.gone and (not node.hidden or any(not isinstance(c, str) and c.kept for c in node.children))
 
     def block(self, node: Node, pre: bool = False) -> list[str | None]:
         """Lines of a node's content."""
@@ -297,7 +398,7 @@ class Layout:
             elif child.tag == "br":
                 run.append("\n" if pre else "\v")
             elif child.tag == "input":
-                run.append(child.attrs.get("value") or "")
+                run.append("" if child.hidden else child.attrs.get("value") or "")
             elif child.tag in BLOCKS:
                 if run:
                     flush()
@@ -306,7 +407,7 @@ class Layout:
                 self._content(child, pre, run, lines, flush)
 
     def _visible(self, node: Node) -> list:
-        children = [c for c in node.children if isinstance(c, str) or self.shows(c)]
+        children = [c for c in node.children if (not node.hidden if isinstance(c, str) else c.kept)]
         if node.tag == "details" and "open" not in node.attrs:
             return [c for c in children if not isinstance(c, str) and c.tag == "summary"][:1]
         if node.tag == "select" and "multiple" not in node.attrs:
@@ -337,12 +438,18 @@ class Layout:
     def _list(self, node: Node) -> list[str | None]:
         lines: list[str | None] = []
         number = _whole(node.attrs.get("start"), 1)
+        loose = Node("span", {})
+
+        def flush() -> None:
+            lines.extend(_trimmed(self.block(loose)))
+            loose.children.clear()
+
         for child in self._visible(node):
-            if isinstance(child, str):
-                if child.strip():
-                    lines.append(SPACES.sub(" ", child).strip(" "))
+            if isinstance(child, str) or child.tag not in BLOCKS:
+                loose.children.append(child)
                 continue
-            body = _trimmed(self.block(child) if child.tag == "li" else self._block(child, False) if child.tag in BLOCKS else self.block(child))
+            flush()
+            body = _trimmed(self.block(child) if child.tag == "li" else self._block(child, False))
             if child.tag != "li":
                 lines.extend("  " + x if x else x for x in body)
                 continue
@@ -351,6 +458,7 @@ class Layout:
                 number = _whole(child.attrs.get("value"), number)
                 mark, number = f"{number}. ", number + 1
             lines.extend((mark if k == 0 else " " * len(mark)) + x if x is not None else None for k, x in enumerate(body or [""]))
+        flush()
         return lines
 
     def _table(self, node: Node) -> list[str | None]:
@@ -380,14 +488,19 @@ class Layout:
         for r, cells in enumerate(grid):
             for c, body in cells.items():
                 if (r, c) not in several:
-                    widths[c] = max(widths.get(c, 0), max((len(x) for x in body), default=0))
+                    widths[c] = max(widths.get(c, 0), max((_width(x) for x in body), default=0))
+        for r, c, span in sorted(wide, key=lambda w: w[2]):  # the last column makes room for a cell that is wider than its columns
+            lacks = max((_width(x) for x in grid[r][c]), default=0) - sum(widths.get(j, 0) + 2 for j in range(c, c + span)) + 2
+            if lacks > 0:
+                widths[c + span - 1] = widths.get(c + span - 1, 0) + lacks
         for cells in grid:
             for k in range(max((len(body) for body in cells.values()), default=0)):
                 line = ""
                 for c in sorted(cells):
                     text = cells[c][k] if k < len(cells[c]) else ""
                     start = sum(widths.get(j, 0) + 2 for j in range(c)) if c else 0
-                    line = line.ljust(max(start, len(line) + 2 if line else start)) + text if text else line
+                    at = _width(line)
+                    line = line + " " * (max(start, at + 2 if line else start) - at) + text if text else line
                 out.append(line.rstrip())
         other = [x for c in self._visible(node) if not isinstance(c, str) and c.tag not in ("caption", "thead", "tbody", "tfoot", "tr", "col", "colgroup") for x in _trimmed(self.block(c))]
         loose = SPACES.sub(" ", "".join(c for c in self._visible(node) if isinstance(c, str))).strip(" ")
@@ -405,6 +518,13 @@ def _inside(children: list, tag: str, through: tuple[str, ...] = ("optgroup",),
     return out
 
 
+def _width(line: str) -> int:
+    """Columns a line takes: two for each wide letter, none for marks above another."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) else 1 + (unicodedata.east_asian_width(c) in "WF") for c in line)
+
+
 def _whole(text: str | None, default: int) -> int:
     found = re.match(r"\s*(-?\d{1,9})", text or "")
     return int(found[1]) if found else default
@@ -422,7 +542,9 @@ def visible_text(html: str) -> str:
     builder = Builder()
     builder.feed(html)
     builder.close()
-    lines = _trimmed(Layout(builder.rules()).block(builder.root))
+    layout = Layout(builder.rules())
+    layout.settle(builder.root)
+    lines = _trimmed(layout.block(builder.root))
     out: list[str] = []
     for line in lines:
         line = (line or "").replace("\xa0", " ")

@@ -76,3 +76,56 @@ def test_style_attributes_and_elements():
     assert htmltext.visible_text("<style>.x{display:none}</style><p class=x style='display:block'>a<p style='display:block;display:none'>b<p style=\"color:red; /* x */ DISPLAY:NONE\">c") == "a"
     assert htmltext.visible_text("<style media=print>p{display:none}</style><noscript><style>p{display:none}</style></noscript><p>a") == "a"
     assert htmltext.visible_text("a<style/>p{}<p>b") == "a"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<div style='visibility:hidden'>a<p style='visibility:visible'>b</p>c</div>d", "b\n\nd"),
+    ("<div style='visibility:hidden'>a<p style='visibility:inherit'>b</p></div>d", "d"),
+    ("<div style='display:none'>a<p style='display:block;visibility:visible'>b</p></div>d", "d"),
+    ("<style>.v{visibility:visible}</style><ul style='visibility:hidden'><li>a<li class=v>b</ul>", "- b"),
+    ("<table style='visibility:collapse'><tr><td>a<td style='visibility:visible'>b</table>", "b"),
+    ("<p hidden>a<p hidden style='display:block'>b", "b"),
+    ("<style>p{display:block}</style><p hidden>a", "a"),
+    ("<ul>one <b>two</b> three<li>a</li>four <i>five</i></ul>", "one two three\n- a\nfour five"),
+    ("<table><tr><td colspan=2>a wide heading</td><td>x</td></tr><tr><td>a</td><td>b</td><td>y</td></tr></table>", "a wide heading  x\na  b            y"),
+    ("<table><tr><td>漢字</td><td>x</td></tr><tr><td>abcd</td><td>y</td></tr></table>", "漢字  x\nabcd  y"),
+    ("<input value=a> <input type=hidden value=b> <input type=password value=c> <input type=submit value=d>", "a   d"),
+])
+def test_visibility_lists_and_columns(page, want):
+    assert re.sub(" +", " ", htmltext.visible_text(page)) == re.sub(" +", " ", want) if "input" in page else htmltext.visible_text(page) == want
+
+
+def test_hidden_parts_stay_hidden_at_any_depth():
+    """Random trees far beyond DEPTH against a plain walk with one flag for each open element."""
+    import random
+
+    rng = random.Random(9)
+    opens = ["<b>", "<div>", "<i>", "<span>", "<b hidden>", "<div style='display:none'>", "<i style='visibility:hidden'>", "<span style='visibility:visible'>"]
+    for _ in range(60):
+        page, want, stack, word = [], [], [(False, False)], 0
+        for _ in range(rng.choice([100, 400, 1500])):
+            if rng.random() < 0.75 or len(stack) == 1:
+                tag = rng.choice(opens[:4]) if rng.random() < 0.99 else rng.choice(opens[4:])
+                gone, hidden = stack[-1]
+                stack.append((gone or "none" in tag or tag == "<b hidden>", (hidden or "y:hidden" in tag) and "y:visible" not in tag))
+                page.append(tag)
+                names.append(tag[1:-1].split()[0]) if len(stack) > 2 else (names := [tag[1:-1].split()[0]])
+            else:
+                stack.pop()
+                page.append(f"</{names.pop()}>")
+            if rng.random() < 0.3:
+                word += 1
+                page.append(f" w{word}x ")
+                if not any(stack[-1]):
+                    want.append(f"w{word}x")
+            if rng.random() < 0.02:
+                page.append("<script>var no;</script><style>q{}</style>")
+        assert htmltext.visible_text("".join(page)).split() == want
+
+
+def test_deep_pages_in_linear_time():
+    deep = 200_000
+    assert htmltext.visible_text("<b>" * deep + "x<script>no</script>y" + "</i>" * deep + "</b>" * deep + "z") == "xyz"
+    assert htmltext.visible_text("<div>" * 5000 + "a<p>b<table><tr><td>c<td>d</table>e<style>.x{display:none}</style><p class=x>no</p>f").split() == list("abcdef")
+    assert htmltext.visible_text("<table><tr><td>" + "<b>" * 500 + "a<td>b</table>c").split() == list("abc")
+    assert htmltext.visible_text("<ul><li>" + "<b>" * 500 + "a<li>b</ul>") == "- a\n- b"
