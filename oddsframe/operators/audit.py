@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -19,58 +20,85 @@ SINGLE_MATCH_KEYS = [
 ]
 
 
-def _keys(json: Column) -> Column:
-    """Top-level keys with their raw value text; NULL if the text is no JSON object."""
-    ok = F.startswith(F.ltrim(json), F.lit("{")) & F.try_parse_json(json).isNotNull()
-    return F.when(ok, F.from_json(json, "map<string, string>"))
+def _object(json: Column) -> Column:
+    """The parsed JSON object; NULL if the text is none."""
+    return F.when(json.rlike(r"^\s*\{"), F.try_parse_json(json))
 
 
-def _truthy(m: Column, key: str) -> Column:
-    value = F.try_element_at(m, F.lit(key))
-    return F.coalesce(value.isNotNull() & ~value.isin("", "false", "0"), F.lit(False))
+def _has(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
 
 
-def _is_array(m: Column, key: str) -> Column:
-    return F.coalesce(F.startswith(F.ltrim(F.try_element_at(m, F.lit(key))), F.lit("[")), F.lit(False))
+def _string(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "string")
 
 
-def candidate_points(m: Column) -> Column:
+def _kind(v: Column, key: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
+
+
+def _truthy(v: Column, key: str) -> Column:
+    """The key holds something: no null, false, zero or empty text.  Types are looked up only where the text is in doubt."""
+    def holds(value: Column) -> Column:
+        doubt = value.isin("", "false") | F.coalesce(value.try_cast("double") == 0, F.lit(False))
+        return value.isNotNull() & (~doubt | ((value != "") & (_kind(v, key) == "STRING")))
+
+    return _bind(_string(v, key), holds)
+
+
+def _is_array(v: Column, key: str) -> Column:
+    empty = (_string(v, key) == "[]") & (_kind(v, key) != "STRING")
+    return _has(v, f"{key}[0]") | F.coalesce(empty, F.lit(False))
+
+
+def _versioned(v: Column) -> Column:
+    return F.coalesce(_string(v, "schemaVersion") == SCHEMA_VERSION, F.lit(False))
+
+
+def candidate_points(v: Column) -> Column:
     """How much a JSON object looks like the wanted report."""
-    any_of = lambda *keys: reduce(lambda a, b: a | b, [_truthy(m, k) for k in keys])
+    any_of = lambda *keys: reduce(lambda a, b: a | b, [_truthy(v, k) for k in keys])
     rules = [
-        (F.coalesce(F.try_element_at(m, F.lit("schemaVersion")) == SCHEMA_VERSION, F.lit(False)), 100),
-        (_is_array(m, "top10"), 45),
-        (_truthy(m, "dataQuality"), 20),
-        (_is_array(m, "top3Candidates"), 15),
-        (_truthy(m, "singleMatch"), 45),
-        (_truthy(m, "match_meta") & _truthy(m, "recommendation"), 35),
+        (_versioned(v), 100),
+        (_is_array(v, "top10"), 45),
+        (_truthy(v, "dataQuality"), 20),
+        (_is_array(v, "top3Candidates"), 15),
+        (_truthy(v, "singleMatch"), 45),
+        (_truthy(v, "match_meta") & _truthy(v, "recommendation"), 35),
         (any_of("pitch_reality", "market_truth", "corner_matrix"), 30),
-        (_truthy(m, "recommendation"), 10),
+        (_truthy(v, "recommendation"), 10),
     ]
     return reduce(lambda a, b: a + b, [F.when(c, F.lit(p)).otherwise(F.lit(0)) for c, p in rules])
 
 
+def _bind(value: Column, use) -> Column:
+    """`use(value)`, with the value computed once however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _choose(candidates: Column) -> Column:
     """The candidate with most points, the later one on a tie; NULL without a JSON object."""
     scored = F.transform(
         candidates,
-        lambda t, i: F.transform(
-            F.array(_keys(t)), lambda m: F.when(m.isNotNull(), F.struct(candidate_points(m).alias("p"), i.alias("i"), t.alias("t")))
-        )[0],
+        lambda t, i: _bind(
+            _object(t), lambda v: F.when(v.isNotNull(), F.struct(candidate_points(v).alias("p"), i.alias("i"), t.alias("t")))
+        ),
     )
     return F.array_max(F.filter(scored, lambda s: s.isNotNull()))["t"]
 
 
 def balanced_objects():
-    """UDF: every text from a `{` to its matching brace, braces in strings aside.
+    """UDF: every text from a `{` to its matching brace, braces in strings aside, in order of their starts.
 
-    The functions are local, so they travel to the executors by value and need no package there.
+    Only those that begin as a JSON object does: with a key or at once with the closing brace.  The functions are
+    local, so they travel to the executors by value and need no package there.
     """
     def scan(raw):
         # one pass for each state of the quotes that a `{` can be read in: the quotes before a start do not count,
         # so a `{` is open either outside the running quotes or, read on its own, inside them
         found, stacks = [], ([], [])
         escaped = quoted = False
+        keyed = re.compile(r'\{[ \t\r\n]*["}]')
         for at, ch in enumerate(raw):
             if escaped:
                 escaped = False
@@ -83,7 +111,8 @@ def balanced_objects():
                 stacks[quoted].append(at)
             elif ch == "}" and stacks[quoted]:
                 start = stacks[quoted].pop()
-                found.append((start, raw[start : at + 1]))
+                if keyed.match(raw, start):
+                    found.append((start, raw[start : at + 1]))
         return [text for _, text in sorted(found)]
 
     def batch(texts: pd.Series) -> pd.Series:
@@ -109,14 +138,14 @@ def extract_structured(df: DataFrame, column: str = "text") -> DataFrame:
 def validate_outputs(df: DataFrame, column: str = "structured") -> DataFrame:
     """Contract checks of a structured reply: level, score, checks and missing keys."""
     m = F.col("_m")
-    has = lambda k: F.coalesce(F.map_contains_key(m, k), F.lit(False))
+    has = lambda k: _has(m, k)
     single = (
         (text(F.col("workflow")) == "single_match_deep_analysis") | has("pitch_reality") | has("market_truth") | has("corner_matrix")
     )
     check = lambda key, status: F.struct(F.lit(key).alias("key"), status.alias("status"))
     grade = lambda ok, bad="warn": F.when(ok, F.lit("ok")).otherwise(F.lit(bad))
-    version = grade(F.coalesce(F.try_element_at(m, F.lit("schemaVersion")) == SCHEMA_VERSION, F.lit(False)))
-    value = lambda parent, key: F.coalesce(F.get_json_object(F.try_element_at(m, F.lit(parent)), f"$.{key}"), F.lit("")) != ""
+    version = grade(_versioned(m))
+    value = lambda parent, key: F.coalesce(_string(m, f"{parent}.{key}"), F.lit("")) != ""
     decision = value("recommendation", "recommendation") | value("recommendation", "primary_market") | value("singleMatch", "conclusion")
     single_checks = F.array(
         check("schemaVersion", version),
@@ -124,7 +153,7 @@ def validate_outputs(df: DataFrame, column: str = "structured") -> DataFrame:
         check("singleMatch", grade(has("singleMatch"))),
         check("recommendation_value", grade(decision)),
     )
-    filled = _is_array(m, "top10") & (F.coalesce(F.json_array_length(F.try_element_at(m, F.lit("top10"))), F.lit(0)) > 0)
+    filled = _has(m, "top10[0]")
     ranking_checks = F.array(
         check("schemaVersion", version),
         check("top10", grade(filled, "error")),
@@ -132,7 +161,7 @@ def validate_outputs(df: DataFrame, column: str = "structured") -> DataFrame:
         check("top3Candidates", grade(_is_array(m, "top3Candidates"))),
     )
     none = F.array(check("structured_json", F.lit("error")))
-    out = df.withColumn("_m", _keys(F.col(column)))
+    out = df.withColumn("_m", _object(F.col(column)))
     out = out.withColumn("checks", F.when(m.isNull(), none).when(single, single_checks).otherwise(ranking_checks))
     bad = F.filter("checks", lambda c: (c["status"] != "ok") & (c["key"] != "schemaVersion"))
     name = lambda c: F.when(c["key"] == "recommendation_value", F.lit("recommendation.value")).otherwise(c["key"])
