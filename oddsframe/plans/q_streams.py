@@ -193,7 +193,7 @@ def page_files(spark, sf):
     fields = F.concat(i, F.lit("^c^L^L^^h^H"), F.col("s_nationkey").cast("string"), F.lit("^^a^A^^22:00^d^0^1^2"))
     script = F.concat(F.lit("A["), i, F.lit(']="'), fields, F.lit("\".split('^');"))
     made = F.when(k == 0, "<p>500 - Internal server error</p>").when(k == 1, " ").when(k == 2, "var A=[];").otherwise(script)
-    table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), made.alias("value")).write.partitionBy("page_id").text(f"{path}/in")
+    pages.write_page_files(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), made.alias("value")), f"{path}/in", "page_id")
     files = pages.read_page_files(spark, f"{path}/in", "part-*").withColumn("content_type", F.lit(None).cast("string"))
     decoded = pages.decode_pages(files).select(F.col("page_id").cast("long").alias("page_id"), F.col("text").alias("body"))
     good, dead = pages.split_pages(pages.triage(decoded, scripts.is_live_list(F.col("body")), "body"), f"{path}/split")

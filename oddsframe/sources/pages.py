@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsframe.functions.text import text
+from oddsframe.session import many_tasks
 
 RAW_PAGE = (
     "source string, match_id string, market string, period string, url string, fetched_at timestamp, "
@@ -23,6 +24,14 @@ def read_raw_pages(spark: SparkSession, path: str, streaming: bool = False, file
     return spark.read.schema(RAW_PAGE).parquet(path)
 
 
+def write_page_files(texts: DataFrame, path: str, key: str) -> None:
+    """Texts (key, value) as plain files, one in a folder of each key; the folders are shared out over the tasks.
+
+    Making a file costs far more than its text, so even a small table must not be written by the task that scanned it.
+    """
+    texts.repartition(many_tasks(texts.sparkSession), key).write.partitionBy(key).text(path)
+
+
 def read_page_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Captures kept as plain files: one row per file, with the partition columns of their folders.
 

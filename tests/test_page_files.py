@@ -53,3 +53,14 @@ def test_null_pages_and_unknown_answers_are_dead_letters(rows, tmp_path):
 def test_no_pages(rows, tmp_path):
     triaged = pages.triage(rows([], "id int, text string"), F.lit(True))
     assert [t.count() for t in pages.split_pages(triaged, str(tmp_path / "split"))] == [0, 0]
+
+
+def test_page_files_are_shared_out_and_a_key_keeps_one_file(spark, tmp_path):
+    rows = [(k % 20, f"text {k}") for k in range(40)] + [(None, "no key")]
+    texts = spark.createDataFrame(rows, "page_id int, value string").coalesce(1)
+    pages.write_page_files(texts, str(tmp_path / "in"), "page_id")
+    found = list((tmp_path / "in").glob("page_id=*/part-*"))
+    assert len(found) == len({f.parent for f in found}) == 21
+    assert len({f.name.split("-")[1] for f in found}) > 1  # more tasks than the one that held the rows
+    lines = sorted(line for f in found for line in f.read_text().splitlines())
+    assert lines == sorted(value for _, value in rows)
