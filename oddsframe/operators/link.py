@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 from oddsframe.functions import text as T
+from oddsframe.functions.rows import spread
 from oddsframe.functions.times import time_score
 from oddsframe.operators.candidates import reachable
 from oddsframe.session import written
@@ -141,9 +142,11 @@ def pairs_to_score(matches: DataFrame, pool_matches: DataFrame, keys: list[str],
     Raw names are shuffled; keys are worked out behind the shuffle, once a block.
     """
     blocks = [*keys, "_salt", "_pack"]
-    n = lambda df, per, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per).alias(name))
+    n = lambda df, per, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per).alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
     sizes = n(matches, MATCHES_PER_SALT, "_salts").join(n(pool_matches, ENTRIES_PER_PACK, "_packs"), keys)
-    units = sizes.agg(F.sum(F.col("_salts") * F.col("_packs"))).first()[0] or 1
+    # full blocks: many small snapshots share a task
+    units = int(sizes.agg(F.sum(F.col("_salts_n").cast("double") * F.col("_packs_n"))).first()[0] or 0) // (MATCHES_PER_SALT * ENTRIES_PER_PACK)
+    sizes = sizes.drop("_salts_n", "_packs_n")
     parts = max(int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(units, MOST_BLOCKS))
     left = _dealt(matches, sizes, keys, ("match_id", "_salts", "_salt"), ("_packs", "_pack")).repartition(parts, *blocks)
     right = _dealt(pool_matches, sizes, keys, ("id", "_packs", "_pack"), ("_salts", "_salt")).repartition(parts, *blocks)
@@ -163,9 +166,9 @@ def pairs_to_score(matches: DataFrame, pool_matches: DataFrame, keys: list[str],
     return left.groupBy(*blocks).cogroup(right.groupBy(*[f"p{b}" for b in blocks])).applyInArrow(meet, schema)
 
 
-def _scored(matches: DataFrame, pool_matches: DataFrame, keys: list[str], gate: tuple[float, float] | None = None) -> DataFrame:
+def _scored(matches: DataFrame, pool_matches: DataFrame, keys: list[str]) -> DataFrame:
     m, c = F.col("_m"), F.col("c")
-    return pairs_to_score(matches, pool_matches, keys, gate).select(*keys, "match_id", pair_scores(m, F.array(c))[0].alias("b"))
+    return pairs_to_score(matches, pool_matches, keys).select(*keys, "match_id", pair_scores(m, F.array(c))[0].alias("b"))
 
 
 _DETAIL = ["team_score", "time_score", "league_score", "home_score", "away_score", "swapped"]
@@ -203,8 +206,11 @@ def gated_pool_match(matches: DataFrame, catalog: DataFrame, keys: tuple[str, ..
     """
     keys = list(keys)
     # both straight sides must round to 75
-    scored = _scored(matches, catalog, keys, gate=(0.8, 0.7449)).select(*keys, "match_id", "b.*")
-    good = scored.where("not swapped and home_score >= 75 and away_score >= 75 and time_score >= 80 and score >= 85")
+    pairs = pairs_to_score(matches, catalog, keys, gate=(0.8, 0.7449))
+    safe = lambda b: ~b["swapped"] & (b["home_score"] >= 75) & (b["away_score"] >= 75) & (b["time_score"] >= 80) & (b["score"] >= 85)
+    # chosen inside the array: a filter on the scores would be moved below them and score a pair once for each test
+    scored = F.filter(pair_scores(F.col("_m"), F.array("c")), safe)
+    good = spread(pairs, [*keys, "match_id"], scored, "b").select(*keys, "match_id", "b.*")
     order = W.partitionBy(*keys, "match_id").orderBy(F.desc("score"), F.desc("neg_ix"))
     top = good.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
     per = top.groupBy(*keys, "match_id").agg(
