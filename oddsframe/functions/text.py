@@ -48,6 +48,17 @@ def _composed() -> tuple[tuple[str, str], ...]:
     return tuple(sorted(pairs.items(), key=lambda p: len(unicodedata.normalize("NFD", p[1]))))
 
 
+def _any_of(chars) -> str:
+    """Pattern for one of the characters, neighbours as ranges: a long list is compared one by one."""
+    points, runs = sorted({ord(c) for c in chars}), []
+    for n in points:
+        if runs and n == runs[-1][1] + 1:
+            runs[-1][1] = n
+        else:
+            runs.append([n, n])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs) + "]"
+
+
 def _replaced(col: Column, pairs: tuple[tuple[str, str], ...], where: Column) -> Column:
     """The pairs replaced one after the other, in the few rows that hold any."""
     known = _texts(a + "\x1e" + b for a, b in pairs)
@@ -58,9 +69,9 @@ def _replaced(col: Column, pairs: tuple[tuple[str, str], ...], where: Column) ->
 def _folded(col: Column, marks: bool) -> Column:
     """Compatibility forms replaced, and with `marks` letters joined with their marks; plain ASCII is left alone."""
     old, new, several = _compatible(marks)
-    folded = F.translate(_replaced(col, several, col.rlike("[" + "".join(a for a, _ in several) + "]")), old, new)
+    folded = F.translate(_replaced(col, several, col.rlike(_any_of(a for a, _ in several))), old, new)
     if marks:
-        behind = "[" + "".join(sorted({pair[-1] for pair, _ in _composed()})) + "]"
+        behind = _any_of(pair[-1] for pair, _ in _composed())
         folded = let(folded, lambda t: _replaced(t, _composed(), t.rlike(behind)))
     return F.when(col.rlike("[^\\x00-\\x7F]"), folded).otherwise(col)
 

@@ -11,6 +11,7 @@ from oddsframe.operators import context as C
 from oddsframe.operators import link as R
 from oddsframe.plans.fx import ctes, fx, table
 from oddsframe.plans.registry import query
+from oddsframe.session import many_tasks
 
 D = "::double"
 
@@ -76,6 +77,11 @@ ROWS = "rows_ as (select * from ma join pb on pid = mid + 1000000 and ma.snapsho
 ALL = "pairs as (select ma.*, pb.* exclude (snapshot_id) from ma join pb using (snapshot_id))"
 
 
+def names(spark, sf, view):
+    """The small rows of a view, spread: what is worked out of a name costs far more than reading it."""
+    return fx(spark, sf, view).repartition(many_tasks(spark))
+
+
 def sides(spark, sf):
     a = fx(spark, sf, "fx_names_a").withColumn("match_id", F.col("id").cast("string"))
     b = fx(spark, sf, "fx_names_b").withColumns({"source_index": F.col("id"), "id": F.col("id").cast("string")})
@@ -84,20 +90,20 @@ def sides(spark, sf):
 
 def aligned(spark, sf):
     """Row i of one side next to row i of the other."""
-    a, b = fx(spark, sf, "fx_names_a"), fx(spark, sf, "fx_names_b")
+    a, b = names(spark, sf, "fx_names_a"), names(spark, sf, "fx_names_b")
     b = b.select((F.col("id") - 1000000).alias("id"), *[F.col(c).alias(f"p_{c}") for c in ("home", "away", "league", "kickoff_min")])
     return a.join(b, "id")
 
 
 @query("x9_norm_team", f"with {ctes('fx_names_a')} select id, {_norm('home')} home, {_norm('away')} away from fx_names_a")
 def norm_team(spark, sf):
-    return fx(spark, sf, "fx_names_a").select("id", T.norm_team(F.col("home")).alias("home"), T.norm_team(F.col("away")).alias("away"))
+    return names(spark, sf, "fx_names_a").select("id", T.norm_team(F.col("home")).alias("home"), T.norm_team(F.col("away")).alias("away"))
 
 
 @query("x10_norm_comp", f"with {ctes('fx_names_a')} select id, regexp_replace(lower(league), '[^0-9a-z]+', '', 'g') league from fx_names_a")
 def norm_comp(spark, sf):
     bracketed = F.concat("league", F.lit(" (x)"))
-    return fx(spark, sf, "fx_names_a").select("id", T.norm_comp(bracketed).alias("league"))
+    return names(spark, sf, "fx_names_a").select("id", T.norm_comp(bracketed).alias("league"))
 
 
 @query(
@@ -106,7 +112,7 @@ def norm_comp(spark, sf):
 )
 def latin(spark, sf):
     marked = F.translate("away", "aeom", "ạếöṁ")
-    return fx(spark, sf, "fx_names_a").select("id", T.norm_latin(marked).alias("norm"), F.array_join(T.tokens3(marked), " ").alias("tokens"))
+    return names(spark, sf, "fx_names_a").select("id", T.norm_latin(marked).alias("norm"), F.array_join(T.tokens3(marked), " ").alias("tokens"))
 
 
 @query("x12_bigram_dice", f"{NAMES}, {ROWS} select mid id, {_dice('mh_g', 'ph_g')} dice, len(mh_g) n_grams from rows_")
@@ -150,7 +156,7 @@ def time(spark, sf):
 
 @query("r4_league_score", f"{NAMES}, lg as (select m.mid, m.ml_n, m.ml_g, m.ml_c, p.pl_n, p.pl_g, p.pl_c from ma m join pb p on p.pid = m.mid + 1000007) select mid id, {_LEAGUE} score from lg")
 def league(spark, sf):
-    a, b = fx(spark, sf, "fx_names_a"), fx(spark, sf, "fx_names_b")
+    a, b = names(spark, sf, "fx_names_a"), names(spark, sf, "fx_names_b")
     rows = a.select("id", R.league_key(F.col("league")).alias("l")).join(b.select((F.col("id") - 1000007).alias("id"), R.league_key(F.col("league")).alias("p")), "id")
     return rows.select("id", R.league_score(F.col("l"), F.col("p")).alias("score"))
 
@@ -224,12 +230,12 @@ _LINKED = (
 
 
 def fixtures(spark, sf):
-    b = fx(spark, sf, "fx_names_b")
+    b = names(spark, sf, "fx_names_b")
     return b.select(F.col("snapshot_id").alias("batch_id"), F.col("id").alias("fixture_id"), F.col("id").alias("source_index"), "home", "away", "kickoff_min")
 
 
 def batch(spark, sf):
-    return fx(spark, sf, "fx_names_a").select(F.col("snapshot_id").alias("batch_id"), F.col("id").cast("string").alias("match_id"), "home", "away", "league")
+    return names(spark, sf, "fx_names_a").select(F.col("snapshot_id").alias("batch_id"), F.col("id").cast("string").alias("match_id"), "home", "away", "league")
 
 
 @query("j4_link_fixtures", f"{_LINKED} select cast(mid as varchar) match_id, pid fixture_id, floor(score * 1000.0{D} + 0.5{D}) / 1000.0{D} score, crossed > direct as reversed from linked")
