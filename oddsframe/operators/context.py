@@ -76,10 +76,13 @@ def assemble_context(
     lineups: DataFrame,
     weather: DataFrame,
     keys: tuple[str, ...] = ("batch_id",),
+    rosters: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The context tables of a batch: linked fixtures, their rows tagged with the match, and gaps.
 
     Linking runs once: its one row per match is written to the shared folder, and all tables read that.
+    rosters: fixture_id, squad; with it injuries name a squad in place of a fixture and belong to all its fixtures.
+    Matches meet their squads first, so that the rows of a squad are not shuffled once a fixture.
     """
     linked = written(link_fixtures(matches, fixtures, keys=keys), "linked")
     tag = linked.select(*keys, "match_id", "fixture_id")
@@ -93,6 +96,7 @@ def assemble_context(
         .join(titled, [*keys, "match_id"])
         .join(fixtures.select(*keys, *fixture_cols), [*keys, "fixture_id"])
     )
+    hurt = tag.join(injuries, "fixture_id") if rosters is None else tag.join(rosters, "fixture_id").join(injuries, "squad").drop("squad")
     gaps = matches.join(linked.select(*keys, "match_id"), [*keys, "match_id"], "left_anti")
     title = F.concat_ws(" · ", *[F.nullif(F.col(c), F.lit("")) for c in ("league", "home", "away") if c in matches.columns])
     missing = gaps.select(*keys, "match_id", F.lit("fixture_match").alias("type"), title.alias("title"), F.lit("no reliable fixture").alias("reason"))
@@ -101,7 +105,7 @@ def assemble_context(
     )
     return {
         "fixture_matches": found,
-        "injuries": tag.join(injuries, "fixture_id"),
+        "injuries": hurt,
         "lineups": tag.join(lineups, "fixture_id"),
         "weather": tag.join(weather, "fixture_id"),
         "missing": missing,

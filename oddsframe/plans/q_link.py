@@ -290,10 +290,9 @@ def weather(spark, sf):
 def assembled(spark, sf):
     fix = fixtures(spark, sf)
     ids = fix.select("fixture_id")
-    players = table(spark, sf, "supplier").select((F.col("s_suppkey") % 50).alias("_p"), F.col("s_name").alias("player"))
-    injuries = ids.withColumn("_p", F.col("fixture_id") % 50).join(players, "_p").drop("_p")
+    injuries = table(spark, sf, "supplier").select((F.col("s_suppkey") % 50).alias("squad"), F.col("s_name").alias("player"))
     tables = C.assemble_context(
         batch(spark, sf), fix, injuries, ids.where("fixture_id % 2 = 0").withColumn("team", F.lit("x")),
-        ids.where("fixture_id % 3 = 0").withColumn("temperature_c", F.lit(20.0)),
+        ids.where("fixture_id % 3 = 0").withColumn("temperature_c", F.lit(20.0)), rosters=ids.withColumn("squad", F.col("fixture_id") % 50),
     )
     return C.union_context(tables).groupBy("match_id", "kind").agg(F.count(F.lit(1)).alias("n_rows"))
