@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from oddsframe.functions import odds
 from oddsframe.functions.rows import spread
-from oddsframe.functions.text import absolute_url, block_text, text
+from oddsframe.functions.text import absolute_url, block_text, let, text
 from oddsframe.operators.features import crowd_hot
 
 _Q = "[\"']"
@@ -38,11 +38,13 @@ def _number(col: Column) -> Column:
 
 def _team(block: Column, css: str) -> Column:
     tag = _first(block, rf"(?is)<div\s+class={_Q}[^\"']*{css}[^\"']*team[^\"']*{_Q}[^>]*>.*?</div>", 0)
-    inner = F.regexp_replace(tag, r"(?is)^<div[^>]*>|</div>$", "")
-    plain = block_text(F.regexp_replace(inner, r"(?is)<span[^>]*>.*?</span>", ""))
-    named = F.coalesce(F.nullif(_attr(_first(tag, r"(?s)^<[^>]*>", 0), "teamname"), F.lit("")), plain)
-    rank = block_text(_first(inner, r"(?is)<span[^>]*>(.*?)</span>"))
-    return F.struct(named.alias("name"), rank.alias("rank"))
+
+    def read(tag, inner):
+        plain = block_text(F.regexp_replace(inner, r"(?is)<span[^>]*>.*?</span>", ""))
+        named = let(_attr(_first(tag, r"(?s)^<[^>]*>", 0), "teamname"), lambda n: F.coalesce(F.nullif(n, F.lit("")), plain))
+        return F.struct(named.alias("name"), block_text(_first(inner, r"(?is)<span[^>]*>(.*?)</span>")).alias("rank"))
+
+    return let(tag, lambda t: let(F.regexp_replace(t, r"(?is)^<div[^>]*>|</div>$", ""), lambda inner: read(t, inner)))
 
 
 def _market(block: Column, prefix: str, left: str, right: str) -> Column:
@@ -52,16 +54,20 @@ def _market(block: Column, prefix: str, left: str, right: str) -> Column:
         rf"(?=<div\s+id={_Q}(?:let|ou)_jd_\d+{_Q}|<div\s+class={_Q}GTeam\b|<div\s+id={_Q}IsExpert_|\z)",
         0,
     )
-    line = _first(section, rf"(?is)<span\s+id={_Q}\d+_{prefix}{_Q}[^>]*>.*?</span>", 0)
-    percent = lambda css: _first(section, rf"(?i)<span\s+class={_Q}{css}{_Q}>\s*([\d.]+)%").try_cast("double")
+    percent = lambda s, css: _first(s, rf"(?i)<span\s+class={_Q}{css}{_Q}>\s*([\d.]+)%").try_cast("double")
     button = lambda side: _number(
         block_text(_first(block, rf"(?is)<div\s+id={_Q}{prefix}_{side}_\d+{_Q}.*?<span\s+class={_Q}btnZS{_Q}>(.*?)</span>"))
     )
-    return F.struct(
-        block_text(line).alias("line"), _number(_attr(line, "odds")).alias("line_odds"), _number(_attr(section, "data-count")).alias("count"),
-        percent("hCount").alias("left"), percent("gCount").alias("right"), button(left).alias("left_odds"), button(right).alias("right_odds"),
-        _first(section, rf"(?i)class={_Q}bar{_Q}[^>]*style={_Q}[^\"']*width\s*:\s*([\d.]+)%").try_cast("double").alias("bar_width"),
-    )
+
+    def read(s, line):
+        return F.struct(
+            block_text(line).alias("line"), _number(_attr(line, "odds")).alias("line_odds"), _number(_attr(s, "data-count")).alias("count"),
+            percent(s, "hCount").alias("left"), percent(s, "gCount").alias("right"), button(left).alias("left_odds"), button(right).alias("right_odds"),
+            _first(s, rf"(?i)class={_Q}bar{_Q}[^>]*style={_Q}[^\"']*width\s*:\s*([\d.]+)%").try_cast("double").alias("bar_width"),
+        )
+
+    # the section and its line are found once, not once for each value read from them
+    return let(section, lambda s: let(_first(s, rf"(?is)<span\s+id={_Q}\d+_{prefix}{_Q}[^>]*>.*?</span>", 0), lambda line: read(s, line)))
 
 
 def _unique(items: Column) -> Column:
