@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ MOVES = "match_id string, bookmaker_key string, " + VALUE + ", closed boolean"
 
 def merged(value: tuple | None, ticks: pd.DataFrame) -> tuple:
     """A key's value with more ticks; earlier time opens, later time is latest, the event id decides equal times."""
-    order = ticks.sort_values(["at_us", "event_id"], kind="stable")
-    first, last = (order.iloc[k][["at_us", "event_id", "price"]] for k in (0, -1))
-    ends = [(int(x["at_us"]), int(x["event_id"]), float(x["price"])) for x in (first, last)]
+    at, event, price = (ticks[c].to_numpy() for c in ("at_us", "event_id", "price"))
+    order = np.lexsort((event, at))
+    ends = [(int(at[k]), int(event[k]), float(price[k])) for k in (order[0], order[-1])]
     count = len(order)
     if value is not None:
         ends = [min(ends[0], tuple(value[:3]), key=lambda e: e[:2]), max(ends[1], tuple(value[3:6]), key=lambda e: e[:2])]
@@ -48,8 +49,9 @@ class PriceProcessor(StatefulProcessor):
         return pd.DataFrame([(*key, *value, closed)], columns=[*TICK_KEYS, *_FIELDS, "closed"])
 
     def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = self.value.get() if self.value.exists() else None
-        value = merged(tuple(known) if known is not None else None, pd.concat(list(rows)))
+        known = self.value.get()
+        batches = list(rows)
+        value = merged(tuple(known) if known is not None else None, batches[0] if len(batches) == 1 else pd.concat(batches))
         self.value.update(value)
         timer = value[3] // 1000 + self.keep_ms
         if known is None or known[3] != value[3]:
