@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from oddsframe.functions import text as T
 from oddsframe.plans.fx import ctes, fx, table
 from oddsframe.plans.registry import query
+from oddsframe.session import many_tasks
 from oddsframe.sources import crowd, feeds, pages, scripts, tables
 
 
@@ -27,7 +28,7 @@ def body(spark, sf, template: str):
         parts += [F.lit(head), F.expr(f"cast({expr} as string)")]
     parts.append(F.lit(rest))
     # the driver table is one file; spread its small rows before the bodies are made
-    rows = orders(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    rows = orders(spark, sf).repartition(many_tasks(spark))
     return rows.select(F.col("o_orderkey").alias("page_id"), F.concat(*parts).alias("body"))
 
 

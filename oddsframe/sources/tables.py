@@ -33,7 +33,9 @@ def attribute(tag: Column, name: str) -> Column:
     return let(quoted, lambda v: F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v))
 
 
-_START = r"(?s)^<[^>]*>"
+def _tag_end(outer: Column) -> Column:
+    """Where the start tag of an element ends; its pattern has found one."""
+    return F.locate(">", outer)
 
 
 def _attr(tag: Column, name: str) -> Column:
@@ -44,8 +46,9 @@ def _attr(tag: Column, name: str) -> Column:
 
 def _cell(outer: Column) -> Column:
     """What rows are chosen by; texts and price attributes are read from the cells that are used."""
-    inner = F.regexp_replace(F.regexp_replace(outer, _START, ""), r"(?i)</t[dh]>$", "")
-    parts = F.struct(F.regexp_extract(outer, _START, 0).alias("tag"), inner.alias("html"))
+    end = _tag_end(outer)
+    inner = F.substring(outer, end + 1, F.length(outer) - end - len("</td>"))
+    parts = F.struct(F.substring(outer, F.lit(1), end).alias("tag"), inner.alias("html"))
     return let(parts, lambda p: F.struct(_attr(p["tag"], "colspan").alias("colspan"), _attr(p["tag"], "oddstype").alias("oddstype"), p["tag"], p["html"]))
 
 
@@ -61,8 +64,9 @@ def _row(outer: Column) -> Column:
         hidden = attribute(tag, "style").rlike(r"(?i)display\s*:\s*none") | attribute(tag, "class").rlike("(?i)blue_txt")
         return F.struct(hidden.alias("hidden"), attribute(tag, "companyid").alias("company"))
 
-    cells = F.transform(_find_all(F.regexp_replace(outer, _START, ""), _CELLS), _cell)
-    parts = F.struct(cells.alias("cells"), let(F.regexp_extract(outer, _START, 0), head).alias("head"))
+    end = _tag_end(outer)
+    cells = F.transform(_find_all(F.substring(outer, end + 1, F.length(outer)), _CELLS), _cell)
+    parts = F.struct(cells.alias("cells"), let(F.substring(outer, F.lit(1), end), head).alias("head"))
     return let(
         parts,
         lambda p: F.struct(p["cells"], p["head"]["hidden"].alias("hidden"), p["head"]["company"].alias("row_company")),

@@ -2,11 +2,14 @@
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from oddsframe.functions import text as T
 from oddsframe.operators import context as C
 from oddsframe.operators import link as R
+from oddsframe.sources import crowd, tables
+from oddsframe.streaming import keyed
 
 
 def _plan(df):
@@ -56,3 +59,24 @@ def test_classes_of_many_characters_are_ranges(spark):
     assert len(pattern) < len(chars)
     every = [chr(n) for n in range(0x80, 0x20000) if not 0xD800 <= n < 0xE000]
     assert {c for c in every if re.fullmatch(pattern, c)} == {c for c in every if c in set(chars)}
+
+
+def test_crowd_sections_are_found_once(spark):
+    page = spark.createDataFrame([(1, "<p>x</p>")], "page_id int, body string")
+    assert _plan(crowd.parse_crowd_index(page)).count("IsExpert_") == 2  # one for each market
+
+
+def test_cells_are_cut_without_patterns(spark):
+    page = spark.createDataFrame([(1, '<table id="odds"><TR class="a"><td\n x="1">A<b>c</b></td><TH>B</TH ></tH></tr></table>')], "page_id int, body string")
+    rows = page.select(F.explode(tables.html_rows(F.col("body"))).alias("r")).select("r")
+    assert "^<[^>]*>" not in _plan(rows)
+    cells = rows.first().r.cells
+    assert [(c.tag, c.html) for c in cells] == [('<td\n x="1">', "A<b>c</b>"), ("<TH>", "B</TH >")]
+
+
+def test_ticks_of_a_key_are_merged_without_sorting_frames(monkeypatch):
+    ticks = pd.DataFrame({"at_us": [5, 3, 3, 5], "event_id": [1, 9, 2, 4], "price": [1.5, 2.5, 3.5, float("nan")]})
+    monkeypatch.delattr(pd.DataFrame, "sort_values")
+    value = keyed.merged(None, ticks)
+    assert value[:5] == (3, 2, 3.5, 5, 4) and value[5] != value[5] and value[6] == 4
+    assert keyed.merged((1, 1, 1.0, 9, 9, 9.0, 2), ticks) == (1, 1, 1.0, 9, 9, 9.0, 6)
