@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from oddsframe import dims
 from oddsframe.functions.odds import section_key
-from oddsframe.functions.text import text, token_estimate
+from oddsframe.functions.text import let, text, token_estimate
 from oddsframe.operators.ordered import numbered
 from oddsframe.operators.quotes import pick_first
 
@@ -101,24 +101,37 @@ def squad(players: DataFrame) -> DataFrame:
     """Line-up players of each match once per name, the last line-up entry winning, and the probable elevens.
 
     players: match_id, team_pos, team, role, pos, name, number, position, formation, coach.
-    Repeated captures of a slot merge first, so a match collects one row per slot of its line-ups.
+    Repeated captures of a slot merge first, so a match collects one row per slot of its line-ups, once; both lists are
+    read from the collected slots.
     """
     players = pick_first(players, ["match_id", "team_pos", "role", "pos"], [F.col("name")])
-    at = F.struct("team_pos", F.col("role") == "substitute", "pos")
-    named = players.where(F.coalesce("name", F.lit("")) != "")
-    unique = named.groupBy("match_id", "name").agg(F.min(at).alias("_at"), F.max_by(F.struct("team", "position"), at).alias("_p"))
-    full = unique.groupBy("match_id").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("_at", "name", "_p"))),
-            lambda x: F.struct(x["name"].alias("name"), x["_p"]["team"].alias("team"), x["_p"]["position"].alias("position")),
-        ).alias("full_squad_list")
-    )
-    starters = players.where("role = 'start'").groupBy("match_id", "team_pos").agg(
-        F.first("team").alias("team"), F.first("formation").alias("formation"), F.first("coach").alias("coach"),
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "name", "number", "position"))), lambda x: F.struct(x["name"], x["number"], x["position"])).alias("start_xi"),
-    )
-    xi = starters.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("team_pos", "team", "formation", "coach", "start_xi"))).alias("probable_xi"))
-    return full.join(xi, "match_id", "full")
+    players = players.where((F.coalesce("name", F.lit("")) != "") | (F.col("role") == "start"))  # a slot of neither list
+    at = F.struct("team_pos", (F.col("role") == "substitute").alias("substitute"), "pos").alias("at")
+    slot = F.struct(at, "name", "role", "team", "formation", "coach", "number", "position")
+    slots = players.groupBy("match_id").agg(F.sort_array(F.collect_list(slot)).alias("_slots"))
+
+    def unique(named):
+        ids, back = F.transform(named, lambda s: s["name"]), F.reverse(named)
+        last = lambda s: F.get(back, F.array_position(F.transform(back, lambda x: x["name"]), s["name"]) - 1)
+        first = F.filter(named, lambda s, i: F.array_position(ids, s["name"]) == i + 1)
+        member = lambda s, x: F.struct(s["name"].alias("name"), x["team"].alias("team"), x["position"].alias("position"))
+        return F.transform(first, lambda s: let(last(s), lambda x: member(s, x)))
+
+    def eleven(team_pos, group):
+        head = F.get(group, F.lit(0))
+        people = F.transform(group, lambda s: F.struct(s["name"], s["number"], s["position"]))
+        return F.struct(
+            team_pos.alias("team_pos"), head["team"].alias("team"), head["formation"].alias("formation"), head["coach"].alias("coach"), people.alias("start_xi")
+        )
+
+    def elevens(starters):
+        teams = F.array_distinct(F.transform(starters, lambda s: s["at"]["team_pos"]))
+        return F.transform(teams, lambda t: let(F.filter(starters, lambda s: s["at"]["team_pos"].eqNullSafe(t)), lambda g: eleven(t, g)))
+
+    named = F.filter("_slots", lambda s: F.coalesce(s["name"], F.lit("")) != "")
+    starters = F.filter("_slots", lambda s: s["role"] == "start")
+    some = lambda found, fn: let(found, lambda x: F.when(F.size(x) > 0, fn(x)))
+    return slots.select("match_id", some(named, unique).alias("full_squad_list"), some(starters, elevens).alias("probable_xi"))
 
 
 def single_match_input(docs: DataFrame, squads: DataFrame | None = None, injuries: DataFrame | None = None, source: str = "extract") -> DataFrame:

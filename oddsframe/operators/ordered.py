@@ -46,7 +46,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, total:
     """`name`: place of a row in its key by `order`, from 1; `total`: rows of the key.
 
     Rows are range-partitioned and sorted by (key, order) and written once, so a key spreads over as many tasks as its
-    rows need; a key's rows per partition, a row each, give where the partition's first row stands.
+    rows need; a key's rows per partition, a row each, give where the partition's first row stands.  These are written
+    too: their true size lets the planner broadcast them where they are few, and the rows are not shuffled again.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
@@ -54,5 +55,5 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, total:
     runs = dealt.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select(*keys, "_part", (before - F.col("_first") + 1).alias("_shift"), F.sum("_rows").over(W.partitionBy(*keys)).alias("_total"))
-    out = join_null_safe(dealt, runs, [*keys, "_part"])
+    out = join_null_safe(dealt, written(runs, "runs"), [*keys, "_part"])
     return out.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name), *([F.col("_total").alias(total)] if total else []))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from oddsframe.functions import text as T
 from oddsframe.operators import context as C
+from oddsframe.operators import documents
 from oddsframe.operators import link as R
-from oddsframe.sources import crowd, tables
+from oddsframe.operators import ordered
+from oddsframe.sources import crowd, feeds, tables
 from oddsframe.streaming import keyed
 
 
@@ -80,3 +82,42 @@ def test_ticks_of_a_key_are_merged_without_sorting_frames(monkeypatch):
     value = keyed.merged(None, ticks)
     assert value[:5] == (3, 2, 3.5, 5, 4) and value[5] != value[5] and value[6] == 4
     assert keyed.merged((1, 1, 1.0, 9, 9, 9.0, 2), ticks) == (1, 1, 1.0, 9, 9, 9.0, 6)
+
+
+def test_description_of_a_line_is_worked_out_once(spark):
+    lines = "<p>•胜:90%</p><p>近12场相同胜平负</p><p>•大:85% •小:80%</p><p>近12场相同總進球數</p><p>赢:85% 近30场让球</p><p>赢:85% 近30场让球</p><p>输:85%</p>"
+    df = spark.createDataFrame([(1, f"<h3>概率</h3>{lines}"), (1, f"<h3>概率</h3>{lines}"), (2, "概率<p>大:79% 近12场进球数</p>"), (3, None)], "page_id int, body string")
+    out = feeds.parse_probability_text(df)
+    assert _plan(out).count("·•-]+") == 1
+    got = sorted((r.page_id, r.line, r.description, r.type, r.percent) for r in out.collect())
+    goals = [(1, "•大:85% •小:80%", "近12场相同總進球數", t, p) for t, p in (("大", 85.0), ("小", 80.0))]
+    assert got == sorted([*goals, (1, "赢:85% 近30场让球", "近30场让球", "赢", 85.0)])
+
+
+def test_squad_shuffles_slots_and_matches_once(spark):
+    schema = "match_id string, team_pos int, team string, formation string, coach string, role string, pos int, name string, number string, position string"
+    slot = lambda m, t, role, pos, name, at="M": (m, t, f"T{t}", "4-4-2", "C", role, pos, name, str(pos), at)
+    people = [
+        slot("1", 0, "start", 0, "A"), slot("1", 0, "start", 0, "B"), slot("1", 0, "start", 1, None), slot("1", 0, "substitute", 0, "A", "G"),
+        slot("1", 1, "start", 0, "D"), slot("2", 0, "substitute", 1, "E"), slot("3", 0, "start", 0, ""), slot("4", 0, "substitute", 0, None),
+    ]
+    out = documents.squad(spark.createDataFrame(people, schema))
+    assert out._jdf.queryExecution().sparkPlan().toString().count("ObjectHashAggregate") == 2  # partial and final of one list a match
+    got = {r.match_id: (r.full_squad_list and [tuple(p) for p in r.full_squad_list], r.probable_xi and [(x.team_pos, x.team, [tuple(p) for p in x.start_xi]) for x in r.probable_xi]) for r in out.collect()}
+    assert got == {
+        "1": ([("A", "T0", "G"), ("D", "T1", "M")], [(0, "T0", [("A", "0", "M"), (None, "1", "M")]), (1, "T1", [("D", "0", "M")])]),
+        "2": ([("E", "T0", "M")], None),
+        "3": (None, [(0, "T0", [("", "0", "M")])]),
+    }
+
+
+def test_few_runs_of_numbered_rows_are_broadcast(spark):
+    rows = spark.range(200_000).select((F.col("id") % 3).alias("k"), F.col("id").alias("n"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        out = ordered.numbered(rows, ["k"], ["n"], "at")
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert out.where(F.col("at") != F.floor(F.col("n") / 3) + 1).count() == 0
