@@ -225,8 +225,8 @@ def compact_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def probability_market_allowed(col: Column) -> Column:
     """Handicap and goals texts; never win/draw/loss ones."""
-    value = text(col)
-    return ~value.rlike("胜平负|勝平負") & value.rlike("让球|讓球|总进球数|總進球數|进球数|進球數")
+    has = lambda words: reduce(lambda a, b: a | b, [F.contains(text(col), F.lit(w)) for w in words])
+    return ~has(("胜平负", "勝平負")) & has(("让球", "讓球", "进球数", "進球數"))  # the last two also stand in 总进球数 and 總進球數
 
 
 def retry_issues(sections: DataFrame) -> DataFrame:

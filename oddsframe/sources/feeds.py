@@ -124,32 +124,44 @@ def has_probability_json(body: Column) -> Column:
 
 
 def parse_probability_text(df: DataFrame, threshold: float = 80, min_n: int = 10) -> DataFrame:
-    """Events from the visible text of pages without probability JSON, from the heading to the end of the page."""
+    """Events from the visible text of pages without probability JSON, from the heading to the end of the page.
+
+    Lines and events stay arrays in the page's row: a filter above rows would be pushed below the description and work
+    out its patterns once for each place that reads it.
+    """
+    pair = r"([^\s:：,，;；|/]+)\s*[:：]\s*(\d+(?:\.\d+)?)\s*%"
+
+    def described(x):
+        rest = F.regexp_replace(x["line"], r"^.*[:：]\s*\d+(?:\.\d+)?\s*%", "")
+        after = let(rest, lambda r: F.when(r == "", r).otherwise(F.trim(F.regexp_replace(r, r"^[\s,，;；|/·•-]+", ""))))
+        follow = F.when(~F.contains(x["below"], F.lit("%")), F.trim(x["below"])).otherwise(F.lit(""))
+        return F.struct(x["line"].alias("line"), x["types"].alias("types"), let(after, lambda a: F.when(a != "", a).otherwise(follow)).alias("description"))
+
+    def wanted(x):
+        counted = F.coalesce(sample_count_in_text(x["description"]), F.lit(0)) >= min_n
+        return counted & probability_market_allowed(F.coalesce(F.nullif(x["description"], F.lit("")), x["line"]))
+
+    def read(x):
+        pairs = F.arrays_zip(x["types"].alias("type"), F.regexp_extract_all(x["line"], F.lit(pair), F.lit(2)).alias("pct"))
+        high = F.filter(pairs, lambda p: p["pct"].cast("double") >= threshold)
+        kind = lambda p: F.trim(F.regexp_replace(p["type"], r"^[·•\-\s]+", ""))
+        return F.transform(
+            high, lambda p: F.struct(x["line"].alias("line"), x["description"].alias("description"), kind(p).alias("type"), p["pct"].cast("double").alias("percent"))
+        )
+
+    def events(lines):
+        # each line next to the one below it, so the list itself is not copied per line
+        types = lambda t: F.when(F.contains(t, F.lit("%")), F.regexp_extract_all(t, F.lit(pair), F.lit(1)))
+        paired = F.transform(lines, lambda t, i: F.struct(t.alias("line"), text(F.get(lines, i + 1)).alias("below"), types(t).alias("types")))
+        stated = F.filter(paired, lambda x: F.coalesce(F.size(x["types"]), F.lit(0)) > 0)
+        kept = F.filter(F.transform(stated, described), wanted)
+        return F.array_distinct(F.flatten(F.transform(kept, read)))
+
     section = F.regexp_extract("body", r"(?is)(?:概率事件|概率|Probability\s*Events?).*", 0)
     broken = F.regexp_replace(section, r"(?i)</(?:div|li|p|tr|td|dd|dt|section|article|h[1-6])>|<br\s*/?>", "\n")
     lines = F.filter(F.transform(F.split(decode_entities(strip_tags(broken)), r"\n+"), squeeze), lambda t: t != "")
-    base = df.where(~F.coalesce(has_probability_json(F.col("body")), F.lit(False))).select(*_kept(df), lines.alias("_l"))
-    # each line next to the one below it, so the list itself is not copied per line
-    paired = let(F.col("_l"), lambda ls: F.transform(ls, lambda t, i: F.struct(t.alias("line"), text(F.get(ls, i + 1)).alias("_next"))))
-    rows = spread_fields(base, _kept(df), paired)
-    pair = r"([^\s:：,，;；|/]+)\s*[:：]\s*(\d+(?:\.\d+)?)\s*%"
-    rows = rows.where(F.col("line").rlike(pair))
-    after = F.regexp_replace("line", r"^.*[:：]\s*\d+(?:\.\d+)?\s*%", "")
-    after = F.trim(F.regexp_replace(after, r"^[\s,，;；|/·•-]+", ""))
-    follow = F.when(~F.contains("_next", F.lit("%")), F.trim("_next")).otherwise(F.lit(""))
-    rows = rows.withColumn("description", F.when(after != "", after).otherwise(follow))
-    rows = rows.where(
-        probability_market_allowed(F.coalesce(F.nullif("description", F.lit("")), F.col("line")))
-        & (F.coalesce(sample_count_in_text(F.col("description")), F.lit(0)) >= min_n)
-    )
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("line", F.lit(pair), F.lit(1)).alias("type"), F.regexp_extract_all("line", F.lit(pair), F.lit(2)).alias("pct")
-    )
-    found = spread_fields(rows, [*_kept(df), "line", "description"], pairs)
-    found = found.withColumns(
-        {"percent": F.col("pct").cast("double"), "type": F.trim(F.regexp_replace("type", r"^[·•\-\s]+", ""))}
-    ).where(F.col("percent") >= threshold)
-    return found.drop("pct").dropDuplicates([*_kept(df), "type", "percent", "description", "line"])
+    from_text = F.when(~F.coalesce(has_probability_json(F.col("body")), F.lit(False)), let(lines, events))
+    return spread_fields(df, _kept(df), from_text).dropDuplicates([*_kept(df), "type", "percent", "description", "line"])
 
 
 def probability_page_events(df: DataFrame, threshold: float = 80, min_n: int = 10) -> DataFrame:
