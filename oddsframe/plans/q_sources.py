@@ -19,17 +19,29 @@ def orders(spark, sf):
     return table(spark, sf, "orders")
 
 
+# Pieces from which on a template is long: generated code that lists them all is too long to be compiled to machine code.
+LONG = 100
+
+
 def body(spark, sf, template: str):
     """Orders with a body; `{expr}` in the template is a SQL expression over the order row."""
-    parts, rest = [], template
+    parts, exprs, rest = [], [], template
     while "{{" in rest:
         head, rest = rest.split("{{", 1)
         expr, rest = rest.split("}}", 1)
-        parts += [F.lit(head), F.expr(f"cast({expr} as string)")]
-    parts.append(F.lit(rest))
+        exprs += [] if expr in exprs else [expr]
+        parts += [(F.lit(head), None), (None, expr)]
+    parts.append((F.lit(rest), None))
+    value = lambda expr: F.expr(f"cast({expr} as string)")
+    joined = lambda read: F.concat(*[read(expr) if expr else piece for piece, expr in parts])
+    if len(parts) > LONG:
+        values = F.struct(*[value(expr).alias(f"v{i}") for i, expr in enumerate(exprs)])
+        made = T.let(values, lambda v: joined(lambda expr: v[f"v{exprs.index(expr)}"]))
+    else:
+        made = joined(value)
     # the driver table is one file; spread its small rows before the bodies are made
     rows = orders(spark, sf).repartition(many_tasks(spark))
-    return rows.select(F.col("o_orderkey").alias("page_id"), F.concat(*parts).alias("body"))
+    return rows.select(F.col("o_orderkey").alias("page_id"), made.alias("body"))
 
 
 @query(
@@ -342,7 +354,8 @@ _PERSON = '{"player":{"id":{{o_custkey}},"name":"P#","type":"Out","reason":"Knee
 )
 def injuries(spark, sf):
     doc = '{"response":[' + ",".join(_PERSON.replace("#", str(i)) for i in range(33)) + "]}"
-    return feeds.parse_context_json(body(spark, sf, doc), "injuries").select("page_id", "pos", "player", "team", "reason", "fixture_id")
+    columns = ["player", "team", "reason", "fixture_id"]
+    return feeds.parse_context_json(body(spark, sf, doc), "injuries", columns=columns).select("page_id", "pos", *columns)
 
 
 @query(

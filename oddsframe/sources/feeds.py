@@ -267,17 +267,24 @@ def _struct(fields: str) -> str:
     return ", ".join(out)
 
 
-def parse_injuries(df: DataFrame) -> DataFrame:
-    """Injuries of a fixture document, with their place in it."""
-    schema = f"response array<struct<player: {_PERSON}, team: {_TEAM}, fixture: struct<id: string>>>"
-    items = F.from_json("body", schema)["response"]
+_INJURY = {
+    "player": ("player", "name"), "player_id": ("player", "id"), "team": ("team", "name"), "team_id": ("team", "id"),
+    "type": ("player", "type"), "reason": ("player", "reason"), "fixture_id": ("fixture", "id"),
+}
+
+
+def parse_injuries(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Injuries of a fixture document, with their place in it.
+
+    columns: those read from an entry, all by default.  Spark does not narrow a JSON schema through an array made into
+    rows, and an id that is a number costs a writer of its own.
+    """
+    read = {c: at for c, at in _INJURY.items() if columns is None or c in columns}
+    parts = {part: [field for p, field in read.values() if p == part] for part, _ in read.values()}
+    entry = ", ".join(f"{part}: struct<{', '.join(f'{field}: string' for field in fields)}>" for part, fields in parts.items())
+    items = F.from_json("body", f"response array<struct<{entry}>>")["response"]
     rows = spread(df, _kept(df), items, "_i")
-    i = F.col("_i")
-    return rows.select(
-        *_kept(df), "pos", i["player"]["name"].alias("player"), i["player"]["id"].alias("player_id"), i["team"]["name"].alias("team"),
-        i["team"]["id"].alias("team_id"), i["player"]["type"].alias("type"), i["player"]["reason"].alias("reason"),
-        i["fixture"]["id"].alias("fixture_id"),
-    )
+    return rows.select(*_kept(df), "pos", *[F.col("_i")[part][field].alias(c) for c, (part, field) in read.items()])
 
 
 def parse_lineups(df: DataFrame) -> DataFrame:
@@ -316,5 +323,5 @@ def parse_weather(df: DataFrame) -> DataFrame:
 CONTEXT_PARSERS = {"fixtures": parse_fixtures, "injuries": parse_injuries, "lineups": parse_lineups, "weather": parse_weather}
 
 
-def parse_context_json(df: DataFrame, kind: str) -> DataFrame:
-    return CONTEXT_PARSERS[kind](df)
+def parse_context_json(df: DataFrame, kind: str, **options) -> DataFrame:
+    return CONTEXT_PARSERS[kind](df, **options)

@@ -94,6 +94,16 @@ def test_description_of_a_line_is_worked_out_once(spark):
     assert got == sorted([*goals, (1, "赢:85% 近30场让球", "近30场让球", "赢", 85.0)])
 
 
+def test_injuries_read_only_named_columns(spark):
+    doc = '{"response":[{"player":{"id":7,"name":"A","type":"Out","reason":"Knee"},"team":{"id":"t","name":"T"},"fixture":{"id":1.5}},{"player":null}]}'
+    df = spark.createDataFrame([(1, doc), (2, "{")], "page_id int, body string")
+    whole, some = feeds.parse_context_json(df, "injuries"), feeds.parse_context_json(df, "injuries", columns=["player", "fixture_id"])
+    assert whole.columns == ["page_id", "pos", "player", "player_id", "team", "team_id", "type", "reason", "fixture_id"]
+    assert [tuple(r) for r in whole.collect()] == [(1, 0, "A", "7", "T", "t", "Out", "Knee", "1.5"), (1, 1, *[None] * 7)]
+    assert [tuple(r) for r in some.collect()] == [(1, 0, "A", "1.5"), (1, 1, None, None)]
+    assert "reason" not in _plan(some) and "reason" in _plan(whole)
+
+
 def test_squad_shuffles_slots_and_matches_once(spark):
     schema = "match_id string, team_pos int, team string, formation string, coach string, role string, pos int, name string, number string, position string"
     slot = lambda m, t, role, pos, name, at="M": (m, t, f"T{t}", "4-4-2", "C", role, pos, name, str(pos), at)
