@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe.llm.rolling import mix, prefix
-from oddsframe.llm.shared import keep, small_batches, utf8
+from oddsframe.llm.shared import keep, return_memory, small_batches, utf8
 
 K1, B = 1.2, 0.75
 BLOCK = 64
@@ -39,6 +39,7 @@ QUERY_WORDS = 24_000_000
 COMMON = 512  # words whose values are kept as a matrix
 PART = 2048  # queries answered together
 SHARD_ROWS, SHARD_WORDS = 4096, 1 << 21
+MATCHES = 1 << 18  # of rare words of documents and queries, held at a time
 FIRST = 8  # one file of so many is searched first
 DIGITS = 4
 SLACK = 1e-4  # more than single precision loses in a sum of COMMON values
@@ -69,6 +70,7 @@ def forward_index(df: DataFrame) -> DataFrame:
 
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
+            return_memory()
             words, length = hashed_words(*utf8(part.column(1)))
             columns: tuple[list[bytes], list[bytes]] = ([], [])
             for end, n in zip(np.cumsum(length).tolist(), length.tolist()):
@@ -172,7 +174,7 @@ class Shard:
         self.column = most_common(np.bincount(terms, minlength=n_terms)) if column is None else column
         ends = np.cumsum(sizes)
         turn = _ranges((ends - sizes)[order], ends[order])
-        terms, values, place = terms[turn], values[turn], np.repeat(np.arange(len(ids)), sizes[order])
+        terms, values, place = terms[turn], values[turn], np.repeat(np.arange(len(ids), dtype=np.int32), sizes[order])
         at = self.column[terms]
         exact = np.zeros((self.n_blocks * BLOCK, COMMON))
         exact[place[at >= 0], at[at >= 0]] = values[at >= 0]
@@ -195,7 +197,7 @@ class Shard:
         at, place, value = at[hit], self.places[hit], self.values[hit]
         begins = part.first[at]
         n = part.first[at + 1] - begins
-        cell = place % BLOCK
+        cell = (place % BLOCK).astype(np.int64)
         edges = np.searchsorted(place, np.arange(self.n_blocks + 1) * BLOCK)
         common = np.unpackbits(part.bits, axis=1).astype(np.float32)
         bounds = self.most @ common.T
@@ -204,9 +206,14 @@ class Shard:
         opened = 0
         for block in range(self.n_blocks):
             a, b = edges[block], edges[block + 1]
-            cells = np.repeat(cell[a:b], n[a:b])
-            cells += part.cells[_ranges(begins[a:b], begins[a:b] + n[a:b])]
-            rare = np.bincount(cells, np.repeat(value[a:b], n[a:b]), len(part) * BLOCK).reshape(len(part), BLOCK)
+            rare = np.zeros(len(part) * BLOCK)
+            sums = np.cumsum(n[a:b])
+            stops = a + np.unique(np.r_[np.searchsorted(sums, np.arange(MATCHES, sums[-1] if b > a else 0, MATCHES)), b - a])
+            for c, d in zip(np.r_[a, stops[:-1]], stops):  # long texts match many times more than others
+                cells = np.repeat(cell[c:d], n[c:d])
+                cells += part.cells[_ranges(begins[c:d], begins[c:d] + n[c:d])]
+                rare += np.bincount(cells, np.repeat(value[c:d], n[c:d]), len(rare))
+            rare = rare.reshape(len(part), BLOCK)
             bound = (bounds[block] + rare.max(axis=1)) * (1 + SLACK)
             some = np.flatnonzero((bound >= floor) & (bound > 0))
             opened += len(some)
@@ -248,6 +255,7 @@ def _counted(index: DataFrame, words: np.ndarray) -> np.ndarray:
     sent = index.sparkSession.sparkContext.broadcast(words)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_memory()
         total = np.zeros(len(sent.value), np.int64)
         for part in parts:
             at, _ = places(sent.value, _numbers(part.column(0), np.uint64))
@@ -271,9 +279,12 @@ def _hits(index: DataFrame, scored: Broadcast[Asked], floor: np.ndarray, k: int,
         held: list[list[np.ndarray]] = [[] for _ in range(6)]
 
         def answers() -> pa.RecordBatch:
-            shard = Shard(*(np.concatenate(column) for column in held), len(asked.words), asked.column)
+            return_memory()
+            columns = [np.concatenate(column) for column in held]
             for column in held:
                 column.clear()
+            shard = Shard(*columns, len(asked.words), asked.column)
+            columns.clear()
             rows: list[tuple[int, bytes, bytes]] = []
             for at, part in zip(range(0, len(asked.ids), PART), asked.parts):
                 query, doc, score, _ = shard.search(part, floor[at : at + PART], k)

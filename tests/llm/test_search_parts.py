@@ -48,3 +48,20 @@ def test_later_files_return_what_reaches_the_first_thresholds(spark, monkeypatch
     assert later < K * 21 * 8  # without thresholds: K for each query from each of 17 files
     passes.clear()
     assert sorted(map(tuple, search.search(docs.coalesce(1), asked, K).collect())) == found and len(passes) == 1
+
+
+def test_long_documents_are_matched_piece_by_piece(monkeypatch):
+    rng = np.random.default_rng(5)
+    n_terms, n_docs = 4000, 130
+    bags = [np.unique(rng.integers(0, n_terms, 3000 if d % 3 == 0 else 50)) for d in range(n_docs)]
+    sizes = np.array([len(b) for b in bags])
+    values = rng.random(sizes.sum()) + 0.01
+    shard = search.Shard(np.arange(n_docs), sizes, sizes, np.concatenate(bags).astype(np.int32), np.ones(sizes.sum(), np.uint32), values, n_terms)
+    part = search.Part(np.concatenate(bags).astype(np.int32), sizes, shard.column)
+    whole = shard.search(part, np.zeros(n_docs), K)
+    longest, repeat = [], np.repeat
+    monkeypatch.setattr(search, "MATCHES", 20_000)
+    monkeypatch.setattr(search.np, "repeat", lambda *args: longest.append(len(out := repeat(*args))) or out)
+    pieces = shard.search(part, np.zeros(n_docs), K)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[:2], pieces[:2])) and np.allclose(whole[2], pieces[2])
+    assert max(longest) < 20_000 + n_docs < 64 * 43 * 1000
