@@ -53,7 +53,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, total:
     dealt = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
     dealt = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33))
     runs = dealt.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    runs = written(runs, "runs")
     before = F.coalesce(F.sum("_rows").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select(*keys, "_part", (before - F.col("_first") + 1).alias("_shift"), F.sum("_rows").over(W.partitionBy(*keys)).alias("_total"))
-    out = join_null_safe(dealt, written(runs, "runs"), [*keys, "_part"])
+    out = join_null_safe(dealt, runs, [*keys, "_part"])
     return out.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name), *([F.col("_total").alias(total)] if total else []))
